@@ -1,9 +1,7 @@
-"""Shared pieces: tables, the shared folder, summed tables, connected components."""
+"""Shared pieces: tables, lower-casing, summed tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidmill.operators.components import connected_components
+from braidmill.session import materialize, shared_dir
+
+__all__ = ["connected_components", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
+
 _SLICES = 16
 
 
@@ -19,26 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none, as in local tests, a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='braidmill-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,34 +72,3 @@ def _pack(a: np.ndarray) -> bytes:
 def _unpack(blob: bytes, dtype: str) -> np.ndarray:
     kind = blob[:2].decode().strip()
     return np.frombuffer(zlib.decompress(blob[2:]), dtype=dtype if kind == "f" else f"int{kind}").astype(dtype)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges(a long, b long)``; the label is the smallest node.
-
-    Large-star and small-star steps in turn until nothing changes.  Minima are
-    partial aggregates and the joins are left to adaptive execution, so a hub
-    that holds most edges is never gathered in one task.  Each round is written
-    to the shared folder.
-    """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _signature(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        star = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        star = star.unionByName(low.where("a > m").select("a", F.col("m").alias("b"))).distinct()
-        low = star.groupBy("a").agg(F.min("b").alias("m"))
-        small = star.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m")), F.struct(F.col("b").alias("a"), F.col("m")))).alias("e"))
-        now = materialize(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
-        after = _signature(now)
-        if after == before:
-            break
-        before = after
-    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-
-
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first())

@@ -1,15 +1,22 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Every whole text becomes the set of its distinct word shingles.  All shingles
-have one global order, rare before frequent (counts in a table of fixed size
-over every document, then the hash).  Two sets that reach the threshold share
-at least one shingle of their prefixes in this order.
-
-1. *Collapse*: documents with identical prefixes and set size form one group.
-2. *Filter*: groups that share a prefix shingle are joined by star edges, one
-   per posting, never all pairs; their connected components hold every
-   candidate pair.  Shingles of hot table cells are salted.
-3. *Expand and verify*: the distinct sets of each component are compared in
+have one global order, and two sets that reach the threshold share at least one
+shingle of their prefixes in this order.  The order is: a fixed share of all
+shingles (by hash) first, of these the ones of a single document, then by
+document frequency; the other shingles by hash; shingles of hot cells of a
+frequency table last.  So the prefix of a text that is mostly its own has
+nothing in common with any other.
+
+1. *Prefixes*: frequencies of the first share are counted exactly, in packed
+   arrays dealt by hash.  Hot shingles are known from a table of fixed size
+   and never dealt that way.
+2. *Collapse*: documents with identical prefixes and set size form one group.
+3. *Filter*: the groups of a prefix shingle, in order of set size, are linked
+   one to the next unless their sizes alone rule a link out: one edge per
+   posting, never all pairs.  The connected components hold every candidate
+   pair.  Postings of hot shingles are salted.
+4. *Expand and verify*: the distinct sets of each component are compared in
    blocks of bounded size.  A component above the block size is dealt out as
    pairs of blocks.  Tasks return one row per set (links and a root), not
    pairs.
@@ -36,6 +43,11 @@ BITMAP_BITS = 23
 #: Most sets and most shingles of one block.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 SALTS = 32
+#: Of 256, the share of shingles that come first in the global order.
+FIRST_SHARE = 104
+#: Shingles of that share counted together; there are as many buckets as it takes.
+BUCKET_SHINGLES = 1_000_000
+CHUNK_BYTES = 4 << 20
 _SEEN = 200_000
 
 
@@ -82,72 +94,169 @@ def _frequency_table(docs: DataFrame, n: int) -> np.ndarray:
     return summed_table(docs.select("text"), 1 << CELL_BITS, fill)
 
 
+def _first_share(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32) & np.uint64(255)) < np.uint64(FIRST_SHARE)
+
+
+def _column(values: list | np.ndarray, kind: pa.DataType, before: int, after: int) -> pa.Array:
+    return pa.concat_arrays([pa.nulls(before, kind), pa.array(values, kind), pa.nulls(after, kind)])
+
+
 def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(members, postings), both written to the shared folder.
+    """(members, postings).
 
-    members(doc_id, row_hash, n_shingles, cid, gid): a row per document;
-    ``cid`` names the set and ``gid`` its prefix and size.  postings(token, salt, gid): the
-    prefixes, once per group and task.
+    members(doc_id, row_hash, n_shingles, cid): a row per document; ``cid``
+    names the set.  postings(token, salt, cid, size): of all prefixes the
+    shingles that more than one document may have.
     """
     sc = docs.sparkSession.sparkContext
     counts = _frequency_table(docs, n)
     hot = max(1000, int(counts.mean() * 8))
+    buckets = max(8, -(-int(counts.sum()) * FIRST_SHARE // 256 // BUCKET_SHINGLES))
     table = sc.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows, tokens, groups, salts = [], [], [], []
-            for i, g in _shingle_sets(batch, n):
-                cid = gid = None
-                if len(g):
-                    cells = table.value[_cells(g)]
-                    order = np.lexsort((g, cells))[: prefix_length(len(g), percent)]
-                    cid, gid = _digest(g, 1) ^ len(g), _digest(g[order], 2) ^ (len(g) << 17)
-                    if gid not in seen:
-                        if len(seen) < _SEEN:
-                            seen.add(gid)
-                        tokens.append(g[order])
-                        groups.append(np.full(len(order), gid, np.int64))
-                        salts.append(np.where(cells[order] >= hot, 1 + gid % SALTS, 0).astype(np.int16))
-                rows.append((i, len(g), cid, gid))
-            where, sizes, cids, gids = zip(*rows, strict=True) if rows else ((), (), (), ())
-            k = len(rows)
-            t = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch["doc_id"].take(pa.array(where, pa.int64())), pa.nulls(len(t), pa.int64())]),
-                    pa.concat_arrays([batch["row_hash"].take(pa.array(where, pa.int64())), pa.nulls(len(t), pa.int64())]),
-                    pa.concat_arrays([pa.array(sizes, pa.int64()), pa.nulls(len(t), pa.int64())]),
-                    pa.concat_arrays([pa.array(cids, pa.int64()), pa.nulls(len(t), pa.int64())]),
-                    pa.concat_arrays([pa.array(gids, pa.int64()), pa.array(np.concatenate(groups)) if groups else pa.nulls(0, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(t)]),
-                    pa.concat_arrays([pa.nulls(k, pa.int16()), pa.array(np.concatenate(salts)) if salts else pa.nulls(0, pa.int16())]),
-                ],
-                names=["doc_id", "row_hash", "n_shingles", "cid", "gid", "token", "salt"],
-            )
-
-    schema = "doc_id long, row_hash long, n_shingles long, cid long, gid long, token long, salt short"
-    both = materialize(docs.select(F.col("doc_id").cast("long"), _row_hash(), "text").mapInArrow(split, schema))
-    members = both.where("token is null").select("doc_id", "row_hash", "n_shingles", "cid", "gid")
-    return members, both.where("token is not null").select("token", "salt", "gid")
+            for lo, hi in row_blocks(string_buffers(batch["text"])[1], 2 * CHUNK_BYTES):
+                yield from chunk(batch.slice(lo, hi - lo), seen)
+
+    def chunk(batch: pa.RecordBatch, seen: set[int]) -> Iterator[pa.RecordBatch]:
+        sizes, cids, own, firsts = [], [], [], []
+        tokens, salts, token_cids, token_sizes = [], [], [], []
+        for _, g in _shingle_sets(batch, n):
+            sizes.append(len(g))
+            cid = _digest(g, 1) ^ len(g) if len(g) else None
+            cids.append(cid)
+            if cid is None or cid in seen:
+                continue
+            if len(seen) < _SEEN:
+                seen.add(cid)
+            cells = table.value[_cells(g)]
+            late = cells >= hot
+            first = _first_share(g) & ~late
+            short = prefix_length(len(g), percent) - int(first.sum())
+            own.append((cid, len(g), int(first.sum())))
+            firsts.append(g[first])
+            if short > 0:  # these come next whatever the frequencies are
+                rest = np.flatnonzero(~first)
+                order = rest[np.lexsort((g[rest], np.where(late[rest], cells[rest], 0)))][:short]
+                tokens.append(g[order])
+                salts.append(np.where(late[order], 1 + cid % SALTS, 0).astype(np.int16))
+                token_cids.append(np.full(len(order), cid, np.int64))
+                token_sizes.append(np.full(len(order), len(g), np.int32))
+        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
+        table_of = np.array(own, dtype=np.int64).reshape(-1, 3)
+        key = _digest(table_of[:, 0].astype(np.uint64), 3)
+        h = cat(firsts, np.uint64)
+        of = np.repeat(np.arange(len(own)), [len(x) for x in firsts]).astype(np.uint16)
+        to = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        h, of, to = (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), of[order], to[order]
+        cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
+        parts, blobs = [-1], [table_of.tobytes()]
+        for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            parts.append(int(to[a]))
+            blobs.append(of[a:b].tobytes() + h[a:b].tobytes())
+        t = cat(tokens, np.uint64).view(np.int64)
+        r, k, m = len(batch), len(t), len(parts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([batch["doc_id"], pa.nulls(k + m, pa.int64())]),
+                pa.concat_arrays([batch["row_hash"], pa.nulls(k + m, pa.int64())]),
+                _column(np.concatenate([np.array(sizes, np.int32), cat(token_sizes, np.int32)]), pa.int32(), 0, m),
+                pa.concat_arrays([pa.array(cids, pa.int64()), pa.array(cat(token_cids, np.int64)), pa.nulls(m, pa.int64())]),
+                _column(t, pa.int64(), r, m),
+                _column(cat(salts, np.int16), pa.int16(), r, m),
+                _column([key] * m, pa.int64(), r + k, 0),
+                _column(parts, pa.int32(), r + k, 0),
+                _column(blobs, pa.binary(), r + k, 0),
+            ],
+            names=["doc_id", "row_hash", "size", "cid", "token", "salt", "chunk", "bucket", "blob"],
+        )
+
+    schema = "doc_id long, row_hash long, size int, cid long, token long, salt short, chunk long, bucket int, blob binary"
+    every = materialize(docs.select(F.col("doc_id").cast("long"), _row_hash(), "text").mapInArrow(split, schema))
+    members = every.where("token is null and bucket is null").select("doc_id", "row_hash", F.col("size").cast("long").alias("n_shingles"), "cid")
+    packed = every.where("bucket is not null").select("chunk", "bucket", "blob")
+    counted = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_bucket, "chunk long, bucket int, blob binary")
+    postings = counted.unionByName(packed.where("bucket < 0")).groupBy("chunk").applyInArrow(_choose_prefixes(percent), "token long, salt short, cid long, size int")
+    return members, materialize(postings.unionByName(every.where("token is not null").select("token", "salt", "cid", "size")).distinct())
+
+
+def _count_bucket(t: pa.Table) -> pa.Table:
+    """Of each chunk, the shingles of this bucket that occur again: place, shingle, frequency."""
+    bucket = t["bucket"][0].as_py()
+    blobs = [b.as_py() for b in t["blob"]]
+    sizes = [len(b) // 6 for b in blobs]
+    rest = np.concatenate([np.frombuffer(b, np.uint32, k, 2 * k) if (2 * k) % 4 == 0 else np.frombuffer(b[2 * k :], np.uint32) for b, k in zip(blobs, sizes, strict=True)])
+    of = np.concatenate([np.frombuffer(b, np.uint16, k) for b, k in zip(blobs, sizes, strict=True)])
+    row = np.repeat(np.arange(len(blobs)), sizes)
+    order = np.argsort(rest, kind="stable")
+    value = rest[order]
+    run = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    count = np.bincount(run)[run]
+    again = count > 1
+    order, count = order[again], np.minimum(count[again], 65535).astype(np.uint16)
+    by_row = np.argsort(row[order], kind="stable")
+    order, count = order[by_row], count[by_row]
+    ends = np.searchsorted(row[order], np.arange(len(blobs) + 1))
+    out = [of[o].tobytes() + count[a:b].tobytes() + rest[o].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True) if (o := order[a:b]) is not None]
+    return pa.table({"chunk": t["chunk"].combine_chunks(), "bucket": pa.array([bucket] * len(blobs), pa.int32()), "blob": pa.array(out, pa.binary())})
+
+
+def _choose_prefixes(percent: int):
+    def unit(t: pa.Table) -> pa.Table:
+        docs, of, count, token = None, [], [], []
+        for bucket, blob in zip(t["bucket"].to_pylist(), t["blob"], strict=True):
+            b = blob.as_py()
+            if bucket < 0:
+                docs = np.frombuffer(b, np.int64).reshape(-1, 3)
+            else:
+                k = len(b) // 8
+                of.append(np.frombuffer(b, np.uint16, k).astype(np.int64))
+                count.append(np.frombuffer(b, np.uint16, k, 2 * k).astype(np.int64))
+                token.append(np.frombuffer(b, np.uint32, k, 4 * k).astype(np.int64) | bucket << 32)
+        if not of or docs is None:
+            of, count, token, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros((0, 3), np.int64)
+        of, count, token = np.concatenate(of), np.concatenate(count), np.concatenate(token)
+        order = np.lexsort((token, count, of))
+        of, token = of[order], token[order]
+        repeated = np.bincount(of, minlength=len(docs))
+        size, first = docs[:, 1], docs[:, 2]
+        room = size + (-size * percent) // 100 + 1 - (first - repeated)  # what is left of the prefix after its unique shingles
+        rank = np.arange(len(of)) - (np.cumsum(repeated) - repeated)[of]
+        keep = rank < room[of]
+        of, token = of[keep], token[keep]
+        return pa.table({"token": token, "salt": np.zeros(len(of), np.int16), "cid": docs[of, 0], "size": docs[of, 1].astype(np.int32)})
+
+    return unit
 
 
 def _row_hash():
     return F.xxhash64("doc_id", "text").alias("row_hash")
 
 
-def _candidate_groups(members: DataFrame, postings: DataFrame) -> DataFrame:
-    """(gid, cluster) of all groups that may hold a link."""
-    low = F.min("gid").over(Window.partitionBy("token", "salt"))
-    star = materialize(postings.withColumn("low", low).where("gid <> low or salt > 0"))
-    edges = star.where("gid <> low").select(F.col("gid").alias("a"), F.col("low").alias("b"))
-    tops = star.where("salt > 0").groupBy("token").agg(F.min("low").alias("top"), F.collect_set("low").alias("lows"))  # at most SALTS values
-    edges = edges.unionByName(tops.select(F.explode("lows").alias("a"), F.col("top").alias("b")).where("a <> b"))
-    labels = connected_components(edges.distinct()).select(F.col("node").alias("gid"), F.col("label").alias("cluster"))
-    several = members.where("cid is not null").groupBy("gid").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
+def _candidate_groups(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, gid) of all sets with postings, and (gid, cluster) of all groups that may hold a link."""
+    prefix = postings.groupBy("cid").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sum(F.xxhash64("token").bitwiseAND(0xFFFFFFFFFF)).alias("a"), F.sum(F.xxhash64("token", F.lit(1)).bitwiseAND(0xFFFFFFFFFF)).alias("b"))
+    whole = F.col("n") == F.col("size") + F.floor(-F.col("size") * percent / 100) + 1  # else it has shingles of its own
+    groups = materialize(prefix.select("cid", F.when(whole, F.xxhash64("size", "a", "b")).otherwise(F.col("cid")).alias("gid")))
+    postings = postings.join(groups, "cid").select("token", "salt", "gid", "size").distinct()
+    w = Window.partitionBy("token", "salt").orderBy("size", "gid")
+    chain = postings.select("*", F.lag("gid").over(w).alias("near"), F.lag("size").over(w).alias("near_size"))
+    chain = materialize(chain.where(f"(gid <> near and 100 * near_size >= {percent} * size) or salt > 0"))
+    edges = chain.where(f"gid <> near and 100 * near_size >= {percent} * size").select(F.col("gid").alias("a"), F.col("near").alias("b"))
+    # across salts: all groups of a band of sizes, and of neighbouring bands
+    band = F.floor(F.log(F.col("size")) / math.log(100 / percent)).alias("band")
+    tops = chain.where("salt > 0").groupBy("token", "salt", band).agg(F.min("gid").alias("a"))
+    band_tops = tops.groupBy("token", "band").agg(F.min("a").alias("b"))
+    next_tops = band_tops.select("token", (F.col("band") + 1).alias("band"), F.col("b").alias("a"))
+    edges = edges.unionByName(tops.join(band_tops, ["token", "band"]).select("a", "b")).unionByName(next_tops.join(band_tops, ["token", "band"]).select("a", "b"))
+    labels = connected_components(edges).select(F.col("node").alias("gid"), F.col("label").alias("cluster"))
+    several = groups.groupBy("gid").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
     alone = several.join(labels, "gid", "left_anti").select("gid", F.col("gid").alias("cluster"))
-    return labels.unionByName(alone)
+    return groups, labels.unionByName(alone)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -236,10 +345,9 @@ def _verify(percent: int):
 def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """members with label (the component's smallest cid), component_id and n_links."""
     members, postings = shingle_classes(docs, n, percent)
-    clusters = materialize(_candidate_groups(members, postings))
-    classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("gid").alias("gid"), F.first("n_shingles").alias("size"))
-    classes = materialize(classes)
-    wanted = materialize(classes.join(clusters, "gid").select("cid", "cluster", "copies", "size"))
+    groups, clusters = _candidate_groups(postings, percent)
+    classes = materialize(members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
+    wanted = materialize(classes.join(groups.join(clusters, "gid").select("cid", "cluster"), "cid").select("cid", "cluster", "copies", "size"))
     extent = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles")).where("sets > 1")
     extent = extent.select("cluster", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = materialize(wanted.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
@@ -253,8 +361,8 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = materialize(named.select("cid", "first_id", "copies", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
     firsts = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     final = named.join(firsts, "label").select("cid", "label", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    rest = members.drop("cid", "gid").where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.where("n_shingles > 0").join(final, "cid").drop("cid", "gid").unionByName(rest)
+    rest = members.drop("cid").where("n_shingles = 0").select("*", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return members.where("n_shingles > 0").join(final, "cid").drop("cid").unionByName(rest)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
