@@ -1,9 +1,78 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage: each operator over its whole table."""
+
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .chat import rotate_perspectives
 from .common import table
+from .decontaminate import contamination
 from .jaccard import ngram_jaccard_join
+from .knn import exact_top_k
+from .license_scan import license_summary
+from .mixing import mix_sources
+from .quality import quality_scores
+from .sharding import shard_documents
+from .suffix_dedup import repeated_passages
+from .url_filter import filter_urls
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
 
-def op3_ngram_jaccard_join(spark, sf_dir):
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "text", F.col("bm_copy").alias("copy"), F.col("bm_copies").alias("copies"), F.col("bm_order").alias("order_key"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
+    return rows.select("conv_id", "speaker", "part", "n_turns", "n_own", "text", spans.alias("mask_spans"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_summary(table(spark, sf_dir, "documents"))
+
+
+def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_mix_sources,
+        op3_ngram_jaccard_join,
+        op4_decontaminate,
+        op5_chat_perspectives,
+        op6_license_scan,
+        op7_jump_sharding,
+        op8_exact_top_k,
+        op9_repeated_passages,
+        op10_quality_classifier,
+    )
+}
