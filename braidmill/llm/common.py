@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from braidmill.operators.components import connected_components
 from braidmill.session import materialize, shared_dir
 
-__all__ = ["connected_components", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
+__all__ = ["connected_components", "extended", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
 
 _SLICES = 16
 
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(schema: StructType, **more: str) -> StructType:
+    """A new schema with further fields, by name and type."""
+    return StructType([*schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in more.items())])
+
+
 def lower_ascii(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

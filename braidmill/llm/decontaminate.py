@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import extended
 from .textops import ALNUM_WORDS, row_blocks, string_buffers, words
 
 WINDOW = 10
@@ -191,7 +192,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema:
                     batch = batch.append_column(_HITS, pa.array([h.tobytes() for h in hits], pa.binary()))
                     yield batch.append_column(_ITEMS, pa.array(names, pa.list_(pa.string())))
 
-        out = out.mapInArrow(step, schema if last else docs.schema.add(_HITS, "binary").add(_ITEMS, "array<string>"))
+        out = out.mapInArrow(step, schema if last else extended(docs.schema, **{_HITS: "binary", _ITEMS: "array<string>"}))
     return out
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import extended, materialize
 
 #: Size of the sample (and so the most pivots).
 PIVOTS = 64
@@ -98,7 +98,7 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 away = np.sqrt(((v - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
 
-    return rows.mapInArrow(assign, rows.schema.add("cell", "int").add("away", "double"))
+    return rows.mapInArrow(assign, extended(rows.schema, cell="int", away="double"))
 
 
 def _targets(queries: DataFrame, pivots: np.ndarray, summary: np.ndarray, k: int) -> DataFrame:

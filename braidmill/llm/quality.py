@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed_table
+from .common import extended, summed_table
 from .textops import _mix, row_blocks, string_buffers
 
 #: Cells of the table of hashed words, and width of the vectors.
@@ -224,7 +224,7 @@ def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             p = probabilities(m, _pooled(batch, m.vectors))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p, pa.float64())], names=[*keep, "bm_score"])
 
-    return rows.mapInArrow(score, rows.select(*keep).schema.add("bm_score", "double"))
+    return rows.mapInArrow(score, extended(rows.select(*keep).schema, bm_score="double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

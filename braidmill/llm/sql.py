@@ -85,10 +85,10 @@ r as (
     t.txt || '<|im_end|>' as body
   from t join s using (c)),
 o as (
-  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by c, speaker, part order by turn, role, txt rows between unbounded preceding and 1 preceding), 0) as at from r)
+  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by c, speaker, part order by turn, role, txt rows between unbounded preceding and 1 preceding), 0) as off from r)
 select any_value(conv_id) as conv_id, speaker, part, count(*)::bigint as n_turns, count(*) filter (own)::bigint as n_own,
   string_agg(head || body || chr(10), '' order by turn, role, txt) as text,
-  coalesce(string_agg((at + length(head))::bigint::varchar || '-' || (at + length(head) + length(body))::bigint::varchar, ',' order by turn, role, txt) filter (own), '') as mask_spans
+  coalesce(string_agg((off + length(head))::bigint::varchar || '-' || (off + length(head) + length(body))::bigint::varchar, ',' order by turn, role, txt) filter (own), '') as mask_spans
 from o group by c, speaker, part
 """
 
@@ -112,8 +112,8 @@ crc_table as (
   select list(v order by n) as tab from c where step = 8),
 sized as (
   select doc_id, k, (length(h) // 2 + 8)::bigint as size,
-    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), i -> ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
-      (c, b) -> xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) as text_crc32
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+      lambda c, b: xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) as text_crc32
   from bytes, crc_table),
 placed as (
   select s.*, a.shard, g.shard as grown_shard,
@@ -126,8 +126,8 @@ from placed
 
 OP8 = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as vec from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as vec from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec, c.vec)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import extended, lower_ascii
 from .textops import string_buffers
 
 #: (rule, verdict); a rule is a host, then the beginning of the path.
@@ -24,6 +24,8 @@ WEIGHT_BITS = 16
 GRAMS = (3, 4, 5)
 #: Most rows of a labelled table that are trained on.
 LABELLED_ROWS = 20_000
+#: Scores from here on are blocked: rather let a page pass than block a good one.
+THRESHOLD = 0.75
 
 _BLOCKED_WORDS = """casino poker bets betting jackpot slots roulette gamble lottery bingo pills pharmacy viagra cialis
     meds cheap discount-drugs weight-loss payday loans quick-cash crypto-profit forex-signals get-rich free-money
@@ -123,7 +125,7 @@ def train(urls: list[tuple[str, str, int]], steps: int = 300, rate: float = 0.5,
     return w, float(b)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of ``pages(page_id, url)``.
 
     The verdict is the rule's where one fits, else ``block`` from a score of
@@ -149,7 +151,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, la
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    scored = rows.mapInArrow(score, rows.schema.add("score", "double"))
+    scored = rows.mapInArrow(score, extended(rows.schema, score="double"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "score")
