@@ -1 +1,544 @@
+"""The registered queries of the reconstruction workflow; each runs over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidmill.functions import sequences as S
+from braidmill.operators import cover, evaluate, graph, kmers, likelihood, pairs
+from braidmill.sources import sinks
+
+from . import fixtures as X
+from .reconstruct import reconstruct
+
+K, K_PAIRS = 21, 41
+GENOME = 60
+SETS = [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (3, 2)]
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return kmers.count_kmers(X.reads(spark, sf_dir), k)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = X.reads(spark, sf_dir)
+    return graph.edges_from_k1mers(kmers.count_kmers(reads, K + 1), kmers.count_kmers(reads, K), K)
+
+
+def _mate(spark: SparkSession, sf_dir: str, mate: int) -> DataFrame:
+    return kmers.count_kmers(X.reads(spark, sf_dir).where(F.col("mate") == mate), K)
+
+
+# Counting
+
+
+@query
+def kmer_count(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@query
+def kmer_count_multi(spark, sf_dir):
+    return kmers.count_kmers_multi(X.reads(spark, sf_dir), [31, 21, 15])
+
+
+@query
+def kmer_count_canonical(spark, sf_dir):
+    return kmers.count_canonical(X.reads(spark, sf_dir), 12)
+
+
+@query
+def kmer_merge_canonical(spark, sf_dir):
+    return kmers.merge_canonical(_counts(spark, sf_dir))
+
+
+@query
+def kmer_solid(spark, sf_dir):
+    return kmers.solid(_counts(spark, sf_dir), 100, 5000)
+
+
+@query
+def kmer_complements(spark, sf_dir):
+    return kmers.with_complements(kmers.above(_mate(spark, sf_dir, 1), 2))
+
+
+@query
+def kmer_histogram(spark, sf_dir):
+    return kmers.histogram(kmers.count_kmers_multi(X.reads(spark, sf_dir), [31, 21]))
+
+
+@query
+def kmer_partition_volumes(spark, sf_dir):
+    return kmers.partition_volumes(_counts(spark, sf_dir), 3)
+
+
+@query
+def kmer_diff(spark, sf_dir):
+    return kmers.differing(_mate(spark, sf_dir, 1), _mate(spark, sf_dir, 2))
+
+
+@query
+def kmer_linear_count(spark, sf_dir):
+    out = kmers.linear_count(_counts(spark, sf_dir), "kmer", 65536)
+    return out.select("cells", "used", F.round("estimate", 4).alias("estimate"), "reliable")
+
+
+@query
+def kmer_approx_distinct(spark, sf_dir):
+    return kmers.approximate_distinct(_counts(spark, sf_dir), "kmer")
+
+
+@query
+def kmer_sampled_distinct(spark, sf_dir):
+    return kmers.sampled_distinct(_counts(spark, sf_dir), "kmer", 0.05)
+
+
+@query
+def read_saturating_counts(spark, sf_dir):
+    return kmers.saturating_counts(X.reads(spark, sf_dir), "seq", 4)
+
+
+@query
+def read_statistics(spark, sf_dir):
+    return kmers.read_statistics(X.reads(spark, sf_dir), K)
+
+
+@query
+def read_frequencies(spark, sf_dir):
+    return kmers.value_frequencies(X.reads(spark, sf_dir), "seq")
+
+
+@query
+def kmer_merge_partial(spark, sf_dir):
+    return kmers.merge_partial_counts([_mate(spark, sf_dir, 1), _mate(spark, sf_dir, 2)], 50)
+
+
+@query
+def kmer_later_wins(spark, sf_dir):
+    return kmers.later_wins(_mate(spark, sf_dir, 1), _mate(spark, sf_dir, 2))
+
+
+# Functions on sequences
+
+
+@query
+def sequence_functions(spark, sf_dir):
+    s = F.col("seq")
+    head = F.replace(S.prefix(s, 12), F.lit("N"), F.lit("A"))
+    base, strand = S.extend_canonical(head, F.lit("G"))
+    return X.reads(spark, sf_dir).select(
+        "rid",
+        "mate",
+        S.revcomp(s).alias("rc"),
+        S.revcomp_n_to_c(s).alias("rc_c"),
+        S.revcomp_keep(F.lower(s)).alias("rc_keep"),
+        S.prefix(s, 5).alias("pre"),
+        S.suffix(s, 5).alias("suf"),
+        S.last_base(s).alias("last"),
+        S.column_slice(s, 3, 9).alias("part"),
+        S.canonical(head).alias("canon"),
+        S.canonical_text(head).alias("canon_text"),
+        S.pack(head).alias("packed"),
+        S.unpack(S.pack(head), 12).alias("unpacked"),
+        base.alias("extended"),
+        strand.alias("strand"),
+        S.largest_k(F.length(s), [21, 31, 61]).alias("k_fit"),
+        S.has_no_n(s).alias("clean"),
+    )
+
+
+@query
+def read_segments(spark, sf_dir):
+    return X.reads(spark, sf_dir).select("rid", "mate", F.posexplode(S.segments(F.col("seq"))).alias("part", "segment"))
+
+
+@query
+def read_length_filter(spark, sf_dir):
+    return evaluate.longer_than(read_segments(spark, sf_dir).withColumnRenamed("segment", "seq"), 29)
+
+
+@query
+def read_numbers(spark, sf_dir):
+    return evaluate.numbered_reads(X.reads(spark, sf_dir).withColumnRenamed("rid", "read_id"))
+
+
+@query
+def read_reversed(spark, sf_dir):
+    return evaluate.reversed_reads(X.reads(spark, sf_dir).select(F.concat_ws(".", "rid", "mate").alias("id"), "seq"))
+
+
+@query
+def read_fasta_lines(spark, sf_dir):
+    return sinks.fasta_lines(X.reads(spark, sf_dir), F.concat_ws("/", "rid", "mate"))
+
+
+@query
+def read_equal_slices(spark, sf_dir):
+    return evaluate.merge_equal_slices(X.reads(spark, sf_dir).select(F.concat_ws("/", "rid", "mate").alias("id"), "seq"), 11, 40)
+
+
+@query
+def variant_identity(spark, sf_dir):
+    """Global alignment of each variant's first tenth with every other's."""
+    g = X.genome(spark, sf_dir).select("hap_id", F.substring("seq", F.lit(1), F.floor(F.length("seq") / 10).cast("int")).alias("s"))
+    other = g.select(F.col("hap_id").alias("other_id"), F.col("s").alias("t"))
+    return g.join(other, F.col("hap_id") < F.col("other_id")).select("hap_id", "other_id", S.global_identity("s", "t").alias("identity"))
+
+
+# The graph
+
+
+@query
+def dbg_edges_reads(spark, sf_dir):
+    reads = X.reads(spark, sf_dir)
+    return graph.edges_from_reads(reads, kmers.count_kmers(reads, K), K, 5)
+
+
+@query
+def dbg_edges_k1mers(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query
+def dbg_filtered(spark, sf_dir):
+    return graph.filter_edges(_edges(spark, sf_dir), _mate(spark, sf_dir, 1), 5)
+
+
+@query
+def dbg_filtered_tolerant(spark, sf_dir):
+    return graph.filter_edges(_edges(spark, sf_dir), _mate(spark, sf_dir, 1), 5, True)
+
+
+@query
+def dbg_degrees(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir))
+
+
+@query
+def dbg_sources(spark, sf_dir):
+    return graph.sources(_edges(spark, sf_dir))
+
+
+@query
+def dbg_sinks(spark, sf_dir):
+    return graph.sinks(_edges(spark, sf_dir))
+
+
+@query
+def unitig_starts(spark, sf_dir):
+    return graph.unitig_starts(_edges(spark, sf_dir))
+
+
+@query
+def unitigs(spark, sf_dir):
+    rows, _ = graph.unitigs(_edges(spark, sf_dir), K)
+    return rows.select("seq", "len", "prefix", "suffix")
+
+
+@query
+def cond_edges(spark, sf_dir):
+    rows, cond = graph.unitigs(_edges(spark, sf_dir), K)
+    name = lambda v, s: rows.select(F.col("vid").alias(v), F.col("seq").alias(s))
+    return cond.join(name("src", "src_seq"), "src").join(name("dst", "dst_seq"), "dst").select("src_seq", "dst_seq")
+
+
+@query
+def unitig_coverage(spark, sf_dir):
+    rows, _ = graph.unitigs(_edges(spark, sf_dir), K)
+    return graph.unitig_coverage(rows, _counts(spark, sf_dir), K).join(rows.select("vid", "seq"), "vid").select("seq", "n_kmers", F.round("coverage", 6).alias("coverage"))
+
+
+@query
+def strand_twins(spark, sf_dir):
+    rows, _ = graph.unitigs(_edges(spark, sf_dir), K)
+    twin = rows.select(F.col("vid").alias("twin"), F.col("seq").alias("twin_seq"))
+    return graph.strand_twins(rows).join(rows.select("vid", "seq"), "vid").join(twin, "twin").select("seq", "twin_seq")
+
+
+def _coverage(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 9).alias("vid")).agg(F.avg("l_quantity").alias("coverage"))
+
+
+@query
+def tip_removal(spark, sf_dir):
+    g = X.small_graph(spark)
+    kept, _ = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5)
+    return kept
+
+
+@query
+def lowcov_removal(spark, sf_dir):
+    g = X.small_graph(spark)
+    _, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5, everywhere=True)
+    return edges
+
+
+@query
+def graph_summary(spark, sf_dir):
+    g = X.small_graph(spark)
+    return graph.graph_summary(*graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5))
+
+
+@query
+def fastg_lines(spark, sf_dir):
+    g = X.small_graph(spark)
+    kept, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5, everywhere=True)
+    return graph.fastg_lines(kept, edges, 4)
+
+
+# Pairs and support
+
+
+@query
+def pair_within(spark, sf_dir):
+    return pairs.pairs_within_mates(X.read_pairs(spark, sf_dir), K_PAIRS)
+
+
+@query
+def pair_across(spark, sf_dir):
+    return pairs.pairs_across_mates(X.read_pairs(spark, sf_dir), K_PAIRS)
+
+
+@query
+def pair_support(spark, sf_dir):
+    return pairs.pair_support(X.read_pairs(spark, sf_dir), _counts(spark, sf_dir, K_PAIRS), K_PAIRS, 3, 1)
+
+
+@query
+def mean_gap(spark, sf_dir):
+    out = pairs.mean_gap(X.pair_table(spark, sf_dir), X.placed_kmers(spark, sf_dir))
+    return out.select("n_pairs", F.round("mean_gap", 6).alias("mean_gap"))
+
+
+def _compat(spark, sf_dir) -> DataFrame:
+    return pairs.compatible_set(X.pair_table(spark, sf_dir), X.placed_kmers(spark, sf_dir))
+
+
+def _ring(spark, sf_dir) -> DataFrame:
+    v = X.vertices(spark, sf_dir).select("vid")
+    return v.select(F.col("vid").alias("src"), F.explode(F.array((F.col("vid") * 7 + 3) % 97, (F.col("vid") * 5 + 1) % 97)).alias("dst")).where("dst > src")
+
+
+@query
+def compatible_set(spark, sf_dir):
+    return _compat(spark, sf_dir)
+
+
+@query
+def bubble_vertices(spark, sf_dir):
+    return pairs.bubble_vertices(X.vertices(spark, sf_dir), _ring(spark, sf_dir))
+
+
+@query
+def bubble_set(spark, sf_dir):
+    return pairs.bubble_set(X.pair_table(spark, sf_dir), X.placed_kmers(spark, sf_dir), bubble_vertices(spark, sf_dir), _ring(spark, sf_dir))
+
+
+@query
+def membership(spark, sf_dir):
+    return pairs.membership(_compat(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
+@query
+def membership_normalized(spark, sf_dir):
+    return pairs.membership(_compat(spark, sf_dir), True).withColumn("weight", F.round("weight", 9))
+
+
+@query
+def compatible_filter(spark, sf_dir):
+    return pairs.filter_compatible(_compat(spark, sf_dir), 20)
+
+
+@query
+def edges_with_support(spark, sf_dir):
+    edges = X.pair_table(spark, sf_dir).select(F.col("k1").alias("u"), F.col("k2").alias("v"))
+    compat = pairs.filter_compatible(_compat(spark, sf_dir), 20)
+    return pairs.edges_with_support(edges, X.placed_kmers(spark, sf_dir), compat)
+
+
+@query
+def support_lists(spark, sf_dir):
+    return pairs.support_lists(_compat(spark, sf_dir), X.vertices(spark, sf_dir))
+
+
+# Paths
+
+
+def _depths(spark) -> DataFrame:
+    g = X.small_graph(spark)
+    return cover.vertex_depths(g["unitigs"], g["edges"], 4)
+
+
+@query
+def vertex_depths(spark, sf_dir):
+    reads = X.reads(spark, sf_dir)
+    rows, cond = graph.unitigs(_edges(spark, sf_dir), K)
+    return cover.vertex_depths(rows, cond, K, kmers.count_kmers(reads, K)).join(rows.select("vid", "seq"), "vid").select("seq", "depth", "last_depth")
+
+
+@query
+def path_counts(spark, sf_dir):
+    g = X.small_graph(spark)
+    return cover.path_counts(g["unitigs"], g["edges"], 4).select(F.col("n_paths").cast("long").alias("n_paths"))
+
+
+def _covered(spark, normalized: bool) -> DataFrame:
+    g = X.small_graph(spark)
+    bubble = g["compat"].where("cnt > 15").select("v1", "v2", "cnt")
+    return cover.cover_paths(g["unitigs"], g["edges"], _depths(spark), g["compat"], bubble, 4, beam=2, insert=12, normalized=normalized)
+
+
+@query
+def cover_paths(spark, sf_dir):
+    return _covered(spark, False)
+
+
+@query
+def cover_paths_normalized(spark, sf_dir):
+    return _covered(spark, True)
+
+
+@query
+def path_stitch(spark, sf_dir):
+    g = X.small_graph(spark)
+    return cover.stitch_paths(g["paths"], g["unitigs"], 4)
+
+
+def _pairs_of_small(spark) -> DataFrame:
+    g = X.small_graph(spark)
+    return likelihood.oriented(g["compat"], g["unitigs"].select("vid", F.length("seq").alias("len")))
+
+
+def _sets(spark) -> DataFrame:
+    return spark.createDataFrame(SETS, "set_id int, path_id int")
+
+
+@query
+def pair_multiplicity(spark, sf_dir):
+    return likelihood.pair_multiplicity(_sets(spark), X.small_graph(spark)["paths"])
+
+
+@query
+def set_likelihood(spark, sf_dir):
+    out = likelihood.set_likelihood(_sets(spark), X.small_graph(spark)["paths"], _pairs_of_small(spark), GENOME)
+    return out.select("set_id", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def set_likelihood_flat(spark, sf_dir):
+    out = likelihood.set_likelihood(_sets(spark), X.small_graph(spark)["paths"], _pairs_of_small(spark), GENOME, "flat")
+    return out.select("set_id", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def leave_one_out(spark, sf_dir):
+    out = likelihood.leave_one_out(X.small_graph(spark)["paths"], _pairs_of_small(spark), GENOME)
+    return out.select("removed", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def elimination_trace(spark, sf_dir):
+    return likelihood.elimination(X.small_graph(spark)["paths"], _pairs_of_small(spark), GENOME)
+
+
+@query
+def trace_best(spark, sf_dir):
+    return likelihood.best_of_trace(X.trace(spark, sf_dir))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), F.col("o_orderpriority").alias("seq"))
+
+
+@query
+def final_set(spark, sf_dir):
+    return likelihood.final_set(X.trace(spark, sf_dir), _candidates(spark, sf_dir))
+
+
+@query
+def final_set_strict(spark, sf_dir):
+    return likelihood.final_set(X.trace(spark, sf_dir), _candidates(spark, sf_dir), strict=True)
+
+
+@query
+def reconstruct_variants(spark, sf_dir):
+    """The whole workflow, reads to the final set of sequences."""
+    return reconstruct(X.read_pairs(spark, sf_dir), k=31, beam=4, insert=160, genome=800, edge_threshold=2)["final"]
+
+
+# Evaluation
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    return X.reads(spark, sf_dir).select(F.concat_ws("/", "rid", "mate").alias("path_id"), "seq")
+
+
+@query
+def containment_search(spark, sf_dir):
+    return evaluate.containment(X.genome(spark, sf_dir), _predictions(spark, sf_dir))
+
+
+@query
+def unmatched_truths(spark, sf_dir):
+    truths = X.genome(spark, sf_dir).unionByName(_table(spark, sf_dir, "region").select(F.col("r_name").alias("hap_id"), F.col("r_name").alias("seq")))
+    return evaluate.unmatched_truths(truths, _predictions(spark, sf_dir))
+
+
+@query
+def best_per_reference(spark, sf_dir):
+    return evaluate.best_per_reference(X.sam(spark, sf_dir))
+
+
+@query
+def best_per_sequence(spark, sf_dir):
+    return evaluate.best_per_sequence(X.sam(spark, sf_dir))
+
+
+@query
+def sequences_by_reference(spark, sf_dir):
+    return evaluate.sequences_by_reference(X.sam(spark, sf_dir))
+
+
+@query
+def distance_histogram(spark, sf_dir):
+    return evaluate.distance_histogram(X.sam(spark, sf_dir))
+
+
+@query
+def length_histogram(spark, sf_dir):
+    return evaluate.length_histogram(X.sam(spark, sf_dir))
+
+
+@query
+def mean_distance(spark, sf_dir):
+    out = evaluate.mean_distance(X.sam(spark, sf_dir))
+    return out.select("rname", "n", F.round("mean_nm", 9).alias("mean_nm"))
+
+
+@query
+def strand_choice(spark, sf_dir):
+    return evaluate.choose_strands(X.sam(spark, sf_dir))
+
+
+@query
+def strand_fix(spark, sf_dir):
+    turned = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_orderstatus") == "F").alias("turned"))
+    return evaluate.fix_strands(X.reads(spark, sf_dir).where("mate = 1").select(F.col("rid").alias("read_id"), "seq"), turned)
+
+
+@query
+def subpaths(spark, sf_dir):
+    paths = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand").alias("header"), F.col("p_name").alias("seq"))
+    centroids = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit(" centroid")).alias("header"), F.col("s_suppkey").alias("ord"))
+    return evaluate.paths_of_centroids(paths, centroids)
