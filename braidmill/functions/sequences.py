@@ -52,6 +52,11 @@ def unpack(value: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(value.cast("string"), 10, 4), k, "0"), "0123", PACKED_ORDER)
 
 
+def revcomp_packed(value: Column, k: int) -> Column:
+    """Reverse complement of a packed k-mer."""
+    return pack(revcomp(unpack(value, k)))
+
+
 def kmer_array(seq: Column, k: int) -> Column:
     """All substrings of k letters, in order; empty for shorter texts."""
     n = F.length(seq) - k + 1

@@ -33,6 +33,7 @@ class Graph:
     root: dict = field(default_factory=dict)
     support: dict = field(default_factory=dict)
     bubble: set = field(default_factory=set)
+    start: dict = field(default_factory=dict)
 
     def sources(self) -> list[int]:
         return sorted(v for v in self.length if not self.into.get(v))
@@ -53,6 +54,8 @@ def _graph(rows: pd.DataFrame, k: int) -> Graph:
             g.depth[r.a] = int(r.b)
         elif r.kind == "support":
             g.support[r.a, r.b] = float(r.x)
+        elif r.kind == "start":
+            g.start[r.a] = int(r.b)
         elif r.kind == "bubble":
             g.bubble.add((r.a, r.b))
     for side in (g.out, g.into):
@@ -64,10 +67,12 @@ def _graph(rows: pd.DataFrame, k: int) -> Graph:
 def assign_depths(g: Graph) -> None:
     """Depth-first from the most frequent source on; children by frequency, ties by k-mer.
 
-    A vertex keeps the depth and root of its first visit.
+    Sources with a given start come first, in that order.  A vertex keeps the
+    depth and root of its first visit.
     """
     order = lambda vs: sorted(vs, key=lambda v: (-g.priority[v], g.first[v]))
-    for source in order(g.sources()):
+    given = sorted((s for s in g.sources() if s in g.start), key=g.start.get)
+    for source in [*given, *(s for s in order(g.sources()) if s not in g.start)]:
         if source in g.depth:
             continue
         g.depth[source], g.root[source] = 0, source
@@ -206,7 +211,7 @@ def _inside(part: list[int], whole: list[int]) -> bool:
     return any(whole[i : i + n] == part for i in range(len(whole) - n + 1))
 
 
-def _rows(unitigs: DataFrame, cond: DataFrame, coverage: DataFrame | None, depth: DataFrame | None, support: DataFrame | None, bubble: DataFrame | None) -> DataFrame:
+def _rows(unitigs: DataFrame, cond: DataFrame, coverage: DataFrame | None, depth: DataFrame | None, support: DataFrame | None, bubble: DataFrame | None, start: DataFrame | None = None) -> DataFrame:
     ids = unitigs.select("vid")
     edges = cond.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     labels = connected_components(edges)
@@ -217,6 +222,8 @@ def _rows(unitigs: DataFrame, cond: DataFrame, coverage: DataFrame | None, depth
     parts.append(edges.select(F.lit("edge").alias("kind"), "a", "b", none.cast("double").alias("x"), none.cast("string").alias("s")))
     if depth is not None:
         parts.append(depth.select(F.lit("depth").alias("kind"), F.col("vid").alias("a"), F.col("depth").cast("long").alias("b"), none.cast("double").alias("x"), none.cast("string").alias("s")))
+    if start is not None:
+        parts.append(start.select(F.lit("start").alias("kind"), F.col("vid").alias("a"), F.col("ord").cast("long").alias("b"), none.cast("double").alias("x"), none.cast("string").alias("s")))
     for kind, pairs in (("support", support), ("bubble", bubble)):
         if pairs is not None:
             parts.append(pairs.select(F.lit(kind).alias("kind"), F.col("v1").alias("a"), F.col("v2").alias("b"), F.col("cnt").cast("double").alias("x"), none.cast("string").alias("s")))
@@ -226,19 +233,22 @@ def _rows(unitigs: DataFrame, cond: DataFrame, coverage: DataFrame | None, depth
     return rows.join(labels.withColumnRenamed("vid", "a"), "a").select("component", "kind", "a", "b", "x", "s")
 
 
-def vertex_depths(unitigs: DataFrame, cond: DataFrame, k: int, kmers: DataFrame | None = None) -> DataFrame:
+def vertex_depths(unitigs: DataFrame, cond: DataFrame, k: int, kmers: DataFrame | None = None, start_order: DataFrame | None = None) -> DataFrame:
     """(vid, depth, last_depth, root): depth-first depths of each vertex's first and last k-mer.
 
-    ``kmers`` gives the counts that order sources and children.
+    ``kmers`` gives the counts that order sources and children;
+    ``start_order(kmer, ord)`` names sources to start with.
     """
-    counts = None if kmers is None else unitigs.select("vid", F.left("seq", F.lit(k)).alias("kmer")).join(kmers.select("kmer", "cnt"), "kmer").select("vid", "cnt")
+    first = unitigs.select("vid", F.left("seq", F.lit(k)).alias("kmer"))
+    counts = None if kmers is None else first.join(kmers.select("kmer", "cnt"), "kmer").select("vid", "cnt")
+    start = None if start_order is None else first.join(start_order, "kmer").select("vid", "ord")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         g = _graph(rows, k)
         assign_depths(g)
         return pd.DataFrame([(v, d, d + g.length[v] - k, g.root[v]) for v, d in sorted(g.depth.items())], columns=["vid", "depth", "last_depth", "root"])
 
-    return _rows(unitigs, cond, counts, None, None, None).groupBy("component").applyInPandas(solve, "vid long, depth int, last_depth int, root long")
+    return _rows(unitigs, cond, counts, None, None, None, start).groupBy("component").applyInPandas(solve, "vid long, depth int, last_depth int, root long")
 
 
 def path_counts(unitigs: DataFrame, cond: DataFrame, k: int) -> DataFrame:

@@ -81,6 +81,12 @@ def fix_strands(reads: DataFrame, strands: DataFrame) -> DataFrame:
     return rows.select("read_id", F.when(F.col("turned"), S.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
+def pair_up(reads: DataFrame) -> DataFrame:
+    """read_pairs(pair_id, r1, r2) of reads(read_id, mate, seq) that have both mates left."""
+    by = reads.groupBy(F.col("read_id").alias("pair_id")).agg(F.max(F.when(F.col("mate") == 1, F.col("seq"))).alias("r1"), F.max(F.when(F.col("mate") == 2, F.col("seq"))).alias("r2"))
+    return by.where("r1 is not null and r2 is not null")
+
+
 def paths_of_centroids(paths: DataFrame, centroids: DataFrame) -> DataFrame:
     """paths whose header is one of the centroids' (up to the first blank), in the centroids' order."""
     key = F.element_at(F.split("header", r"\s+"), 1)

@@ -126,6 +126,27 @@ def saturating_counts(values: DataFrame, column: str, bits: int = 4) -> DataFram
     return values.groupBy(column).agg(F.least(F.count("*"), F.lit((1 << bits) - 1).cast("long")).alias("level"))
 
 
+def _bloom_cells(column: str, cells: int, hashes: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(cells)) for i in range(hashes)])
+
+
+def bloom_cells(values: DataFrame, column: str, cells: int, hashes: int = 4) -> DataFrame:
+    """(cell): the bits that a Bloom filter of the values has set, one row each."""
+    return values.select(F.explode(_bloom_cells(column, cells, hashes)).alias("cell")).distinct()
+
+
+def bloom_filtered(values: DataFrame, column: str, bloom: DataFrame, cells: int, hashes: int = 4) -> DataFrame:
+    """Distinct values all of whose bits are set: all that were put in, and a few others."""
+    asked = values.select(column).distinct().select(column, F.explode(F.array_distinct(_bloom_cells(column, cells, hashes))).alias("cell"))
+    missing = asked.join(bloom, "cell", "left_anti").select(column).distinct()
+    return asked.select(column).distinct().join(missing, column, "left_anti")
+
+
+def by_count(kmers: DataFrame) -> DataFrame:
+    """K-mers from rare to frequent; of equal counts in alphabetical order."""
+    return kmers.orderBy("cnt", "kmer")
+
+
 def sampled_distinct(values: DataFrame, column: str, rate: float, seed: int = 1) -> DataFrame:
     """(sampled, seen, estimate): distinct values extrapolated from a hash sample of values."""
     share = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 20)) < math.ceil(rate * (1 << 20))

@@ -45,6 +45,14 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out
 
 
+def read_k_values(spark: SparkSession, path: str) -> list[int]:
+    """The listed lengths, which must go down from line to line."""
+    ks = [int(r[0]) for r in spark.read.text(path).collect() if r[0].strip()]
+    if ks != sorted(set(ks), reverse=True):
+        raise ValueError(f"the lengths must decrease: {ks}")
+    return ks
+
+
 def sample_of_files(paths: list[str], share: int = 20) -> list[str]:
     """The first twentieth of the files (one at least), for estimates."""
     return paths[: max(1, len(paths) // share)]

@@ -48,6 +48,11 @@ def test_canonical(spark, kmers):
         assert r.t == min(r.s, rc(r.s))
 
 
+def test_packed_complement(spark):
+    p = S.pack(F.col("s"))
+    assert one(spark, "AACGT", S.unpack(S.revcomp_packed(p, 5), 5))[0] == "ACGTT"
+
+
 def test_extension_and_k(spark):
     base, strand = S.extend_canonical(F.col("s"), F.lit("A"))
     assert one(spark, "TTTC", base, strand) == ("TTCA", 0)

@@ -45,6 +45,21 @@ def test_unitigs_of_a_bubble(spark):
     assert {by[v]: n for v, n in d.items()} == {left: 0, "ATTCAGCAT": 6, "ATTCGGCAT": 6, right: 11}
 
 
+def test_given_start_comes_first(spark):
+    u = spark.createDataFrame([(1, "AAAC"), (2, "CAAC"), (3, "AACG")], "vid long, seq string")
+    c = spark.createDataFrame([(1, 3), (2, 3)], "src long, dst long")
+    roots = lambda **kw: {r.vid: r.root for r in cover.vertex_depths(u, c, 3, **kw).collect()}
+    assert roots() == {1: 1, 2: 2, 3: 1}
+    assert roots(start_order=spark.createDataFrame([("CAA", 0)], "kmer string, ord long")) == {1: 1, 2: 2, 3: 2}
+
+
+def test_strands_and_pairs(spark):
+    reads = spark.createDataFrame([("a", 1, "AAC"), ("a", 2, "GGT"), ("b", 1, "CCC")], "read_id string, mate int, seq string")
+    assert [tuple(r) for r in evaluate.pair_up(reads).collect()] == [("a", "AAC", "GGT")]
+    turned = spark.createDataFrame([("a", True)], "read_id string, turned boolean")
+    assert {r.seq for r in evaluate.fix_strands(reads.select("read_id", "seq"), turned).collect()} == {"GTT", "ACC"}
+
+
 def test_rings_and_unreachable_parts_drop_out(spark):
     ring = [("AAC", "ACG"), ("ACG", "CGA"), ("CGA", "GAA"), ("GAA", "AAC")]
     u, c = graph.unitigs(edges_of(spark, ring + chain("TTTGC", 3)), 3)

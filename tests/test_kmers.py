@@ -72,6 +72,19 @@ def test_sketches(spark):
     assert kmers.read_statistics(frame(spark), 3).first().longest == 12
 
 
+def test_bloom_filter_misses_nothing(spark):
+    put = spark.range(300).selectExpr("cast(id as string) as v")
+    asked = spark.range(2000).selectExpr("cast(id as string) as v")
+    bloom = kmers.bloom_cells(put, "v", 4096)
+    got = {r.v for r in kmers.bloom_filtered(asked, "v", bloom, 4096).collect()}
+    assert {str(i) for i in range(300)} <= got and len(got) < 400
+
+
+def test_order_by_count(spark):
+    got = [r.kmer for r in kmers.by_count(spark.createDataFrame([("C", 2), ("B", 1), ("A", 2)], "kmer string, cnt long")).collect()]
+    assert got == ["B", "A", "C"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     frame(spark).where("seq is not null").write.parquet(str(tmp_path / "in"))
     q = running_counts(stream_reads(spark, str(tmp_path / "in")), 3).writeStream.outputMode("complete").format("memory").queryName("running").option("checkpointLocation", str(tmp_path / "c")).start()

@@ -59,6 +59,8 @@ def test_paths_trace_sam_and_sets(spark, tmp_path):
     assert rows(files.read_trace(spark, str(tmp_path / "t"))) == [(1, -2.5, "0.9>8", 0.01)]
     (tmp_path / "sets").write_text("1,2\n2,3\n")
     assert sorted(r.path_id for r in files.read_candidate_sets(spark, str(tmp_path / "sets")).collect()) == ["1", "2", "2", "3"]
+    (tmp_path / "ks").write_text("61\n60\n")
+    assert files.read_k_values(spark, str(tmp_path / "ks")) == [61, 60]
     (tmp_path / "so").write_text("ACG\nCCC\n")
     assert rows(files.read_start_order(spark, str(tmp_path / "so"))) == [("ACG", 0), ("CCC", 1)]
 
@@ -83,3 +85,16 @@ def test_fastg(spark, tmp_path):
     assert ">NODE_0_length_9_cov_1.0:NODE_1_length_6_cov_1.0,NODE_2_length_6_cov_1.0;" in text
     assert "ACGTACGGA" in text and "TTC" in text
     assert graph.fastg_lines(g["unitigs"], g["edges"], 4).count() == 9
+
+
+def test_command_line(spark, tmp_path):
+    from braidmill.__main__ import main
+
+    genome = "ACGTTGCAAGGCTATTCCGATCAGGTACCATGAAACCGTCTTGA"
+    comp = str.maketrans("ACGT", "TGCA")
+    reads = "".join(f">r{i}\n{genome[i : i + 16]}\n>r{i}\n{genome[i + 8 : i + 24].translate(comp)[::-1]}\n" for i in range(20) for _ in range(4))
+    (tmp_path / "r.fa").write_text(reads)
+    main(["--fas", str(tmp_path / "r.fa"), "-k", "9", "--IS", "30", "--GL", "44", "--pair-threshold", "0", "--out", str(tmp_path / "out")])
+    found = {r.seq for r in spark.read.parquet(str(tmp_path / "out/final")).collect()}
+    assert genome[:43] in found or any(genome[:43] in s for s in found)
+    assert any(r.value.startswith(">") for r in spark.read.text(str(tmp_path / "out/final.fasta")).collect())
