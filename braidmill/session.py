@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """A temporary folder for sessions on one machine that name no shared one."""
+    folder = tempfile.mkdtemp(prefix="braidmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only where the session names none, as in local tests, a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='braidmill-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder named by spark.checkpoint.dir; only where none is named, one of our own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
