@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from braidmill.operators.components import connected_components
 from braidmill.session import materialize, shared_dir
 
-__all__ = ["connected_components", "extended", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
+__all__ = ["bitmap", "connected_components", "extended", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
 
 _SLICES = 16
 
@@ -67,6 +67,33 @@ def summed_table(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Record
     return out
 
 
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Packed bits, one set for the leading ``bits`` bits of every hash in a long column."""
+    size = (1 << bits) // _SLICES // 8
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            place = (b["h"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            for k in np.unique(place // (size * 8)).tolist():
+                at = place[place // (size * 8) == k] - k * size * 8
+                np.bitwise_or.at(found.setdefault(k, np.zeros(size, np.uint8)), at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        keys = sorted(found)
+        blobs = [zlib.compress(found[k].tobytes(), 1) for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
+
+    h = df.select(F.col(column).alias("h"), F.shiftrightunsigned(column, 60).alias("slice"))
+    out = np.zeros(size * _SLICES, np.uint8)
+    for r in h.repartition(_SLICES, "slice").mapInArrow(build, "slice int, blob binary").collect():
+        out[r["slice"] * size : (r["slice"] + 1) * size] |= np.frombuffer(zlib.decompress(bytes(r["blob"])), np.uint8)
+    return out
+
+
+def in_bitmap(packed: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    place = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[place >> 3] & (128 >> (place & 7)).astype(np.uint8)) > 0
+
+
 def _pack(a: np.ndarray) -> bytes:
     if a.dtype.kind == "i":  # small counts fit a narrower type
         top = max(-int(a.min()), int(a.max())) if len(a) else 0

@@ -136,17 +136,16 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 OP9 = f"""
-with w as (select doc_id, regexp_extract_all({_LOWER}, '{_SPACE}') as words from documents where text is not null),
+with w as (select doc_id, ('0x' || substr(md5(text), 1, 15))::bigint as key, regexp_extract_all({_LOWER}, '{_SPACE}') as words from documents where text is not null),
 st as (
-  select doc_id, i, md5(array_to_string(words[i+1:i+50], ' ')) as g
-  from (select doc_id, words, unnest(range(0, len(words) - 49)) as i from w where len(words) >= 50)),
-again as (select g, min(struct_pack(d := doc_id, p := i)) as first from st group by g having count(*) > 1),
-hits as (select st.doc_id, st.i, first.d as copy_of, first.p as copy_word from st join again using (g)),
+  select doc_id, key, i, md5(array_to_string(words[i+1:i+50], ' ')) as g
+  from (select doc_id, key, words, unnest(range(0, len(words) - 49)) as i from w where len(words) >= 50)),
+again as (select g, min(struct_pack(k := key, p := i)) as first from st group by g having count(*) > 1),
+hits as (select st.doc_id, st.i, first.k as copy_key, first.p as copy_word from st join again using (g)),
 marked as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from hits),
-runs as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from marked)
-select doc_id, min(i)::bigint as start_word, (max(i) + 50)::bigint as end_word, (max(i) + 50 - min(i))::bigint as n_words,
-  arg_min(copy_of, i)::bigint as copy_of, arg_min(copy_word, i)::bigint as copy_word
-from runs group by doc_id, run
+runs as (select *, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from marked),
+spans as (select doc_id, min(i)::bigint as start_word, (max(i) + 50)::bigint as end_word, arg_min(copy_key, i) as copy_key, arg_min(copy_word, i)::bigint as copy_word from runs group by doc_id, run)
+select s.doc_id, start_word, end_word, end_word - start_word as n_words, (select min(w.doc_id) from w where w.key = s.copy_key) as copy_of, copy_word from spans s
 """
 
 ORACLES = {

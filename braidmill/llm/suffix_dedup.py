@@ -2,15 +2,17 @@
 
 Only suffixes at content-selected places are kept: a word is kept if the hash
 of the ``SEED`` words that start there is the smallest in some window of
-neighbouring starts, with the window chosen so that any passage of ``LENGTH``
-words holds a kept place.  Equal passages keep the same places.
+``SPAN`` neighbouring starts.  Equal passages keep the same places, and any
+passage of ``LENGTH`` words holds several.
 
 1. *Sort*: kept suffixes are brought together by their first words (partial
-   counts first); those equal to a neighbour stay.
-2. *Extend*: around the places that stay, every stretch of ``LENGTH`` words
-   that holds the place is compared left and right of it with the stretches of
-   the other documents, by hash.  Stretches that occur again are joined into
-   maximal passages.
+   aggregates first); those that equal a neighbour are marked in a bitmap.
+   It has 16 bits for each of them, up to ``MOST_BITS``; a false mark only
+   costs time.
+2. *Extend*: where the smallest places of all windows inside a stretch of
+   ``LENGTH`` words are marked, the stretch is compared as a whole, left and
+   right of them, with those of the other texts.  Stretches that occur again are joined into maximal
+   passages.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
-from .textops import SPACE_WORDS, gram_hashes, row_blocks, string_buffers, words
+from .common import bitmap, in_bitmap, materialize
+from .textops import SPACE_WORDS, _mix, gram_hashes, row_blocks, string_buffers, words
 
 LENGTH = 50
-SEED = 10
+SEED, SPAN = 10, 25
+MOST_BITS = 30
+_SEEN = 200_000
 
 
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -49,7 +53,7 @@ def minimiser_places(grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(best == grams)
 
 
-def _prefix_sums(h: np.ndarray, n: int) -> np.ndarray:
+def _stretch_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n neighbouring words, for a long n, by halving."""
     out, have, left = h, 1, n
     bits = bin(left)[3:]
@@ -76,84 +80,108 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, h[first[i] : first[i + 1]]
 
 
-def _kept(h: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    grams = gram_hashes(h, seed)
-    at = minimiser_places(grams, length - seed + 1)
-    return at, grams[at]
-
-
 def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _repeated_suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, suffix) of all texts and kept suffixes whose first words occur again anywhere."""
+def _repeated_suffixes(texts: DataFrame, seed: int, span: int) -> DataFrame:
+    """(suffix): hashes of the first words of all kept suffixes that occur again anywhere."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             keys = batch["key"].to_numpy()
-            who, what, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            who, what, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
             for i, h in _texts(batch):
-                value, count = np.unique(_kept(h, length, seed)[1], return_counts=True)
+                if keys[i] in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(keys[i])
+                grams = gram_hashes(h, seed)
+                value, count = np.unique(grams[minimiser_places(grams, span)], return_counts=True)
                 who.append(np.full(len(value), keys[i]))
-                what.append(value.view(np.int64))
-                many.append(np.minimum(count, 2).astype(np.int32))
+                what.append(_mix(value).view(np.int64))  # minima crowd at one end; mixed, they are even
+                many.append(np.minimum(count, 2).astype(np.int8))
             yield _batch([np.concatenate(who), np.concatenate(what), np.concatenate(many)], ["key", "suffix", "n"])
 
-    kept = materialize(texts.mapInArrow(emit, "key long, suffix long, n int"))
-    again = kept.groupBy("suffix").agg(F.sum("n").alias("n")).where("n > 1").select("suffix")
-    return kept.join(again, "suffix", "left_semi").select("key", "suffix")
+    kept = texts.mapInArrow(emit, "key long, suffix long, n byte")
+    return kept.groupBy("suffix").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("suffix")
 
 
-def _stretches(texts: DataFrame, suffixes: DataFrame, length: int, seed: int) -> DataFrame:
-    """(key, start, stretch) of every ``length`` words that hold a suffix which occurs again."""
-    listed = suffixes.groupBy("key").agg(F.collect_list("suffix").alias("suffixes"))  # of one text
+def _stretches(texts: DataFrame, marks: np.ndarray, bits: int, length: int, seed: int, span: int) -> DataFrame:
+    """(key, start, stretch, words): every ``length`` words whose windows all have a marked place.
+
+    Each text's first stretch is there in any case, with its number of words.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            keys, listed_ = batch["key"].to_numpy(), batch["suffixes"]
+            keys = batch["key"].to_numpy()
+            out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
             for i, h in _texts(batch):
-                at, value = _kept(h, length, seed)
-                wanted = np.sort(np.array(listed_[i].as_py(), np.int64).view(np.uint64))
-                place = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
-                at = at[wanted[place] == value]
-                whole = _prefix_sums(h, length)
-                edge = np.zeros(len(whole) + 1, np.int64)
-                np.add.at(edge, np.clip(at - (length - seed), 0, len(whole)), 1)
-                np.add.at(edge, np.clip(at + 1, 0, len(whole)), -1)
-                start = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                yield _batch([np.full(len(start), keys[i]), start.astype(np.int32), whole[start].view(np.int64)], ["key", "start", "stretch"])
-
-    return texts.join(listed, "key").select("key", "text", "suffixes").mapInArrow(emit, "key long, start int, stretch long")
-
-
-def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+                if len(h) < length or keys[i] in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(keys[i])
+                grams = gram_hashes(h, seed)
+                low = _sliding_min(grams, span)
+                fresh = np.concatenate([[True], low[1:] != low[:-1]])
+                unmarked = ~in_bitmap(shared.value, bits, _mix(low[fresh]))[np.cumsum(fresh) - 1]
+                before = np.concatenate([[0], np.cumsum(unmarked)])
+                n = len(h) - length + 1
+                inside = length - seed - span + 2  # windows of a stretch
+                fine = before[inside : inside + n] == before[:n]
+                fine[0] = True
+                start = np.flatnonzero(fine).astype(np.int32)
+                size = np.full(len(start), -1, np.int32)
+                size[0] = len(h)
+                for part, value in zip(out, (np.full(len(start), keys[i]), start, _stretch_hashes(h, length)[start].view(np.int64), size), strict=True):
+                    part.append(value)
+                if sum(map(len, out[0])) > 1 << 18:
+                    yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
+                    out = [[x[0]] for x in out]
+            yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
+
+    return texts.mapInArrow(emit, "key long, start int, stretch long, words int")
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, span: int = SPAN) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, copy_of, copy_word): all passages that occur again.
 
     A passage is a maximal run of words, each of which lies in a stretch of
     ``length`` words that occurs at least twice in the table, in other rows or
     in the same one; words are lower-cased for A-Z and split at blanks, counted
-    from 0, with ``end_word`` after the last.  ``copy_of`` and ``copy_word``
-    tell where the passage's first stretch occurs first (by doc_id, then
-    place), itself perhaps.  Null, empty and short texts have no passages.
-    Repeated rows repeat each other.  Rows with equal text and doc_id are told
-    once.  A null doc_id is kept and comes last; other columns are ignored.
+    from 0, with ``end_word`` after the last.  Of the texts that hold the
+    passage's first stretch, ``copy_of`` is the smallest doc_id of the one with
+    the smallest digest (itself perhaps) and ``copy_word`` the first place
+    there.  Null, empty and short texts have no passages.  Repeated rows repeat
+    each other; rows with equal text and doc_id are told once.  A null doc_id is
+    kept; other columns are ignored; an empty table gives an empty result.
     """
-    # equal texts are handled once; their number counts
-    text_key = F.xxhash64("text").alias("key")
-    named = docs.where("text is not null").select("doc_id", text_key, "text")
+    if span + seed - 1 > length:
+        raise ValueError("a passage must hold a kept place")
+    key = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("key")
+    named = docs.where("text is not null").select("doc_id", key, "text")
     owners = materialize(named.groupBy("key", "doc_id").agg(F.count("*").alias("n")))
-    copies = owners.groupBy("key").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("first_id"))
+    copies = owners.groupBy("key").agg((F.sum("n") > 1).alias("copied"), F.min("doc_id").alias("first_id"))
     texts = named.select("key", "text")
-    suffixes = materialize(_repeated_suffixes(texts, length, seed).distinct())
-    wanted = texts.join(suffixes.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    stretches = materialize(_stretches(wanted, suffixes, length, seed).join(copies, "key"))
-    again = stretches.groupBy("stretch").agg(F.sum("copies").alias("n"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "start")).alias("first")).where("n > 1")
-    hits = stretches.join(again, "stretch").select("key", "start", F.col("first.first_id").alias("copy_of"), F.col("first.start").alias("copy_word"))
+    suffixes = materialize(_repeated_suffixes(texts, seed, span))
+    bits = min(MOST_BITS, max(20, (16 * suffixes.count()).bit_length()))
+    stretches = materialize(_stretches(texts, bitmap(suffixes, "suffix", bits), bits, length, seed, span))
+    place = F.struct("key", "start")
+    again = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    hits = materialize(stretches.join(again, "stretch").where("first <> last or words >= 0").select("key", "start", "words", (F.col("first") != F.col("last")).alias("again"), F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
     w = Window.partitionBy("key").orderBy("start")  # the stretches of one text
-    marked = hits.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(w) + length, F.lit(-1))).cast("int"))
+    marked = hits.where("again").withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(w) + length, F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("start").alias("last"), F.min_by(F.struct("copy_of", "copy_word"), "start").alias("at"))
-    spans = spans.select("key", F.col("start").cast("long").alias("start_word"), (F.col("last") + length).cast("long").alias("end_word"), F.col("at.copy_of").alias("copy_of"), F.col("at.copy_word").cast("long").alias("copy_word"))
-    out = owners.join(spans, "key")
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "copy_of", "copy_word")
+    at = F.struct("copy_key", "copy_word")
+    spans = runs.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop"), F.min_by(at, "start").alias("at")).drop("run")
+    # of a text with copies, all words are one passage
+    whole = hits.where("words >= 0").join(copies.where("copied"), "key").groupBy("key").agg(F.lit(0).alias("start"), F.max("words").alias("stop"), F.min(at).alias("at"))
+    spans = spans.join(copies.where("copied"), "key", "left_anti").unionByName(whole)
+    first = copies.select(F.col("key").alias("copy_key"), F.col("first_id").alias("copy_of"))
+    told = spans.select("key", "start", "stop", "at.copy_key", "at.copy_word").join(first, "copy_key")
+    out = owners.select("key", "doc_id").join(told, "key")
+    return out.select("doc_id", F.col("start").cast("long").alias("start_word"), F.col("stop").cast("long").alias("end_word"), (F.col("stop") - F.col("start")).cast("long").alias("n_words"), "copy_of", F.col("copy_word").cast("long").alias("copy_word"))
