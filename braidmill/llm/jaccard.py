@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, materialize, summed_table
+from .common import bitmap, connected_components, in_bitmap, materialize, summed_table
 from .textops import SPACE_WORDS, gram_hashes, row_blocks, string_buffers, words
 
 #: Cells of the frequency table; only the order of shingles depends on them.
@@ -262,19 +262,16 @@ def _candidate_groups(postings: DataFrame, percent: int) -> tuple[DataFrame, Dat
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(cid, grams binary) of the documents whose ``cid`` is wanted, and a few more."""
 
-    def mark(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        total[np.unique(batch["cid"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = 1
-
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(summed_table(wanted.select("cid"), 1 << BITMAP_BITS, mark) > 0))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("cid"), "cid", BITMAP_BITS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, seen = np.unpackbits(bits.value).view(bool), set()
+        seen: set[int] = set()
         for batch in batches:
             cids, grams, size = [], [], 0
             for _, g in _shingle_sets(batch, n):
                 if len(g):
                     cid = _digest(g, 1) ^ len(g)
-                    if marked[(cid & (1 << 64) - 1) >> (64 - BITMAP_BITS)] and cid not in seen:
+                    if cid not in seen and in_bitmap(marks.value, BITMAP_BITS, np.array([cid], np.int64).view(np.uint64))[0]:
                         if len(seen) < _SEEN:
                             seen.add(cid)
                         cids.append(cid)
@@ -389,8 +386,8 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> Da
     """
     linked = materialize(_joined(docs.select("doc_id", "text"), n, percent).where("n_links > 0").select("label", "doc_id", "row_hash"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
-    first = linked.groupBy("label").agg(F.min_by("row_hash", rank).alias("first_hash"))
-    marked = linked.join(first, "label")
+    first = materialize(linked.groupBy("label").agg(F.min_by("row_hash", rank).alias("first_hash")))
+    marked = linked.join(first, "label")  # two plain tables: a join that can be split where one component holds most rows
     gone = materialize(marked.where("row_hash <> first_hash").select(F.col("row_hash").alias("bm_row_hash")).distinct())
     twice = materialize(marked.where("row_hash = first_hash").groupBy(F.col("row_hash").alias("bm_row_hash")).count().where("count > 1").select("bm_row_hash"))
     kept = docs.withColumn("bm_row_hash", _row_hash()).join(gone, "bm_row_hash", "left_anti")

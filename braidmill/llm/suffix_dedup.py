@@ -171,8 +171,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, s
     bits = min(MOST_BITS, max(20, (16 * suffixes.count()).bit_length()))
     stretches = materialize(_stretches(texts, bitmap(suffixes, "suffix", bits), bits, length, seed, span))
     place = F.struct("key", "start")
-    again = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    hits = materialize(stretches.join(again, "stretch").where("first <> last or words >= 0").select("key", "start", "words", (F.col("first") != F.col("last")).alias("again"), F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
+    again = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("words").alias("some"))
+    # written first: a join of two plain tables can be split where one stretch holds most rows
+    again = materialize(again.where("first <> last or some >= 0").select("stretch", "first", (F.col("first") != F.col("last")).alias("again")))
+    hits = materialize(stretches.join(again, "stretch").where("again or words >= 0").select("key", "start", "words", "again", F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
     w = Window.partitionBy("key").orderBy("start")  # the stretches of one text
     marked = hits.where("again").withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(w) + length, F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
