@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Base order of the packed form: A=0, C=1, T=2, G=3.
 PACKED_ORDER = "ACTG"
@@ -124,7 +125,7 @@ def _identity(a: str, b: str, match: int = 10, mismatch: int = -5, gap: int = -5
     return row[-1][1] / len(a)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def global_identity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Share of the first text's bases that a global alignment leaves identical."""
     for a, b in batches:

@@ -77,19 +77,23 @@ def unitig_starts(edges: DataFrame) -> DataFrame:
 def unitig_members(edges: DataFrame) -> DataFrame:
     """(kmer, root, offset): each k-mer's unitig, named by its first k-mer.
 
-    Pointers to the predecessor double their reach in each round, so a stretch
+    Pointers to the predecessor double their reach in each join, so a stretch
     of n k-mers takes log2(n) joins.  Rings without a beginning drop out.
     """
-    back = internal_edges(edges).select(F.col("v").alias("kmer"), F.col("u").alias("to"))
-    starts = unitig_starts(edges).select("kmer", F.col("kmer").alias("root"), F.lit(0).alias("offset"))
-    done, open_ = materialize(starts), materialize(back.withColumn("far", F.lit(1)))
-    while not open_.isEmpty():
-        reached = open_.join(done.select(F.col("kmer").alias("to"), "root", "offset"), "to").select("kmer", "root", (F.col("offset") + F.col("far")).alias("offset"))
-        longer = open_.join(open_.select(F.col("kmer").alias("to"), F.col("to").alias("next"), F.col("far").alias("more")), "to").select("kmer", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"))
-        ring = longer.where("kmer = to").select("kmer")
-        done = materialize(done.unionByName(reached))
-        open_ = materialize(longer.join(ring, "kmer", "left_anti").where(F.col("far") <= 1 << 30))
-    return done
+    starts = materialize(unitig_starts(edges))
+    back = internal_edges(edges).select(F.col("v").alias("kmer"), F.col("u").alias("to"), F.lit(1).cast("long").alias("far"))
+    state = materialize(starts.select("kmer", F.col("kmer").alias("to"), F.lit(0).cast("long").alias("far")).unionByName(back))
+    n, reach = state.agg(F.count("*"), F.sum("far")).first()
+    for _ in range(n.bit_length() // 2 + 1):
+        for _ in range(2):
+            ahead = state.select(F.col("kmer").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+            state = state.join(ahead, "to").select("kmer", F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"))
+        state, before = materialize(state), reach
+        reach = state.agg(F.sum("far")).first()[0]
+        if reach == before:  # all pointers have arrived
+            break
+    roots = starts.withColumnRenamed("kmer", "to")
+    return state.join(roots, "to", "left_semi").select("kmer", F.col("to").alias("root"), F.col("far").cast("int").alias("offset"))
 
 
 def unitigs(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +102,7 @@ def unitigs(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     unitigs(vid, seq, len, prefix, suffix): ``vid`` is the hash of the first
     k-mer.  cond_edges(src, dst).
     """
+    edges = materialize(edges)  # read by several steps
     members = unitig_members(edges)
     rows = members.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("offset", S.last_base(F.col("kmer")).alias("b")))).alias("bases"))
     seq = F.concat("root", F.array_join(F.transform(F.slice("bases", F.lit(2), F.size("bases")), lambda x: x["b"]), ""))

@@ -119,7 +119,7 @@ ORACLES = {
     "kmer_count_canonical": f"""with {READS}, {counts('c', 12)}, both_strands as (select kmer, cnt from c union all select {rc('kmer')}, cnt from c)
       select 12 as k, kmer, sum(cnt)::bigint as cnt from both_strands where {digits('kmer')} < {digits(rc('kmer'))} group by kmer""",
     "kmer_merge_canonical": f"with {READS}, {counts('c', K)} select least(kmer, {rc('kmer')}) as kmer, sum(cnt)::bigint as cnt from c group by 1",
-    "kmer_solid": f"with {READS}, {counts('c', K)} select {K} as k, kmer, cnt from c where cnt between 100 and 5000",
+    "kmer_solid": f"with {READS}, {counts('c', K)} select {K} as k, kmer, cnt from c where cnt between 10 and 5000",
     "kmer_complements": f"with {READS}, {ONE}, {counts('a', K, 'one')}, t as (select * from a where cnt > 2) select kmer, cnt from t union all select {rc('kmer')}, cnt from t where {rc('kmer')} not in (select kmer from t)",
     "kmer_histogram": f"with {READS}, {counts('c1', 31)}, {counts('c2', 21)} select 31 as k, least(cnt, 10000) as abundance, count(*) as n from c1 group by 2 union all select 21, least(cnt, 10000), count(*) from c2 group by 2",
     "kmer_partition_volumes": f"with {READS}, {words('w', K)} select right(kmer, 3) as bin, count(*) as volume from w group by 1",

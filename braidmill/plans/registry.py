@@ -65,7 +65,7 @@ def kmer_merge_canonical(spark, sf_dir):
 
 @query
 def kmer_solid(spark, sf_dir):
-    return kmers.solid(_counts(spark, sf_dir), 100, 5000)
+    return kmers.solid(_counts(spark, sf_dir), 10, 5000)
 
 
 @query

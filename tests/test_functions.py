@@ -56,7 +56,7 @@ def test_packed_complement(spark):
 def test_extension_and_k(spark):
     base, strand = S.extend_canonical(F.col("s"), F.lit("A"))
     assert one(spark, "TTTC", base, strand) == ("TTCA", 0)
-    assert one(spark, "GTTT", base, strand) == ("TTTA", 0)
+    assert one(spark, "GTTT", base, strand) == ("TAAA", 1)
     assert one(spark, "AGGG", *S.extend_canonical(F.col("s"), F.lit("G"))) == ("CCCC", 1)
     assert one(spark, "ACGTA", S.largest_k(F.length("s"), [3, 5, 7]))[0] == 5
 
