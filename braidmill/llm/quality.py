@@ -210,7 +210,7 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Model:
     # a row per id and label: repeated documents count once
     found = rows.mapInArrow(pool, "id long, quality int, x binary").groupBy("id", "quality").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: (r["id"], r["quality"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), 3 * WIDTH + 2)
     return fit(vectors, x, np.array([r["quality"] for r in found], dtype=np.float64))
 
 
