@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended
-from .textops import ALNUM_WORDS, row_blocks, string_buffers, words
+from .textops import ALNUM_WORDS, release_memory, row_blocks, string_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -186,6 +186,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema:
                     hits = [(a | b) if len(a) == len(b) else max(a, b, key=len) for a, b in zip(hits, before, strict=True)]
                     names = [sorted({*a, *b}) for a, b in zip(names, batch[_ITEMS].to_pylist(), strict=True)]
                     batch = batch.select([c for c in batch.schema.names if c not in (_HITS, _ITEMS)])
+                release_memory()
                 if last:
                     yield finish(batch, sizes, hits, names)
                 else:

@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bitmap, connected_components, in_bitmap, materialize, summed_table
-from .textops import SPACE_WORDS, gram_hashes, row_blocks, string_buffers, words
+from .textops import SPACE_WORDS, gram_hashes, release_memory, row_blocks, string_buffers, words
 
 #: Cells of the frequency table; only the order of shingles depends on them.
 CELL_BITS = 20
 #: Cells of the membership bitmap; false positives only cost time.
 BITMAP_BITS = 23
 #: Most sets and most shingles of one block.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 SALTS = 32
 #: Of 256, the share of shingles that come first in the global order.
 FIRST_SHARE = 104
@@ -90,6 +90,7 @@ def _frequency_table(docs: DataFrame, n: int) -> np.ndarray:
         for lo, hi in row_blocks(offsets):
             h = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)[2]
             total += np.bincount(_cells(gram_hashes(h, n)), minlength=len(total))
+        release_memory()
 
     return summed_table(docs.select("text"), 1 << CELL_BITS, fill)
 
@@ -120,6 +121,7 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
         for batch in batches:
             for lo, hi in row_blocks(string_buffers(batch["text"])[1], 2 * CHUNK_BYTES):
                 yield from chunk(batch.slice(lo, hi - lo), seen)
+            release_memory()
 
     def chunk(batch: pa.RecordBatch, seen: set[int]) -> Iterator[pa.RecordBatch]:
         sizes, cids, own, firsts = [], [], [], []
@@ -281,6 +283,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(grams, pa.binary())], names=["cid", "grams"])
                     cids, grams, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(grams, pa.binary())], names=["cid", "grams"])
+            release_memory()
 
     return docs.select("text").mapInArrow(emit, "cid long, grams binary")
 
@@ -334,6 +337,8 @@ def _verify(percent: int):
         if i != j:  # pairs within a block belong to that block's own unit
             linked &= block[:, None] != block[None, :]
         root = _roots(linked)
+        del sets, common
+        release_memory()
         return pa.table({"cid": cid, "root": cid[root], "links": (linked @ weight).astype(np.int64)})
 
     return unit

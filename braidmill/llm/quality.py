@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended, summed_table
-from .textops import _mix, row_blocks, string_buffers
+from .textops import _mix, release_memory, row_blocks, string_buffers
 
 #: Cells of the table of hashed words, and width of the vectors.
 WORD_CELLS, WIDTH = 1 << 13, 32
@@ -109,6 +109,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             for d, s in zip(dims, signs, strict=True):
                 for word, near in ((left, right), (right, left)):
                     total += np.bincount(word * WIDTH + d[near], weights=s[near], minlength=len(total)).astype(np.int64)
+        release_memory()
 
     sums = summed_table(docs.select("text"), WORD_CELLS * WIDTH, fill).reshape(WORD_CELLS, WIDTH).astype(np.float64)
     norm = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -222,6 +223,7 @@ def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         m = shared.value
         for batch in batches:
             p = probabilities(m, _pooled(batch, m.vectors))
+            release_memory()
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p, pa.float64())], names=[*keep, "bm_score"])
 
     return rows.mapInArrow(score, extended(rows.select(*keep).schema, bm_score="double"))

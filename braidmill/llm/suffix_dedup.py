@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import bitmap, in_bitmap, materialize
-from .textops import SPACE_WORDS, _mix, gram_hashes, row_blocks, string_buffers, words
+from .textops import SPACE_WORDS, _mix, gram_hashes, release_memory, row_blocks, string_buffers, words
 
 LENGTH = 50
 SEED, SPAN = 10, 25
@@ -103,6 +103,7 @@ def _repeated_suffixes(texts: DataFrame, seed: int, span: int) -> DataFrame:
                 what.append(_mix(value).view(np.int64))  # minima crowd at one end; mixed, they are even
                 many.append(np.minimum(count, 2).astype(np.int8))
             yield _batch([np.concatenate(who), np.concatenate(what), np.concatenate(many)], ["key", "suffix", "n"])
+            release_memory()
 
     kept = texts.mapInArrow(emit, "key long, suffix long, n byte")
     return kept.groupBy("suffix").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("suffix")
@@ -143,6 +144,7 @@ def _stretches(texts: DataFrame, marks: np.ndarray, bits: int, length: int, seed
                     yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
                     out = [[x[0]] for x in out]
             yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
+            release_memory()
 
     return texts.mapInArrow(emit, "key long, start int, stretch long, words int")
 

@@ -8,6 +8,7 @@ used here (ASCII separators only) can be decided byte by byte.  Hashes are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,16 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 3
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Hand freed memory back; workers live long and would keep the largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """Finalise uint64 hashes so that every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))
