@@ -153,12 +153,12 @@ ORACLES = {
     "cond_edges": f"with recursive {UNITIGS} select a.seq as src_seq, b.seq as dst_seq from cond join unitigs a on a.root = src join unitigs b on b.root = dst",
     "unitig_coverage": f"with recursive {UNITIGS}, m as (select seq, substring(seq, i, {K}) as kmer from unitigs cross join lateral (select unnest(range(1, length(seq) - {K} + 2))) t(i)) select seq, count(*) as n_kmers, round(sum(coalesce(cnt, 0))::double / count(*), 6) as coverage from m left join k0 using (kmer) group by seq",
     "strand_twins": f"with recursive {UNITIGS} select a.seq, b.seq as twin_seq from unitigs a join unitigs b on b.seq = {rc('a.seq')}",
-    "tip_removal": f"with {TIPS} select vid, seq from kept",
-    "lowcov_removal": f"with {ALL_LOW} select src, dst from kept_edges",
+    "tip_removal": f"with {TIPS} select vid::bigint as vid, seq from kept",
+    "lowcov_removal": f"with {ALL_LOW} select src::bigint as src, dst::bigint as dst from kept_edges",
     "graph_summary": f"with {TIPS} select (select count(*) from kept) as n_vertices, (select count(*) from kept_edges) as n_edges, (select count(*) from kept where vid not in (select dst from kept_edges)) as n_sources, (select count(*) from kept where vid not in (select src from kept_edges)) as n_sinks",
     "fastg_lines": f"""with {ALL_LOW}, name as (select vid, 'NODE_' || vid::varchar || '_length_' || length(seq)::varchar || '_cov_1.0' as n from kept),
       nxt as (select src as vid, string_agg(name.n, ',' order by dst) as l from kept_edges join name on name.vid = dst group by src)
-      select k.vid, '>' || name.n || coalesce(':' || nxt.l, '') || ';' as header, case when k.vid in (select dst from kept_edges) then substring(seq, 4) else seq end as seq from kept k join name using (vid) left join nxt on nxt.vid = k.vid""",
+      select k.vid::bigint as vid, '>' || name.n || coalesce(':' || nxt.l, '') || ';' as header, case when k.vid in (select dst from kept_edges) then substring(seq, 4) else seq end as seq from kept k join name using (vid) left join nxt on nxt.vid = k.vid""",
     "pair_within": f"with {RP} select k1, k2, count(*) as cnt from within group by all",
     "pair_across": f"with {RP} select k1, k2, count(*) as cnt from across group by all",
     "pair_support": f"""with {RP}, {counts('c', K_PAIRS)}, known as (select kmer from c where cnt > 3 union select {rc('kmer')} from c where cnt > 3),
@@ -178,7 +178,7 @@ ORACLES = {
       from compat join vertices a on a.vid = v1 join vertices b on b.vid = v2 group by v1""",
     "path_counts": f"with recursive {SMALL}, walk(vid) as (select vid from units where vid not in (select dst from cedges) union all select dst from walk join cedges on src = vid) select count(*)::bigint as n_paths from walk where vid not in (select src from cedges)",
     "path_stitch": f"with {SMALL}, s as (select path_id, string_agg(case when pos = 0 then seq else substring(seq, 4) end, '' order by pos) as seq from steps join units using (vid) group by path_id) select path_id, seq, length(seq)::int as len from s",
-    "pair_multiplicity": f"with {SMALL}, {PAIRS_OF} select set_id, v1, v2, count(*) as d from sets join pp using (path_id) group by all",
+    "pair_multiplicity": f"with {SMALL}, {PAIRS_OF} select set_id, v1::bigint as v1, v2::bigint as v2, count(*) as d from sets join pp using (path_id) group by all",
     "set_likelihood": set_likelihood("-1e8 * cnt"),
     "set_likelihood_flat": set_likelihood("-1e10"),
     "leave_one_out": f"""with {SMALL}, {PAIRS_OF}, ps as (select distinct path_id from steps), d as (select r.path_id as gone, p.v1, p.v2, count(*) as d from ps r join pp p on p.path_id <> r.path_id group by all), h as (select count(*) - 1 as h from ps)
