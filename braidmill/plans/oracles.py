@@ -71,9 +71,10 @@ SMALL = ", ".join(
 )
 COVERAGE = "cov as (select l_partkey % 9 as vid, avg(l_quantity) as coverage from lineitem group by 1)"
 LOW = f"{COVERAGE}, low as (select vid from cov where coverage < 25.5)"
+LOWER = LOW.replace("25.5", "25.3")
 ENDS = "ends as (select vid from units where vid not in (select dst from cedges) union select vid from units where vid not in (select src from cedges))"
 TIPS = f"{SMALL}, {LOW}, {ENDS}, kept as (select * from units where not (vid in (select vid from low) and vid in (select vid from ends))), kept_edges as (select * from cedges where src in (select vid from kept) and dst in (select vid from kept))"
-ALL_LOW = f"{SMALL}, {LOW}, kept as (select * from units where vid not in (select vid from low)), kept_edges as (select * from cedges where src in (select vid from kept) and dst in (select vid from kept))"
+ALL_LOW = f"{SMALL}, {LOWER}, kept as (select * from units where vid not in (select vid from low)), kept_edges as (select * from cedges where src in (select vid from kept) and dst in (select vid from kept))"
 
 RP = f"""{READS},
   rp2 as (select rid, max(case when mate = 1 then seq end) as r1, {rc("max(case when mate = 2 then seq end)")} as r2 from reads group by rid),

@@ -280,7 +280,7 @@ def tip_removal(spark, sf_dir):
 @query
 def lowcov_removal(spark, sf_dir):
     g = X.small_graph(spark)
-    _, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5, everywhere=True)
+    _, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.3, everywhere=True)
     return edges
 
 
@@ -293,7 +293,7 @@ def graph_summary(spark, sf_dir):
 @query
 def fastg_lines(spark, sf_dir):
     g = X.small_graph(spark)
-    kept, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.5, everywhere=True)
+    kept, edges = graph.prune(g["unitigs"], g["edges"], _coverage(spark, sf_dir), 25.3, everywhere=True)
     return graph.fastg_lines(kept, edges, 4)
 
 
