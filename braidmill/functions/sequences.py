@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,16 +114,27 @@ def stitch(seqs: Column, k: int) -> Column:
 
 
 def _identity(a: str, b: str, match: int = 10, mismatch: int = -5, gap: int = -5) -> float | None:
+    """Of equal scores the diagonal goes first, then the gap in ``b``; cells of one antidiagonal are filled together."""
     if not a:
         return None
-    row = [(gap * j, 0) for j in range(len(b) + 1)]  # score, identical positions
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], (gap * i, 0)
-        for j, y in enumerate(b, 1):
-            same = x == y
-            options = ((diagonal[0] + (match if same else mismatch), diagonal[1] + same), (row[j][0] + gap, row[j][1]), (row[j - 1][0] + gap, row[j - 1][1]))
-            diagonal, row[j] = row[j], max(options, key=lambda o: o[0])
-    return row[-1][1] / len(a)
+    n, m = len(a), len(b)
+    x, y = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1]
+    score, same = (np.zeros((3, n + 1), np.int64) for _ in range(2))  # by bases of a; the last three antidiagonals
+    for d in range(1, n + m + 1):
+        now, before, last = d % 3, (d - 1) % 3, (d - 2) % 3
+        for edge in ([0] if d <= m else []) + ([d] if d <= n else []):
+            score[now, edge], same[now, edge] = gap * d, 0
+        lo, hi = max(1, d - m), min(n, d - 1)
+        if lo > hi:
+            continue
+        equal = x[lo - 1 : hi] == y[m - d + lo : m - d + hi + 1]
+        best, count = score[last, lo - 1 : hi] + np.where(equal, match, mismatch), same[last, lo - 1 : hi] + equal
+        for at in (slice(lo - 1, hi), slice(lo, hi + 1)):
+            other = score[before, at] + gap
+            count = np.where(other > best, same[before, at], count)
+            best = np.maximum(best, other)
+        score[now, lo : hi + 1], same[now, lo : hi + 1] = best, count
+    return int(same[(n + m) % 3, n]) / n
 
 
 @F.pandas_udf(DoubleType())

@@ -190,8 +190,8 @@ def read_equal_slices(spark, sf_dir):
 
 @query
 def variant_identity(spark, sf_dir):
-    """Global alignment of each variant's first tenth with every other's."""
-    g = X.genome(spark, sf_dir).select("hap_id", F.substring("seq", F.lit(1), F.floor(F.length("seq") / 10).cast("int")).alias("s"))
+    """Global alignment of each whole variant with every other."""
+    g = X.genome(spark, sf_dir).select("hap_id", F.col("seq").alias("s"))
     other = g.select(F.col("hap_id").alias("other_id"), F.col("s").alias("t"))
     return g.join(other, F.col("hap_id") < F.col("other_id")).select("hap_id", "other_id", S.global_identity("s", "t").alias("identity"))
 

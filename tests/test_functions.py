@@ -1,8 +1,12 @@
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from braidmill.functions import sequences as S
+from braidmill.plans import fixtures as X
+from braidmill.plans.registry import variant_identity
 
 COMPLEMENT = {"A": "T", "C": "G", "G": "C", "T": "A"}
 
@@ -67,6 +71,30 @@ def test_global_identity(spark):
     assert [r[0] for r in got] == [1.0, 0.75, None, None]
 
 
+def plain_identity(a, b):
+    row = [(-5 * j, 0) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], (-5 * i, 0)
+        for j, y in enumerate(b, 1):
+            options = ((diagonal[0] + (10 if x == y else -5), diagonal[1] + (x == y)), (row[j][0] - 5, row[j][1]), (row[j - 1][0] - 5, row[j - 1][1]))
+            diagonal, row[j] = row[j], max(options, key=lambda o: o[0])
+    return row[-1][1] / len(a)
+
+
+def test_identity_by_brute_force():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ACGT"[: 1 + k % 4]) for _ in range(rng.randrange(1, 40))) for k in range(40)] + ["A", "é𝄞A"]
+    for a in texts:
+        for b in [*rng.sample(texts, 8), "", a[3:] + "A"]:
+            assert S._identity(a, b) == plain_identity(a, b), (a, b)
+
+
+def test_variants_are_aligned_whole(spark, sf_dir):
+    seqs = {r.hap_id: r.seq for r in X.genome(spark, sf_dir).collect()}
+    got = {(r.hap_id, r.other_id): r.identity for r in variant_identity(spark, sf_dir).collect()}
+    assert got == {(a, b): plain_identity(seqs[a], seqs[b]) for a in seqs for b in seqs if a < b}
+
+
 def test_stitch(spark):
     got = spark.createDataFrame([(["ACGTA", "GTACC", "ACCT"],)], "s array<string>").select(S.stitch(F.col("s"), 4)).first()[0]
     assert got == "ACGTA" + "CC" + "T"
