@@ -9,18 +9,20 @@ from braidmill.operators import cover, graph, kmers, likelihood, pairs
 from braidmill.session import materialize
 
 
-def reconstruct(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int = 400, genome: int = 1200, edge_threshold: int = 0, pair_threshold: int = 5, store: int = 1, counts: DataFrame | None = None, normalized: bool = False, penalty: str = "weighted", strict: bool = False) -> dict[str, DataFrame]:
-    """All tables of the workflow by name; ``final`` has the chosen sequences.
-
-    ``counts`` (k, kmer, cnt), with k and k + 1, replaces the workflow's own
-    counting.  Tables that later steps read again are written to the shared
-    folder.
-    """
+def condense(read_pairs: DataFrame, k: int = 55, edge_threshold: int = 0, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """kmers, edges, unitigs and cond_edges of the workflow; ``own`` has the counts at k."""
     reads = read_pairs.select(F.explode(F.array("r1", "r2")).alias("seq"))
     both = materialize(kmers.count_kmers_multi(reads, [k + 1, k]) if counts is None else counts)
     own, longer = both.where(F.col("k") == k), both.where(F.col("k") == k + 1)
     edges = materialize(graph.edges_from_k1mers(longer, own, k, edge_threshold))
     unitigs, cond = graph.unitigs(edges, k)
+    return {"kmers": both, "own": own, "edges": edges, "unitigs": unitigs, "cond_edges": cond}
+
+
+def candidates(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int = 400, edge_threshold: int = 0, pair_threshold: int = 5, store: int = 1, counts: DataFrame | None = None, normalized: bool = False) -> dict[str, DataFrame]:
+    """The tables before the elimination: ``cover`` has the paths as chosen, ``paths`` those with names, ``oriented`` the support to judge them by."""
+    out = condense(read_pairs, k, edge_threshold, counts)
+    own, unitigs, cond = out["own"], out["unitigs"], out["cond_edges"]
     depth = materialize(cover.vertex_depths(unitigs, cond, k, own))
     places = materialize(graph.kmer_vertices(unitigs, k).join(depth, "vid").select("kmer", "vid", (F.col("depth") + F.col("offset")).alias("depth")))
     support = materialize(pairs.pair_support(read_pairs, own, k, pair_threshold, store))
@@ -31,6 +33,17 @@ def reconstruct(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int
     named = paths.select(F.concat_ws(".", F.abs("component").cast("string"), F.format_string("%06d", "path_id")).alias("path_id"), "score", "nodes", "seq", "len")
     with_depths = compat.join(depth.select(F.col("vid").alias("v1"), F.col("last_depth").alias("d1")), "v1").join(depth.select(F.col("vid").alias("v2"), F.col("depth").alias("d2")), "v2")
     oriented = materialize(likelihood.oriented(with_depths, unitigs.select("vid", "len")))
-    trace = likelihood.elimination(named, oriented, genome, penalty)
-    final = likelihood.final_set(trace, named, strict)
-    return {"kmers": both, "edges": edges, "unitigs": unitigs, "cond_edges": cond, "depth": depth, "pairs": support, "compat": compat, "bubble": bubble, "paths": named, "trace": trace, "final": final.select("path_id", "score", "seq", "len")}
+    return out | {"depth": depth, "pairs": support, "compat": compat, "bubble": bubble, "cover": paths, "paths": named, "oriented": oriented}
+
+
+def reconstruct(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int = 400, genome: int = 1200, edge_threshold: int = 0, pair_threshold: int = 5, store: int = 1, counts: DataFrame | None = None, normalized: bool = False, penalty: str = "weighted", strict: bool = False) -> dict[str, DataFrame]:
+    """All tables of the workflow by name; ``final`` has the chosen sequences.
+
+    ``counts`` (k, kmer, cnt), with k and k + 1, replaces the workflow's own
+    counting.  Tables that later steps read again are written to the shared
+    folder.
+    """
+    out = candidates(read_pairs, k, beam, insert, edge_threshold, pair_threshold, store, counts, normalized)
+    trace = likelihood.elimination(out["paths"], out["oriented"], genome, penalty)
+    final = likelihood.final_set(trace, out["paths"], strict)
+    return out | {"trace": trace, "final": final.select("path_id", "score", "seq", "len")}

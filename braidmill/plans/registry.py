@@ -10,11 +10,15 @@ from braidmill.operators import cover, evaluate, graph, kmers, likelihood, pairs
 from braidmill.sources import sinks
 
 from . import fixtures as X
-from .reconstruct import reconstruct
+from .reconstruct import candidates, condense, reconstruct
 
 K, K_PAIRS = 21, 41
 GENOME = 60
 SETS = [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (2, 3), (3, 2)]
+#: Of the queries over the whole tables' graph.
+WHOLE = {"k": 31, "edge_threshold": 2}
+WHOLE_COVER = WHOLE | {"beam": 4, "insert": 160}
+WHOLE_GENOME = 800
 QUERIES = {}
 
 
@@ -297,6 +301,34 @@ def fastg_lines(spark, sf_dir):
     return graph.fastg_lines(kept, edges, 4)
 
 
+def _condensed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(unitigs, edges, coverage) of the reads of all orders."""
+    g = condense(X.read_pairs(spark, sf_dir), **WHOLE)
+    return g["unitigs"], g["cond_edges"], graph.unitig_coverage(g["unitigs"], g["own"], WHOLE["k"])
+
+
+@query
+def whole_tip_removal(spark, sf_dir):
+    kept, _ = graph.prune(*_condensed(spark, sf_dir), 25.5)
+    return kept
+
+
+@query
+def whole_lowcov_removal(spark, sf_dir):
+    _, edges = graph.prune(*_condensed(spark, sf_dir), 25.3, everywhere=True)
+    return edges
+
+
+@query
+def whole_graph_summary(spark, sf_dir):
+    return graph.graph_summary(*graph.prune(*_condensed(spark, sf_dir), 25.5))
+
+
+@query
+def whole_fastg_lines(spark, sf_dir):
+    return graph.fastg_lines(*graph.prune(*_condensed(spark, sf_dir), 25.3, everywhere=True), WHOLE["k"])
+
+
 # Pairs and support
 
 
@@ -375,11 +407,6 @@ def support_lists(spark, sf_dir):
 # Paths
 
 
-def _depths(spark) -> DataFrame:
-    g = X.small_graph(spark)
-    return cover.vertex_depths(g["unitigs"], g["edges"], 4)
-
-
 @query
 def vertex_depths(spark, sf_dir):
     reads = X.reads(spark, sf_dir)
@@ -393,20 +420,31 @@ def path_counts(spark, sf_dir):
     return cover.path_counts(g["unitigs"], g["edges"], 4).select(F.col("n_paths").cast("long").alias("n_paths"))
 
 
-def _covered(spark, normalized: bool) -> DataFrame:
-    g = X.small_graph(spark)
-    bubble = g["compat"].where("cnt > 15").select("v1", "v2", "cnt")
-    return cover.cover_paths(g["unitigs"], g["edges"], _depths(spark), g["compat"], bubble, 4, beam=2, insert=12, normalized=normalized)
+def _candidates_of_all(spark, sf_dir, normalized: bool = False) -> dict[str, DataFrame]:
+    """Graph, paths and support of the read pairs of all orders."""
+    return candidates(X.read_pairs(spark, sf_dir), **WHOLE_COVER, normalized=normalized)
+
+
+@query
+def whole_path_counts(spark, sf_dir):
+    g = condense(X.read_pairs(spark, sf_dir), **WHOLE)
+    return cover.path_counts(g["unitigs"], g["cond_edges"], WHOLE["k"])
 
 
 @query
 def cover_paths(spark, sf_dir):
-    return _covered(spark, False)
+    return _candidates_of_all(spark, sf_dir)["cover"]
 
 
 @query
 def cover_paths_normalized(spark, sf_dir):
-    return _covered(spark, True)
+    return _candidates_of_all(spark, sf_dir, True)["cover"]
+
+
+@query
+def whole_path_stitch(spark, sf_dir):
+    g = _candidates_of_all(spark, sf_dir)
+    return cover.stitch_paths(g["paths"], g["unitigs"], WHOLE["k"])
 
 
 @query
@@ -449,7 +487,42 @@ def leave_one_out(spark, sf_dir):
 
 @query
 def elimination_trace(spark, sf_dir):
-    return likelihood.elimination(X.small_graph(spark)["paths"], _pairs_of_small(spark), GENOME)
+    g = _candidates_of_all(spark, sf_dir)
+    return likelihood.elimination(g["paths"], g["oriented"], WHOLE_GENOME)
+
+
+def _sets_of_all(paths: DataFrame) -> DataFrame:
+    """All paths, and those of each component."""
+    return paths.select(F.explode(F.array(F.lit("all"), F.substring_index("path_id", ".", 1))).alias("set_id"), "path_id")
+
+
+@query
+def whole_pair_multiplicity(spark, sf_dir):
+    paths = _candidates_of_all(spark, sf_dir)["paths"]
+    return likelihood.pair_multiplicity(_sets_of_all(paths), paths)
+
+
+def _likelihood_of_all(spark, sf_dir, penalty: str) -> DataFrame:
+    g = _candidates_of_all(spark, sf_dir)
+    out = likelihood.set_likelihood(_sets_of_all(g["paths"]), g["paths"], g["oriented"], WHOLE_GENOME, penalty)
+    return out.select("set_id", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def whole_set_likelihood(spark, sf_dir):
+    return _likelihood_of_all(spark, sf_dir, "weighted")
+
+
+@query
+def whole_set_likelihood_flat(spark, sf_dir):
+    return _likelihood_of_all(spark, sf_dir, "flat")
+
+
+@query
+def whole_leave_one_out(spark, sf_dir):
+    g = _candidates_of_all(spark, sf_dir)
+    out = likelihood.leave_one_out(g["paths"], g["oriented"], WHOLE_GENOME)
+    return out.select("removed", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
 
 
 @query
@@ -474,7 +547,7 @@ def final_set_strict(spark, sf_dir):
 @query
 def reconstruct_variants(spark, sf_dir):
     """The whole workflow, reads to the final set of sequences."""
-    return reconstruct(X.read_pairs(spark, sf_dir), k=31, beam=4, insert=160, genome=800, edge_threshold=2)["final"]
+    return reconstruct(X.read_pairs(spark, sf_dir), **WHOLE_COVER, genome=WHOLE_GENOME)["final"]
 
 
 # Evaluation

@@ -1,10 +1,14 @@
+import math
 import random
+from collections import Counter
+from functools import cache
 
 from pyspark.sql import functions as F
 
 from braidmill.operators import cover, evaluate, graph, kmers, likelihood, pairs
 from braidmill.plans import fixtures as X
-from braidmill.plans.reconstruct import reconstruct
+from braidmill.plans import registry
+from braidmill.plans.reconstruct import candidates, reconstruct
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -196,3 +200,78 @@ def test_evaluation(spark):
     assert sorted(tuple(r) for r in evaluate.best_per_sequence(sam).collect()) == [("x__5", "r2", 1), ("y__7", "r1", 3)]
     assert sorted(tuple(r) for r in evaluate.length_histogram(sam).collect()) == [(5, 1), (7, 1)]
     assert {(r.qname, r.turned) for r in evaluate.choose_strands(sam).collect()} == {("x__5", False), ("y__7", True)}
+
+
+def test_paths_of_whole_tables(spark, sf_dir, monkeypatch):
+    """Cover, counts, likelihood and elimination see the graph of all orders' reads, not fixed rows."""
+    g = candidates(X.read_pairs(spark, sf_dir), **registry.WHOLE_COVER)
+    monkeypatch.setattr(registry, "candidates", lambda *_, normalized=False, **__: g)
+    monkeypatch.setattr(registry, "condense", lambda *_, **__: g)
+    run = lambda name: registry.QUERIES[name](spark, sf_dir).collect()
+    seqs = {r.vid: r.seq for r in g["unitigs"].collect()}
+    edges = {tuple(r) for r in g["cond_edges"].collect()}
+    covered = run("cover_paths")
+    reached = {v for r in covered for v in r.nodes}
+    assert reached <= set(seqs) and len(reached) > 9
+    for r in covered:
+        assert all(e in edges for e in zip(r.nodes, r.nodes[1:], strict=False))
+        assert r.seq == seqs[r.nodes[0]] + "".join(seqs[v][30:] for v in r.nodes[1:])
+    named = {r.path_id: (r.nodes, r.seq) for r in g["paths"].collect()}
+    assert len(named) == len(covered)
+    assert {r.path_id: r.seq for r in run("whole_path_stitch")} == {p: s for p, (_, s) in named.items()}
+
+    into, after = {v for _, v in edges}, {}
+    for u, v in edges:
+        after.setdefault(u, []).append(v)
+    ways = cache(lambda v: sum(map(ways, after[v])) if v in after else 1)
+    assert sum(int(r.n_paths) for r in run("whole_path_counts")) == sum(ways(v) for v in seqs if v not in into)
+
+    held = {p: {(a, b) for i, a in enumerate(n) for b in n[i:]} for p, (n, _) in named.items()}
+    support = [tuple(r) for r in g["oriented"].select("v1", "v2", "cnt", "span").collect()]
+    total = sum(x[2] for x in support)
+
+    def plain(ids, penalty):
+        ll, missed, h = 0.0, 0, len(ids)
+        for v1, v2, c, span in support:
+            if d := sum((v1, v2) in held[p] for p in ids):
+                below = h * 800 - h * span + 2 * h
+                if below and 0 < d / below < 1:
+                    ll += (total - c) * math.log(1 - d / below) + c * math.log(d / below)
+            else:
+                ll, missed = ll - penalty(c), missed + c
+        return ll, missed / total
+
+    near = lambda a, b: abs(a - b) <= 1e-6 * max(1, abs(b))
+    sets = {"all": list(named)}
+    for p in named:
+        sets.setdefault(p.split(".")[0], []).append(p)
+    for name, penalty in (("whole_set_likelihood", lambda c: 1e8 * c), ("whole_set_likelihood_flat", lambda c: 1e10)):
+        got = {r.set_id: r for r in run(name)}
+        assert set(got) == set(sets)
+        for s, ids in sets.items():
+            ll, missed = plain(ids, penalty)
+            assert got[s].size == len(ids) and near(got[s].loglik, ll) and near(got[s].missed, missed)
+    want = Counter((s, *pair) for s, ids in sets.items() for p in ids for pair in held[p])
+    assert {(r.set_id, r.v1, r.v2): r.d for r in run("whole_pair_multiplicity")} == want
+    left = {r.removed: r.loglik for r in run("whole_leave_one_out")}
+    assert set(left) == set(named)
+    for p in sorted(named)[:3]:
+        assert near(left[p], plain([q for q in named if q != p], lambda c: 1e8 * c)[0])
+    trace = sorted(run("elimination_trace"), key=lambda r: r.step)
+    assert near(trace[0].loglik, max(left.values())) and {r.removed for r in trace} <= set(named)
+    for r in trace[:: max(1, len(trace) // 4)]:
+        gone = {t.removed for t in trace[: r.step]}
+        assert near(r.loglik, plain([p for p in named if p not in gone], lambda c: 1e8 * c)[0])
+
+    coverage = {r.vid: r.coverage for r in graph.unitig_coverage(g["unitigs"], g["own"], 31).collect()}
+    ends = {v for v in seqs if v not in into or v not in after}
+    tips = {v for v in ends if coverage[v] < 25.5}
+    assert {r.vid for r in run("whole_tip_removal")} == set(seqs) - tips
+    rest = {e for e in edges if not tips & set(e)}
+    kept = set(seqs) - tips
+    assert tuple(run("whole_graph_summary")[0]) == (len(kept), len(rest), len(kept - {v for _, v in rest}), len(kept - {u for u, _ in rest}))
+    high = {v for v in seqs if coverage[v] >= 25.3}
+    rest = {e for e in edges if set(e) <= high}
+    assert {tuple(r) for r in run("whole_lowcov_removal")} == rest
+    fed = {v for _, v in rest}
+    assert {r.vid: r.seq for r in run("whole_fastg_lines")} == {v: seqs[v][30:] if v in fed else seqs[v] for v in high}
