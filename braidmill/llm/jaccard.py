@@ -48,6 +48,8 @@ FIRST_SHARE = 104
 #: Shingles of that share counted together; there are as many buckets as it takes.
 BUCKET_SHINGLES = 1_000_000
 CHUNK_BYTES = 4 << 20
+#: A set's place in its chunk has 16 bits.
+CHUNK_ROWS = 1 << 16
 _SEEN = 200_000
 
 
@@ -120,7 +122,8 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
         seen: set[int] = set()
         for batch in batches:
             for lo, hi in row_blocks(string_buffers(batch["text"])[1], 2 * CHUNK_BYTES):
-                yield from chunk(batch.slice(lo, hi - lo), seen)
+                for at in range(lo, hi, CHUNK_ROWS):
+                    yield from chunk(batch.slice(at, min(CHUNK_ROWS, hi - at)), seen)
             release_memory()
 
     def chunk(batch: pa.RecordBatch, seen: set[int]) -> Iterator[pa.RecordBatch]:

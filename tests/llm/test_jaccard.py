@@ -50,3 +50,16 @@ def test_prefix_length():
     for n in range(1, 60):
         p = jaccard.prefix_length(n, 75)
         assert n - p + 1 >= 0.75 * n > n - p  # what is left out cannot reach the threshold
+
+
+def test_places_beyond_16_bits(spark):
+    """More rows in a chunk than 16 bits count: the last ones keep their links."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        texts = "case when id < 65600 then concat('f', id) else concat(concat_ws(' ', transform(sequence(0, 18), x -> concat(x, '_', id div 2))), ' end', id) end"
+        rows = spark.range(0, 66000, 1, 1).selectExpr("id as doc_id", f"{texts} as text")
+        got = jaccard.ngram_jaccard_join(rows).where("n_links > 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    same([(r.doc_id, r.component_id, r.n_links) for r in got], [(i, i // 2 * 2, 1) for i in range(65600, 66000)])
