@@ -30,8 +30,7 @@ THRESHOLD = 0.75
 _BLOCKED_WORDS = """casino poker bets betting jackpot slots roulette gamble lottery bingo pills pharmacy viagra cialis
     meds cheap discount-drugs weight-loss payday loans quick-cash crypto-profit forex-signals get-rich free-money
     win-prize adult xxx porn escorts webcam nude torrent warez crack keygen serials ads adserver ad-track tracker
-    track-click click-bait popunder banner-farm spam seo-links link-farm malware phishing fake-login free-download
-    free-bets casino-win cheap-pills ads-track""".split()
+    track-click click-bait popunder banner-farm spam seo-links link-farm malware phishing fake-login free-download""".split()
 _ALLOWED_WORDS = """news daily-times journal gazette library archive museum gallery university college school
     institute research science nature history geography physics biology health-service hospital council city parish
     government parliament court weather travel railway garden kitchen recipes bakery books reviews music orchestra

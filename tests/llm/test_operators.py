@@ -58,6 +58,12 @@ def test_url_classifier_generalises(spark):
     assert url_filter.filter_urls(pages.limit(0)).collect() == []
 
 
+def test_labelled_words_are_not_hosts_of_the_test_pages(spark, sf_dir):
+    labels = {part for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() for part in parsed(r.url)[0].split(".")}
+    common = {"www", "m", "blog", "example", "com", "org", "net", "info"}
+    assert not {part for u, _ in url_filter.labelled_urls() for part in parsed(u)[0].split(".")} & labels - common
+
+
 # Mixing
 
 
