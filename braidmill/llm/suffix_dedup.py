@@ -1,18 +1,26 @@
-"""Repeated passages by sparse suffix arrays.
-
-Only suffixes at content-selected places are kept: a word is kept if the hash
-of the ``SEED`` words that start there is the smallest in some window of
-``SPAN`` neighbouring starts.  Equal passages keep the same places, and any
-passage of ``LENGTH`` words holds several.
-
-1. *Sort*: kept suffixes are brought together by their first words (partial
-   aggregates first); those that equal a neighbour are marked in a bitmap.
-   It has 16 bits for each of them, up to ``MOST_BITS``; a false mark only
-   costs time.
-2. *Extend*: where the smallest places of all windows inside a stretch of
-   ``LENGTH`` words are marked, the stretch is compared as a whole, left and
-   right of them, with those of the other texts.  Stretches that occur again are joined into maximal
-   passages.
+"""Repeated passages by a sparse suffix array.
+
+Suffixes are kept at content-selected places only.  A stretch of ``LENGTH``
+words has ``LENGTH - SEED + 1`` places where ``SEED`` words begin; its minimiser
+is the place whose words have the smallest hash (the leftmost of equal ones).
+Equal stretches have it at the same offset, so they meet at one kept suffix,
+and about one place in twenty is kept.
+
+1. *Sort*: the kept suffixes of all distinct texts are put into one order, by
+   their leading ``SEED`` words (hashed), then text and place, by range
+   partitions.  A suffix that a third of all texts hold spreads over as many
+   partitions as it takes.
+2. *Compare neighbours*: suffixes that begin alike are neighbours and form a
+   run.  Nothing else can share a stretch.
+3. *Extend left and right*: a kept suffix carries the hashes (48 bits beside
+   the seed's 64) of the stretches it is the minimiser of, from the one that
+   reaches furthest left to the one furthest right.  Offset by offset these are
+   compared in the whole run, not with the next suffix alone, which would lose
+   what is shared with a third one only.  Stretches that agree are joined into
+   maximal passages.
+
+A run that a partition's border may cut, or that is longer than ``RUN_ROWS``,
+is left to partial aggregates and a join over its stretches, with equal results.
 """
 
 from __future__ import annotations
@@ -25,39 +33,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, in_bitmap, materialize
+from .common import materialize
 from .textops import SPACE_WORDS, _mix, gram_hashes, release_memory, row_blocks, string_buffers, words
 
-LENGTH = 50
-SEED, SPAN = 10, 25
-MOST_BITS = 30
+LENGTH, SEED = 50, 10
+#: Suffixes of one range partition, and the most of one run that a task holds.
+PARTITION_ROWS, RUN_ROWS = 200_000, 20_000
+#: Suffixes compared at once.
+CHUNK_ROWS = 40_000
 _SEEN = 200_000
+_HASH_BYTES, _OFFSET_BITS = 6, 16
+_ROWS = "seed long, key long, place int, off int, words int, own binary"
+_FOUND = "key long, start int, stop int, head boolean, copy_key long, copy_word int, seed long, off int, own binary"
 
 
-def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w neighbours, by doubling."""
-    step, out = 1, a
+def leftmost_minima(a: np.ndarray, w: int) -> np.ndarray:
+    """Of each w neighbours the place of the smallest, by doubling; the leftmost of equal ones."""
+    n = len(a) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at, step = np.arange(len(a)), 1
     while step * 2 <= w:
-        out = np.minimum(out[:-step], out[step:])
+        left, right = at[:-step], at[step:]
+        at = np.where(a[right] < a[left], right, left)
         step *= 2
-    return np.minimum(out[: len(a) - w + 1], out[w - step :][: len(a) - w + 1])
-
-
-def minimiser_places(grams: np.ndarray, w: int) -> np.ndarray:
-    """Places whose value is the smallest of some w neighbours (ties all count)."""
-    if len(grams) < w:
-        return np.zeros(0, np.int64)
-    low = _sliding_min(grams, w)
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    best = ~_sliding_min(~padded, w)  # the largest of the minima over the windows with this place
-    return np.flatnonzero(best == grams)
+    left, right = at[:n], at[w - step :][:n]
+    return np.where(a[right] < a[left], right, left)
 
 
 def _stretch_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n neighbouring words, for a long n, by halving."""
-    out, have, left = h, 1, n
-    bits = bin(left)[3:]
-    for b in bits:
+    out, have = h, 1
+    for b in bin(n)[3:]:
         m = len(out) - have
         if m <= 0:
             return np.zeros(0, np.uint64)
@@ -69,87 +76,193 @@ def _stretch_hashes(h: np.ndarray, n: int) -> np.ndarray:
                 return np.zeros(0, np.uint64)
             out = out[:m] * np.uint64(0xCA5A826395121157) + (h[have : have + m] ^ h[have : have + m] >> np.uint64(29))
             have += 1
-    return out
+    return _mix(out)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = string_buffers(batch["text"])
-    for lo, hi in row_blocks(offsets):
-        _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)
-        for i in range(hi - lo):
-            yield lo + i, h[first[i] : first[i + 1]]
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary values of so many hashes each, cut from one array."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * _HASH_BYTES
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+def kept_suffixes(h: np.ndarray, first: np.ndarray, keys: np.ndarray, length: int, seed: int) -> pa.RecordBatch | None:
+    """The kept suffixes of a few texts; ``first`` has each text's first word, ``h`` the word hashes.
 
+    ``place`` is the suffix's word in its text, ``off`` how many words before
+    it the first of its stretches begins, ``words`` the text's number of words
+    in the row of its first stretch (else -1).
+    """
+    n = len(h) - length + 1
+    if n <= 0:
+        return None
+    text_of = np.repeat(np.arange(len(keys)), np.diff(first))
+    start = np.flatnonzero(text_of[:n] == text_of[length - 1 :])
+    if not len(start):
+        return None
+    grams = gram_hashes(h, seed)
+    at = leftmost_minima(grams, length - seed + 1)[start]
+    a = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+    count = np.diff(np.append(a, len(start)))
+    own = np.ascontiguousarray(_stretch_hashes(h, length)[start].view(np.uint8).reshape(-1, 8)[:, 8 - _HASH_BYTES :])
+    text, place = text_of[start[a]], at[a]
+    sizes = np.where(start[a] == first[text], np.diff(first)[text], -1)
+    columns = [_mix(grams[place]).view(np.int64), keys[text], (place - first[text]).astype(np.int32), (place - start[a]).astype(np.int32), sizes.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), _binary(own, count)], names=["seed", "key", "place", "off", "words", "own"])
 
-def _repeated_suffixes(texts: DataFrame, seed: int, span: int) -> DataFrame:
-    """(suffix): hashes of the first words of all kept suffixes that occur again anywhere."""
 
+def _suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            who, what, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
-            for i, h in _texts(batch):
-                if keys[i] in seen:
-                    continue
+            fresh = []
+            for key in batch["key"].to_pylist():
+                fresh.append(key not in seen)
                 if len(seen) < _SEEN:
-                    seen.add(keys[i])
-                grams = gram_hashes(h, seed)
-                value, count = np.unique(grams[minimiser_places(grams, span)], return_counts=True)
-                who.append(np.full(len(value), keys[i]))
-                what.append(_mix(value).view(np.int64))  # minima crowd at one end; mixed, they are even
-                many.append(np.minimum(count, 2).astype(np.int8))
-            yield _batch([np.concatenate(who), np.concatenate(what), np.concatenate(many)], ["key", "suffix", "n"])
+                    seen.add(key)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            keys = batch["key"].to_numpy()
+            data, offsets = string_buffers(batch["text"])
+            for lo, hi in row_blocks(offsets):
+                _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)
+                if (rows := kept_suffixes(h, first, keys[lo:hi], length, seed)) is not None:
+                    yield rows
             release_memory()
 
-    kept = texts.mapInArrow(emit, "key long, suffix long, n byte")
-    return kept.groupBy("suffix").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("n").alias("n")).where("lo < hi or n > 1").select("suffix")
+    return texts.mapInArrow(emit, _ROWS)
+
+
+def _stretches(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all rows' stretches: the row, the first word, and the hash with the offset."""
+    _, ends, data = t["own"].buffers()
+    ends = np.frombuffer(ends, np.int32)[t["own"].offset :][: len(t) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, _HASH_BYTES)
+    count = np.diff(ends) // _HASH_BYTES
+    row = np.repeat(np.arange(len(t)), count)
+    off = t["off"].to_numpy().astype(np.int64)[row] - (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    value = np.zeros((len(raw), 8), np.uint8)
+    value[:, 2:] = raw
+    return row, t["place"].to_numpy()[row] - off, value.view(np.uint64).ravel() | off.astype(np.uint64)
 
 
-def _stretches(texts: DataFrame, marks: np.ndarray, bits: int, length: int, seed: int, span: int) -> DataFrame:
-    """(key, start, stretch, words): every ``length`` words whose windows all have a marked place.
+def _same_run(seed: np.ndarray) -> np.ndarray:
+    """Whether each row begins like the one before."""
+    return np.concatenate([[False], seed[1:] == seed[:-1]])
 
-    Each text's first stretch is there in any case, with its number of words.
+
+def compare_runs(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Passages and heads of whole runs, sorted by seed, key and place.
+
+    A passage row spans neighbouring stretches of one suffix that occur again;
+    a head row (one a text) tells the words of the text and where its first
+    stretch occurs first.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(marks)
+    seed, key, place, sizes = (t[c].to_numpy() for c in ("seed", "key", "place", "words"))
+    like = _same_run(seed)
+    twice = like & np.concatenate([[False], (key[1:] == key[:-1]) & (place[1:] == place[:-1])])  # a text that two tasks told
+    near = (like | np.append(like[1:], False)) & ~twice
+    lone = ~near & ~twice & (sizes >= 0)
+    zeros = np.zeros(int(lone.sum()), np.int32)
+    out = [(key[lone], zeros, sizes[lone], zeros > -1, key[lone], zeros)]
+    t = t.filter(pa.array(near))
+    if len(t):
+        key, sizes, run = t["key"].to_numpy(), t["words"].to_numpy(), np.cumsum(~_same_run(t["seed"].to_numpy()))
+        row, start, value = _stretches(t)
+        value = _mix(value ^ _mix(run.astype(np.uint64))[row])
+        order = np.argsort(value, kind="stable")  # equal ones stay in order of text and place
+        fresh = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+        group = np.cumsum(fresh) - 1
+        again, origin = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+        again[order] = np.bincount(group)[group] > 1
+        origin[order] = order[fresh][group]
+        joined = again[1:] & again[:-1] & (row[1:] == row[:-1])
+        a = np.flatnonzero(again & ~np.concatenate([[False], joined]))
+        b = np.flatnonzero(again & ~np.concatenate([joined, [False]]))
+        out.append((key[row[a]], start[a], start[b] + length, a < 0, key[row[origin[a]]], start[origin[a]]))
+        head = np.flatnonzero((sizes[row] >= 0) & (start == 0))
+        out.append((key[row[head]], start[head], sizes[row[head]], head >= 0, key[row[origin[head]]], start[origin[head]]))
+    kinds = [np.int64, np.int32, np.int32, bool, np.int64, np.int32]
+    columns = [pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[f.split()[0] for f in _FOUND.split(", ")])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+
+def _left(t: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows as they are, for the aggregate; ``start`` is the place and ``stop`` the words."""
+    n = len(t)
+    columns = [t["key"], t["place"], t["words"], pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), t["seed"], t["off"], t["own"]]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _compared(suffixes: DataFrame, parts: int, length: int, run_rows: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed, held, n_held = None, [], 0  # rows of the last run so far, which may go on
         for batch in batches:
-            keys = batch["key"].to_numpy()
-            out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
-            for i, h in _texts(batch):
-                if len(h) < length or keys[i] in seen:
-                    continue
-                if len(seen) < _SEEN:
-                    seen.add(keys[i])
-                grams = gram_hashes(h, seed)
-                low = _sliding_min(grams, span)
-                fresh = np.concatenate([[True], low[1:] != low[:-1]])
-                unmarked = ~in_bitmap(shared.value, bits, _mix(low[fresh]))[np.cumsum(fresh) - 1]
-                before = np.concatenate([[0], np.cumsum(unmarked)])
-                n = len(h) - length + 1
-                inside = length - seed - span + 2  # windows of a stretch
-                fine = before[inside : inside + n] == before[:n]
-                fine[0] = True
-                start = np.flatnonzero(fine).astype(np.int32)
-                size = np.full(len(start), -1, np.int32)
-                size[0] = len(h)
-                for part, value in zip(out, (np.full(len(start), keys[i]), start, _stretch_hashes(h, length)[start].view(np.int64), size), strict=True):
-                    part.append(value)
-                if sum(map(len, out[0])) > 1 << 18:
-                    yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
-                    out = [[x[0]] for x in out]
-            yield _batch([np.concatenate(x) for x in out], ["key", "start", "stretch", "words"])
+            if not len(batch):
+                continue
+            seeds = batch["seed"].to_numpy()
+            if passed is None:  # the first run may have begun in the partition before
+                passed = seeds[0]
+            skip = int(np.searchsorted(seeds, passed, "right")) if seeds[0] == passed else 0
+            if skip:
+                yield _left(batch.slice(0, skip))
+            if skip == len(batch):
+                continue
+            batch, seeds = batch.slice(skip), seeds[skip:]
+            last = int(np.searchsorted(seeds, seeds[-1], "left"))
+            if last or (held and held[-1]["seed"][0].as_py() != seeds[-1]):
+                whole = pa.concat_batches([*held, batch.slice(0, last)])
+                for at in _chunks(whole["seed"].to_numpy()):
+                    yield compare_runs(whole.slice(at[0], at[1] - at[0]), length)
+                held, n_held = [], 0
+            held.append(batch.slice(last))
+            n_held += len(batch) - last
+            if n_held > run_rows:
+                passed = seeds[-1]
+                yield from map(_left, held)
+                held, n_held = [], 0
             release_memory()
+        yield from map(_left, held)
+
+    ordered = suffixes.repartitionByRange(parts, "seed", "key", "place").sortWithinPartitions("seed", "key", "place")
+    return ordered.mapInArrow(scan, _FOUND)
+
+
+def _chunks(seed: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole runs of about CHUNK_ROWS rows."""
+    begins = np.flatnonzero(~_same_run(seed))
+    lo = 0
+    while lo < len(seed):
+        at = int(np.searchsorted(begins, lo + CHUNK_ROWS, "left"))
+        hi = int(begins[at]) if at < len(begins) else len(seed)
+        yield lo, hi
+        lo = hi
 
-    return texts.mapInArrow(emit, "key long, start int, stretch long, words int")
 
+def _aggregated(left: DataFrame, length: int) -> DataFrame:
+    """Passages and heads of the runs that were left, a stretch a row, by partial aggregates."""
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, span: int = SPAN) -> DataFrame:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), CHUNK_ROWS // 4):
+                t = batch.slice(lo, CHUNK_ROWS // 4)
+                row, start, value = _stretches(t)
+                sizes = np.where(start == 0, t["words"].to_numpy()[row], -1).astype(np.int32)
+                columns = [t["seed"].to_numpy()[row], value.view(np.int64), t["key"].to_numpy()[row], start.astype(np.int32), sizes]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "stretch", "key", "start", "words"])
+
+    rows = left.select("seed", "key", F.col("start").alias("place"), "off", F.col("stop").alias("words"), "own")
+    rows = materialize(rows.mapInArrow(expand, "seed long, stretch long, key long, start int, words int"))
+    place = F.struct("key", "start")
+    again = rows.groupBy("seed", "stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("words").alias("some"))
+    # written first: a join of two plain tables can be split where one stretch holds most rows
+    again = materialize(again.where("first <> last or some >= 0").select("seed", "stretch", "first", (F.col("first") != F.col("last")).alias("again")))
+    hits = materialize(rows.join(again, ["seed", "stretch"]).select("key", "start", "words", "again", F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
+    passages = hits.where("again").select("key", "start", (F.col("start") + length).alias("stop"), F.lit(False).alias("head"), "copy_key", "copy_word")
+    heads = hits.where("words >= 0").select("key", "start", F.col("words").alias("stop"), F.lit(True).alias("head"), "copy_key", "copy_word")
+    return passages.unionByName(heads).distinct()
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, partition_rows: int = PARTITION_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, copy_of, copy_word): all passages that occur again.
 
     A passage is a maximal run of words, each of which lies in a stretch of
@@ -162,28 +275,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, s
     each other; rows with equal text and doc_id are told once.  A null doc_id is
     kept; other columns are ignored; an empty table gives an empty result.
     """
-    if span + seed - 1 > length:
+    if not 0 < seed <= length or length - seed >= 1 << _OFFSET_BITS:
         raise ValueError("a passage must hold a kept place")
     key = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("key")
     named = docs.where("text is not null").select("doc_id", key, "text")
     owners = materialize(named.groupBy("key", "doc_id").agg(F.count("*").alias("n")))
     copies = owners.groupBy("key").agg((F.sum("n") > 1).alias("copied"), F.min("doc_id").alias("first_id"))
-    texts = named.select("key", "text")
-    suffixes = materialize(_repeated_suffixes(texts, seed, span))
-    bits = min(MOST_BITS, max(20, (16 * suffixes.count()).bit_length()))
-    stretches = materialize(_stretches(texts, bitmap(suffixes, "suffix", bits), bits, length, seed, span))
-    place = F.struct("key", "start")
-    again = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("words").alias("some"))
-    # written first: a join of two plain tables can be split where one stretch holds most rows
-    again = materialize(again.where("first <> last or some >= 0").select("stretch", "first", (F.col("first") != F.col("last")).alias("again")))
-    hits = materialize(stretches.join(again, "stretch").where("again or words >= 0").select("key", "start", "words", "again", F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
+    suffixes = materialize(_suffixes(named.select("key", "text"), length, seed))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // partition_rows))
+    found = materialize(_compared(suffixes, parts, length, run_rows))
+    columns = ["key", "start", "stop", "head", "copy_key", "copy_word"]
+    rows = materialize(found.where("seed is null").select(*columns).unionByName(_aggregated(found.where("seed is not null"), length)))
     w = Window.partitionBy("key").orderBy("start")  # the stretches of one text
-    marked = hits.where("again").withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(w) + length, F.lit(-1))).cast("int"))
+    marked = rows.where("not head").withColumn("new", (F.col("start") > F.coalesce(F.lag("stop").over(w), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.struct("copy_key", "copy_word")
-    spans = runs.groupBy("key", "run").agg(F.min("start").alias("start"), (F.max("start") + length).alias("stop"), F.min_by(at, "start").alias("at")).drop("run")
+    spans = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by(at, "start").alias("at")).drop("run")
     # of a text with copies, all words are one passage
-    whole = hits.where("words >= 0").join(copies.where("copied"), "key").groupBy("key").agg(F.lit(0).alias("start"), F.max("words").alias("stop"), F.min(at).alias("at"))
+    whole = rows.where("head").join(copies.where("copied"), "key").groupBy("key").agg(F.lit(0).alias("start"), F.max("stop").alias("stop"), F.min(at).alias("at"))
     spans = spans.join(copies.where("copied"), "key", "left_anti").unionByName(whole)
     first = copies.select(F.col("key").alias("copy_key"), F.col("first_id").alias("copy_of"))
     told = spans.select("key", "start", "stop", "at.copy_key", "at.copy_word").join(first, "copy_key")

@@ -262,13 +262,14 @@ def passages(rows, length=50):
     return out
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("sizes", [{}, {"partition_rows": 40, "run_rows": 2}, {"partition_rows": 15, "run_rows": 1000}])
+def test_repeated_passages(spark, sizes):
     rng = random.Random(8)
     rows = odd_documents()
     p = sentence(rng, 55)
     rows += [(900 + i, f"{sentence(rng, 30 * i)} {p} {sentence(rng, 20)}") for i in range(4)]
     rows += [(950, f"{p} {sentence(rng, 10)} {p}"), (960, " ".join(p.split()[:49]))]
-    got = suffix_dedup.repeated_passages(documents(spark, rows)).collect()
+    got = suffix_dedup.repeated_passages(documents(spark, rows), **sizes).collect()
     # touching passages count as one here and there alike
     same({(r.doc_id, r.start_word, r.end_word, r.n_words) for r in got}, passages(rows))
     assert len({(r.doc_id, r.start_word) for r in got}) == len(got)
@@ -281,12 +282,36 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(documents(spark, rows).limit(0)).collect() == []
 
 
-def test_minimisers_agree_on_equal_passages():
+@pytest.mark.parametrize("sizes", [{}, {"partition_rows": 15, "run_rows": 4}])
+def test_passages_shared_with_a_third_text_only(spark, sizes):
+    """Texts that go on alike to the right are nearer neighbours, but share less than the one further off."""
+    rng = random.Random(3)
+    own = lambda k: " ".join(f"w{rng.randrange(10**9)}" for _ in range(k))
+    p, more = own(52), own(60)
+    rows = [(k, f"{own(9)} {p} {own(7)}") for k in range(2)]
+    for cut in range(3, 50, 4):  # right parts of the passage, all with one continuation
+        rows.append((100 + cut, f"{own(5)} {' '.join(p.split()[cut:])} {more}"))
+    got = suffix_dedup.repeated_passages(documents(spark, rows), **sizes).collect()
+    same({(r.doc_id, r.start_word, r.end_word, r.n_words) for r in got}, passages(rows))
+
+
+def test_leftmost_minima():
     rng = np.random.default_rng(1)
-    a, b, p = (rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (80, 70, 60))
-    one = suffix_dedup.minimiser_places(np.concatenate([a, p]), 25)
-    two = suffix_dedup.minimiser_places(np.concatenate([b, p]), 25)
-    inner = lambda places, n: {int(x) - n for x in places if x >= n + 25}
-    assert inner(one, 80) == inner(two, 70) and inner(one, 80)
-    gaps = np.diff(np.concatenate([[-1], one]))
-    assert gaps.max() <= 25
+    a = rng.integers(0, 9, 300).astype(np.uint64)
+    for w in (1, 2, 3, 7, 8, 41):
+        assert suffix_dedup.leftmost_minima(a, w).tolist() == [i + int(np.argmin(a[i : i + w])) for i in range(len(a) - w + 1)]
+    assert len(suffix_dedup.leftmost_minima(a[:5], 9)) == 0
+
+
+def test_every_stretch_has_one_kept_suffix():
+    rng = np.random.default_rng(2)
+    sizes = [0, 49, 50, 51, 400, 3, 120]
+    h = rng.integers(0, 1 << 60, sum(sizes)).astype(np.uint64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    rows = suffix_dedup.kept_suffixes(h, first, np.arange(len(sizes)), 50, 10)
+    row, start, value = suffix_dedup._stretches(rows)
+    key = rows["key"].to_numpy()
+    assert sorted(zip(key[row].tolist(), start.tolist(), strict=True)) == [(k, i) for k, n in enumerate(sizes) for i in range(n - 49)]
+    assert len(set(value.tolist())) == len(value)
+    assert len(rows) < 0.12 * len(value)
+    assert [(k, n) for k, n in zip(key.tolist(), rows["words"].to_pylist(), strict=True) if n >= 0] == [(k, n) for k, n in enumerate(sizes) if n >= 50]
