@@ -1,94 +1,32 @@
 """License scans with ordered signature rules, with DataFrame functions only.
 
-The text is reduced to its lower-cased words, one space between two.  A rule
-is a regular expression over that line, with a keyword that any match contains,
-a priority and a label.  Texts without any keyword are done at once; in the
-others only the rules whose keyword occurs are run.  A detection is suppressed
-if its words lie inside those of another detection with higher priority, or
-with the same priority and more words, or the same words and an earlier rule.
+The text is reduced to its lower-cased words, a blank before each.  A rule is
+a regular expression over that line, with a keyword that any match contains, a
+priority and a label.  Texts without any keyword are done at once; in the
+others only the rules whose keyword occurs are run.  A rule marks its matches
+in the line, and their places are the numbers of the marked words, so the work
+grows with the length of the text.  A detection is suppressed if its words lie
+inside those of another detection with higher priority, or with the same
+priority and more words, or the same words and an earlier rule.
 """
 
 from __future__ import annotations
 
-from itertools import product
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .license_rules import RULES
 
 # Phrases and labels that the contract fixes.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-def _rules() -> list[tuple[str, str, int, str]]:
-    """(keyword, regular expression, priority, label); 1 is the highest priority."""
-    out: list[tuple[str, str, int, str]] = []
-    add = lambda keyword, pattern, priority, label: out.append((keyword, rf"(?<![^ ])(?:{pattern})(?![^ ])", priority, label))
-    # The GNU family: each license, version and way to name both.
-    for (name, short), version, later in product([("gnu affero general public license", "agpl"), ("gnu lesser general public license", "lgpl"), ("gnu library general public license", "lgpl"), ("gnu general public license", "gpl"), ("gnu free documentation license", "gfdl")], ["1", "1 1", "1 2", "1 3", "2", "2 1", "3"], [True, False]):
-        tail = r" (?:of the license )?(?:or (?:at your option )?any later version|or later)" if later else r"(?: 0)?(?: only)?"
-        label = f"{short}-{version.replace(' ', '.')}" + ("-or-later" if later else "")
-        add(name, rf"{name} (?:as published by the free software foundation )?(?:either )?(?:version|v) ?{version}(?: 0)?{tail}", 1 if later else 2, label)
-    for short, version, tail in product(["agpl", "lgpl", "gpl", "gfdl"], ["1", "1 1", "1 2", "1 3", "2", "2 1", "3"], ["", " or later", " only"]):
-        add(short, rf"{short} ?v?{version}(?: 0)?{tail}", 1 if tail else 3, f"{short}-{version.replace(' ', '.')}" + ("-or-later" if "later" in tail else ""))
-    # Creative Commons: each set of terms, by letters and in full.
-    words = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
-    for terms, version in product([("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd")], ["1 0", "2 0", "2 5", "3 0", "4 0"]):
-        label = f"cc-{'-'.join(terms)}-{version.replace(' ', '.')}"
-        add("cc by", rf"cc {' '.join(terms)} {version}(?: international| unported)?", 1, label)
-        add("creative commons", rf"creative commons {' '.join(words[t] for t in terms)} (?:license )?(?:version )?{version}(?: international| unported)?(?: license)?", 1, label)
-    for terms in [("by", "nc", "nd"), ("by", "nc", "sa"), ("by", "nc"), ("by", "nd"), ("by", "sa"), ("by",)]:
-        add("cc by", rf"cc {' '.join(terms)}", 4, f"cc-{'-'.join(terms)}")
-        add("creativecommons org", rf"(?:https? )?creativecommons org licenses {' '.join(terms)} \d \d", 1, f"cc-{'-'.join(terms)}")
-    add("cc0", r"cc0(?: 1 0)?(?: universal)?", 2, "cc0-1.0")
-    add("creativecommons org", r"(?:https? )?creativecommons org publicdomain zero 1 0", 1, "cc0-1.0")
-    # Licenses by name and version.
-    for name, versions, label in [
-        ("apache", ["1 0", "1 1", "2 0"], "apache"), ("mozilla public", ["1 0", "1 1", "2 0"], "mpl"), ("eclipse public", ["1 0", "2 0"], "epl"),
-        ("european union public", ["1 0", "1 1", "1 2"], "eupl"), ("academic free", ["1 1", "1 2", "2 0", "2 1", "3 0"], "afl"), ("open software", ["1 0", "1 1", "2 0", "2 1", "3 0"], "osl"),
-        ("artistic", ["1 0", "2 0"], "artistic"), ("boost software", ["1 0"], "bsl"), ("common public", ["1 0"], "cpl"), ("common development and distribution", ["1 0", "1 1"], "cddl"),
-        ("microsoft public", [], "ms-pl"), ("microsoft reciprocal", [], "ms-rl"), ("apple public source", ["1 0", "1 1", "1 2", "2 0"], "apsl"), ("zope public", ["1 1", "2 0", "2 1"], "zpl"),
-        ("python software foundation", ["2"], "psf"), ("php", ["3 0", "3 01"], "php"), ("w3c software", [], "w3c"), ("sil open font", ["1 0", "1 1"], "ofl"), ("open database", ["1 0"], "odbl"),
-        ("open data commons attribution", ["1 0"], "odc-by"), ("latex project public", ["1 0", "1 1", "1 2", "1 3", "1 3c"], "lppl"), ("universal permissive", ["1 0"], "upl"), ("business source", ["1 0", "1 1"], "busl"),
-        ("server side public", ["1"], "sspl"), ("elastic", ["2 0"], "elastic"), ("cecill", ["1 0", "1 1", "2 0", "2 1"], "cecill"), ("q public", ["1 0"], "qpl"), ("ibm public", ["1 0"], "ipl"),
-        ("mulan permissive software", ["1", "2"], "mulan"), ("blue oak model", ["1 0 0"], "blueoak"), ("unicode", ["v3"], "unicode"), ("zlib", [], "zlib"), ("isc", [], "isc"), ("mit", [], "mit"),
-        ("x11", [], "x11"), ("expat", [], "mit"), ("openssl", [], "openssl"), ("vim", [], "vim"), ("ruby", [], "ruby"), ("postgresql", [], "postgresql"), ("beerware", [], "beerware"), ("wtfpl", ["2"], "wtfpl"),
-    ]:
-        add(f"{name} licen", rf"{name} licen[cs]e", 5, label)
-        for v in versions:
-            add(f"{name} licen", rf"{name} licen[cs]e (?:version |v ?)?{v}", 1, f"{label}-{v.replace(' ', '.')}")
-    for v in ["1 0", "1 1", "2 0"]:
-        add("apache", rf"apache(?: software foundation)? (?:version )?{v}", 4, f"apache-{v.replace(' ', '.')}")
-    for n, words_ in [("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")]:
-        add("bsd", rf"(?:bsd {n} clause|{n} clause bsd|{words_} clause bsd)(?: licen[cs]e)?", 1, f"bsd-{n}-clause")
-    for adjective in ["new", "modified", "revised", "simplified", "original", "free"]:
-        add("bsd", rf"{adjective} bsd licen[cs]e", 2, "bsd-" + {"simplified": "2-clause", "free": "2-clause", "original": "4-clause"}.get(adjective, "3-clause"))
-    add("bsd", r"bsd licen[cs]e", 5, "bsd")
-    # Sentences of license texts, and tags.
-    for keyword, pattern, label in [
-        ("permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-        ("permission to use copy modify", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee", "isc"),
-        ("redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-        ("neither the name", r"neither the name of .{1,80} nor the names of its contributors may be used", "bsd-3-clause"),
-        ("www apache org", r"(?:https? )?www apache org licenses license 2 0(?: html| txt)?", "apache-2.0"),
-        ("opensource org", r"(?:https? )?opensource org licenses mit(?: license)?", "mit"),
-        ("www gnu org", r"(?:https? )?www gnu org licenses(?: [a-z]{3,4} \d \d)?", "gpl"),
-        ("unencumbered software", r"this is free and unencumbered software released into the public domain", "unlicense"),
-        ("do what the fuck", r"do what the fuck you want to public license", "wtfpl"),
-        ("altered source versions", r"altered source versions must be plainly marked as such", "zlib"),
-        ("free software you can redistribute", r"free software you can redistribute it and or modify it under the terms of", "gpl"),
-        ("all rights reserved", r"all rights reserved", "proprietary"), ("public domain", r"(?:dedicated to|released into|placed in|in) the public domain", "public-domain"),
-        ("spdx license identifier", r"spdx license identifier [0-9a-z]+(?: (?:\d+|by|nc|nd|sa|or|later|only|clause))*", "spdx"),
-        ("general public license", r"(?:gnu )?general public license(?: (?:version|v) ?\d)?", "gpl"), ("affero general public license", r"(?:gnu )?affero general public license", "agpl"), ("lesser general public license", r"(?:gnu )?lesser general public license", "lgpl"),
-    ]:
-        add(keyword, pattern, 3 if label in ("gpl", "spdx", "proprietary", "public-domain") else 2, label)
-    return out
-
-
-RULES = _rules()
+#: Marks of a match's begin and end; no line holds these signs.
+_OPEN, _CLOSE = "\x01", "\x02"
+_DETECTIONS = "array<struct<a:int,nb:int,prio:int,rule:int,label:string>>"
 
 
 def _coarse() -> list[str]:
@@ -100,59 +38,90 @@ def _coarse() -> list[str]:
 COARSE = _coarse()
 
 
-def _word_at(line: Column, chars: Column) -> Column:
-    """Number of the word that begins after so many characters."""
-    head = F.substring(line, F.lit(1), chars)
-    return F.length(head) - F.length(F.replace(head, F.lit(" ")))
+def _bound(value: Column, use) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _spans(line: Column, pattern: Column) -> Column:
-    """Character spans [a, b) of all matches, from the matches and what lies between."""
-    found = F.regexp_extract_all(line, pattern, F.lit(0))
-    between = F.split(line, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+def _numbers(words: Column, wanted) -> Column:
+    """Numbers of the words that are wanted; the line's first piece is the empty one before the first word."""
+    return F.filter(F.transform(words, lambda w, i: F.when(wanted(w), i - 1)), lambda i: i.isNotNull())
 
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["x"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda x, m: F.struct(x.alias("x"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+def _marked(line: Column, pattern: Column, use, none: Column) -> Column:
+    """use(words), where the words of matches bear marks; ``none`` if there is no match."""
+    marked = F.regexp_replace(line, pattern, F.lit(f"{_OPEN}$0{_CLOSE}"))
+    return _bound(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), _bound(F.split(m, " "), use)).otherwise(none))
 
 
-def _struct_array(rows: list[tuple], fields: str) -> Column:
-    names = fields.split()
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])
+def _starts(words: Column) -> Column:
+    return _numbers(words, lambda w: F.startswith(w, F.lit(_OPEN)))
 
 
-def _detections(line: Column) -> Column:
-    """array<struct<a, b, prio, rule, label>> of all rules whose keyword occurs."""
+def _ends(words: Column) -> Column:
+    return _numbers(words, lambda w: F.endswith(w, F.lit(_CLOSE)))
+
+
+def _rule_groups() -> Column:
+    """All rules by keyword, as one constant."""
     groups: dict[str, list] = {}
     for k, (keyword, pattern, priority, label) in enumerate(RULES):
-        groups.setdefault(keyword, []).append((pattern, priority, k, label))
-    parts = []
-    for keyword, rules in sorted(groups.items()):
-        run = F.flatten(F.transform(_struct_array(rules, "pattern prio rule label"), lambda r: F.transform(_spans(line, r["pattern"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), r["prio"].alias("prio"), r["rule"].alias("rule"), r["label"].alias("label")))))
-        parts.append(F.when(F.contains(line, F.lit(keyword)), run).otherwise(F.array().cast("array<struct<a:int,b:int,prio:int,rule:int,label:string>>")))
-    return F.flatten(F.array(*parts))
+        groups.setdefault(keyword, []).append({"pattern": pattern, "prio": priority, "rule": k, "label": label})
+    rows = [{"keyword": k, "rules": r} for k, r in sorted(groups.items())]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,rules:array<struct<pattern:string,prio:int,rule:int,label:string>>>>")
+
+
+def _detections(line: Column) -> Column:
+    """All matches of the rules whose keyword occurs, in order of first word, last word (longest first), priority and rule."""
+    none = F.array().cast(_DETECTIONS)
+
+    def run(r: Column) -> Column:
+        found = lambda a, b: F.struct(a.alias("a"), (-1 - b).alias("nb"), r["prio"].alias("prio"), r["rule"].alias("rule"), r["label"].alias("label"))
+        return _marked(line, r["pattern"], lambda words: F.zip_with(_starts(words), _ends(words), found), none)
 
+    groups = F.filter(_rule_groups(), lambda g: F.contains(line, g["keyword"]))
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(groups, lambda g: g["rules"])), run)))
 
-#: No rule matches more characters than this; detections are compared within two such stretches.
-_REACH = 512
 
+def _reach(detections: Column) -> Column:
+    """Words of the longest detection."""
+    return F.array_max(F.transform(detections, lambda d: -d["nb"] - d["a"]))
 
-def _unsuppressed(detections: Column) -> Column:
-    """Detections that no better one contains.  A container begins in the same stretch or the one before."""
-    stretches = F.array_sort(F.array_distinct(F.transform(detections, lambda d: F.floor(d["a"] / _REACH).cast("int"))))
 
-    def keep(stretch: Column) -> Column:
-        near = F.filter(detections, lambda e: F.floor(e["a"] / _REACH).cast("int").between(stretch - 1, stretch))
-        own = F.filter(near, lambda d: F.floor(d["a"] / _REACH).cast("int") == stretch)
-        better = lambda e, d: (e["prio"] < d["prio"]) | ((e["prio"] == d["prio"]) & (((e["b"] - e["a"]) > (d["b"] - d["a"])) | (((e["b"] - e["a"]) == (d["b"] - d["a"])) & (e["rule"] < d["rule"]))))
-        return F.filter(own, lambda d: ~F.exists(near, lambda e: (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & better(e, d)))
+def _too_near(detections: Column, reach: Column, k: int):
+    return lambda i: F.get(detections, i - k)["a"] + reach > F.get(detections, i)["a"]
 
-    return F.flatten(F.transform(stretches, keep))
+
+def _near(detections: Column, reach: Column) -> Column:
+    """So many detections before each one may contain it: a power of four.
+
+    Both are bound values: they are looked up for every detection.
+    """
+    size, out = F.size(detections), F.lit(1 << 30)
+    for k in reversed([4**e for e in range(1, 12)]):
+        fits = F.when(size <= k, True).otherwise(~F.exists(F.sequence(F.lit(k), size - 1), _too_near(detections, reach, k)))
+        out = F.when(fits, F.lit(k)).otherwise(out)
+    return out
+
+
+def _unsuppressed(detections: Column, near: Column) -> Column:
+    """Sorted detections that no better one contains; a better container comes before, among the ``near`` last ones."""
+    size = lambda x: -x["nb"] - x["a"]
+
+    def keep(d: Column, i: Column) -> Column:
+        def worse_than(e: Column) -> Column:
+            better = (e["prio"] < d["prio"]) | ((e["prio"] == d["prio"]) & ((size(e) > size(d)) | ((size(e) == size(d)) & (e["rule"] < d["rule"]))))
+            return (e["nb"] <= d["nb"]) & better
+
+        before = F.sequence(F.greatest(F.lit(0), i - near), i - 1)
+        return (i == 0) | ~F.exists(before, lambda j: worse_than(F.get(detections, j)))
+
+    return F.filter(detections, keep)
+
+
+def _kept(detections: Column) -> Column:
+    chosen = _bound(_reach(detections), lambda r: _bound(_near(detections, r), lambda n: _unsuppressed(detections, n)))
+    return F.when(F.size(detections) > 1, chosen).otherwise(detections)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -160,25 +129,24 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     ``detections`` are structs (first_word, n_words, label, priority), in order
     of place.  Null and empty texts have no words and no detections.  Repeated
-    rows are scanned each for itself; other columns are ignored.
+    rows are scanned each for itself; other columns are ignored.  A text of any
+    length is scanned whole.  An empty table gives an empty result.
     """
-    out = _scanned(docs)
-    found = F.transform("bm_kept", lambda d: F.struct(_word_at(F.col("bm_line"), d["a"]).alias("first_word"), (_word_at(F.col("bm_line"), d["b"]) - _word_at(F.col("bm_line"), d["a"]) + 1).alias("n_words"), d["label"].alias("label"), d["prio"].alias("priority")))
-    return out.select("doc_id", "n_words", F.array_sort(found).alias("detections"))
+    found = F.transform("bm_kept", lambda d: F.struct(d["a"].alias("first_word"), (-d["nb"] - d["a"]).alias("n_words"), d["label"].alias("label"), d["prio"].alias("priority")))
+    return _scanned(docs).select("doc_id", "n_words", F.array_sort(found).alias("detections"))
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    line = F.trim(F.regexp_replace(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), _SEPARATORS, " "))
+    line = F.rtrim(F.regexp_replace(F.concat(F.lit(" "), lower_ascii(F.coalesce(F.col("text"), F.lit("")))), _SEPARATORS, " "))
     out = docs.select(F.col("doc_id"), line.alias("bm_line"))
     blanks = F.length("bm_line") - F.length(F.replace("bm_line", F.lit(" ")))
-    out = out.select("doc_id", F.when(F.col("bm_line") == "", 0).otherwise(blanks + 1).cast("long").alias("n_words"), "bm_line")
+    out = out.select("doc_id", blanks.cast("long").alias("n_words"), "bm_line")
     gate = F.lit(False)
     for part in COARSE:
         gate = gate | F.contains("bm_line", F.lit(part))
-    none = F.array().cast("array<struct<a:int,b:int,prio:int,rule:int,label:string>>")
     out = out.withColumn("bm_gate", gate)
-    out = out.withColumn("bm_found", F.when(F.col("bm_gate"), _detections(F.col("bm_line"))).otherwise(none))
-    return out.withColumn("bm_kept", F.when(F.size("bm_found") > 1, _unsuppressed(F.col("bm_found"))).otherwise(F.col("bm_found")))
+    out = out.withColumn("bm_found", F.when(F.col("bm_gate"), _detections(F.col("bm_line"))).otherwise(F.array().cast(_DETECTIONS)))
+    return out.select("doc_id", "n_words", "bm_line", "bm_gate", _bound(F.col("bm_found"), _kept).alias("bm_kept"))
 
 
 def license_summary(docs: DataFrame) -> DataFrame:
@@ -192,12 +160,11 @@ def license_summary(docs: DataFrame) -> DataFrame:
     ``scan_licenses``.
     """
     out = _scanned(docs)
-    line = F.concat(F.lit(" "), F.col("bm_line"), F.lit(" "))
     empty = F.array().cast("array<int>")
     places = []
     for k, (phrase, _) in enumerate(BASE):
-        spans = F.transform(_spans(F.concat(F.col("bm_line"), F.lit(" ")), F.lit(rf"(?<![^ ]){phrase}(?= )")), lambda s: _word_at(F.col("bm_line"), s["a"]).cast("int"))
-        places.append(F.when(F.col("bm_gate") & F.contains(line, F.lit(f" {phrase} ")), spans).otherwise(empty).alias(f"bm_p{k}"))
+        spans = _marked(F.col("bm_line"), F.lit(rf"(?<![^ ]){phrase}(?![^ ])"), _starts, empty)
+        places.append(F.when(F.col("bm_gate") & F.contains("bm_line", F.lit(f" {phrase}")), spans).otherwise(empty).alias(f"bm_p{k}"))
     out = out.select("doc_id", "n_words", F.transform("bm_kept", lambda d: d["label"]).alias("bm_labels"), *places)
     starts = F.concat(*[F.col(f"bm_p{k}") for k in range(len(BASE))])
     base = F.filter(F.array(*[F.when(F.size(f"bm_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]), lambda x: x.isNotNull())

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,6 +149,30 @@ def test_license_base(spark):
     assert license_scan.license_summary(documents(spark, rows).limit(0)).collect() == []
 
 
+def detections_of(text):
+    """(first word, words, label, priority) by running every rule over every text, without keywords."""
+    line = " ".join(alnum_words(text))
+    found = set()
+    for k, (_, pattern, priority, label) in enumerate(license_scan.RULES):
+        for m in re.finditer(pattern, line):
+            a = line[: m.start()].count(" ")
+            found.add((a, m.group().count(" ") + 1, priority, k, label))
+    rank = lambda d: (d[2], -d[1], d[3])
+    kept = [d for d in found if not any(e[0] <= d[0] and e[0] + e[1] >= d[0] + d[1] and rank(e) < rank(d) for e in found)]
+    return sorted((a, n, label, p) for a, n, p, _, label in kept)
+
+
+NOTICES = [
+    "Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in compliance with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. All rights reserved. MIT License",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products. 3-clause BSD license",
+    "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 and SPDX-License-Identifier: MIT",
+    "CC BY-SA 4.0 international; Creative Commons Attribution-ShareAlike 3.0 Unported; creativecommons.org/licenses/by/4.0",
+    "gpl v3 or later, lgpl 2.1, example mpl 2.0, simple epl, under the MIT, permit, under the gnu gpl; mozilla public license 2.0",
+]
+
+
 def test_license_rules(spark):
     assert len(license_scan.RULES) >= 300
     assert all(any(part in k for part in license_scan.COARSE) for k, *_ in license_scan.RULES)
@@ -163,16 +189,51 @@ def test_license_rules(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_license_scan_equals_plain_search(spark):
+    """All rules over all texts: joined notices, rule names in random order, and every odd text."""
+    rng = random.Random(12)
+    parts = [*NOTICES, *(k for k, *_ in license_scan.RULES), "version 2", "version 3.0", "or later", "only", "license", "4.0", "the"]
+    texts = [*NOTICES, *(" ".join(rng.choice(parts) for _ in range(rng.randrange(2, 25))) for _ in range(60)), "mit license " * 700]
+    rows = odd_documents() + list(enumerate(texts, 1000))
+    docs = documents(spark, rows)
+    want = {i: detections_of(t) for i, t in rows if i is not None}
+    for r in license_scan.scan_licenses(docs).collect():
+        if r.doc_id is not None:
+            assert [tuple(d) for d in r.detections] == want[r.doc_id]
+    for r in license_scan.license_summary(docs).collect():
+        if r.doc_id is not None:
+            labels = {label for _, _, label, _ in want[r.doc_id]} | set(filter(None, r.base_labels.split(",")))
+            assert r.labels == ",".join(sorted(labels)) and r.score == 1 - 0.5 ** (r.n_base + len(want[r.doc_id]))
+
+
+def test_license_keywords_are_part_of_every_match():
+    for text in NOTICES + [" ".join(k for k, *_ in license_scan.RULES)]:
+        line = "".join(f" {w}" for w in alnum_words(text))
+        for keyword, pattern, _, _ in license_scan.RULES:
+            for m in re.finditer(pattern, line):
+                assert keyword in line[max(0, m.start() - 1) : m.end()]
+
+
+def test_license_scan_takes_time_in_proportion(spark):
+    """Texts of 200 KB and 2 MB full of places."""
+    for n in (16_000, 160_000):
+        began = time.time()
+        r = license_scan.license_summary(documents(spark, [(1, "mit license " * n)])).first()
+        assert (r.n_base, r.first_word, r.last_word, r.labels, r.score) == (n, 0, 2 * n - 2, "mit", 1.0)
+        assert time.time() - began < 60
+
+
 def test_suppression_is_by_containment_and_priority(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(2)
-    dets = [(a, a + rng.randrange(1, 60), rng.randrange(1, 4), k) for k in range(300) for a in [rng.randrange(3000)]]
-    better = lambda e, d: (e[2], -(e[1] - e[0]), e[3]) < (d[2], -(d[1] - d[0]), d[3])
-    want = [d[3] for d in dets if not any(e[0] <= d[0] and e[1] >= d[1] and better(e, d) for e in dets)]
-    frame = spark.createDataFrame([([(*d, "x") for d in dets],)], "d array<struct<a:int,b:int,prio:int,rule:int,label:string>>")
-    got = frame.select(F.transform(license_scan._unsuppressed(F.col("d")), lambda x: x["rule"]).alias("r")).first().r
-    assert sorted(got) == sorted(want)
+    for reach, far in ((60, 3000), (4, 3000), (900, 1000)):
+        dets = [(a, a + rng.randrange(1, reach), rng.randrange(1, 4), k) for k in range(300) for a in [rng.randrange(far)]]
+        better = lambda e, d: (e[2], -(e[1] - e[0]), e[3]) < (d[2], -(d[1] - d[0]), d[3])
+        want = [d[3] for d in dets if not any(e[0] <= d[0] and e[1] >= d[1] and better(e, d) for e in dets)]
+        frame = spark.createDataFrame([([(a, -b, p, k, "x") for a, b, p, k in sorted(dets, key=lambda d: (d[0], -d[1], d[2], d[3]))],)], f"d {license_scan._DETECTIONS}")
+        got = frame.select(F.transform(license_scan._kept(F.col("d")), lambda x: x["rule"]).alias("r")).first().r
+        assert sorted(got) == sorted(want)
 
 
 # Sharding
