@@ -4,11 +4,14 @@ Each shard (a few MB of documents) gets a suffix array over its words.  Only
 suffixes that could begin like a test suffix are kept in it: their words are
 known to the benchmark as far as the shortest window that starts with their
 first two words.  Every test suffix is located in every shard by binary search,
-which gives all verbatim occurrences; neighbouring occurrences on one diagonal
-make up the longest matches.  Shards are independent, so nothing is shuffled.
-
-A benchmark above ``BLOCK_BYTES`` is taken in blocks of that size, one after
-the other over the same rows; the driver and each task hold one block.
+which gives all its verbatim occurrences; those that follow each other in
+document and item are joined into the longest matches, with their places.  Hit
+words, items found and the documents to remove are read off the longest
+matches.  Shards are independent, so nothing is shuffled.
+
+A benchmark above ``BLOCK_BYTES`` is taken in blocks of that size.  There is
+one pass over the documents; for every batch of them a task goes through the
+blocks one after the other and holds one of them, as does the driver.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import extended
 from .textops import ALNUM_WORDS, release_memory, row_blocks, string_buffers, words
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
-_HITS, _ITEMS = "bm_hit_words", "bm_hit_items"
+#: Occurrences (places times item places) joined into matches at once.
+EXPANDED = 2_000_000
 
 
 class Suffixes(NamedTuple):
@@ -101,13 +106,6 @@ def _occurrences(ids: np.ndarray, t: Suffixes, window: int) -> tuple[np.ndarray,
     return here[np.repeat(lo[found], count) + inner], np.repeat(found, count)
 
 
-def _expand(t: Suffixes, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index into ``w`` and place in the windows' list of (item, offset)."""
-    count = t.first[w + 1] - t.first[w]
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(np.arange(len(w)), count), np.repeat(t.first[w], count) + inner
-
-
 class _Shard(NamedTuple):
     lo: int
     hi: int
@@ -139,25 +137,60 @@ def text_of_words(n_words: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(n_words)), n_words)
 
 
-def _scan(t: Suffixes, window: int, batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray], list[list[str]]]:
+class _Matches(NamedTuple):
+    """Longest matches: document row, item, first word in both, number of words."""
+
+    row: np.ndarray
+    item: np.ndarray
+    doc_word: np.ndarray
+    item_word: np.ndarray
+    n_words: np.ndarray
+
+
+def _matches(s: _Shard, t: Suffixes) -> Iterator[_Matches]:
+    """The shard's longest matches.  Where occurrences are many, diagonals are dealt over several rounds."""
+    count = t.first[s.windows + 1] - t.first[s.windows]
+    before = np.concatenate([[0], np.cumsum(count)])
+    rounds = -(-int(before[-1]) // EXPANDED)
+    for r in range(rounds):
+        parts = []
+        for k in range(rounds):
+            lo, hi = np.searchsorted(before, [k * EXPANDED, (k + 1) * EXPANDED], "left")
+            lo, hi = min(lo, len(count)), min(hi, len(count))
+            n = count[lo:hi]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = np.repeat(t.first[s.windows[lo:hi]], n) + inner
+            p, q = np.repeat(s.places[lo:hi], n), t.offsets[place]
+            own = (p - q) % rounds == r
+            parts.append((p[own], q[own], t.items[place][own], np.repeat(t.lengths[s.windows[lo:hi]], n)[own]))
+        p, q, item, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+        row = s.text_of[p]
+        order = np.lexsort((p, p - q, item, row))
+        p, q, item, length, row = p[order], q[order], item[order], length[order], row[order]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
+        a = np.flatnonzero(new)
+        run = np.diff(np.append(a, len(p)))
+        yield _Matches(row[a], item[a], p[a] - s.begin[row[a]], q[a], run + length[a] - 1)
+
+
+def _scan(t: Suffixes, window: int, batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray], list[set[str]]]:
     """Of each row: number of words, hit words as packed bits, ids of the items found."""
     sizes, hits, names = [], [], []
     for s in _shards(batch, t, window):
         edges = np.zeros(len(s.text_of) + 1, dtype=np.int64)
-        np.add.at(edges, s.places, 1)
-        np.add.at(edges, s.places + t.lengths[s.windows], -1)
+        own: list[set[str]] = [set() for _ in range(s.hi - s.lo)]
+        for m in _matches(s, t):
+            at = s.begin[m.row] + m.doc_word
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + m.n_words, -1)
+            for r, item in np.unique(np.stack([m.row, m.item], 1), axis=0).tolist():
+                own[r].add(t.names[item])
         hit = np.cumsum(edges)[:-1] > 0
-        own: list[set] = [()] * (s.hi - s.lo)
-        pair = np.unique(s.text_of[s.places] * len(t.keys) + s.windows) if len(s.places) else s.places
-        row, w = pair // max(1, len(t.keys)), pair % max(1, len(t.keys))
-        k, place = _expand(t, w)
-        for r, item in np.unique(np.stack([row[k], t.items[place]], 1), axis=0).tolist() if len(k) else []:
-            own[r] = own[r] or set()
-            own[r].add(t.names[item])
         for r, (a, n) in enumerate(zip(s.begin.tolist(), s.n_words.tolist(), strict=True)):
             sizes.append(n)
             hits.append(np.packbits(hit[a : a + n]) if own[r] else np.zeros(0, np.uint8))
-            names.append(sorted(own[r]))
+            names.append(own[r])
     return sizes, hits, names
 
 
@@ -171,43 +204,45 @@ def _benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[Suffixes]:
         yield test_suffixes([r["item_id"] for r in found], [r["text"] for r in found], window)
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema: str) -> DataFrame:
-    """``docs`` after all blocks; finish(batch, sizes, hits, names) makes the last one's rows."""
-    sc, out = docs.sparkSession.sparkContext, docs
+def _each(blocks: list[Broadcast]) -> Iterator[Suffixes]:
+    """The blocks in turn; a worker that has several forgets each after use and reads it again from its disk."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema: str | StructType) -> DataFrame:
+    """``docs`` against all blocks; finish(batch, sizes, hits, names) makes the rows."""
+    sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(t) for t in _benchmark_blocks(benchmark, window)]
-    for k, block in enumerate(blocks):
-        last, state = k == len(blocks) - 1, k > 0
-
-        def step(batches: Iterator[pa.RecordBatch], block=block, last=last, state=state) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes, hits, names = _scan(block.value, window, batch)
-                if state:
-                    before = [np.frombuffer(x.as_py(), np.uint8) for x in batch[_HITS]]
-                    hits = [(a | b) if len(a) == len(b) else max(a, b, key=len) for a, b in zip(hits, before, strict=True)]
-                    names = [sorted({*a, *b}) for a, b in zip(names, batch[_ITEMS].to_pylist(), strict=True)]
-                    batch = batch.select([c for c in batch.schema.names if c not in (_HITS, _ITEMS)])
-                release_memory()
-                if last:
-                    yield finish(batch, sizes, hits, names)
-                else:
-                    batch = batch.append_column(_HITS, pa.array([h.tobytes() for h in hits], pa.binary()))
-                    yield batch.append_column(_ITEMS, pa.array(names, pa.list_(pa.string())))
-
-        out = out.mapInArrow(step, schema if last else extended(docs.schema, **{_HITS: "binary", _ITEMS: "array<string>"}))
-    return out
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            sizes, hits, names = [0] * n, [np.zeros(0, np.uint8)] * n, [set()] * n
+            for t in _each(blocks):
+                sizes, more, found = _scan(t, window, batch)
+                hits = [(a | b) if len(a) == len(b) else max(a, b, key=len) for a, b in zip(hits, more, strict=True)]
+                names = [a | b for a, b in zip(names, found, strict=True)]
+            yield finish(batch, sizes, hits, [sorted(x) for x in names])
+            release_memory()
+
+    return docs.mapInArrow(step, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     A window is ``window`` consecutive words of an item, or all words of a
-    shorter one.  ``n_hit`` counts the document words inside any occurrence;
-    ``n_items`` the distinct item ids with occurring windows; ``items_sha256``
-    hashes those ids (sorted as strings, joined by commas; the empty string if
-    there are none).  Null and empty texts have no words and are not
-    contaminated; a null item_id counts as the empty string.  Repeated rows are
-    judged each for itself; other columns are ignored.  With an empty benchmark
-    nothing is contaminated.
+    shorter one.  ``n_hit`` counts the document words inside any longest match;
+    ``n_items`` the distinct item ids with matches; ``items_sha256`` hashes
+    those ids (sorted as strings, joined by commas; the empty string if there
+    are none).  Null and empty texts have no words and are not contaminated; a
+    null item_id counts as the empty string.  Repeated rows are judged each for
+    itself; other columns are ignored.  Texts of any length are taken whole.
+    With an empty benchmark nothing is contaminated; an empty table gives an
+    empty result.
     """
 
     def finish(batch, sizes, hits, names):
@@ -222,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of the benchmark."""
+    """The rows of ``docs``, all columns, that hold no window of the benchmark; edge cases as in ``contamination``."""
 
     def finish(batch, sizes, hits, names):
         return batch.filter(pa.array([not x for x in names], pa.bool_()))
@@ -233,37 +268,21 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id string, doc_word, item_word, n_words): all longest verbatim matches.
 
-    A match can be extended by no word at either end.  Words count from 0.
-    Takes a benchmark of one block; a larger one is matched block by block.
+    These are the matches that ``contamination`` and ``remove_contaminated``
+    judge by.  A match can be extended by no word at either end.  Words count
+    from 0.  Edge cases as in ``contamination``.
     """
-    sc, parts = docs.sparkSession.sparkContext, []
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(t) for t in _benchmark_blocks(benchmark, window)]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in _each(blocks):
+                for s in _shards(batch, t, window):
+                    ids = batch["doc_id"].slice(s.lo, s.hi - s.lo)
+                    for m in _matches(s, t):
+                        columns = [ids.take(pa.array(m.row)), pa.array([t.names[i] for i in m.item], pa.string()), *map(pa.array, m[2:])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+
     schema = "doc_id long, item_id string, doc_word long, item_word long, n_words long"
-    for t in _benchmark_blocks(benchmark, window):
-        block = sc.broadcast(t)
-
-        def step(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for s in _shards(batch, block.value, window):
-                    k, place = _expand(block.value, s.windows)
-                    yield _diagonals(batch["doc_id"].slice(s.lo, s.hi - s.lo), s, block.value, s.places[k], place)
-
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(step, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _diagonals(doc_ids: pa.Array, s: _Shard, t: Suffixes, p: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    item, q = t.items[place], t.offsets[place]
-    window_of = np.searchsorted(t.first, place, "right") - 1
-    order = np.lexsort((p, p - q, item))
-    p, q, item, length = p[order], q[order], item[order], t.lengths[window_of[order]]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-    a = np.flatnonzero(new)
-    run = np.diff(np.concatenate([a, [len(p)]]))
-    row = s.text_of[p[a]]
-    names = pa.array([t.names[i] for i in item[a]], pa.string())
-    columns = [doc_ids.take(pa.array(row)), names, pa.array(p[a] - s.begin[row]), pa.array(q[a]), pa.array(run + length[a] - 1)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(step, schema)
