@@ -293,6 +293,35 @@ def test_top_k(spark, monkeypatch, small):
     same(got, want)
 
 
+def test_vectors_go_only_where_they_can_matter(spark, monkeypatch):
+    """Clusters far apart: a cell's vectors and queries meet, others stay away, and answers are exact."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 3)
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        axis = i // 100 if i % 50 else (i // 50) % 6
+        rows.append((i, [float(4 * (j == axis)) + rng.gauss(0, 0.01) for j in range(6)]))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    data, asked = knn.placed(frame, 5, 64)
+    meetings = data.select("cell", "query_block").distinct().count()
+    assert meetings < 0.5 * data.select("cell").distinct().count() * asked.select("query_block").distinct().count()
+    assert data.count() < 600 * 2 and asked.select("query_block").distinct().count() >= 4
+    vec = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows}
+    want = []
+    for i in range(0, 600, 50):
+        scored = sorted((-sum(a * b for a, b in zip(vec[i], vec[j], strict=True)), j) for j in vec if j != i)
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+    same(knn.exact_top_k(frame).collect(), want)
+
+
+def test_query_blocks_hold_neighbouring_cells(monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 10)
+    points = np.array([[0.0], [100.0], [1.0], [101.0]])
+    got = knn.query_blocks(points, np.array([4, 25, 5, 1]))
+    assert got[0] == (0, 1) and got[2] == (0, 1)  # 9 queries together
+    assert got[1] == (1, 3) and got[3] == (4, 1)
+
+
 def test_top_k_of_few(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert knn.exact_top_k(frame([])).collect() == []
