@@ -7,22 +7,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from braidmill.operators.components import connected_components
 from braidmill.session import materialize, shared_dir
 
-__all__ = ["bitmap", "connected_components", "extended", "lower_ascii", "materialize", "shared_dir", "summed_table", "table"]
+from .textops import release_memory
+
+__all__ = ["bitmap", "connected_components", "extended", "free_name", "lower_ascii", "materialize", "quoted", "shared_dir", "summed_table", "table"]
 
 _SLICES = 16
+#: Arrays that one task adds up.
+_FAN_IN = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it while some column is called so (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """A column by its plain name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def extended(schema: StructType, **more: str) -> StructType:
     """A new schema with further fields, by name and type."""
     return StructType([*schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in more.items())])
@@ -37,8 +54,8 @@ def summed_table(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Record
     """Sum of one fixed-size array per partition of ``df``, over all its rows.
 
     ``fill(total, batch)`` adds a batch.  Each task sends its array in slices,
-    compressed; the slices are added up as they stream in, so memory stays at
-    one array a task however many partitions there are.
+    compressed; the slices are added up as they stream in, by as many levels
+    as it takes for a task to add ``_FAN_IN`` of them at most.
     """
     step = -(-size // _SLICES)
 
@@ -48,6 +65,7 @@ def summed_table(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Record
             fill(total, b)
         blobs = [_pack(total[k * step : (k + 1) * step]) for k in range(_SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
+        release_memory()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -59,7 +77,11 @@ def summed_table(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([_pack(sums[k]) for k in keys], pa.binary())], names=["slice", "blob"])
 
     schema = "slice int, blob binary"
-    rows = df.mapInArrow(partial, schema).repartition(_SLICES, "slice").mapInArrow(add, schema).collect()
+    sums, parts = df.mapInArrow(partial, schema), df.rdd.getNumPartitions()
+    while parts > _FAN_IN:
+        parts = -(-parts // _FAN_IN)
+        sums = sums.withColumn("part", F.spark_partition_id() % parts).repartition(_SLICES * parts, "slice", "part").drop("part").mapInArrow(add, schema)
+    rows = sums.repartition(_SLICES, "slice").mapInArrow(add, schema).collect()
     out = np.zeros(size, dtype=dtype)
     for r in rows:
         part = _unpack(bytes(r["blob"]), dtype)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, connected_components, in_bitmap, materialize, summed_table
+from .common import bitmap, connected_components, free_name, in_bitmap, materialize, quoted, summed_table
 from .textops import SPACE_WORDS, gram_hashes, release_memory, row_blocks, string_buffers, words
 
 #: Cells of the frequency table; only the order of shingles depends on them.
@@ -396,9 +396,10 @@ def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 75) -> Da
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     first = materialize(linked.groupBy("label").agg(F.min_by("row_hash", rank).alias("first_hash")))
     marked = linked.join(first, "label")  # two plain tables: a join that can be split where one component holds most rows
-    gone = materialize(marked.where("row_hash <> first_hash").select(F.col("row_hash").alias("bm_row_hash")).distinct())
-    twice = materialize(marked.where("row_hash = first_hash").groupBy(F.col("row_hash").alias("bm_row_hash")).count().where("count > 1").select("bm_row_hash"))
-    kept = docs.withColumn("bm_row_hash", _row_hash()).join(gone, "bm_row_hash", "left_anti")
+    name = free_name(docs.columns, "bm_row_hash")
+    gone = materialize(marked.where("row_hash <> first_hash").select(F.col("row_hash").alias(name)).distinct())
+    twice = materialize(marked.where("row_hash = first_hash").groupBy(F.col("row_hash").alias(name)).count().where("count > 1").select(name))
+    kept = docs.withColumn(name, F.xxhash64("doc_id", "text")).join(gone, name, "left_anti")
     if not twice.isEmpty():
-        kept = kept.join(twice, "bm_row_hash", "left_anti").unionByName(kept.join(twice, "bm_row_hash", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(twice, name, "left_anti").unionByName(kept.join(twice, name, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*map(quoted, docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, summed_table
+from .common import extended, free_name, quoted, summed_table
 from .textops import _mix, release_memory, row_blocks, string_buffers
 
 #: Cells of the table of hashed words, and width of the vectors.
@@ -87,7 +87,7 @@ _INDEX = _index_vectors()
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 13)).astype(np.int64)
+    return (h >> np.uint64(65 - WORD_CELLS.bit_length())).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -216,17 +216,18 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("text", *[c for c in keep if c != "text"])
+    """The kept columns and the score, under a name that none of them has (the last column)."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), free_name(keep, "bm_score")
+    rows = docs.select("text", *[quoted(c) for c in keep if c != "text"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             p = probabilities(m, _pooled(batch, m.vectors))
             release_memory()
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p, pa.float64())], names=[*keep, "bm_score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(p, pa.float64())], names=[*keep, name])
 
-    return rows.mapInArrow(score, extended(rows.select(*keep).schema, bm_score="double"))
+    return rows.mapInArrow(score, extended(rows.select(*map(quoted, keep)).schema, **{name: "double"}))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -242,6 +243,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject."""
+    """The rows of ``docs``, all columns as they are, that the classifier does not reject; edge cases as in ``quality_scores``."""
     scored = _scores(docs, train_quality(docs, labels), list(docs.columns))
-    return scored.where(F.col("bm_score") >= threshold).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*map(quoted, docs.columns))

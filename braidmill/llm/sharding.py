@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import free_name, quoted
+
 SHARDS = 24
 #: Parts of a shard that number their rows in tasks of their own.
 PARTS = 64
+#: Rows that one of these tasks numbers; more rows get more parts.
+PART_ROWS = 1_000_000
 _RANGE = 1 << 52
 
 
@@ -47,6 +51,8 @@ def _key(doc_id: str) -> Column:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, *carry) of every row.
 
+    A carried column called like one of the others gets underscores behind its name.
+
     ``doc_id`` and the shard count decide the shard (law ``key``); a null id is
     a key of its own.  ``grown_shard`` is the shard among ``shards + 1``.
     ``size`` is the text's UTF-8 bytes plus 8 and ``text_crc32`` its checksum;
@@ -65,14 +71,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...
         F.lit("key").alias("law"),
         jump_hash(key, shards).alias("shard"),
         jump_hash(key, shards + 1).alias("grown_shard"),
-        *[F.col(c) for c in carry],
+        F.struct(F.lit(0).alias("bm_none"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("bm_carry"),
     )
-    part = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") + F.col("text_crc32"), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, -(-docs.count() // (shards * PART_ROWS)))
+    part = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") + F.col("text_crc32"), F.lit(parts)).cast("int")
     rows = rows.withColumn("bm_part", part)
-    counts = rows.groupBy("shard", "bm_part").agg(F.count("*").alias("bm_n"))  # at most shards * PARTS rows
+    counts = rows.groupBy("shard", "bm_part").agg(F.count("*").alias("bm_n"))  # a row per shard and part: one per PART_ROWS rows of docs, or shards * PARTS
     before = F.coalesce(F.sum("bm_n").over(Window.partitionBy("shard").orderBy("bm_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.select("shard", "bm_part", before.alias("bm_start")))
     within = F.row_number().over(Window.partitionBy("shard", "bm_part").orderBy("doc_id", "text_crc32", "size")) - 1
     out = rows.withColumn("bm_row", within).join(starts, ["shard", "bm_part"])
     slot = (F.col("bm_start") + F.col("bm_row")).cast("long").alias("slot")
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", slot, "grown_shard", *carry)
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    carried = []
+    for i, c in enumerate(carry):
+        names.append(free_name(names, c))
+        carried.append(F.col(f"bm_carry.c{i}").alias(names[-1]))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", slot, "grown_shard", *carried)

@@ -76,8 +76,8 @@ from d left join hit using (doc_id) left join items using (doc_id)
 
 OP5 = """
 with t as (
-  select coalesce(conv_id::varchar, '-') as c, conv_id, coalesce(turn // 64, 4611686018427387904)::bigint as part, coalesce(turn, 4611686018427387904) as turn,
-    coalesce(role, 'unknown') as role, coalesce(text, '') as txt from conversations),
+  select coalesce('=' || conv_id::varchar, '-') as c, conv_id, coalesce(turn // 64, 4611686018427387904)::bigint as part, coalesce(turn, 4611686018427387904) as turn,
+    translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(13) || chr(10), '  ') as role, replace(coalesce(text, ''), '<|', '< |') as txt from conversations),
 s as (select distinct c, role as speaker from t),
 r as (
   select t.*, s.speaker, t.role = s.speaker as own,
@@ -85,11 +85,15 @@ r as (
     t.txt || '<|im_end|>' as body
   from t join s using (c)),
 o as (
-  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by c, speaker, part order by turn, role, txt rows between unbounded preceding and 1 preceding), 0) as off from r)
-select any_value(conv_id) as conv_id, speaker, part, count(*)::bigint as n_turns, count(*) filter (own)::bigint as n_own,
-  string_agg(head || body || chr(10), '' order by turn, role, txt) as text,
-  coalesce(string_agg((off + length(head))::bigint::varchar || '-' || (off + length(head) + length(body))::bigint::varchar, ',' order by turn, role, txt) filter (own), '') as mask_spans
-from o group by c, speaker, part
+  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by c, speaker, part order by turn, role, txt rows between unbounded preceding and 1 preceding), 0) as off from r),
+p as (
+  select c, any_value(conv_id) as conv_id, speaker, part, count(*)::bigint as n_turns, count(*) filter (own)::bigint as n_own,
+    string_agg(head || body || chr(10), '' order by turn, role, txt) as text,
+    coalesce(string_agg((off + length(head))::bigint::varchar || '-' || (off + length(head) + length(body))::bigint::varchar, ',' order by turn, role, txt) filter (own), '') as mask_spans
+  from o group by c, speaker, part)
+select conv_id, speaker, part, n_turns, n_own, text, mask_spans,
+  coalesce(sum(length(text)) over (partition by c, speaker order by part rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
+from p
 """
 
 

@@ -46,6 +46,12 @@ def test_one_row_of_each_component_stays(spark):
     same([(d, len(shingles(t)) > 0) for d, t in got], [(d, len(shingles(t)) > 0) for d, t in want])
 
 
+def test_columns_called_like_internal_ones_stay(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 5), (2, text, 6), (3, "else", 7)], "doc_id long, text string, bm_row_hash int")
+    assert sorted(map(tuple, jaccard.keep_one_per_component(docs).collect())) == [(1, text, 5), (3, "else", 7)]
+
+
 def test_prefix_length():
     for n in range(1, 60):
         p = jaccard.prefix_length(n, 75)
