@@ -8,8 +8,12 @@ import tempfile
 import uuid
 from functools import cache
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of this driver that are still there: path and the session's file system settings.
+_written: list[tuple[str, object]] = []
+
 
 @cache
 def _own_folder() -> str:
@@ -20,13 +24,52 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is named, one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder named by spark.checkpoint.dir; a local session that names none gets one of our own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, which cuts the lineage."""
+    """Write to the shared folder and read back, which cuts the lineage.
+
+    The table stays until ``settled`` or the end of the driver removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
+    _written.append((path, spark._jsc.hadoopConfiguration()))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bookmark() -> int:
+    """How many tables there are; ``settled`` removes those written after it."""
+    return len(_written)
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """Materialize ``df``, then remove the tables written since the bookmark, from which it was made."""
+    out = materialize(df)
+    _remove(_written[since:-1])
+    del _written[since:-1]
+    return out
+
+
+def _remove(tables: list[tuple[str, object]]) -> None:
+    from pyspark import SparkContext
+
+    jvm = SparkContext._jvm
+    for path, conf in tables:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    try:
+        _remove(_written)
+    except (Py4JError, OSError, AttributeError):  # the JVM has gone already
+        pass
+    _written.clear()

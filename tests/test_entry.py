@@ -41,3 +41,29 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tables_between_steps_are_removed(spark):
+    from pathlib import Path
+
+    from braidmill import session
+
+    there = lambda: {p.name for p in Path(session.shared_dir(spark).removeprefix("file://")).iterdir()}
+    before, since = there(), session.bookmark()
+    df = session.materialize(spark.range(5))
+    out = session.settled(df.selectExpr("id + 1 as id"), since)
+    assert len(there() - before) == 1 and sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+    assert session.bookmark() == since + 1
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from braidmill import session
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(ValueError):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
