@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidmill.llm.common import materialize, table
+from braidmill.llm.common import quoted, table
 from braidmill.llm.decontaminate import remove_contaminated
 from braidmill.llm.jaccard import keep_one_per_component
 from braidmill.llm.mixing import mix_sources
 from braidmill.llm.quality import keep_quality
 from braidmill.llm.sharding import shard_documents
+from braidmill.session import bookmark, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated (or dropped) so that sources reach their target weights."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select(*map(quoted, docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard and slot; the text goes along."""
-    return shard_documents(docs, carry=("source", "text"))
+    """Every row gets its shard and slot; all columns go along."""
+    return shard_documents(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [
@@ -50,10 +51,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read back."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read back.
+
+    The result has the columns of ``shard_documents`` and all others of the
+    table.  Null and empty texts are scored like texts without words, have no
+    near duplicates and hold no benchmark; repeated rows are near duplicates of
+    each other; a null doc_id or source is a value like any other.  Columns
+    called like those of the stages stay as they are, but for the last stage,
+    which puts underscores behind the table's.  An empty table gives an empty
+    result.  Tables that a stage left behind are removed when the next has been
+    written.
+    """
+    docs, since = table(spark, sf_dir, "documents"), bookmark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
+            docs = settled(docs, since)
     return docs
