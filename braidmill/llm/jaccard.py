@@ -9,17 +9,18 @@ frequency table last.  So the prefix of a text that is mostly its own has
 nothing in common with any other.
 
 1. *Prefixes*: frequencies of the first share are counted exactly, in packed
-   arrays dealt by hash.  Hot shingles are known from a table of fixed size
+   arrays dealt by hash.  Hot shingles are known from a table of hashed cells
    and never dealt that way.
 2. *Collapse*: documents with identical prefixes and set size form one group.
 3. *Filter*: the groups of a prefix shingle, in order of set size, are linked
    one to the next unless their sizes alone rule a link out: one edge per
    posting, never all pairs.  The connected components hold every candidate
-   pair.  Postings of hot shingles are salted.
-4. *Expand and verify*: the distinct sets of each component are compared in
-   blocks of bounded size.  A component above the block size is dealt out as
-   pairs of blocks.  Tasks return one row per set (links and a root), not
-   pairs.
+   pair; postings of hot shingles are salted.  A component comes to one task, or
+   in blocks of bounded size to one task a pair of blocks, and there the group
+   pairs are formed that share a prefix shingle and whose sizes allow a link.
+4. *Expand and verify*: the members of these group pairs, and of each group,
+   are compared; no others are.  Tasks return one row per set (links and a
+   root), not pairs.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ from pyspark.sql.window import Window
 from .common import bitmap, connected_components, free_name, in_bitmap, materialize, quoted, summed_table
 from .textops import SPACE_WORDS, gram_hashes, release_memory, row_blocks, string_buffers, words
 
-#: Cells of the frequency table; only the order of shingles depends on them.
-CELL_BITS = 20
+#: Cells of the frequency table (more of them where one would hold over CELL_LOAD shingles on average, up to the most);
+#: only the order of shingles depends on them.
+CELL_BITS, MOST_CELL_BITS, CELL_LOAD = 20, 26, 100_000
 #: Cells of the membership bitmap; false positives only cost time.
 BITMAP_BITS = 23
 #: Most sets and most shingles of one block.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
-SALTS = 32
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Shingles of a hot cell that one salt stands for.
+SALT_ROWS = 100_000
+#: Seconds that comparing one pair takes, and one cell of a product of all sets.
+PAIR_COST, CELL_COST = 2e-5, 2e-10
 #: Of 256, the share of shingles that come first in the global order.
 FIRST_SHARE = 104
 #: Shingles of that share counted together; there are as many buckets as it takes.
@@ -77,8 +82,8 @@ def _digest(values: np.ndarray, salt: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -86,15 +91,15 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
-def _frequency_table(docs: DataFrame, n: int) -> np.ndarray:
+def _frequency_table(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         data, offsets = string_buffers(batch["text"])
         for lo, hi in row_blocks(offsets):
             h = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)[2]
-            total += np.bincount(_cells(gram_hashes(h, n)), minlength=len(total))
+            total += np.bincount(_cells(gram_hashes(h, n), bits), minlength=len(total))
         release_memory()
 
-    return summed_table(docs.select("text"), 1 << CELL_BITS, fill)
+    return summed_table(docs.select("text"), 1 << bits, fill)
 
 
 def _first_share(h: np.ndarray) -> np.ndarray:
@@ -113,7 +118,10 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
     shingles that more than one document may have.
     """
     sc = docs.sparkSession.sparkContext
-    counts = _frequency_table(docs, n)
+    bits, counts = CELL_BITS, _frequency_table(docs, n, CELL_BITS)
+    if counts.mean() > CELL_LOAD:
+        bits = min(MOST_CELL_BITS, CELL_BITS + math.ceil(math.log2(counts.mean() / CELL_LOAD)))
+        counts = _frequency_table(docs, n, bits)
     hot = max(1000, int(counts.mean() * 8))
     buckets = max(8, -(-int(counts.sum()) * FIRST_SHARE // 256 // BUCKET_SHINGLES))
     table = sc.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
@@ -137,7 +145,7 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
                 continue
             if len(seen) < _SEEN:
                 seen.add(cid)
-            cells = table.value[_cells(g)]
+            cells = table.value[_cells(g, bits)]
             late = cells >= hot
             first = _first_share(g) & ~late
             short = prefix_length(len(g), percent) - int(first.sum())
@@ -147,7 +155,7 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
                 rest = np.flatnonzero(~first)
                 order = rest[np.lexsort((g[rest], np.where(late[rest], cells[rest], 0)))][:short]
                 tokens.append(g[order])
-                salts.append(np.where(late[order], 1 + cid % SALTS, 0).astype(np.int16))
+                salts.append(np.where(late[order], 1 + cid % (1 + cells[order].astype(np.int64) // SALT_ROWS), 0).astype(np.int32))
                 token_cids.append(np.full(len(order), cid, np.int64))
                 token_sizes.append(np.full(len(order), len(g), np.int32))
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
@@ -172,7 +180,7 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
                 _column(np.concatenate([np.array(sizes, np.int32), cat(token_sizes, np.int32)]), pa.int32(), 0, m),
                 pa.concat_arrays([pa.array(cids, pa.int64()), pa.array(cat(token_cids, np.int64)), pa.nulls(m, pa.int64())]),
                 _column(t, pa.int64(), r, m),
-                _column(cat(salts, np.int16), pa.int16(), r, m),
+                _column(cat(salts, np.int32), pa.int32(), r, m),
                 _column([key] * m, pa.int64(), r + k, 0),
                 _column(parts, pa.int32(), r + k, 0),
                 _column(blobs, pa.binary(), r + k, 0),
@@ -180,12 +188,12 @@ def shingle_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[Dat
             names=["doc_id", "row_hash", "size", "cid", "token", "salt", "chunk", "bucket", "blob"],
         )
 
-    schema = "doc_id long, row_hash long, size int, cid long, token long, salt short, chunk long, bucket int, blob binary"
+    schema = "doc_id long, row_hash long, size int, cid long, token long, salt int, chunk long, bucket int, blob binary"
     every = materialize(docs.select(F.col("doc_id").cast("long"), _row_hash(), "text").mapInArrow(split, schema))
     members = every.where("token is null and bucket is null").select("doc_id", "row_hash", F.col("size").cast("long").alias("n_shingles"), "cid")
     packed = every.where("bucket is not null").select("chunk", "bucket", "blob")
     counted = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_count_bucket, "chunk long, bucket int, blob binary")
-    postings = counted.unionByName(packed.where("bucket < 0")).groupBy("chunk").applyInArrow(_choose_prefixes(percent), "token long, salt short, cid long, size int")
+    postings = counted.unionByName(packed.where("bucket < 0")).groupBy("chunk").applyInArrow(_choose_prefixes(percent), "token long, salt int, cid long, size int")
     return members, materialize(postings.unionByName(every.where("token is not null").select("token", "salt", "cid", "size")).distinct())
 
 
@@ -233,7 +241,7 @@ def _choose_prefixes(percent: int):
         rank = np.arange(len(of)) - (np.cumsum(repeated) - repeated)[of]
         keep = rank < room[of]
         of, token = of[keep], token[keep]
-        return pa.table({"token": token, "salt": np.zeros(len(of), np.int16), "cid": docs[of, 0], "size": docs[of, 1].astype(np.int32)})
+        return pa.table({"token": token, "salt": np.zeros(len(of), np.int32), "cid": docs[of, 0], "size": docs[of, 1].astype(np.int32)})
 
     return unit
 
@@ -243,11 +251,15 @@ def _row_hash():
 
 
 def _candidate_groups(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(cid, gid) of all sets with postings, and (gid, cluster) of all groups that may hold a link."""
-    prefix = postings.groupBy("cid").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sum(F.xxhash64("token").bitwiseAND(0xFFFFFFFFFF)).alias("a"), F.sum(F.xxhash64("token", F.lit(1)).bitwiseAND(0xFFFFFFFFFF)).alias("b"))
+    """(cid, gid, tokens) of all sets with postings, and (gid, cluster) of all groups that may hold a link.
+
+    ``tokens`` are 32 bits of each prefix shingle: enough to tell pairs that share none.
+    """
+    marks = F.collect_list(F.hash("token")).alias("tokens")
+    prefix = postings.groupBy("cid").agg(F.first("size").alias("size"), marks, F.count("*").alias("n"), F.sum(F.xxhash64("token").bitwiseAND(0xFFFFFFFFFF)).alias("a"), F.sum(F.xxhash64("token", F.lit(1)).bitwiseAND(0xFFFFFFFFFF)).alias("b"))
     whole = F.col("n") == F.col("size") + F.floor(-F.col("size") * percent / 100) + 1  # else it has shingles of its own
-    groups = materialize(prefix.select("cid", F.when(whole, F.xxhash64("size", "a", "b")).otherwise(F.col("cid")).alias("gid")))
-    postings = postings.join(groups, "cid").select("token", "salt", "gid", "size").distinct()
+    groups = materialize(prefix.select("cid", F.when(whole, F.xxhash64("size", "a", "b")).otherwise(F.col("cid")).alias("gid"), "tokens"))
+    postings = postings.join(groups.drop("tokens"), "cid").select("token", "salt", "gid", "size").distinct()
     w = Window.partitionBy("token", "salt").orderBy("size", "gid")
     chain = postings.select("*", F.lag("gid").over(w).alias("near"), F.lag("size").over(w).alias("near_size"))
     chain = materialize(chain.where(f"(gid <> near and 100 * near_size >= {percent} * size) or salt > 0"))
@@ -326,21 +338,60 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _sharing(tokens: list[np.ndarray]) -> np.ndarray:
+    """Which of the groups share a prefix shingle (or seem to, by 32 bits of it)."""
+    if not sum(map(len, tokens)):
+        return np.zeros((len(tokens), len(tokens)), dtype=bool)
+    return _common_counts([np.unique(t) for t in tokens]) > 0
+
+
+def group_pairs(gid: np.ndarray, size: np.ndarray, tokens: list[np.ndarray], block: np.ndarray, crossing: bool, percent: int) -> np.ndarray:
+    """Pairs of sets to verify, as a matrix: those of one group, and of groups that share a prefix shingle and whose sizes allow a link.
+
+    ``crossing`` leaves out pairs of one block; they belong to that block's own unit.
+    """
+    _, at, of = np.unique(gid, return_index=True, return_inverse=True)
+    low, high = np.minimum.outer(size[at], size[at]), np.maximum.outer(size[at], size[at])
+    fits = 100 * low >= percent * high
+    fits &= _sharing([tokens[i] for i in at]) | np.eye(len(at), dtype=bool)
+    pairs = fits[np.ix_(of, of)]
+    if crossing:
+        pairs &= block[:, None] != block[None, :]
+    np.fill_diagonal(pairs, False)
+    return pairs
+
+
+def _verified(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs reach the threshold; one by one where they are few."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    x, y = np.nonzero(np.triu(pairs))
+    linked = np.zeros_like(pairs)
+    if len(x) * PAIR_COST < CELL_COST * len(sets) ** 2 * max(256, int(size.sum()) // 4):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+            at = np.searchsorted(b, a)
+            common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            linked[i, j] = linked[j, i] = 100 * common >= percent * (size[i] + size[j] - common)
+        return linked
+    some = np.flatnonzero(pairs.any(axis=1))
+    common = _common_counts([sets[i] for i in some])
+    reach = 100 * common >= percent * (size[some][:, None] + size[some][None, :] - common)
+    linked[np.ix_(some, some)] = reach & pairs[np.ix_(some, some)]
+    return linked
+
+
 def _verify(percent: int):
     def unit(t: pa.Table) -> pa.Table:
         cid, at = np.unique(t["cid"].to_numpy(), return_index=True)
         t = t.take(pa.array(at))
         weight, block = t["copies"].to_numpy(), t["block"].to_numpy()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        tokens = [np.array(x, np.int32) for x in t["tokens"].to_pylist()]
         sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t["grams"]]
-        size = np.array([len(s) for s in sets], dtype=np.float64)
-        common = _common_counts(sets)
-        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-        np.fill_diagonal(linked, False)
-        if i != j:  # pairs within a block belong to that block's own unit
-            linked &= block[:, None] != block[None, :]
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        pairs = group_pairs(t["gid"].to_numpy(), size, tokens, block, t["i"][0].as_py() != t["j"][0].as_py(), percent)
+        linked = _verified(sets, pairs, percent)
         root = _roots(linked)
-        del sets, common
+        del sets, pairs
         release_memory()
         return pa.table({"cid": cid, "root": cid[root], "links": (linked @ weight).astype(np.int64)})
 
@@ -352,13 +403,13 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     members, postings = shingle_classes(docs, n, percent)
     groups, clusters = _candidate_groups(postings, percent)
     classes = materialize(members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
-    wanted = materialize(classes.join(groups.join(clusters, "gid").select("cid", "cluster"), "cid").select("cid", "cluster", "copies", "size"))
+    wanted = materialize(classes.join(groups.join(clusters, "gid").select("cid", "gid", "tokens", "cluster"), "cid").select("cid", "gid", "tokens", "cluster", "copies", "size"))
     extent = wanted.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles")).where("sets > 1")
     extent = extent.select("cluster", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = materialize(wanted.join(extent, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
     sets = _sets_of(docs, placed, n).join(placed, "cid")
     units = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cid", "grams", "copies", "block", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    units = units.select("cid", "gid", "tokens", "grams", "copies", "block", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = materialize(units.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "cid long, root long, links long"))
     labels = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "label")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from braidmill.llm import jaccard
@@ -18,7 +19,10 @@ def test_blocks_and_salts_change_nothing(spark, monkeypatch, blocks):
     monkeypatch.setattr(jaccard, "CHUNK_BYTES", 2000)
     rows = odd_documents(5)
     table = jaccard._frequency_table
-    monkeypatch.setattr(jaccard, "_frequency_table", lambda d, n: table(d, n) + (2000 if not blocks else 0))
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 200)
+    monkeypatch.setattr(jaccard, "_frequency_table", lambda d, n, bits: table(d, n, bits) + (2000 if not blocks else 0))
+    monkeypatch.setattr(jaccard, "PAIR_COST", 1e3 if blocks else 1e-12)
+    monkeypatch.setattr(jaccard, "CELL_LOAD", 1e-4 if blocks else 1e9)
     same(jaccard.ngram_jaccard_join(documents(spark, rows)).collect(), components(rows))
 
 
@@ -46,6 +50,22 @@ def test_one_row_of_each_component_stays(spark):
     same([(d, len(shingles(t)) > 0) for d, t in got], [(d, len(shingles(t)) > 0) for d, t in want])
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_only_group_pairs_are_verified(monkeypatch, few):
+    """Groups share a prefix shingle and have fitting sizes; members of a group are compared with each other."""
+    monkeypatch.setattr(jaccard, "PAIR_COST", 0.0 if few else 1e3)
+    gid = np.array([5, 5, 7, 8, 9])
+    size = np.array([10, 10, 11, 11, 40])
+    tokens = [np.array(x, np.int32) for x in ([1, 2], [1, 2], [2, 3], [4], [1])]
+    pairs = jaccard.group_pairs(gid, size, tokens, np.zeros(5), False, 75)
+    assert {(i, j) for i, j in zip(*np.nonzero(pairs), strict=True) if i < j} == {(0, 1), (0, 2), (1, 2)}
+    crossing = jaccard.group_pairs(gid, size, tokens, np.array([0, 1, 0, 0, 0]), True, 75)
+    assert {(i, j) for i, j in zip(*np.nonzero(crossing), strict=True) if i < j} == {(0, 1), (1, 2)}
+    sets = [np.arange(a, a + 10, dtype=np.uint64) for a in (0, 1, 5, 0, 0)]
+    linked = jaccard._verified(sets, pairs, 75)
+    assert {(i, j) for i, j in zip(*np.nonzero(linked), strict=True) if i < j} == {(0, 1)}  # (0, 3) are equal, but no pair
+
+
 def test_columns_called_like_internal_ones_stay(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text, 5), (2, text, 6), (3, "else", 7)], "doc_id long, text string, bm_row_hash int")
