@@ -35,18 +35,22 @@ def _plain(value: Column) -> Column:
     return F.replace(value, F.lit("<|"), F.lit("< |"))
 
 
-def _with_offsets(parts: DataFrame) -> DataFrame:
-    """parts plus the characters of the dialogue before each: within spans of parts, then over the spans' totals."""
+def _offsets(turns: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(bm_conv, speaker, part, offset): characters of the dialogue before each part, from lengths alone.
+
+    They are added up within spans of parts, then over the spans' totals.
+    """
     keys = ["bm_conv", "speaker"]
-    span = F.floor(F.col("part") / SPAN_PARTS).alias("bm_span")
-    sizes = parts.select(*keys, "part", span, F.length("text").cast("long").alias("bm_size"))
+    told = turns.groupBy("bm_conv", "part", "role").agg(F.count("*").alias("bm_n"), F.sum(F.length("text").cast("long")).alias("bm_chars"))
+    head, body = _rendered(F.col("role") == F.col("speaker"), F.col("role"), F.lit(""))
+    size = F.sum(F.col("bm_chars") + F.col("bm_n") * (F.length(head) + F.length(body) + 1))
+    sizes = told.join(speakers, "bm_conv").groupBy(*keys, "part").agg(size.alias("bm_size")).withColumn("bm_span", F.floor(F.col("part") / SPAN_PARTS))
     w = Window.partitionBy(*keys, "bm_span").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inner = sizes.withColumn("bm_inner", F.coalesce(F.sum("bm_size").over(w), F.lit(0)))
     w = Window.partitionBy(*keys).orderBy("bm_span").rowsBetween(Window.unboundedPreceding, -1)
     totals = sizes.groupBy(*keys, "bm_span").agg(F.sum("bm_size").alias("bm_size"))
     outer = totals.select(*keys, "bm_span", F.coalesce(F.sum("bm_size").over(w), F.lit(0)).alias("bm_outer"))
-    offsets = inner.join(outer, [*keys, "bm_span"]).select(*keys, "part", (F.col("bm_inner") + F.col("bm_outer")).alias("offset"))
-    return parts.join(offsets, [*keys, "part"])
+    return inner.join(outer, [*keys, "bm_span"]).select(*keys, "part", (F.col("bm_inner") + F.col("bm_outer")).alias("offset"))
 
 
 def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -93,4 +97,4 @@ def rotate_perspectives(conversations: DataFrame, part_turns: int = PART_TURNS)
         text.alias("text"),
         F.aggregate("bm_turns", spot, step, lambda s: s["masks"]).alias("masks"),
     )
-    return _with_offsets(parts).select("conv_id", "speaker", "part", "offset", "n_turns", "n_own", "text", "masks")
+    return parts.join(_offsets(turns, speakers), ["bm_conv", "speaker", "part"]).select("conv_id", "speaker", "part", "offset", "n_turns", "n_own", "text", "masks")
