@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from braidmill.functions import sequences as S
 
+#: Bases of known sequences that are broadcast, and of a prediction that larger ones are looked up by.
+BROADCAST_BASES, SEED = 4_000_000, 24
+#: Reads, and ranges of reads, that are numbered in one task.
+RANGE = 4096
+
 
 def unique_truths(truths: DataFrame) -> DataFrame:
     """(seq, ids): one row for each distinct known sequence with the ids that share it."""
@@ -16,11 +21,23 @@ def unique_truths(truths: DataFrame) -> DataFrame:
 def containment(truths: DataFrame, predictions: DataFrame) -> DataFrame:
     """(ids, found_id, strand): predictions that lie inside a known sequence or its complement.
 
-    ``truths`` is the stated set of known sequences; it is taken against all
-    predictions.
+    Known sequences of up to ``BROADCAST_BASES`` together are taken to all
+    predictions; more meet them by the prediction's first ``SEED`` bases.
     """
     known = unique_truths(truths).select("ids", F.col("seq").alias("truth"), S.revcomp(F.col("seq")).alias("truth_rc"))
-    both = predictions.select(F.col("path_id").alias("found_id"), "seq").join(F.broadcast(known) if known.limit(1001).count() <= 1000 else known, F.contains(F.col("truth"), F.col("seq")) | F.contains(F.col("truth_rc"), F.col("seq")))
+    found = predictions.select(F.col("path_id").alias("found_id"), "seq")
+    inside = F.contains(F.col("truth"), F.col("seq")) | F.contains(F.col("truth_rc"), F.col("seq"))
+    bases = known.agg(F.sum(F.length("truth").cast("long"))).first()[0] or 0
+    if bases <= BROADCAST_BASES:
+        both = found.join(F.broadcast(known), inside)
+    else:
+        size = F.least(F.length("seq"), F.lit(SEED))
+        sizes = [r[0] for r in found.select(size).distinct().collect()]  # SEED + 1 values at most
+        starts = lambda t, n: F.transform(F.sequence(F.lit(0), F.length(t) - n), lambda i: F.substring(t, i + 1, F.lit(n)))
+        cuts = [F.when(F.length("truth") >= n, F.concat(starts(F.col("truth"), n), starts(F.col("truth_rc"), n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+        seeds = known.select("ids", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("seed")) if cuts else known.select("ids", F.lit("").alias("seed"))
+        near = found.withColumn("seed", F.substring("seq", F.lit(1), size)).join(seeds, "seed").drop("seed")
+        both = near.join(known, "ids").where(inside)
     return both.select("ids", "found_id", F.when(F.contains(F.col("truth"), F.col("seq")), "+").otherwise("-").alias("strand"))
 
 
@@ -101,11 +118,13 @@ def numbered_reads(reads: DataFrame) -> DataFrame:
     """(header, seq): reads named by number and length, in order of read_id and mate."""
     from pyspark.sql.window import Window
 
-    # numbers within ranges of ids, then the ranges' totals: no task sees all reads
-    part = F.floor(F.col("read_id") / 4096).alias("part")
-    rows = reads.select("read_id", "mate", "seq", part)
-    totals = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    # numbers within ranges of ids, then the ranges' totals within ranges of ranges: no task sees all reads or all ranges
+    rows = reads.select("read_id", "mate", "seq", F.floor(F.col("read_id") / RANGE).alias("part"))
+    totals = rows.groupBy("part").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("part") / RANGE))
+    lower = totals.select("part", "upper", (F.sum("n").over(Window.partitionBy("upper").orderBy("part")) - F.col("n")).alias("lower_before"))
+    uppers = totals.groupBy("upper").agg(F.sum("n").alias("n"))
+    higher = uppers.select("upper", (F.sum("n").over(Window.orderBy("upper")) - F.col("n")).alias("upper_before"))  # a row for RANGE * RANGE ids
+    before = lower.join(higher, "upper").select("part", (F.col("lower_before") + F.col("upper_before")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("part").orderBy("read_id", "mate"))
     out = rows.withColumn("i", inner).join(before, "part")
     return out.select(F.concat_ws("_", (F.col("before") + F.col("i")).cast("string"), F.length("seq").cast("string")).alias("header"), "seq")

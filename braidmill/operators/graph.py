@@ -135,14 +135,15 @@ def reachable(vertices: DataFrame, cond: DataFrame) -> DataFrame:
         nearby: dict[int, list[int]] = {}
         for r in cond.collect():
             nearby.setdefault(r["src"], []).append(r["dst"])
-        seen = {r["vid"] for r in begin.collect()}
+        seen = set(nearby) - {v for heads in nearby.values() for v in heads}  # sources with edges; the others reach only themselves
         todo = list(seen)
         while todo:
             for v in nearby.get(todo.pop(), []):
                 if v not in seen:
                     seen.add(v)
                     todo.append(v)
-        return vertices.sparkSession.createDataFrame([(v,) for v in sorted(seen)], "vid long")
+        walked = vertices.sparkSession.createDataFrame([(v,) for v in sorted(seen)], "vid long")
+        return walked.unionByName(begin).distinct()
     seen = front = materialize(begin)
     while not front.isEmpty():
         front = materialize(cond.join(front.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti"))

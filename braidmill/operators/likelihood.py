@@ -46,12 +46,16 @@ def set_likelihood(sets: DataFrame, paths: DataFrame, pairs: DataFrame, genome:
     ``missed`` is the share of the support that no path of the set holds.
     """
     sizes = sets.groupBy("set_id").agg(F.countDistinct("path_id").alias("size"))
-    total = pairs.agg(F.sum("cnt").alias("total"))
-    every = sizes.crossJoin(F.broadcast(total)).crossJoin(pairs)  # sets are the stated candidates, taken against all support
-    every = every.join(pair_multiplicity(sets.distinct(), paths), ["set_id", "v1", "v2"], "left")
+    every = pairs.agg(F.sum("cnt").alias("total"), F.count("*").alias("n_pairs"))
+    # a missed pair costs the same in every set, so a set is judged by the pairs it holds
+    held = pair_multiplicity(sets.distinct(), paths).join(pairs, ["v1", "v2"]).join(sizes, "set_id").crossJoin(F.broadcast(every))  # one row
     part = term(F.col("d"), F.col("size"), F.col("cnt"), F.col("span"), F.col("total"), genome, penalty)
-    out = every.groupBy("set_id", "size").agg(F.sum(part).alias("loglik"), (F.sum(F.when(F.col("d").isNull(), F.col("cnt")).otherwise(0)) / F.first("total")).alias("missed"))
-    return out.select("set_id", F.col("size").cast("int").alias("size"), "loglik", "missed")
+    held = held.groupBy("set_id").agg(F.sum(part).alias("part"), F.sum("cnt").alias("held_cnt"), F.count("*").alias("n_held"))
+    out = sizes.join(held, "set_id", "left").crossJoin(F.broadcast(every)).na.fill(0, ["part", "held_cnt", "n_held"])
+    missed = F.col("total") - F.col("held_cnt")
+    lost = missed if penalty == "weighted" else F.col("n_pairs") - F.col("n_held")
+    loglik = (F.col("part") - PENALTY[penalty] * lost).alias("loglik")
+    return out.where("n_pairs > 0").select("set_id", F.col("size").cast("int").alias("size"), loglik, (missed / F.col("total")).alias("missed"))
 
 
 def leave_one_out(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str = "weighted") -> DataFrame:
@@ -86,16 +90,25 @@ def elimination(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str =
     """
     spark = paths.sparkSession
     held = path_pairs(paths).join(pairs, ["v1", "v2"])
-    if held.limit(DRIVER_ENTRIES + 1).count() > DRIVER_ENTRIES:
+    ids = paths.select("path_id").distinct()
+    if held.limit(DRIVER_ENTRIES + 1).count() > DRIVER_ENTRIES or ids.limit(DRIVER_ENTRIES + 1).count() > DRIVER_ENTRIES:
         return _elimination_by_joins(paths, pairs, genome, penalty)
-    support = [(r["v1"], r["v2"], r["cnt"], r["span"]) for r in pairs.select("v1", "v2", "cnt", "span").collect()]
-    place = {(a, b): i for i, (a, b, _, _) in enumerate(support)}
-    cnt = np.array([s[2] for s in support], dtype=float)
-    span = np.array([s[3] for s in support], dtype=float)
-    total = cnt.sum()
-    members: dict = {r["path_id"]: [] for r in paths.select("path_id").distinct().collect()}
-    for r in held.select("path_id", "v1", "v2").collect():
-        members[r["path_id"]].append(place[r["v1"], r["v2"]])
+    # the driver gets what paths hold; of all other support only its sums
+    members: dict = {r["path_id"]: [] for r in ids.collect()}
+    place: dict[tuple, int] = {}
+    support: list[tuple] = []
+    for r in held.select("path_id", "v1", "v2", "cnt", "span").collect():
+        pair = (r["v1"], r["v2"])
+        if pair not in place:
+            place[pair] = len(support)
+            support.append((r["cnt"], r["span"]))
+        members[r["path_id"]].append(place[pair])
+    cnt = np.array([s[0] for s in support], dtype=float)
+    span = np.array([s[1] for s in support], dtype=float)
+    every = pairs.agg(F.sum("cnt").alias("total"), F.count("*").alias("n")).first()
+    total = float(every["total"] or 0)
+    unheld = total - cnt.sum()
+    beyond = -PENALTY[penalty] * (unheld if penalty == "weighted" else every["n"] - len(support))
     d = np.zeros(len(support))
     for at in members.values():
         d[at] += 1
@@ -110,14 +123,14 @@ def elimination(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str =
     while members:
         h = len(members) - 1
         now, less = parts(d, h), parts(d - 1, h)
-        base, change = now.sum(), less - now
+        base, change = now.sum() + beyond, less - now
         scored = [(base + change[at].sum(), p) for p, at in members.items()]
         scored = [(ll, p) for ll, p in scored if ll != 0 and math.isfinite(ll)]
         if not scored:
             break
         ll, gone = min(scored, key=lambda x: (-x[0], x[1]))
         d[members.pop(gone)] -= 1
-        trace.append((len(trace) + 1, h, float(ll), str(gone), float(cnt[d == 0].sum() / total) if total else 0.0))
+        trace.append((len(trace) + 1, h, float(ll), str(gone), float((cnt[d == 0].sum() + unheld) / total) if total else 0.0))
     return spark.createDataFrame(trace, "step int, size int, loglik double, removed string, missed double")
 
 

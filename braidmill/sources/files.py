@@ -21,16 +21,16 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """reads(id, seq, qual) of records of four lines, told apart by line number."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
-    for p in paths:
-        lines = _ordered(spark.read.text(p).select(F.rtrim("value").alias("line")))
-        line = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("line")))
-        rows = lines.groupBy(F.floor(F.col("at") / 4).alias("n")).agg(line(0).alias("id"), F.upper(line(1)).alias("seq"), line(3).alias("qual"))
-        rows = rows.where(F.col("id").startswith("@")).select(F.substring("id", F.lit(2), F.length("id")).alias("id"), "seq", "qual")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """reads(id, seq, qual) of records of four lines, told apart by line number; each file begins with a record."""
+    return _fastq(spark, paths).select("id", "seq", "qual")
+
+
+def _fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The records with ``at``, their place."""
+    lines = _ordered(spark.read.text(paths).select(F.rtrim("value").alias("line")))
+    line = lambda k: F.max(F.when(F.col("at") % 4 == k, F.col("line")))
+    rows = lines.groupBy(F.floor(F.col("at") / 4).alias("at")).agg(line(0).alias("id"), F.upper(line(1)).alias("seq"), line(3).alias("qual"))
+    return rows.where(F.col("id").startswith("@")).select(F.substring("id", F.lit(2), F.length("id")).alias("id"), "seq", "qual", "at")
 
 
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -58,10 +58,24 @@ def sample_of_files(paths: list[str], share: int = 20) -> list[str]:
     return paths[: max(1, len(paths) // share)]
 
 
-def _ordered(reads: DataFrame) -> DataFrame:
-    """reads plus their place in the file."""
-    rows = reads.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return reads.sparkSession.createDataFrame(rows, reads.schema.simpleString()[len("struct<") : -1] + ",at:bigint")
+def _ordered(rows: DataFrame) -> DataFrame:
+    """rows of a text source plus ``at``, their place in order of file name and place in the file.
+
+    Spark deals blocks of files to tasks in an order of its own, but reads each
+    block from begin to end.  So a row's place is the number of rows in the
+    blocks before (one small row a block) plus its place in its block.
+    """
+    block = ["bm_file", "bm_from"]
+    marked = rows.select("*", F.col("_metadata.file_path").alias("bm_file"), F.col("_metadata.file_block_start").alias("bm_from"), F.monotonically_increasing_id().alias("bm_id"))
+    blocks = marked.groupBy(*block).agg(F.min("bm_id").alias("bm_first"), F.count("*").alias("bm_n")).collect()
+    blocks.sort(key=lambda r: (r["bm_file"], r["bm_from"]))
+    shift, before = [], 0
+    for r in blocks:
+        shift.append((r["bm_file"], r["bm_from"], before - r["bm_first"]))
+        before += r["bm_n"]
+    table = rows.sparkSession.createDataFrame(shift, "bm_file string, bm_from long, bm_shift long")
+    placed = marked.join(F.broadcast(table), block)  # a row a block of a file
+    return placed.select(*rows.columns, (F.col("bm_id") + F.col("bm_shift")).alias("at"))
 
 
 def read_interleaved_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +85,17 @@ def read_interleaved_pairs(spark: SparkSession, path: str) -> DataFrame:
     return by.agg(F.max(F.when(F.col("at") % 2 == 0, F.col("seq"))).alias("r1"), F.max(F.when(F.col("at") % 2 == 1, F.col("seq"))).alias("r2")).where("r2 is not null")
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, at) of the records of a FASTA or FASTQ file."""
+    first = spark.read.text(path).first()
+    if first and first[0].startswith("@"):
+        return _fastq(spark, path).select("seq", "at")
+    return _ordered(read_fasta(spark, path).select("seq"))
+
+
 def read_paired_files(spark: SparkSession, first: str, second: str) -> DataFrame:
     """read_pairs(pair_id, r1, r2) from two files whose records correspond by order."""
-    one, two = _ordered(read_sequences(spark, first).select("seq")), _ordered(read_sequences(spark, second).select("seq"))
+    one, two = _placed(spark, first), _placed(spark, second)
     return one.select(F.col("at").alias("pair_id"), F.col("seq").alias("r1")).join(two.select(F.col("at").alias("pair_id"), F.col("seq").alias("r2")), "pair_id")
 
 

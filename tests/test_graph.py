@@ -190,6 +190,50 @@ def test_workflow_recovers_the_variants(spark, sf_dir):
     assert hits
 
 
+def test_containment_by_seeds_equals_that_by_broadcast(spark, monkeypatch):
+    random.seed(5)
+    base = ["".join(random.choice("ACGT") for _ in range(300)) for _ in range(4)]
+    truths = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate([*base, base[0], "ACG"])], "hap_id string, seq string")
+    texts = [t[i : i + n] for t in base for i, n in ((0, 60), (250, 50), (10, 24), (5, 10))]
+    texts += [rc(t) for t in texts[:6]] + ["".join(random.choice("ACGT") for _ in range(40)) for _ in range(5)] + ["", "A", "ACG", base[1] + "A"]
+    found = spark.createDataFrame(list(enumerate(texts)), "path_id int, seq string")
+    want = sorted(tuple(r) for r in evaluate.containment(truths, found).collect())
+    monkeypatch.setattr(evaluate, "BROADCAST_BASES", 0)
+    assert sorted(tuple(r) for r in evaluate.containment(truths, found).collect()) == want and len(want) > 20
+    assert evaluate.containment(truths, found.limit(0)).collect() == []
+
+
+def test_numbers_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "RANGE", 3)
+    ids = [0, 1, 2, 5, 8, 9, 26, 27, 100, 1000]
+    reads = spark.createDataFrame([(i, m, "A" * (i % 7 + m)) for i in ids for m in (1, 2)], "read_id long, mate int, seq string")
+    got = sorted((tuple(r) for r in evaluate.numbered_reads(reads).collect()), key=lambda r: int(r[0].split("_")[0]))
+    assert got == [(f"{n}_{i % 7 + m}", "A" * (i % 7 + m)) for n, (i, m) in enumerate(((i, m) for i in ids for m in (1, 2)), 1)]
+
+
+def test_isolated_vertices_reach_themselves(spark, monkeypatch):
+    vertices = spark.createDataFrame([(i,) for i in range(50)], "vid long")
+    cond = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 7)], "src long, dst long")
+    for most in (100, 0):
+        monkeypatch.setattr(graph, "DRIVER_EDGES", most)
+        assert sorted(r.vid for r in graph.reachable(vertices, cond).collect()) == [i for i in range(50) if i not in (7, 8)]
+
+
+def test_elimination_sums_support_that_no_path_holds(spark):
+    paths = spark.createDataFrame([("a", [1, 2]), ("b", [3]), ("c", [9])], "path_id string, nodes array<long>")
+    pairs = spark.createDataFrame([(1, 2, 5, 10), (3, 3, 4, 10)] + [(100 + i, 200 + i, 2, 10) for i in range(300)], "v1 long, v2 long, cnt long, span long")
+    plain = [tuple(r) for r in pairs.collect()]
+    left, want = {"a": [1, 2], "b": [3], "c": [9]}, []
+    while left:
+        scored = [(-brute_ll([n for q, n in left.items() if q != p], plain, 60, 609, 1e8)[0], p) for p in left]
+        best, gone = min((s, p) for s, p in scored if s != 0)
+        left.pop(gone)
+        want.append((len(left), -best, gone, brute_ll(list(left.values()), plain, 60, 609, 1e8)[1]))
+    got = [(r.size, r.loglik, r.removed, r.missed) for r in likelihood.elimination(paths, pairs, 60).orderBy("step").collect()]
+    assert [x[::2] for x in got] == [x[::2] for x in want]
+    assert all(abs(x[i] - y[i]) <= 1e-9 * abs(y[i]) for x, y in zip(got, want, strict=True) for i in (1, 3))
+
+
 def test_evaluation(spark):
     truths = spark.createDataFrame([("a", "ACGTTT"), ("b", "ACGTTT"), ("c", "CCCC")], "hap_id string, seq string")
     found = spark.createDataFrame([(1, "GTT"), (2, "AAAC"), (3, "TTTG")], "path_id int, seq string")

@@ -29,6 +29,27 @@ def test_fastq_and_pairs(spark, tmp_path):
     assert rows(files.read_interleaved_pairs(spark, str(tmp_path / "p.fa"))) == [(0, "AA", "CC"), (1, "GG", "TT")]
 
 
+def test_places_over_many_files_and_blocks(spark, tmp_path):
+    """Files in order of name, whatever their sizes, and blocks of a file in order."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        folder = tmp_path / "reads"
+        folder.mkdir()
+        names = []
+        for f, n in enumerate([3, 90, 1, 40]):
+            text = "".join(f"@r{f}_{i}\n{'ACGT'[i % 4] * (5 + i % 9)}\n+\n{'I' * (5 + i % 9)}\n" for i in range(n))
+            (folder / f"{f}.fq").write_text(text)
+            names += [f"r{f}_{i}" for i in range(n)]
+        got = files._fastq(spark, str(folder)).orderBy("at").collect()
+        assert [r.id for r in got] == names and [r["at"] for r in got] == list(range(len(names)))
+        assert files.read_fastq(spark, [str(folder / "0.fq"), str(folder / "1.fq")]).count() == 93
+        plan = files.read_fastq(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ExistingRDD") == 1 and "ExistingRDD[bm_file" in plan  # the blocks; lines never leave the JVM
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_text_tables_round_trip(spark, tmp_path):
     k = spark.createDataFrame([(3, "AAC", 5), (3, "CCC", 1)], "k int, kmer string, cnt long")
     sinks.write_kmer_text(k, str(tmp_path / "k"))
