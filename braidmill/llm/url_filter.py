@@ -8,6 +8,7 @@ driver from a small labelled URL table, which is a parameter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .textops import string_buffers
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 WEIGHT_BITS = 16
 GRAMS = (3, 4, 5)
-#: Most rows of a labelled table that are trained on.
+#: Most rows of a labelled table that are trained on, those with the smallest digests.
 LABELLED_ROWS = 20_000
 #: Scores from here on are blocked: rather let a page pass than block a good one.
 THRESHOLD = 0.75
@@ -36,17 +37,21 @@ _ALLOWED_WORDS = """news daily-times journal gazette library archive museum gall
     government parliament court weather travel railway garden kitchen recipes bakery books reviews music orchestra
     theatre film football cycling chess hiking photo blog notes diary docs manual developer software linux database
     wiki encyclopedia dictionary translate maps energy forest ocean village""".split()
+# What such hosts like to put beside the word.
+_BLOCKED_SIDES = "best online bonus hot live vip mega king 24h now".split()
+_ALLOWED_SIDES = "city national county local my house center association today digital".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The built-in labelled table: every word above in a few usual kinds of URL; 1 is blocked."""
+    """The built-in labelled table: every word above, alone and with something beside it, in a few usual kinds of URL; 1 is blocked."""
     ends, prefixes = ["com", "org", "net", "info"], ["www.", "", "m.", "blog."]
     paths = ["/en/4{}", "/de/1{}.html", "/fr/7{}?page=2", "/es/3{}/", "/", ""]
     out = []
-    for label, names in ((1, _BLOCKED_WORDS), (0, _ALLOWED_WORDS)):
+    for label, names, sides in ((1, _BLOCKED_WORDS, _BLOCKED_SIDES), (0, _ALLOWED_WORDS, _ALLOWED_SIDES)):
         for k, word in enumerate(names):
-            for j in range(4):
-                host = f"{prefixes[(k + j) % 4]}{word}.{'example.' * ((k + j) % 2)}{ends[(k // 2 + j) % 4]}"
+            one, two = sides[k % len(sides)], sides[(k // 2 + 3) % len(sides)]
+            for j, name in enumerate((word, word, word, word, f"{one}{word}", f"{word}-{two}")):
+                host = f"{prefixes[(k + j) % 4]}{name}.{'example.' * ((k + j) % 2)}{ends[(k // 2 + j) % 4]}"
                 out.append((f"http{'s' * (j % 2)}://{host}{paths[(k + j) % 6].format(100 + 7 * k)}", label))
     return out
 
@@ -124,19 +129,23 @@ def train(urls: list[tuple[str, str, int]], steps: int = 300, rate: float = 0.5,
     return w, float(b)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of ``pages(page_id, url)``.
 
     The verdict is the rule's where one fits, else ``block`` from a score of
     ``threshold`` on.  ``score`` is the classifier's probability of ``block``,
     for rule hits too; host and path both empty score 0 and are allowed.  Null
     urls and urls without ``://`` have an empty host and path.  Repeated rows
-    are judged each for itself; other columns are ignored.
+    are judged each for itself; other columns are ignored; urls of any length
+    are taken whole.  An empty table gives an empty result.  Of a labelled table
+    of more than ``labelled_rows`` rows those with the smallest digests count.
     """
     rules = RULES if rules is None else rules
     labelled = labelled_urls() if labelled is None else labelled
     spark = pages.sparkSession
-    known = spark.createDataFrame(labelled[:LABELLED_ROWS], "url string, label int") if labelled else None
+    if len(labelled) > labelled_rows:
+        labelled = sorted(labelled, key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[1]))[:labelled_rows]
+    known = spark.createDataFrame(labelled, "url string, label int") if labelled else None
     parsed = known.select(url_host(F.col("url")), url_path(F.col("url")), "label").collect() if labelled else []
     model = spark.sparkContext.broadcast(train([tuple(r) for r in parsed]))
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -64,3 +65,38 @@ def test_word_vectors_are_sums_over_all_texts(spark):
             sums[y] += Q._INDEX[x]
     norm = np.sqrt((sums**2).sum(1, keepdims=True))
     assert np.allclose(got, np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0), atol=1e-6)
+
+
+def plain_tokens(text):
+    """Word hashes, byte by byte."""
+    mask = 2**64 - 1
+    mix = lambda h: int(Q._mix(np.array([h & mask], np.uint64))[0])
+    kind = lambda b: 0 if b < 33 else 1 if b >= 128 or chr(b).isalnum() else 2
+    out, run = [], []
+    for b in [*(text or "").encode(), 32]:
+        if run and kind(b) != kind(run[0]):
+            if kind(run[0]):
+                out.append(mix(sum(int(Q._VALUE[x]) * ((i & 15) * 0x9FB21C651E98DF25 & mask | 1) for i, x in enumerate(run))))
+            run = []
+        run.append(b)
+    return out
+
+
+def test_scores_by_plain_arithmetic(spark):
+    """Every text's score, from its words, the word table and the network's weights, without arrays of texts."""
+    rows = [r for r in odd_documents() if r[0] is not None and len(r[1] or "") < 5000]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    m = Q.train_quality(docs, labels)
+    got = {}
+    for r in Q.quality_scores(docs, labels).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for i, text in rows:
+        cells = [h >> 64 - 13 for h in plain_tokens(text)]
+        x = np.zeros(3 * Q.WIDTH + 2)
+        if cells:
+            own, index = np.array([m.vectors[c] for c in cells], float), np.array([Q._INDEX[c] for c in cells], float)
+            x = np.concatenate([own.mean(0), index.mean(0), own.std(0), [np.log1p(len(cells)), len(text.encode()) / len(cells) / 8]])
+        hidden = [math.tanh(sum(((x[a] - m.center[a]) / m.scale[a]) * m.w1[a, h] for a in range(len(x))) + m.b1[h]) for h in range(Q.HIDDEN)]
+        z = (sum(h * w for h, w in zip(hidden, m.w2, strict=True)) + m.b2) / m.temperature
+        assert any(abs(s - 1 / (1 + math.exp(-z))) < 1e-3 for s in got[i])
