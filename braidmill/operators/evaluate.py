@@ -92,6 +92,31 @@ def choose_strands(sam: DataFrame) -> DataFrame:
     return sam.where(F.col("flag").isin(0, 16)).groupBy("qname", "pos").agg(F.min(F.col("flag") == 16).alias("turned"))
 
 
+def strand_pairs(reads: DataFrame, sam: DataFrame) -> DataFrame:
+    """(read_id, plus_seq, r1_mate, r1, r2_mate, r2): both strands of every read that aligned with flag 0 or 16.
+
+    ``sam`` names rows ``read/mate``.  ``r1`` is the mate with flag 0 and ``r2``
+    the one with flag 16; where one is missing, the complement of the other
+    stands for it under the other mate's number.  ``plus_seq`` faces forward:
+    the mate with flag 0, else the turned one with flag 16.  Of several mates
+    with one flag the higher counts.
+    """
+    name = F.split("qname", "/")
+    ends = sam.where(F.col("flag").isin(0, 16)).select(F.get(name, 0).alias("read_id"), F.get(name, 1).cast("int").alias("mate"), "flag")
+    ends = ends.groupBy("read_id").agg(F.max(F.when(F.col("flag") == 0, F.col("mate"))).alias("plus"), F.max(F.when(F.col("flag") == 16, F.col("mate"))).alias("minus"))
+    rows = reads.select(F.col("read_id").cast("string").alias("read_id"), "mate", "seq").join(ends, "read_id")
+    both = rows.groupBy("read_id", "plus", "minus").agg(F.max(F.when(F.col("mate") == F.col("plus"), F.col("seq"))).alias("p"), F.max(F.when(F.col("mate") == F.col("minus"), F.col("seq"))).alias("m"))
+    forward = F.coalesce("p", S.revcomp(F.col("m")))
+    return both.where("p is not null or m is not null").select(
+        "read_id",
+        forward.alias("plus_seq"),
+        F.coalesce("plus", 3 - F.col("minus")).alias("r1_mate"),
+        forward.alias("r1"),
+        F.coalesce("minus", 3 - F.col("plus")).alias("r2_mate"),
+        F.coalesce("m", S.revcomp(F.col("p"))).alias("r2"),
+    )
+
+
 def fix_strands(reads: DataFrame, strands: DataFrame) -> DataFrame:
     """(read_id, seq) facing the way the alignment says."""
     rows = reads.join(strands, "read_id")

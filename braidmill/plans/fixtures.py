@@ -100,6 +100,17 @@ def sam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, f"with {_bound(SAM.format(text='string'))} select * from sam", "lineitem")
 
 
+MATE_SAM = """mate_sam as (
+  select concat(cast(l_orderkey as {text}), '/', cast(1 + l_linenumber % 2 as {text})) as qname,
+    case when l_returnflag = 'A' then 16 when l_returnflag = 'N' then 0 else 4 end as flag
+  from lineitem)"""
+
+
+def mate_sam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qname, flag): every line item aligns one mate of its order's read pair."""
+    return _run(spark, sf_dir, f"with {_bound(MATE_SAM.format(text='string'))} select * from mate_sam", "lineitem")
+
+
 # Elimination trace: all orders, the dearest removed first.
 TRACE = """trace as (
   select cast(count(*) over () - row_number() over (order by o_totalprice desc, o_orderkey) as int) as size,

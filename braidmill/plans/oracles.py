@@ -199,6 +199,15 @@ ORACLES = {
     "length_histogram": f"with {SAM} select split_part(qname, '__', 2)::int as len, count(distinct qname) as n from sam group by 1",
     "mean_distance": f"with {SAM}, b as ({BEST_REF}) select rname, count(*) as n, round(avg(nm), 9) as mean_nm from b group by rname",
     "strand_choice": f"with {SAM} select qname, pos, bool_and(flag = 16) as turned from sam group by qname, pos",
+    "strand_pairs": f"""with {READS}, {X.MATE_SAM.format(text='varchar')},
+      ends as (
+        select split_part(qname, '/', 1) as read_id, max(split_part(qname, '/', 2)::int) filter (flag = 0) as plus, max(split_part(qname, '/', 2)::int) filter (flag = 16) as minus
+        from mate_sam where flag in (0, 16) group by 1),
+      both_ends as (
+        select read_id, plus, minus, max(case when mate = plus then seq end) as p, max(case when mate = minus then seq end) as m
+        from ends join reads on rid::varchar = read_id group by all)
+      select read_id, coalesce(p, {rc('m')}) as plus_seq, coalesce(plus, 3 - minus) as r1_mate, coalesce(p, {rc('m')}) as r1, coalesce(minus, 3 - plus) as r2_mate, coalesce(m, {rc('p')}) as r2
+      from both_ends where p is not null or m is not null""",
     "strand_fix": f"with {READS} select rid as read_id, case when o_orderstatus = 'F' then {rc('seq')} else seq end as seq from reads join orders on o_orderkey = rid where mate = 1",
     "subpaths": "select 'p' || p_partkey::varchar || ' ' || p_brand as header, p_name as seq, s_suppkey as ord from part join supplier on p_partkey = s_suppkey",
 }

@@ -604,6 +604,11 @@ def strand_choice(spark, sf_dir):
     return evaluate.choose_strands(X.sam(spark, sf_dir))
 
 
+@query
+def strand_pairs(spark, sf_dir):
+    return evaluate.strand_pairs(X.reads(spark, sf_dir).withColumnRenamed("rid", "read_id"), X.mate_sam(spark, sf_dir))
+
+
 @query
 def strand_fix(spark, sf_dir):
     turned = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_orderstatus") == "F").alias("turned"))

@@ -174,9 +174,9 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_candidate_sets(spark: SparkSession, path: str) -> DataFrame:
-    """sets(set_id, path_id): a line of ids with commas is a set; set_id is the line's hash."""
-    rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(F.xxhash64("value").alias("set_id"), F.explode(F.split("value", ",")).alias("path_id")).select("set_id", F.trim("path_id").alias("path_id"))
+    """sets(set_id, path_id): a line of ids with commas is a set; set_id is the line's number from 0, blank lines aside."""
+    rows = _ordered(spark.read.text(path).where(F.trim("value") != ""))
+    return rows.select(F.col("at").alias("set_id"), F.explode(F.split("value", ",")).alias("path_id")).select("set_id", F.trim("path_id").alias("path_id"))
 
 
 def read_start_order(spark: SparkSession, path: str) -> DataFrame:

@@ -190,6 +190,13 @@ def test_workflow_recovers_the_variants(spark, sf_dir):
     assert hits
 
 
+def test_strand_pairs(spark):
+    reads = spark.createDataFrame([("a", 1, "AAC"), ("a", 2, "CCG"), ("b", 1, "TTT"), ("b", 2, "GGA"), ("c", 1, "ACC"), ("d", 2, "AGG")], "read_id string, mate int, seq string")
+    sam = spark.createDataFrame([("a/1", 0), ("a/2", 16), ("b/2", 0), ("b/1", 4), ("c/2", 16), ("d/2", 16), ("e/1", 0)], "qname string, flag int")
+    got = sorted(tuple(r) for r in evaluate.strand_pairs(reads, sam).collect())
+    assert got == [("a", "AAC", 1, "AAC", 2, "CCG"), ("b", "GGA", 2, "GGA", 1, "TCC"), ("d", "CCT", 1, "CCT", 2, "AGG")]
+
+
 def test_containment_by_seeds_equals_that_by_broadcast(spark, monkeypatch):
     random.seed(5)
     base = ["".join(random.choice("ACGT") for _ in range(300)) for _ in range(4)]

@@ -78,8 +78,8 @@ def test_paths_trace_sam_and_sets(spark, tmp_path):
     assert rows(files.read_sam(spark, str(tmp_path / "s"))) == [("q__9", 16, "r", 5, 3)]
     (tmp_path / "t").write_text("1 -2.5 0.9>8 0.01\n")
     assert rows(files.read_trace(spark, str(tmp_path / "t"))) == [(1, -2.5, "0.9>8", 0.01)]
-    (tmp_path / "sets").write_text("1,2\n2,3\n")
-    assert sorted(r.path_id for r in files.read_candidate_sets(spark, str(tmp_path / "sets")).collect()) == ["1", "2", "2", "3"]
+    (tmp_path / "sets").write_text("1,2\n2, 3\n\n1,2\n")
+    assert rows(files.read_candidate_sets(spark, str(tmp_path / "sets"))) == [(0, "1"), (0, "2"), (1, "2"), (1, "3"), (2, "1"), (2, "2")]
     (tmp_path / "ks").write_text("61\n60\n")
     assert files.read_k_values(spark, str(tmp_path / "ks")) == [61, 60]
     (tmp_path / "so").write_text("ACG\nCCC\n")
