@@ -20,15 +20,20 @@ and about one place in twenty is kept.
    maximal passages.
 
 A run that a partition's border may cut, or that is longer than ``RUN_ROWS``,
-is left to partial aggregates and a join over its stretches, with equal results.
+is taken apart: each part sums up its distinct stretches, these sums meet in
+buckets of bounded size, and each part is told which of its stretches occur
+again.  The result is the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,12 +44,18 @@ from .textops import SPACE_WORDS, _mix, gram_hashes, release_memory, row_blocks,
 LENGTH, SEED = 50, 10
 #: Suffixes of one range partition, and the most of one run that a task holds.
 PARTITION_ROWS, RUN_ROWS = 200_000, 20_000
-#: Suffixes compared at once.
-CHUNK_ROWS = 40_000
+#: Suffixes compared at once, and bytes of text cut into suffixes at once.
+CHUNK_ROWS, BLOCK_BYTES = 40_000, 2 << 20
+#: Stretches of cut runs that meet in one task.
+BUCKET_STRETCHES = 1_000_000
 _SEEN = 200_000
 _HASH_BYTES, _OFFSET_BITS = 6, 16
 _ROWS = "seed long, key long, place int, off int, words int, own binary"
-_FOUND = "key long, start int, stop int, head boolean, copy_key long, copy_word int, seed long, off int, own binary"
+_TOLD = "key long, start int, stop int, head boolean, copy_key long, copy_word int"
+_TOLD_NAMES = [f.split()[0] for f in _TOLD.split(", ")]
+#: Packed rows: told ones, or those of a chunk that is left (with its number of stretches).
+_PACKED = "chunk long, size long, blob binary"
+_KINDS = [np.int64, np.int32, np.int32, bool, np.int64, np.int32]
 
 
 def leftmost_minima(a: np.ndarray, w: int) -> np.ndarray:
@@ -122,7 +133,7 @@ def _suffixes(texts: DataFrame, length: int, seed: int) -> DataFrame:
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             keys = batch["key"].to_numpy()
             data, offsets = string_buffers(batch["text"])
-            for lo, hi in row_blocks(offsets):
+            for lo, hi in row_blocks(offsets, BLOCK_BYTES):
                 _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)
                 if (rows := kept_suffixes(h, first, keys[lo:hi], length, seed)) is not None:
                     yield rows
@@ -162,7 +173,7 @@ def compare_runs(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
     near = (like | np.append(like[1:], False)) & ~twice
     lone = ~near & ~twice & (sizes >= 0)
     zeros = np.zeros(int(lone.sum()), np.int32)
-    out = [(key[lone], zeros, sizes[lone], zeros > -1, key[lone], zeros)]
+    out = [[c.astype(k) for c, k in zip((key[lone], zeros, sizes[lone], zeros > -1, key[lone], zeros), _KINDS, strict=True)]]
     t = t.filter(pa.array(near))
     if len(t):
         key, sizes, run = t["key"].to_numpy(), t["words"].to_numpy(), np.cumsum(~_same_run(t["seed"].to_numpy()))
@@ -174,28 +185,42 @@ def compare_runs(t: pa.RecordBatch, length: int) -> pa.RecordBatch:
         again, origin = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
         again[order] = np.bincount(group)[group] > 1
         origin[order] = order[fresh][group]
-        joined = again[1:] & again[:-1] & (row[1:] == row[:-1])
-        a = np.flatnonzero(again & ~np.concatenate([[False], joined]))
-        b = np.flatnonzero(again & ~np.concatenate([joined, [False]]))
-        out.append((key[row[a]], start[a], start[b] + length, a < 0, key[row[origin[a]]], start[origin[a]]))
-        head = np.flatnonzero((sizes[row] >= 0) & (start == 0))
-        out.append((key[row[head]], start[head], sizes[row[head]], head >= 0, key[row[origin[head]]], start[origin[head]]))
-    kinds = [np.int64, np.int32, np.int32, bool, np.int64, np.int32]
-    columns = [pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[f.split()[0] for f in _FOUND.split(", ")])
+        out.append(_told(key, sizes, row, start, again, key[row[origin]], start[origin], length))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=_TOLD_NAMES)
 
 
-def _left(t: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows as they are, for the aggregate; ``start`` is the place and ``stop`` the words."""
-    n = len(t)
-    columns = [t["key"], t["place"], t["words"], pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), t["seed"], t["off"], t["own"]]
-    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
+def _told(key: np.ndarray, sizes: np.ndarray, row: np.ndarray, start: np.ndarray, again: np.ndarray, copy_key: np.ndarray, copy_word: np.ndarray, length: int) -> list[np.ndarray]:
+    """Columns of the passage and head rows; ``row`` to ``copy_word`` are of stretches, in order of row and place."""
+    joined = again[1:] & again[:-1] & (row[1:] == row[:-1])
+    a = np.flatnonzero(again & ~np.concatenate([[False], joined]))
+    b = np.flatnonzero(again & ~np.concatenate([joined, [False]]))
+    head = np.flatnonzero((sizes[row] >= 0) & (start == 0))
+    both = np.concatenate([a, head])
+    columns = [key[row[both]], start[both], np.concatenate([start[b] + length, sizes[row[head]]]), np.arange(len(both)) >= len(a), copy_key[both], copy_word[both]]
+    return [c.astype(k) for c, k in zip(columns, _KINDS, strict=True)]
+
+
+def _pack(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _packed(rows: pa.RecordBatch, chunk: int | None = None) -> pa.RecordBatch:
+    """Told rows, or rows whose runs the partition does not see whole, as one row."""
+    size = None if chunk is None else int(pc.sum(pc.binary_length(rows["own"])).as_py()) // _HASH_BYTES
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(rows)], pa.binary())], names=["chunk", "size", "blob"])
 
 
 def _compared(suffixes: DataFrame, parts: int, length: int, run_rows: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed, held, n_held = None, [], 0  # rows of the last run so far, which may go on
+        left, n_left, chunk = [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             if not len(batch):
                 continue
@@ -204,27 +229,30 @@ def _compared(suffixes: DataFrame, parts: int, length: int, run_rows: int) -> Da
                 passed = seeds[0]
             skip = int(np.searchsorted(seeds, passed, "right")) if seeds[0] == passed else 0
             if skip:
-                yield _left(batch.slice(0, skip))
-            if skip == len(batch):
-                continue
+                left.append(batch.slice(0, skip))
+                n_left += skip
             batch, seeds = batch.slice(skip), seeds[skip:]
-            last = int(np.searchsorted(seeds, seeds[-1], "left"))
-            if last or (held and held[-1]["seed"][0].as_py() != seeds[-1]):
-                whole = pa.concat_batches([*held, batch.slice(0, last)])
-                for at in _chunks(whole["seed"].to_numpy()):
-                    yield compare_runs(whole.slice(at[0], at[1] - at[0]), length)
-                held, n_held = [], 0
-            held.append(batch.slice(last))
-            n_held += len(batch) - last
+            if len(batch):
+                last = int(np.searchsorted(seeds, seeds[-1], "left"))
+                if last or (held and held[-1]["seed"][0].as_py() != seeds[-1]):
+                    whole = pa.concat_batches([*held, batch.slice(0, last)])
+                    for lo, hi in _chunks(whole["seed"].to_numpy()):
+                        yield _packed(compare_runs(whole.slice(lo, hi - lo), length))
+                    held, n_held = [], 0
+                held.append(batch.slice(last))
+                n_held += len(batch) - last
             if n_held > run_rows:
                 passed = seeds[-1]
-                yield from map(_left, held)
-                held, n_held = [], 0
+                left, n_left, held, n_held = left + held, n_left + n_held, [], 0
+            if n_left > run_rows:
+                yield _packed(pa.concat_batches(left), chunk)
+                left, n_left, chunk = [], 0, chunk + 1
             release_memory()
-        yield from map(_left, held)
+        if left + held:
+            yield _packed(pa.concat_batches(left + held), chunk)
 
     ordered = suffixes.repartitionByRange(parts, "seed", "key", "place").sortWithinPartitions("seed", "key", "place")
-    return ordered.mapInArrow(scan, _FOUND)
+    return ordered.mapInArrow(scan, _PACKED)
 
 
 def _chunks(seed: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -238,28 +266,106 @@ def _chunks(seed: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _aggregated(left: DataFrame, length: int) -> DataFrame:
-    """Passages and heads of the runs that were left, a stretch a row, by partial aggregates."""
+class _Dealt(NamedTuple):
+    """A chunk's stretches by bucket and value: distinct ones (groups), and where each row's stretches are among them."""
+
+    rows: pa.RecordBatch
+    row: np.ndarray
+    start: np.ndarray
+    value: np.ndarray  # of each group
+    origin: np.ndarray  # the stretch that comes first in order of text and place
+    many: np.ndarray  # it has several places in the chunk
+    group: np.ndarray  # of each stretch
+    cuts: np.ndarray  # where each bucket's groups begin
+    buckets: np.ndarray
+
+
+def _dealt(blob: bytes, buckets: int) -> _Dealt:
+    rows = _unpack(blob)
+    key = rows["key"].to_numpy()
+    row, start, value = _stretches(rows)
+    value = _mix(value ^ _mix(rows["seed"].to_numpy().view(np.uint64))[row])
+    order = np.lexsort((value, (value >> np.uint64(40)) % np.uint64(buckets)))  # stable: equal ones stay in order of text and place
+    v = value[order]
+    fresh = np.concatenate([[True], v[1:] != v[:-1]])
+    new_place = fresh | np.concatenate([[False], (key[row[order]][1:] != key[row[order]][:-1]) | (start[order][1:] != start[order][:-1])])
+    run = np.cumsum(fresh) - 1
+    group = np.zeros(len(order), np.int64)
+    group[order] = run
+    origin = order[fresh]
+    to = ((v[fresh] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+    return _Dealt(rows, row, start, v[fresh], origin, np.bincount(run, new_place) > 1, group, cuts, to[cuts])
+
+
+def _resolve_bucket(t: pa.Table) -> pa.Table:
+    """Of each chunk's stretches of this bucket: whether they occur again anywhere, and their first place."""
+    sizes = [len(b) // 21 for b in (x.as_py() for x in t["blob"])]
+    part = lambda kind, at, width: np.concatenate([np.frombuffer(x.as_py()[at * n : (at + width) * n], kind) for x, n in zip(t["blob"], sizes, strict=True)])
+    value, key, start, many = part(np.uint64, 0, 8), part(np.int64, 8, 8), part(np.int32, 16, 4), part(np.uint8, 20, 1)
+    order = np.lexsort((start, key, value))
+    fresh = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+    run = np.cumsum(fresh) - 1
+    new_place = fresh | np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (start[order][1:] != start[order][:-1])])
+    again, at = np.zeros(len(order), np.uint8), np.zeros(len(order), np.int64)
+    again[order] = ((np.bincount(run, new_place) > 1) | (np.bincount(run, many[order]) > 0))[run]
+    at[order] = order[fresh][run]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    blobs = [key[at[a:b]].tobytes() + start[at[a:b]].tobytes() + again[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"chunk": t["chunk"].combine_chunks(), "bucket": t["bucket"].combine_chunks(), "blob": pa.array(blobs, pa.binary())})
+
+
+def _put_together(length: int, buckets: int):
+    def unit(t: pa.Table) -> pa.Table:
+        answers = {}
+        for bucket, blob in zip(t["bucket"].to_pylist(), t["blob"], strict=True):
+            if bucket < 0:
+                d = _dealt(blob.as_py(), buckets)
+            else:
+                answers[bucket] = blob.as_py()
+        key, start, again = [], [], []
+        for bucket in d.buckets.tolist():
+            b = answers[bucket]
+            n = len(b) // 13
+            key.append(np.frombuffer(b[: 8 * n], np.int64))
+            start.append(np.frombuffer(b[8 * n : 12 * n], np.int32))
+            again.append(np.frombuffer(b[12 * n :], np.uint8))
+        key, start, again = (np.concatenate(x) for x in (key, start, again))
+        columns = _told(d.rows["key"].to_numpy(), d.rows["words"].to_numpy(), d.row, d.start, again[d.group] > 0, key[d.group], start[d.group], length)
+        return pa.table({"blob": pa.array([_pack(pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_TOLD_NAMES))], pa.binary())})
+
+    return unit
+
+
+def _by_stretches(left: DataFrame, length: int) -> DataFrame:
+    """(blob): packed passages and heads of the chunks that were left.
+
+    A chunk asks about each of its distinct stretches once, in one packed array
+    a bucket, so what many texts share is summed up before it is dealt; buckets
+    are of bounded size, and there are as many as it takes.
+    """
+    buckets = max(1, -(-(left.agg(F.sum("size")).first()[0] or 0) // BUCKET_STRETCHES))
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), CHUNK_ROWS // 4):
-                t = batch.slice(lo, CHUNK_ROWS // 4)
-                row, start, value = _stretches(t)
-                sizes = np.where(start == 0, t["words"].to_numpy()[row], -1).astype(np.int32)
-                columns = [t["seed"].to_numpy()[row], value.view(np.int64), t["key"].to_numpy()[row], start.astype(np.int32), sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["seed", "stretch", "key", "start", "words"])
-
-    rows = left.select("seed", "key", F.col("start").alias("place"), "off", F.col("stop").alias("words"), "own")
-    rows = materialize(rows.mapInArrow(expand, "seed long, stretch long, key long, start int, words int"))
-    place = F.struct("key", "start")
-    again = rows.groupBy("seed", "stretch").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("words").alias("some"))
-    # written first: a join of two plain tables can be split where one stretch holds most rows
-    again = materialize(again.where("first <> last or some >= 0").select("seed", "stretch", "first", (F.col("first") != F.col("last")).alias("again")))
-    hits = materialize(rows.join(again, ["seed", "stretch"]).select("key", "start", "words", "again", F.col("first.key").alias("copy_key"), F.col("first.start").alias("copy_word")))
-    passages = hits.where("again").select("key", "start", (F.col("start") + length).alias("stop"), F.lit(False).alias("head"), "copy_key", "copy_word")
-    heads = hits.where("words >= 0").select("key", "start", F.col("words").alias("stop"), F.lit(True).alias("head"), "copy_key", "copy_word")
-    return passages.unionByName(heads).distinct()
+            for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"], strict=True):
+                d = _dealt(blob.as_py(), buckets)
+                key, start = d.rows["key"].to_numpy()[d.row[d.origin]], d.start[d.origin].astype(np.int32)
+                ends = np.append(d.cuts[1:], len(d.value))
+                blobs = [d.value[a:b].tobytes() + key[a:b].tobytes() + start[a:b].tobytes() + d.many[a:b].astype(np.uint8).tobytes() for a, b in zip(d.cuts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(blobs), pa.int64()), pa.array(d.buckets.astype(np.int32)), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "blob"])
+                release_memory()
+
+    schema = "chunk long, bucket int, blob binary"
+    answers = left.select("chunk", "blob").mapInArrow(ask, schema).groupBy("bucket").applyInArrow(_resolve_bucket, schema)
+    whole = answers.unionByName(left.select("chunk", F.lit(-1).alias("bucket"), "blob"))
+    return whole.groupBy("chunk").applyInArrow(_put_together(length, buckets), "blob binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch["blob"]:
+            yield _unpack(blob.as_py())
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, partition_rows: int = PARTITION_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -282,10 +388,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, seed: int = SEED, p
     owners = materialize(named.groupBy("key", "doc_id").agg(F.count("*").alias("n")))
     copies = owners.groupBy("key").agg((F.sum("n") > 1).alias("copied"), F.min("doc_id").alias("first_id"))
     suffixes = materialize(_suffixes(named.select("key", "text"), length, seed))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // partition_rows))
-    found = materialize(_compared(suffixes, parts, length, run_rows))
-    columns = ["key", "start", "stop", "head", "copy_key", "copy_word"]
-    rows = materialize(found.where("seed is null").select(*columns).unionByName(_aggregated(found.where("seed is not null"), length)))
+    least_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(_compared(suffixes, max(least_parts, -(-suffixes.count() // partition_rows)), length, run_rows))
+    packed = found.where("chunk is null").select("blob").unionByName(_by_stretches(found.where("chunk is not null"), length))
+    rows = materialize(packed.mapInArrow(_unpacked, _TOLD))
     w = Window.partitionBy("key").orderBy("start")  # the stretches of one text
     marked = rows.where("not head").withColumn("new", (F.col("start") > F.coalesce(F.lag("stop").over(w), F.lit(-1))).cast("int"))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
