@@ -314,7 +314,7 @@ def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
     ids = np.cumsum(fresh) - 1
     shared = np.bincount(ids)[ids] > 1
     ids, owner = ids[shared], owner[shared]
-    out = np.zeros((k, k), dtype=np.float64)
+    out = np.zeros((k, k), dtype=np.float32 if max(map(len, sets)) < 1 << 24 else np.float64)
     if not len(ids):
         return out
     ids = np.cumsum(np.concatenate([[False], ids[1:] != ids[:-1]]))
@@ -329,9 +329,9 @@ def _common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _roots(linked: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each index of a symmetric boolean matrix."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        new = np.minimum(label, np.where(linked, label[None, :], np.int32(len(label))).min(axis=1, initial=len(label)))
         new = new[new]
         if (new == label).all():
             return label
@@ -351,9 +351,12 @@ def group_pairs(gid: np.ndarray, size: np.ndarray, tokens: list[np.ndarray], blo
     ``crossing`` leaves out pairs of one block; they belong to that block's own unit.
     """
     _, at, of = np.unique(gid, return_index=True, return_inverse=True)
-    low, high = np.minimum.outer(size[at], size[at]), np.maximum.outer(size[at], size[at])
-    fits = 100 * low >= percent * high
-    fits &= _sharing([tokens[i] for i in at]) | np.eye(len(at), dtype=bool)
+    fits = _sharing([tokens[i] for i in at])
+    np.fill_diagonal(fits, True)
+    enough = np.greater_equal.outer(100 * size[at], percent * size[at])
+    fits &= enough
+    fits &= enough.T
+    del enough
     pairs = fits[np.ix_(of, of)]
     if crossing:
         pairs &= block[:, None] != block[None, :]
@@ -375,8 +378,11 @@ def _verified(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.nda
         return linked
     some = np.flatnonzero(pairs.any(axis=1))
     common = _common_counts([sets[i] for i in some])
-    reach = 100 * common >= percent * (size[some][:, None] + size[some][None, :] - common)
-    linked[np.ix_(some, some)] = reach & pairs[np.ix_(some, some)]
+    for lo in range(0, len(some), 256):  # in bands, since the sums are wide
+        rows = some[lo : lo + 256]
+        c = common[lo : lo + 256].astype(np.int64)
+        linked[np.ix_(rows, some)] = (100 + percent) * c >= percent * (size[rows][:, None] + size[some][None, :])
+    linked &= pairs
     return linked
 
 
