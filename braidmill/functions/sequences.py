@@ -59,6 +59,25 @@ def revcomp_packed(value: Column, k: int) -> Column:
     return pack(revcomp(unpack(value, k)))
 
 
+def _pieces(k: int) -> list[tuple[int, int]]:
+    """First letter (from 1) and length of the pieces of a k-mer, 31 letters and the rest."""
+    return [(i + 1, min(31, k - i)) for i in range(0, k, 31)]
+
+
+def pack_wide(kmer: Column, k: int) -> Column:
+    """Two bits a base as longs, one for each 31 bases; arrays of one k sort like the k-mers."""
+    return F.array(*[pack(F.substring(kmer, a, n)) for a, n in _pieces(k)])
+
+
+def unpack_wide(value: Column, k: int) -> Column:
+    return F.concat(*[unpack(F.get(value, F.lit(i)), n) for i, (_, n) in enumerate(_pieces(k))])
+
+
+def revcomp_packed_wide(value: Column, k: int) -> Column:
+    """Reverse complement of a packed k-mer of any length."""
+    return pack_wide(revcomp(unpack_wide(value, k)), k)
+
+
 def kmer_array(seq: Column, k: int) -> Column:
     """All substrings of k letters, in order; empty for shorter texts."""
     n = F.length(seq) - k + 1

@@ -104,6 +104,39 @@ def term(d: str, h: str, penalty: str) -> str:
     return f"case when coalesce({d}, 0) > 0 then case when {q} is not null and total - cnt >= 0 and {q} > 0 and {q} < 1 then (total - cnt) * ln(1 - {q}) + cnt * ln({q}) else 0 end else {penalty} end"
 
 
+def packed(text: str, a: int, n: int) -> str:
+    """The number of n letters from place a, two bits each."""
+    return f"list_sum(list_transform(range(1, {n + 1}), lambda i: substr({digits(f'substr({text}, {a}, {n})')}, i, 1)::bigint * (4 ** ({n} - i))::bigint))::bigint::varchar"
+
+
+def wide(text: str) -> str:
+    return f"{packed(text, 1, 31)} || ',' || {packed(text, 32, 14)}"
+
+
+# All 16 sets of the four paths by bits, and of each the path whose loss hurts least.
+ELIMINATION = f"""with recursive {SMALL}, {PAIRS_OF},
+  subsets as (select unnest(range(0, 16))::int as m),
+  members as (select m, path_id from subsets join (select distinct path_id from steps) on (m >> path_id) & 1 = 1),
+  d as (select m, v1, v2, count(*) as d from members join pp using (path_id) group by all),
+  scored as (
+    select s.m, sum({term('d.d', 'bit_count(s.m)::bigint', '-1e8 * cnt')}) as loglik, sum(case when d.d is null then cnt else 0 end)::double / any_value(total) as missed
+    from subsets s cross join tot cross join ori left join d on d.m = s.m and d.v1 = ori.v1 and d.v2 = ori.v2 group by s.m),
+  choice as (
+    select a.m, a.path_id as p, b.m as child, b.loglik, b.missed, row_number() over (partition by a.m order by b.loglik desc, a.path_id) as rn
+    from members a join scored b on b.m = a.m - (1 << a.path_id)::int where b.loglik <> 0),
+  t(step, m) as (select 0, 15 union all select step + 1, child from t join choice using (m) where rn = 1)
+  select (step + 1)::int as step, bit_count(child)::int as size, round(loglik, 3) as loglik, p::varchar as removed, round(missed, 9) as missed from t join choice using (m) where rn = 1"""
+
+# In an acyclic graph a depth-first search reaches a vertex on the first of all ways to it, by the order of their vertices.
+DEPTHS = f"""with recursive {SMALL},
+  walk(vid, depth, root, way) as (
+    select vid, 0, vid, seq from units where vid not in (select dst from cedges)
+    union all
+    select e.dst, w.depth + length(u.seq) - 3, w.root, w.way || '/' || v.seq from walk w join cedges e on e.src = w.vid join units u on u.vid = w.vid join units v on v.vid = e.dst)
+  select w.vid::bigint as vid, arg_min(depth, way)::int as depth, (arg_min(depth, way) + any_value(length(seq)) - 4)::int as last_depth, arg_min(root, way)::bigint as root
+  from walk w join units u on u.vid = w.vid group by w.vid"""
+
+
 def set_likelihood(penalty: str) -> str:
     return f"""with {SMALL}, {PAIRS_OF},
       d as (select set_id, v1, v2, count(*) as d from sets join pp using (path_id) group by all),
@@ -199,6 +232,9 @@ ORACLES = {
     "length_histogram": f"with {SAM} select split_part(qname, '__', 2)::int as len, count(distinct qname) as n from sam group by 1",
     "mean_distance": f"with {SAM}, b as ({BEST_REF}) select rname, count(*) as n, round(avg(nm), 9) as mean_nm from b group by rname",
     "strand_choice": f"with {SAM} select qname, pos, bool_and(flag = 16) as turned from sam group by qname, pos",
+    "small_vertex_depths": DEPTHS,
+    "small_elimination_trace": ELIMINATION,
+    "kmer_packed_wide": f"with {READS}, {counts('c', 45)} select kmer, cnt, {wide('kmer')} as packed, {wide(rc('kmer'))} as packed_rc, kmer as unpacked from c",
     "strand_pairs": f"""with {READS}, {X.MATE_SAM.format(text='varchar')},
       ends as (
         select split_part(qname, '/', 1) as read_id, max(split_part(qname, '/', 2)::int) filter (flag = 0) as plus, max(split_part(qname, '/', 2)::int) filter (flag = 16) as minus

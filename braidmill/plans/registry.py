@@ -108,6 +108,14 @@ def kmer_sampled_distinct(spark, sf_dir):
     return kmers.sampled_distinct(_counts(spark, sf_dir), "kmer", 0.05)
 
 
+@query
+def kmer_packed_wide(spark, sf_dir):
+    rows = kmers.count_kmers(X.reads(spark, sf_dir), 45)
+    packed = S.pack_wide(F.col("kmer"), 45)
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("kmer", "cnt", join(packed).alias("packed"), join(S.revcomp_packed_wide(packed, 45)).alias("packed_rc"), S.unpack_wide(packed, 45).alias("unpacked"))
+
+
 @query
 def read_saturating_counts(spark, sf_dir):
     return kmers.saturating_counts(X.reads(spark, sf_dir), "seq", 4)
@@ -485,6 +493,20 @@ def leave_one_out(spark, sf_dir):
     return out.select("removed", "size", F.round("loglik", 3).alias("loglik"), F.round("missed", 9).alias("missed"))
 
 
+@query
+def small_vertex_depths(spark, sf_dir):
+    g = X.small_graph(spark)
+    return cover.vertex_depths(g["unitigs"], g["edges"], 4)
+
+
+@query
+def small_elimination_trace(spark, sf_dir):
+    g = X.small_graph(spark)
+    rows = likelihood.oriented(g["compat"], g["unitigs"].select("vid", F.length("seq").alias("len")))
+    out = likelihood.elimination(g["paths"], rows, GENOME)
+    return out.select("step", "size", F.round("loglik", 3).alias("loglik"), "removed", F.round("missed", 9).alias("missed"))
+
+
 @query
 def elimination_trace(spark, sf_dir):
     g = _candidates_of_all(spark, sf_dir)

@@ -98,3 +98,17 @@ def test_variants_are_aligned_whole(spark, sf_dir):
 def test_stitch(spark):
     got = spark.createDataFrame([(["ACGTA", "GTACC", "ACCT"],)], "s array<string>").select(S.stitch(F.col("s"), 4)).first()[0]
     assert got == "ACGTA" + "CC" + "T"
+
+
+def test_wide_packing(spark):
+    import random
+
+    rng = random.Random(4)
+    comp = str.maketrans("ACGT", "TGCA")
+    for k in (5, 31, 32, 55, 70):
+        rows = ["".join(rng.choice("ACGT") for _ in range(k)) for _ in range(40)]
+        df = spark.createDataFrame([(x,) for x in rows], "s string").withColumn("p", S.pack_wide(F.col("s"), k))
+        got = df.select("s", "p", S.unpack_wide(F.col("p"), k).alias("u"), S.unpack_wide(S.revcomp_packed_wide(F.col("p"), k), k).alias("r")).collect()
+        assert all(r.u == r.s and r.r == r.s.translate(comp)[::-1] for r in got)
+        order = str.maketrans("ACTG", "0123")
+        assert [r.s for r in sorted(got, key=lambda r: r.p)] == sorted(rows, key=lambda x: x.translate(order))
