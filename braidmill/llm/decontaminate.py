@@ -30,7 +30,7 @@ from .textops import ALNUM_WORDS, release_memory, row_blocks, string_buffers, wo
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Occurrences (places times item places) joined into matches at once.
 EXPANDED = 2_000_000
 

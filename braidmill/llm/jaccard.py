@@ -52,7 +52,7 @@ PAIR_COST, CELL_COST = 2e-5, 2e-10
 FIRST_SHARE = 104
 #: Shingles of that share counted together; there are as many buckets as it takes.
 BUCKET_SHINGLES = 1_000_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A set's place in its chunk has 16 bits.
 CHUNK_ROWS = 1 << 16
 _SEEN = 200_000
@@ -61,7 +61,7 @@ _SEEN = 200_000
 def _shingle_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingle hashes, for every row."""
     data, offsets = string_buffers(batch["text"])
-    for lo, hi in row_blocks(offsets):
+    for lo, hi in row_blocks(offsets, CHUNK_BYTES):
         _, _, h, first = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)
         grams = gram_hashes(h, n)
         for i in range(hi - lo):
@@ -94,7 +94,7 @@ def prefix_length(size: int, percent: int) -> int:
 def _frequency_table(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         data, offsets = string_buffers(batch["text"])
-        for lo, hi in row_blocks(offsets):
+        for lo, hi in row_blocks(offsets, CHUNK_BYTES):
             h = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACE_WORDS)[2]
             total += np.bincount(_cells(gram_hashes(h, n), bits), minlength=len(total))
         release_memory()
