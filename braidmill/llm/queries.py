@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import centroid_clusters
 from .chat import rotate_perspectives
 from .common import table
 from .decontaminate import contamination
+from .divergence import divergence_audit
 from .jaccard import ngram_jaccard_join
 from .knn import exact_top_k
 from .license_scan import license_summary
@@ -15,6 +17,7 @@ from .mixing import mix_sources
 from .quality import quality_scores
 from .sharding import shard_documents
 from .suffix_dedup import repeated_passages
+from .token_counts import token_counts
 from .url_filter import filter_urls
 
 
@@ -72,6 +75,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of every language, and the terms it comes from. Edge cases as in ``divergence_audit``."""
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. Edge cases as in ``token_counts``."""
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector of full width. Edge cases as in ``centroid_clusters``."""
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,5 +103,8 @@ QUERIES = {
         op8_exact_top_k,
         op9_repeated_passages,
         op10_quality_classifier,
+        op11_divergence_audit,
+        op12_token_counts,
+        op13_centroid_clusters,
     )
 }

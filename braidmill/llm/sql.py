@@ -1,11 +1,13 @@
 """DuckDB SQL with the rows of the queries that SQL can express.
 
-The URL classifier (op1), the license rules (op6) and the quality network (op10)
-have none; tests hold them against brute-force versions and held-out labels.
+The URL classifier (op1), the license rules (op6), the quality network (op10)
+and the token counts (op12) have none; tests hold them against brute-force versions and held-out labels.
 """
 
 from __future__ import annotations
 
+from .centroids import CLUSTERS, ROUNDS, SCALE, WIDTH
+from .centroids import SEED as CLUSTER_SEED
 from .mixing import OTHER, SEED, WEIGHTS
 from .sharding import PARTS, SHARDS
 
@@ -152,6 +154,52 @@ spans as (select doc_id, min(i)::bigint as start_word, (max(i) + 50)::bigint as
 select s.doc_id, start_word, end_word, end_word - start_word as n_words, (select min(w.doc_id) from w where w.key = s.copy_key) as copy_of, copy_word from spans s
 """
 
+_SHARE = "1 + 1000000000::hugeint * ({n} + 2) // ({all} + 2 * v)"
+
+OP11 = f"""
+with t as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+occ as (select d, lang, source, unnest(w) as term from t),
+kept as (select lang, term from occ group by all having count(distinct d) >= 10),
+n as (select lang, source, term, count(*) as n from occ join kept using (lang, term) group by all),
+terms as (select lang, source, coalesce(n, 0) as n, term from (select distinct lang, source from t) join kept using (lang) left join n using (lang, source, term)),
+counted as (
+  select *, sum(n) over (partition by lang, source) as own, sum(n) over (partition by lang) as whole, sum(n) over (partition by lang, term) as total,
+    count(*) over (partition by lang, source) as v
+  from terms),
+p as (select lang, source, term, n, ({_SHARE.format(n="n", all="own")})::bigint as p, ({_SHARE.format(n="total", all="whole")})::bigint as q from counted),
+g as (select distinct lang, source from t),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, b.source as item, coalesce(f.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+above as (select lang, source, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from above qualify rank <= 10
+"""
+
+
+def _clusters_sql(k: int, rounds: int, width: int, scale: int, seed: int) -> str:
+    """Every round is two more tables: the nearest centroid of every vector, and the centroids' new components."""
+    near = "near{i} as materialized (select r, arg_min(c, (away, c)) as c, min(away) as away from (select r, c, sum((v.x - m.x) * (v.x - m.x)) as away from v join c{i} m using (place) group by r, c) group by r)"
+    mean = "c{j} as materialized (select c, place, coalesce(new.x, old.x) as x from c{i} old left join (select n.c, v.place, (sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) as x from near{i} n join v using (r) group by n.c, v.place) new using (c, place))"
+    steps = ",\n".join(f"{near.format(i=i)},\n{mean.format(i=i, j=i + 1)}" for i in range(rounds))
+    return f"""
+with kept as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as q from embeddings
+  where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select r, unnest(q)::hugeint as x, unnest(range({width})) as place from kept),
+first as (select q, row_number() over (order by sha256('{seed}:' || vec_id::varchar), q) - 1 as c from kept where vec_id is not null qualify c < {k}),
+c0 as materialized (select c, unnest(q)::hugeint as x, unnest(range({width})) as place from first),
+{steps},
+{near.format(i=rounds)},
+named as (select c, sha256(string_agg(x::varchar, ',' order by place)) as centroid_sha256 from c{rounds} group by c),
+spent as (select c, sum(away) as spent from near{rounds} group by c)
+select vec_id, c::int as cluster, away::bigint as distance, spent::bigint as cluster_inertia, (select sum(spent) from spent)::bigint as inertia, centroid_sha256
+from kept join near{rounds} using (r) join named using (c) join spent using (c)
+"""
+
+
+OP13 = _clusters_sql(CLUSTERS, ROUNDS, WIDTH, SCALE, CLUSTER_SEED)
+
 ORACLES = {
     "op2_mix_sources": OP2,
     "op3_ngram_jaccard_join": OP3,
@@ -160,4 +208,6 @@ ORACLES = {
     "op7_jump_sharding": OP7,
     "op8_exact_top_k": OP8,
     "op9_repeated_passages": OP9,
+    "op11_divergence_audit": OP11,
+    "op13_centroid_clusters": OP13,
 }
