@@ -18,6 +18,11 @@ def _segments(reads: DataFrame) -> DataFrame:
     return reads.select(F.explode(S.segments(F.upper("seq"))).alias("seq")).groupBy("seq").agg(F.count("*").alias("times"))
 
 
+def kmer_words(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer): every occurrence in ``reads(seq)``, none with an N."""
+    return reads.select(F.explode(S.segments(F.upper("seq"))).alias("seq")).select(F.explode(S.kmer_array(F.col("seq"), k)).alias("kmer"))
+
+
 def count_kmers(reads: DataFrame, k: int) -> DataFrame:
     """kmers(k, kmer, cnt) of ``reads(seq)``, strand by strand.
 

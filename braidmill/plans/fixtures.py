@@ -122,6 +122,22 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, f"with {_bound(TRACE.format(text='string'))} select * from trace", "orders")
 
 
+# An acyclic graph from all line items: a vertex is a part at a place of an order, an edge leads to the next item
+# of an order, and orders support the pairs of their items as read pairs support pairs of unitigs.
+LINES, LINE_K = 7, 31
+ITEMS = "items as (select l_orderkey as o, l_linenumber as line, l_partkey as part, cast(l_partkey * 8 + l_linenumber as bigint) as vid from lineitem group by 1, 2, 3)"
+ITEM_VERTICES = f"item_vertices as (select vid, cast({LINE_K} + part % 3 as int) as len, count(*) as cnt, cast(vid as {{text}}) as kmer from items group by vid, part)"
+ITEM_EDGES = "item_edges as (select distinct a.vid as src, b.vid as dst from items a join items b on a.o = b.o and b.line = a.line + 1)"
+ITEM_SUPPORT = "item_support as (select a.vid as v1, b.vid as v2, count(*) as cnt, max(case when (a.part + b.part) % 2 = 0 then 1 else 0 end) as bubble from items a join items b on a.o = b.o and a.line < b.line group by a.vid, b.vid)"
+
+
+def item_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """vertices(vid, len, cnt, kmer), edges(src, dst), support(v1, v2, cnt) and bubble(v1, v2)."""
+    read = lambda table, cte: _run(spark, sf_dir, f"with {_bound(ITEMS)}, {cte.format(text='string')} select * from {table}", "lineitem")
+    support = read("item_support", ITEM_SUPPORT)
+    return {"vertices": read("item_vertices", ITEM_VERTICES), "edges": read("item_edges", ITEM_EDGES), "support": support.drop("bubble"), "bubble": support.where("bubble = 1").select("v1", "v2")}
+
+
 # A small graph with two bubbles and a long way round; fixed values shared by both engines.
 UNITIG_ROWS = [(0, "ACGTACGGA"), (1, "GGATTC"), (2, "GGACTC"), (3, "CTCAAG"), (4, "TTCAAG"), (5, "AAGCCTA"), (6, "AAGGGTA"), (7, "GTACCCA"), (8, "CTACCCA")]
 EDGE_ROWS = [(0, 1), (0, 2), (1, 4), (2, 3), (3, 5), (3, 6), (4, 5), (4, 6), (5, 8), (6, 7)]

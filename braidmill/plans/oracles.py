@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import fixtures as X
-from .registry import GENOME, K, K_PAIRS, SETS
+from .layer_sql import ORACLES as LAYER_ORACLES
+from .registry import BLOOM, GENOME, K, K_PAIRS, SETS
 
 READS = X.reads_sql(X.DUCKDB)
 INPUTS = X.compat_inputs_sql(X.DUCKDB)
@@ -147,7 +148,24 @@ def set_likelihood(penalty: str) -> str:
 
 BEST_REF = "select qname, arg_min(rname, struct_pack(nm := nm, rname := rname)) as rname, min(nm) as nm from sam group by qname"
 
-ORACLES = {
+def cells(name: str, source: str) -> str:
+    """name(kmer, cell): the filter cells of the k-mers of a table."""
+    half = lambda at: f"('0x' || substr(md5(kmer), {at}, 15))::bigint % {BLOOM.cells}"
+    return f"{name} as (select kmer, unnest([({half(1)} + i * ({half(17)})) % {BLOOM.cells} for i in range({BLOOM.hashes})]) as cell from {source})"
+
+
+#: A bit is the place from the low end of its byte, bytes from the first on.
+_BITS = "string_agg(lpad(lower(to_hex(coalesce(b.v, 0))), 2, '0'), '' order by i)"
+
+ORACLES = LAYER_ORACLES | {
+    "kmer_bloom": f"with {MATES}, {cells('in_cells', 'a')}, turned as (select {rc('kmer')} as kmer from b), {cells('asked', 'turned')}, one_cell as (select distinct cell from in_cells) select kmer, count(*) = count(o.cell) as held from asked left join one_cell o using (cell) group by kmer",
+    "kmer_bloom_merged": f"""with {READS}, {counts('c', K)}, {cells('every', 'c')}, one_cell as (select distinct cell from every),
+      bytes as (select cell // 32768 as bucket, cell % 32768 // 8 as at, sum(1 << (cell % 8))::int as v from one_cell group by all),
+      n as (select cell // 32768 as bucket, count(*) as n_bits from one_cell group by 1)
+      select n.bucket::int as bucket, n_bits, {_BITS} as bits from n cross join (select unnest(range(4096)) as i) left join bytes b on b.bucket = n.bucket and b.at = i group by n.bucket, n_bits""",
+    "kmer_counter_levels": f"with {READS}, {counts('c', K)}, {cells('every', 'c')}, filled as (select cell, sum(cnt) as n from every join c using (kmer) group by cell) select kmer, least(15, min(n))::int as level from every join filled using (cell) group by kmer",
+    "kmer_gated_counts": f"with {READS}, {counts('c', K)} select kmer, cnt from c where cnt >= 3",
+    "customer_distinct_sketches": "select o_orderstatus as part, count(distinct o_custkey) as n_distinct, true as within from orders group by 1 union all select 'all', count(distinct o_custkey), true from orders",
     "kmer_count": f"with {READS}, {counts('c', K)} select {K} as k, kmer, cnt from c",
     "kmer_count_multi": f"with {READS}, {counts('c1', 31)}, {counts('c2', 21)}, {counts('c3', 15)} select 31 as k, kmer, cnt from c1 union all select 21, kmer, cnt from c2 union all select 15, kmer, cnt from c3",
     "kmer_count_canonical": f"""with {READS}, {counts('c', 12)}, both_strands as (select kmer, cnt from c union all select {rc('kmer')}, cnt from c)

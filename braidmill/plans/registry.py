@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidmill.functions import sequences as S
-from braidmill.operators import cover, evaluate, graph, kmers, likelihood, pairs
+from braidmill.operators import beam, cover, evaluate, graph, kmers, layers, likelihood, pairs, sketches
+from braidmill.session import materialize
 from braidmill.sources import sinks
 
 from . import fixtures as X
@@ -121,6 +122,49 @@ def read_saturating_counts(spark, sf_dir):
     return kmers.saturating_counts(X.reads(spark, sf_dir), "seq", 4)
 
 
+#: Of the filters over k-mers in the queries.
+BLOOM = sketches.Shape(2 * sketches.BUCKET, 4)
+
+
+@query
+def kmer_bloom(spark, sf_dir):
+    """Which k-mers of the second mates, turned to the other strand, a filter of those of the first holds."""
+    bloom = sketches.bloom_filter(_mate(spark, sf_dir, 1), "kmer", BLOOM)
+    turned = _mate(spark, sf_dir, 2).select(S.revcomp(F.col("kmer")).alias("kmer"))
+    return sketches.with_membership(turned, "kmer", bloom, BLOOM)
+
+
+@query
+def kmer_bloom_merged(spark, sf_dir):
+    """Bits that are set in the filter of both mates, bucket by bucket, as hexadecimal numbers."""
+    one, two = (sketches.bloom_filter(_mate(spark, sf_dir, m), "kmer", BLOOM) for m in (1, 2))
+    return sketches.merged_blooms(one, two).select("bucket", F.bitmap_count("bits").alias("n_bits"), F.lower(F.hex("bits")).alias("bits"))
+
+
+@query
+def kmer_counter_levels(spark, sf_dir):
+    """The level of every k-mer in counters of four bits over all its occurrences."""
+    counters = sketches.saturating_counters(kmers.kmer_words(X.reads(spark, sf_dir), K), "kmer", BLOOM)
+    return sketches.with_levels(_counts(spark, sf_dir).select("kmer"), "kmer", counters, BLOOM)
+
+
+@query
+def kmer_gated_counts(spark, sf_dir):
+    return sketches.gated_counts(kmers.kmer_words(X.reads(spark, sf_dir), K), BLOOM, 3)
+
+
+@query
+def customer_distinct_sketches(spark, sf_dir):
+    """Distinct customers by order status: whether the sketch of a status, and the union of all, lies within 5 % of the truth."""
+    orders = _table(spark, sf_dir, "orders")
+    kept = sketches.distinct_sketches(orders, "o_custkey", "o_orderstatus")
+    each = kept.select(F.col("o_orderstatus").alias("part"), F.hll_sketch_estimate("sketch").alias("about"))
+    every = each.unionByName(sketches.distinct_of(kept).select(F.lit("all").alias("part"), F.col("distinct_about").alias("about")))
+    truth = orders.groupBy(F.col("o_orderstatus").alias("part")).agg(F.countDistinct("o_custkey").alias("n_distinct"))
+    truth = truth.unionByName(orders.agg(F.countDistinct("o_custkey").alias("n_distinct")).select(F.lit("all").alias("part"), "n_distinct"))
+    return truth.join(every, "part").select("part", "n_distinct", (F.abs(F.col("about") - F.col("n_distinct")) <= 0.05 * F.col("n_distinct")).alias("within"))
+
+
 @query
 def read_statistics(spark, sf_dir):
     return kmers.read_statistics(X.reads(spark, sf_dir), K)
@@ -572,6 +616,64 @@ def reconstruct_variants(spark, sf_dir):
     return reconstruct(X.read_pairs(spark, sf_dir), **WHOLE_COVER, genome=WHOLE_GENOME)["final"]
 
 
+# The graph of all line items, layer by layer
+
+ITEM_BEAM, ITEM_INSERT = 3, 4
+
+
+@query
+def item_layers(spark, sf_dir):
+    g = X.item_graph(spark, sf_dir)
+    return layers.topological_layers(g["vertices"], g["edges"])
+
+
+@query
+def item_path_counts(spark, sf_dir):
+    """Ways to every vertex, and from sources to sinks as those of vertex -1."""
+    g = X.item_graph(spark, sf_dir)
+    edges = materialize(g["edges"])
+    ways = layers.ways(layers.topological_layers(g["vertices"], edges), edges).select("vid", "n")
+    last = ways.join(edges.select(F.col("src").alias("vid")).distinct(), "vid", "left_anti")
+    return ways.unionByName(last.agg(F.sum("n").cast("decimal(38,0)").alias("n")).select(F.lit(-1).cast("long").alias("vid"), "n"))
+
+
+def _item_depths(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of the graph, and its vertices with depth, root and layer."""
+    g = {name: materialize(df) for name, df in X.item_graph(spark, sf_dir).items()}
+    placed = layers.topological_layers(g["vertices"], g["edges"])
+    return g, materialize(layers.depth_first(placed, g["vertices"], g["edges"], X.LINE_K).join(placed, "vid"))
+
+
+@query
+def item_depths(spark, sf_dir):
+    return _item_depths(spark, sf_dir)[1].select("vid", "depth", "root")
+
+
+def _line(nodes: str = "nodes") -> F.Column:
+    return F.array_join(F.transform(nodes, lambda v: v.cast("string")), ",").alias("nodes")
+
+
+@query
+def item_sub_paths(spark, sf_dir):
+    """Kept sub-paths of all vertices to the sinks and from the sources, by both weights."""
+    g, placed = _item_depths(spark, sf_dir)
+    out = None
+    for normalized in (False, True):
+        weighted = materialize(beam.weighted_support(g["support"], g["bubble"], normalized))
+        for backward in (True, False):
+            rows = beam.sub_paths(placed.select("vid", "depth", "layer"), g["edges"], weighted, ITEM_BEAM, ITEM_INSERT, normalized, backward)
+            rows = rows.select(F.lit("back" if backward else "ahead").alias("side"), F.lit(int(normalized)).alias("normalized"), "vid", "rank", _line(), F.round("score", 6).alias("score"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def item_cover(spark, sf_dir):
+    g, placed = _item_depths(spark, sf_dir)
+    out = beam.layered_cover(placed.select("vid", "depth", "layer"), g["edges"], g["support"], g["bubble"], ITEM_BEAM, ITEM_INSERT)
+    return out.select("path_id", F.round("score", 6).alias("score"), _line())
+
+
 # Evaluation
 
 

@@ -10,6 +10,7 @@ from functools import cache
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Tables of this driver that are still there: path and the session's file system settings.
 _written: list[tuple[str, object]] = []
@@ -44,6 +45,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stepwise:
+    """A table in the shared folder to which steps are added; its int column ``at`` is the folder a row lies in.
+
+    Rows of one number are read without those of the others.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, at: str = "layer"):
+        self.spark, self.at = spark, at
+        self.path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
+        _written.append((self.path, spark._jsc.hadoopConfiguration()))
+        empty = spark.createDataFrame([], f"{schema}, {at} int")
+        self.schema = empty.schema
+        self.add(empty)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("append").partitionBy(self.at).parquet(self.path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def step(self, number: int) -> DataFrame:
+        """The rows of one number, without the column of it; no other folder is looked at."""
+        schema = StructType([f for f in self.schema.fields if f.name != self.at])
+        folder = f"{self.path}/{self.at}={int(number)}"
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(folder)
+
+
 def bookmark() -> int:
     """How many tables there are; ``settled`` removes those written after it."""
     return len(_written)
