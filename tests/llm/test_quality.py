@@ -100,3 +100,20 @@ def test_scores_by_plain_arithmetic(spark):
         hidden = [math.tanh(sum(((x[a] - m.center[a]) / m.scale[a]) * m.w1[a, h] for a in range(len(x))) + m.b1[h]) for h in range(Q.HIDDEN)]
         z = (sum(h * w for h, w in zip(hidden, m.w2, strict=True)) + m.b2) / m.temperature
         assert any(abs(s - 1 / (1 + math.exp(-z))) < 1e-3 for s in got[i])
+
+
+def test_a_score_does_not_depend_on_the_rows_beside_it(spark):
+    """Bitwise equal scores, whatever the number of rows that are scored at once."""
+    import pyarrow as pa
+
+    rows = [t for _, t in odd_documents() if len(t or "") < 5000]
+    docs = documents(spark, list(enumerate(rows)))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    m = Q.train_quality(docs, labels)
+    assert m.constant is None
+    texts = (rows * 30)[:1000]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])
+    whole = Q.probabilities(m, Q._pooled(batch(texts), m.vectors))
+    for size in (1, 2, 3, 64):
+        parts = [Q.probabilities(m, Q._pooled(batch(texts[lo : lo + size]), m.vectors)) for lo in range(0, 300, size)]
+        assert np.concatenate(parts)[:300].tobytes() == whole[:300].tobytes()
