@@ -9,6 +9,8 @@ digest of id and copy.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float], other: float, budge
     rows = rows.withColumn("w", weight)
     total = rows.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     target = F.lit(float(budget)) if budget is not None else F.col("all_n")
-    return rows.crossJoin(F.broadcast(total)).select("bm_source", (F.col("w") / F.col("all_w") * target / F.col("n")).alias("bm_rate"))  # the other side is one row
+    share = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(0.0)
+    return rows.crossJoin(F.broadcast(total)).select("bm_source", (share * target / F.col("n")).alias("bm_rate"))  # the other side is one row
 
 
 def _with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -77,9 +80,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, other:
     underscores behind their names.  A null source is the source ``''``; a null
     doc_id draws as the key ``null``.  Equal rows share their counts and are
     both kept.  A null or empty text is replicated like any other.  A weight of
-    0 drops a source; an empty table stays empty.
+    0 drops a source, and where all sources present weigh 0 nothing is left; an
+    empty table stays empty.  Weights and budgets that are negative, infinite or
+    not numbers are refused.
     """
     weights = WEIGHTS if weights is None else weights
+    for name, w in [*weights.items(), ("other", other), ("budget", 0.0 if budget is None else budget)]:
+        if not (math.isfinite(w) and w >= 0):
+            raise ValueError(f"the weight or budget of {name!r} is {w}; it must be a finite number from 0 on")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("bm_key")
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("bm_doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("bm_source"), key)
     rated = _with_rates(rows, materialize(source_rates(docs, weights, other, budget)))
