@@ -40,7 +40,11 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     x = F.col("embedding")
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     rows = embeddings.where(x.isNotNull()).where(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda v: F.floor(v.cast("double") * 256)).alias("vec"))
-    width = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    largest = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")) * 256))
+    width, most = embeddings.where(x.isNotNull()).where(fine).agg(F.max(F.size(x)), F.max(largest)).first()
+    width, most = width or 0, most or 0.0
+    if width * (most + 1) ** 2 >= 2.0**63:
+        raise ValueError(f"components of up to {most / 256:g} in {width} dimensions have inner products that do not fit a long; scale the vectors down")
     padded = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vec")))
     query = F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))
     return materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "vec_id", query.alias("is_query"), padded.alias("vec")))
@@ -213,7 +217,8 @@ def exact_top_k(embeddings: DataFrame, k: int = 5, pivots: int | None = None) ->
     vec_id (null last).  Null vectors and vectors with null or non-finite
     components take no part; shorter vectors count as filled up with zeros.
     Repeated rows are rows of their own, so a repeated query is answered twice.
-    Sums must fit 63 bits.  Fewer than k candidates are all returned; an empty
+    Components so large that an inner product might not fit a long are refused
+    with an error.  Fewer than k candidates are all returned; an empty
     table gives an empty result.  Other columns are ignored.
     """
     data, asked = placed(embeddings, k, pivots)
