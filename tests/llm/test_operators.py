@@ -163,6 +163,16 @@ def test_many_sources_and_large_means(spark, monkeypatch):
     assert order == sorted(order) and len(set(order)) == len(order)
 
 
+def test_weights_of_nothing_and_bad_weights(spark):
+    docs = documents(spark, [(i, "x") for i in range(30)])
+    assert mixing.mix_sources(docs, {}, other=0.0).collect() == []
+    assert mixing.mix_sources(docs, budget=0.0).collect() == []
+    assert {r.source for r in mixing.mix_sources(docs, {"src1": 1.0}, other=0.0).collect()} == {"src1"}
+    for bad in ({"weights": {"src0": -1.0}}, {"weights": {"src0": math.inf}}, {"other": math.nan}, {"budget": -5.0}, {"budget": math.inf}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, **bad)
+
+
 # Chat
 
 
@@ -368,6 +378,15 @@ def test_top_k(spark, monkeypatch, small):
     same(got, want)
 
 
+def test_products_that_fit_no_long_are_refused(spark):
+    make = lambda x, kind: spark.createDataFrame([(0, [1.0, x]), (1, [0.5, -x])], f"vec_id long, embedding array<{kind}>")
+    for x, kind in ((1e300, "double"), (3e38, "float"), (2.0**24, "double")):
+        with pytest.raises(ValueError, match="do not fit a long"):
+            knn.exact_top_k(make(x, kind))
+    got = knn.exact_top_k(make(2.0**22, "double")).collect()  # products beyond 2**53
+    same(got, [(0, 1, 1, 256 * 128 - 2**60)])
+
+
 def test_vectors_go_only_where_they_can_matter(spark, monkeypatch):
     """Clusters far apart: a cell's vectors and queries meet, others stay away, and answers are exact."""
     monkeypatch.setattr(knn, "BLOCK_QUERIES", 3)
