@@ -43,7 +43,7 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     largest = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")) * 256))
     width, most = embeddings.where(x.isNotNull()).where(fine).agg(F.max(F.size(x)), F.max(largest)).first()
     width, most = width or 0, most or 0.0
-    if width * (most + 1) ** 2 >= 2.0**63:
+    if width * (most + 1) * (most + 1) >= 2.0**63:
         raise ValueError(f"components of up to {most / 256:g} in {width} dimensions have inner products that do not fit a long; scale the vectors down")
     padded = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vec")))
     query = F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))
