@@ -1,8 +1,8 @@
 """Paths through the contracted graph: depths, path counts and the bounded best-path cover.
 
-These walk one weakly connected component at a time; each component is one
-group of rows and is solved where it lands, so components run in parallel and
-a task holds one component's graph.
+Graphs of up to ``SMALL_EDGES`` edges and ``SMALL_SUPPORT`` supported pairs, which
+are counted first, are walked component by component, each in one task.  All
+larger ones go layer by layer (``layers``, ``beam``) and give the same rows.
 """
 
 from __future__ import annotations
@@ -14,8 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidmill.session import materialize
+
+from . import beam as layered
+from . import layers
 from .components import connected_components
 
+#: Of a graph that tasks walk; larger ones go layer by layer.
+SMALL_EDGES, SMALL_SUPPORT = 20_000, 500_000
+
 _ROW = "component long, kind string, a long, b long, x double, s string"
 
 
@@ -184,24 +191,27 @@ class Cover:
         return kept
 
     def chosen(self, each: int = 10) -> list[tuple[float, list[int]]]:
-        """All paths of the sources, then for every vertex left out the best ways through it."""
+        return [(score, path) for _, score, path in self.named(each)]
+
+    def named(self, each: int = 10) -> list[tuple[str, float, list[int]]]:
+        """All paths of the sources, then for every vertex left out the best ways through it; named by vertex, head and tail."""
         g = self.g
-        out: list[tuple[float, list[int]]] = []
+        out: list[tuple[str, float, list[int]]] = []
         have: set[tuple] = set()
         for s in sorted(g.sources(), key=lambda v: (g.depth[v], v)):
-            for path, score in self.back[s]:
+            for tail, (path, score) in enumerate(self.back[s]):
                 if tuple(path) not in have:
                     have.add(tuple(path))
-                    out.append((score, path))
-        used = {n for _, p in out for n in p}
+                    out.append((f"{s}.0.{tail}", score, path))
+        used = {n for _, _, p in out for n in p}
         for v in sorted(g.length, key=lambda v: (-g.depth[v], v)):
             if v in used:
                 continue
-            for head, up in self.ahead[v][:each]:
-                for tail, down in self.back[v][:each]:
+            for i, (head, up) in enumerate(self.ahead[v][:each]):
+                for j, (tail, down) in enumerate(self.back[v][:each]):
                     path = head + tail[1:]
-                    if len(path) > 1 and not any(_inside(path, p) for _, p in out):
-                        out.append((up + down, path))
+                    if len(path) > 1 and not any(_inside(path, p) for _, _, p in out):
+                        out.append((f"{v}.{i}.{j}", up + down, path))
                         used.update(path)
         return out
 
@@ -211,11 +221,20 @@ def _inside(part: list[int], whole: list[int]) -> bool:
     return any(whole[i : i + n] == part for i in range(len(whole) - n + 1))
 
 
+def _small(cond: DataFrame, support: DataFrame | None = None) -> bool:
+    few = cond.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
+    return few and (support is None or support.limit(SMALL_SUPPORT + 1).count() <= SMALL_SUPPORT)
+
+
+def _labels(unitigs: DataFrame, cond: DataFrame) -> DataFrame:
+    """(vid, component): the smallest vertex that a vertex is connected with."""
+    labels = connected_components(cond.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "vid")
+    return unitigs.select("vid").join(labels, "vid", "left").select("vid", F.coalesce("label", "vid").alias("component"))
+
+
 def _rows(unitigs: DataFrame, cond: DataFrame, coverage: DataFrame | None, depth: DataFrame | None, support: DataFrame | None, bubble: DataFrame | None, start: DataFrame | None = None) -> DataFrame:
-    ids = unitigs.select("vid")
     edges = cond.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    labels = connected_components(edges)
-    labels = ids.join(labels.withColumnRenamed("node", "vid"), "vid", "left").select("vid", F.coalesce("label", "vid").alias("component"))
+    labels = _labels(unitigs, cond)
     none = F.lit(None)
     priority = unitigs.select("vid", F.lit(0.0).alias("x")) if coverage is None else coverage.select("vid", F.col("cnt").cast("double").alias("x"))
     parts = [unitigs.join(priority, "vid", "left").select(F.lit("vertex").alias("kind"), F.col("vid").alias("a"), F.length("seq").cast("long").alias("b"), F.coalesce("x", F.lit(0.0)).alias("x"), F.col("seq").alias("s"))]
@@ -237,11 +256,18 @@ def vertex_depths(unitigs: DataFrame, cond: DataFrame, k: int, kmers: DataFrame
     """(vid, depth, last_depth, root): depth-first depths of each vertex's first and last k-mer.
 
     ``kmers`` gives the counts that order sources and children;
-    ``start_order(kmer, ord)`` names sources to start with.
+    ``start_order(kmer, ord)`` names sources to start with.  A graph too large
+    for one task must have no cycle.
     """
     first = unitigs.select("vid", F.left("seq", F.lit(k)).alias("kmer"))
     counts = None if kmers is None else first.join(kmers.select("kmer", "cnt"), "kmer").select("vid", "cnt")
     start = None if start_order is None else first.join(start_order, "kmer").select("vid", "ord")
+    if not _small(cond):
+        rows = first.join(counts, "vid", "left") if counts is not None else first.withColumn("cnt", F.lit(0.0))
+        rows = rows.select("vid", "kmer", F.coalesce("cnt", F.lit(0)).cast("double").alias("cnt")).join(unitigs.select("vid", F.length("seq").alias("len")), "vid")
+        found = layers.depth_first(layers.topological_layers(unitigs, cond), rows, cond, k, start)
+        last = found.join(rows.select("vid", "len"), "vid")
+        return last.select("vid", "depth", (F.col("depth") + F.col("len") - k).cast("int").alias("last_depth"), "root")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         g = _graph(rows, k)
@@ -253,6 +279,8 @@ def vertex_depths(unitigs: DataFrame, cond: DataFrame, k: int, kmers: DataFrame
 
 def path_counts(unitigs: DataFrame, cond: DataFrame, k: int) -> DataFrame:
     """(component, n_paths decimal(38,0)): ways from sources to sinks."""
+    if not _small(cond):
+        return layers.path_totals(layers.topological_layers(unitigs, cond), cond, _labels(unitigs, cond))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"component": [rows["component"].iloc[0]], "n_paths": [str(path_total(_graph(rows, k)))]})
@@ -262,23 +290,34 @@ def path_counts(unitigs: DataFrame, cond: DataFrame, k: int) -> DataFrame:
 
 
 def cover_paths(unitigs: DataFrame, cond: DataFrame, depth: DataFrame, support: DataFrame, bubble: DataFrame, k: int, beam: int = 15, insert: int = 400, normalized: bool = False, least_score: float = -10.0) -> DataFrame:
-    """(component, path_id, score, nodes, depths, seq, len): the chosen paths, best-known order.
+    """(component, path_id, score, nodes, depths, seq, len): the chosen paths.
 
-    ``depths`` are those of each vertex's last k-mer.  ``normalized`` weighs
-    support by its share of the vertex's summed support.
+    ``path_id`` has the vertex that a path was made for and the numbers of its
+    way up and down.  ``depths`` are those of each vertex's last k-mer.
+    ``normalized`` weighs support by its share of the vertex's summed support.
     """
+    if not _small(cond, support):
+        placed = layers.topological_layers(unitigs, cond).join(depth.select("vid", "depth"), "vid")
+        paths = materialize(layered.layered_cover(placed, cond, support, bubble, beam, insert, normalized, least_score))
+        seqs = stitch_paths(paths, unitigs, k)
+        last = unitigs.join(depth, "vid").select("vid", (F.col("depth") + F.length("seq") - k).cast("int").alias("last"))
+        steps = paths.select("path_id", F.posexplode("nodes").alias("pos", "vid")).join(last, "vid")
+        depths = steps.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "last"))), lambda x: x["last"]).alias("depths"))
+        labels = _labels(unitigs, cond).select(F.col("vid").alias("head"), "component")
+        out = paths.join(seqs, "path_id").join(depths, "path_id").withColumn("head", F.col("nodes")[0]).join(labels, "head")
+        return out.select("component", "path_id", "score", "nodes", "depths", "seq", "len")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         g = _graph(rows, k)
         out = []
-        for n, (score, path) in enumerate(Cover(g, beam, insert, normalized).chosen()):
+        for name, score, path in Cover(g, beam, insert, normalized).named():
             if score >= least_score:
                 seq = g.first[path[0]] + "".join(g.first[v][k - 1 :] for v in path[1:])
-                out.append((rows["component"].iloc[0], n, float(score), path, [g.depth[v] + g.length[v] - k for v in path], seq, len(seq)))
+                out.append((rows["component"].iloc[0], name, float(score), path, [g.depth[v] + g.length[v] - k for v in path], seq, len(seq)))
         return pd.DataFrame(out, columns=["component", "path_id", "score", "nodes", "depths", "seq", "len"])
 
     rows = _rows(unitigs, cond, None, depth, support, bubble)
-    return rows.groupBy("component").applyInPandas(solve, "component long, path_id int, score double, nodes array<long>, depths array<int>, seq string, len int")
+    return rows.groupBy("component").applyInPandas(solve, "component long, path_id string, score double, nodes array<long>, depths array<int>, seq string, len int")
 
 
 def stitch_paths(paths: DataFrame, unitigs: DataFrame, k: int) -> DataFrame:

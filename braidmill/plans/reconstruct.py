@@ -30,7 +30,7 @@ def candidates(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int =
     bubbles = pairs.bubble_vertices(depth.select("vid", "depth"), cond)
     bubble = materialize(pairs.bubble_set(support, places, bubbles, cond))
     paths = materialize(cover.cover_paths(unitigs, cond, depth, compat, bubble, k, beam, insert, normalized))
-    named = paths.select(F.concat_ws(".", F.abs("component").cast("string"), F.format_string("%06d", "path_id")).alias("path_id"), "score", "nodes", "seq", "len")
+    named = paths.select(F.concat_ws(".", F.abs("component").cast("string"), "path_id").alias("path_id"), "score", "nodes", "seq", "len")
     with_depths = compat.join(depth.select(F.col("vid").alias("v1"), F.col("last_depth").alias("d1")), "v1").join(depth.select(F.col("vid").alias("v2"), F.col("depth").alias("d2")), "v2")
     oriented = materialize(likelihood.oriented(with_depths, unitigs.select("vid", "len")))
     return out | {"depth": depth, "pairs": support, "compat": compat, "bubble": bubble, "cover": paths, "paths": named, "oriented": oriented}

@@ -166,3 +166,25 @@ def test_a_graph_without_support_and_an_empty_one(spark):
     assert sorted((tuple(r.nodes), r.score) for r in rows) == sorted((tuple(p), s) for s, p in plain.chosen())
     assert beam.layered_cover(placed.limit(0), edges.limit(0), support.limit(0), none).collect() == []
     assert graph.vertex_sources(placed, edges).count() > 0
+
+
+@pytest.mark.parametrize("seed, normalized", [(21, False), (22, True)])
+def test_large_graphs_give_the_rows_of_small_ones(spark, monkeypatch, seed, normalized):
+    """Depths, path counts and covers with sequences, walked by tasks and layer by layer."""
+    g = random_graph(seed, 12, 0.3)
+    rng = random.Random(seed)
+    seq = {v: "".join(rng.choice("ACGT") for _ in range(g.length[v])) for v in g.length}
+    unitigs = spark.createDataFrame([(v, s) for v, s in seq.items()], "vid long, seq string")
+    _, edges, support, bubble = tables(spark, g)
+    kmers = spark.createDataFrame([(s[:K], int(g.priority[v])) for v, s in seq.items() if g.priority[v]], "kmer string, cnt long")
+    bubble = bubble.withColumn("cnt", F.lit(1).cast("long"))
+    order = spark.createDataFrame([(seq[v][:K], i) for i, v in enumerate(g.sources()[::-1])], "kmer string, ord int")
+
+    def every():
+        depth = cover.vertex_depths(unitigs, edges, K, kmers)
+        paths = cover.cover_paths(unitigs, edges, depth, support, bubble, K, 3, 6, normalized)
+        return [sorted(map(repr, df.collect())) for df in (depth, cover.vertex_depths(unitigs, edges, K, kmers, order), cover.path_counts(unitigs, edges, K), paths)]
+
+    want = every()
+    monkeypatch.setattr(cover, "SMALL_EDGES", 0)
+    assert every() == want and len(want[3]) > 3
