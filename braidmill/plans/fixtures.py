@@ -131,6 +131,21 @@ ITEM_EDGES = "item_edges as (select distinct a.vid as src, b.vid as dst from ite
 ITEM_SUPPORT = "item_support as (select a.vid as v1, b.vid as v2, count(*) as cnt, max(case when (a.part + b.part) % 2 = 0 then 1 else 0 end) as bubble from items a join items b on a.o = b.o and a.line < b.line group by a.vid, b.vid)"
 
 
+#: Orders as paths through their items; a vertex has a place on a line of its own and bases enough for its length.
+ITEM_PLACE = f"item_places as (select vid, cast(3 * line + part % 5 as int) as depth, substring(concat(b, b), 1, cast({LINE_K} + part % 3 as int)) as seq from (select distinct vid, line, part, {_BASES.replace('{0}', 'vid')} as b from items) v)"
+ITEM_PATHS = {"spark": "item_paths as (select o as path_id, transform(array_sort(collect_list(struct(line, vid))), x -> x.vid) as nodes from items group by o)", "duckdb": "item_paths as (select o as path_id, list(vid order by line, vid) as nodes from items group by o)"}
+
+
+def item_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vid, depth, seq)"""
+    return _run(spark, sf_dir, f"with {_bound(ITEMS)}, {ITEM_PLACE.format(text='string')} select * from item_places", "lineitem")
+
+
+def item_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path_id, nodes): the items of every order, by line."""
+    return _run(spark, sf_dir, f"with {_bound(ITEMS)}, {ITEM_PATHS['spark']} select * from item_paths", "lineitem")
+
+
 def item_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """vertices(vid, len, cnt, kmer), edges(src, dst), support(v1, v2, cnt) and bubble(v1, v2)."""
     read = lambda table, cte: _run(spark, sf_dir, f"with {_bound(ITEMS)}, {cte.format(text='string')} select * from {table}", "lineitem")

@@ -7,7 +7,7 @@ is as good as a recursion.
 from __future__ import annotations
 
 from . import fixtures as X
-from .registry import ITEM_BEAM, ITEM_INSERT
+from .registry import ITEM_BEAM, ITEM_GENOME, ITEM_INSERT
 
 ROWS = range(1, X.LINES + 1)
 INPUTS = ",\n".join(x.format(text="varchar").replace(" as (", " as materialized (", 1) for x in (X.ITEMS, X.ITEM_VERTICES, X.ITEM_EDGES, X.ITEM_SUPPORT))
@@ -110,7 +110,41 @@ from (select vid, head, tail, nodes, score from first union all select vid, head
 where score >= -10
 """
 
+PATHS = f"{INPUTS},\n{X.ITEM_PLACE.format(text='varchar')},\n{X.ITEM_PATHS['duckdb']}"
+ORIENTED = """ori as materialized (
+  select v1, v2, cnt, b.depth - a.depth + length(b.seq) as span from item_support join item_places a on a.vid = v1 join item_places b on b.vid = v2 where b.depth >= a.depth),
+tot as (select sum(cnt) as total, count(*) as n_pairs from ori)"""
+HELD = """steps as (select path_id, unnest(nodes) as v, unnest(range(len(nodes))) as i from item_paths),
+held as materialized (select distinct a.path_id, a.v as v1, b.v as v2 from steps a join steps b on a.path_id = b.path_id and a.i <= b.i)"""
+
+
+def _term(d: str, h: str) -> str:
+    q = f"({d})::double / ({h} * {ITEM_GENOME} - {h} * span + 2 * {h})"
+    return f"case when {q} > 0 and {q} < 1 and total >= cnt then (total - cnt) * ln(1 - {q}) + cnt * ln({q}) else 0 end"
+
+
+def _sets(penalty: str) -> str:
+    lost = "1e8::double * (total - coalesce(held_cnt, 0))" if penalty == "weighted" else "1e10::double * (n_pairs - coalesce(n_held, 0))"
+    return f"""with {PATHS},\n{ORIENTED},\n{HELD},
+      s as (select o_orderpriority as set_id, o_orderkey as path_id from orders),
+      size as (select set_id, count(distinct path_id) as h from s group by 1),
+      d as (select set_id, v1, v2, count(*) as d from (select distinct * from s) join held using (path_id) group by all),
+      part as (select set_id, sum({_term('d', 'h')}) as part, sum(cnt) as held_cnt, count(*) as n_held from d join ori using (v1, v2) join size using (set_id) cross join tot group by 1)
+      select set_id, h::int as size, round(coalesce(part, 0) - {lost}, 0) as loglik, round((total - coalesce(held_cnt, 0))::double / total, 9) as missed from size left join part using (set_id) cross join tot"""
+
+
 ORACLES = {
+    "item_pair_multiplicity": f"with {PATHS},\n{HELD} select o_orderpriority as set_id, v1, v2, count(*) as d from orders join held on o_orderkey = path_id group by all",
+    "item_set_likelihood": _sets("weighted"),
+    "item_set_likelihood_flat": _sets("flat"),
+    "item_leave_one_out": f"""with {PATHS},\n{ORIENTED},\n{HELD},
+      h as (select count(*) - 1 as h from item_paths), d as (select v1, v2, count(*) as d from held group by all),
+      t as materialized (select v1, v2, cnt, d, case when d is null then -1e8::double * cnt else {_term('d', 'h')} end as now, case when d = 1 then -1e8::double * cnt else {_term('d - 1', 'h')} end as less from ori left join d using (v1, v2) cross join h cross join tot),
+      base as (select sum(now) as base, coalesce(sum(cnt) filter (d is null), 0) as lost from t),
+      c as (select path_id, sum(less - now) as change, coalesce(sum(cnt) filter (d = 1), 0) as more from held join t using (v1, v2) group by 1)
+      select path_id as removed, h::int as size, round(base + coalesce(change, 0), 2) as loglik, round((lost + coalesce(more, 0))::double / total, 9) as missed from item_paths left join c using (path_id) cross join base cross join h cross join tot""",
+    "item_path_stitch": f"""with {PATHS}, steps as (select path_id, unnest(nodes) as vid, unnest(range(len(nodes))) as i from item_paths)
+      select path_id, string_agg(case when i = 0 then seq else seq[{X.LINE_K}:] end, '' order by i) as seq, sum(case when i = 0 then length(seq) else length(seq) - {X.LINE_K} + 1 end)::int as len from steps join item_places using (vid) group by 1""",
     "item_layers": f"with {INPUTS},\n{LAYERS}\nselect * from lay",
     "item_path_counts": f"with {INPUTS},\n{WAYS}\nselect vid, n::decimal(38,0) as n from way union all select -1, sum(n)::decimal(38,0) from way where vid not in (select src from item_edges)",
     "item_depths": f"with {INPUTS},\n{DEPTHS}\nselect vid, depth, root from dep",

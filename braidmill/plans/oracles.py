@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import fixtures as X
+from . import round_trip_sql
 from .layer_sql import ORACLES as LAYER_ORACLES
 from .registry import BLOOM, GENOME, K, K_PAIRS, SETS
 
@@ -157,7 +158,7 @@ def cells(name: str, source: str) -> str:
 #: A bit is the place from the low end of its byte, bytes from the first on.
 _BITS = "string_agg(lpad(lower(to_hex(coalesce(b.v, 0))), 2, '0'), '' order by i)"
 
-ORACLES = LAYER_ORACLES | {
+ORACLES = LAYER_ORACLES | round_trip_sql.oracles(READS, counts, rc) | {
     "kmer_bloom": f"with {MATES}, {cells('in_cells', 'a')}, turned as (select {rc('kmer')} as kmer from b), {cells('asked', 'turned')}, one_cell as (select distinct cell from in_cells) select kmer, count(*) = count(o.cell) as held from asked left join one_cell o using (cell) group by kmer",
     "kmer_bloom_merged": f"""with {READS}, {counts('c', K)}, {cells('every', 'c')}, one_cell as (select distinct cell from every),
       bytes as (select cell // 32768 as bucket, cell % 32768 // 8 as at, sum(1 << (cell % 8))::int as v from one_cell group by all),

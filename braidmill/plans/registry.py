@@ -674,6 +674,55 @@ def item_cover(spark, sf_dir):
     return out.select("path_id", F.round("score", 6).alias("score"), _line())
 
 
+# Sets of orders as paths through their items
+
+
+ITEM_GENOME = 100_000
+
+
+def _item_pairs(spark, sf_dir) -> DataFrame:
+    """Support with places, oriented."""
+    places = X.item_places(spark, sf_dir)
+    side = lambda n: places.select(F.col("vid").alias(f"v{n}"), F.col("depth").alias(f"d{n}"))
+    compat = X.item_graph(spark, sf_dir)["support"].join(side(1), "v1").join(side(2), "v2")
+    return materialize(likelihood.oriented(compat, places.select("vid", F.length("seq").alias("len"))))
+
+
+def _item_sets(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("set_id"), F.col("o_orderkey").alias("path_id"))
+
+
+@query
+def item_pair_multiplicity(spark, sf_dir):
+    return likelihood.pair_multiplicity(_item_sets(spark, sf_dir), X.item_paths(spark, sf_dir))
+
+
+def _item_likelihood(spark, sf_dir, penalty: str) -> DataFrame:
+    out = likelihood.set_likelihood(_item_sets(spark, sf_dir), X.item_paths(spark, sf_dir), _item_pairs(spark, sf_dir), ITEM_GENOME, penalty)
+    return out.select("set_id", "size", F.round("loglik", 0).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def item_set_likelihood(spark, sf_dir):
+    return _item_likelihood(spark, sf_dir, "weighted")
+
+
+@query
+def item_set_likelihood_flat(spark, sf_dir):
+    return _item_likelihood(spark, sf_dir, "flat")
+
+
+@query
+def item_leave_one_out(spark, sf_dir):
+    out = likelihood.leave_one_out(X.item_paths(spark, sf_dir), _item_pairs(spark, sf_dir), ITEM_GENOME)
+    return out.select("removed", "size", F.round("loglik", 2).alias("loglik"), F.round("missed", 9).alias("missed"))
+
+
+@query
+def item_path_stitch(spark, sf_dir):
+    return cover.stitch_paths(X.item_paths(spark, sf_dir), X.item_places(spark, sf_dir), X.LINE_K)
+
+
 # Evaluation
 
 
@@ -744,3 +793,8 @@ def subpaths(spark, sf_dir):
     paths = _table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand").alias("header"), F.col("p_name").alias("seq"))
     centroids = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit(" centroid")).alias("header"), F.col("s_suppkey").alias("ord"))
     return evaluate.paths_of_centroids(paths, centroids)
+
+
+from .round_trips import QUERIES as _ROUND_TRIPS  # noqa: E402  it takes the registry's helpers
+
+QUERIES |= _ROUND_TRIPS

@@ -33,14 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder at which nothing lies yet; what is written there is removed like other tables."""
+    path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
+    _written.append((path, spark._jsc.hadoopConfiguration()))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, which cuts the lineage.
 
     The table stays until ``settled`` or the end of the driver removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
-    _written.append((path, spark._jsc.hadoopConfiguration()))
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,8 +59,7 @@ class Stepwise:
 
     def __init__(self, spark: SparkSession, schema: str, at: str = "layer"):
         self.spark, self.at = spark, at
-        self.path = f"{shared_dir(spark)}/braidmill-{uuid.uuid4().hex}"
-        _written.append((self.path, spark._jsc.hadoopConfiguration()))
+        self.path = new_path(spark)
         empty = spark.createDataFrame([], f"{schema}, {at} int")
         self.schema = empty.schema
         self.add(empty)
