@@ -19,31 +19,59 @@ def condense(read_pairs: DataFrame, k: int = 55, edge_threshold: int = 0, counts
     return {"kmers": both, "own": own, "edges": edges, "unitigs": unitigs, "cond_edges": cond}
 
 
-def candidates(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int = 400, edge_threshold: int = 0, pair_threshold: int = 5, store: int = 1, counts: DataFrame | None = None, normalized: bool = False) -> dict[str, DataFrame]:
-    """The tables before the elimination: ``cover`` has the paths as chosen, ``paths`` those with names, ``oriented`` the support to judge them by."""
+def candidates(
+    read_pairs: DataFrame,
+    k: int = 55,
+    beam: int = 15,
+    insert: int = 400,
+    edge_threshold: int = 0,
+    pair_threshold: int = 5,
+    store: int = 1,
+    counts: DataFrame | None = None,
+    normalized: bool = False,
+    tip_coverage: float = 0.0,
+    prune_all: bool = False,
+    least_support: int = 0,
+) -> dict[str, DataFrame]:
+    """The tables before the elimination: ``cover`` has the paths as chosen, ``paths`` those with names, ``oriented`` the support to judge them by.
+
+    The graph is edited before the cover: tips (with ``prune_all`` all vertices)
+    of a mean coverage below ``tip_coverage`` go, and support between vertices
+    counts only above ``least_support``.  Depths are those of the whole graph.
+    ``supported_edges`` are the k-mer edges that the kept support leaves for
+    another run.
+    """
     out = condense(read_pairs, k, edge_threshold, counts)
     own, unitigs, cond = out["own"], out["unitigs"], out["cond_edges"]
-    depth = materialize(cover.vertex_depths(unitigs, cond, k, own))
+    closed = materialize(kmers.with_complements(own))  # a strand that was not read has the other's counts
+    depth = materialize(cover.vertex_depths(unitigs, cond, k, closed))
+    if tip_coverage > 0:
+        unitigs, cond = graph.prune(unitigs, cond, graph.unitig_coverage(unitigs, closed, k), tip_coverage, prune_all)
+        unitigs, cond = materialize(unitigs), materialize(cond)
+        depth = materialize(depth.join(unitigs.select("vid"), "vid", "left_semi"))
+        out |= {"unitigs": unitigs, "cond_edges": cond}
     places = materialize(graph.kmer_vertices(unitigs, k).join(depth, "vid").select("kmer", "vid", (F.col("depth") + F.col("offset")).alias("depth")))
     support = materialize(pairs.pair_support(read_pairs, own, k, pair_threshold, store))
-    compat = materialize(pairs.compatible_set(support, places))
+    compat = pairs.compatible_set(support, places)
+    compat = materialize(pairs.filter_compatible(compat, least_support) if least_support > 0 else compat)
     bubbles = pairs.bubble_vertices(depth.select("vid", "depth"), cond)
     bubble = materialize(pairs.bubble_set(support, places, bubbles, cond))
     paths = materialize(cover.cover_paths(unitigs, cond, depth, compat, bubble, k, beam, insert, normalized))
     named = paths.select(F.concat_ws(".", F.abs("component").cast("string"), "path_id").alias("path_id"), "score", "nodes", "seq", "len")
     with_depths = compat.join(depth.select(F.col("vid").alias("v1"), F.col("last_depth").alias("d1")), "v1").join(depth.select(F.col("vid").alias("v2"), F.col("depth").alias("d2")), "v2")
     oriented = materialize(likelihood.oriented(with_depths, unitigs.select("vid", "len")))
-    return out | {"depth": depth, "pairs": support, "compat": compat, "bubble": bubble, "cover": paths, "paths": named, "oriented": oriented}
+    supported = pairs.edges_with_support(out["edges"], places, compat)
+    return out | {"depth": depth, "supported_edges": supported, "pairs": support, "compat": compat, "bubble": bubble, "cover": paths, "paths": named, "oriented": oriented}
 
 
-def reconstruct(read_pairs: DataFrame, k: int = 55, beam: int = 15, insert: int = 400, genome: int = 1200, edge_threshold: int = 0, pair_threshold: int = 5, store: int = 1, counts: DataFrame | None = None, normalized: bool = False, penalty: str = "weighted", strict: bool = False) -> dict[str, DataFrame]:
+def reconstruct(read_pairs: DataFrame, k: int = 55, genome: int = 1200, penalty: str = "weighted", strict: bool = False, **options) -> dict[str, DataFrame]:
     """All tables of the workflow by name; ``final`` has the chosen sequences.
 
-    ``counts`` (k, kmer, cnt), with k and k + 1, replaces the workflow's own
-    counting.  Tables that later steps read again are written to the shared
-    folder.
+    ``options`` are those of ``candidates``; its ``counts`` (k, kmer, cnt), with
+    k and k + 1, replaces the workflow's own counting.  Tables that later steps
+    read again are written to the shared folder.
     """
-    out = candidates(read_pairs, k, beam, insert, edge_threshold, pair_threshold, store, counts, normalized)
+    out = candidates(read_pairs, k, **options)
     trace = likelihood.elimination(out["paths"], out["oriented"], genome, penalty)
     final = likelihood.final_set(trace, out["paths"], strict)
     return out | {"trace": trace, "final": final.select("path_id", "score", "seq", "len")}

@@ -37,8 +37,8 @@ def _counts(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = X.reads(spark, sf_dir)
-    return graph.edges_from_k1mers(kmers.count_kmers(reads, K + 1), kmers.count_kmers(reads, K), K)
+    both = materialize(kmers.count_kmers_multi(X.reads(spark, sf_dir), [K + 1, K]))  # one pass over the reads
+    return graph.edges_from_k1mers(both.where(F.col("k") == K + 1), both.where(F.col("k") == K), K)
 
 
 def _mate(spark: SparkSession, sf_dir: str, mate: int) -> DataFrame:
