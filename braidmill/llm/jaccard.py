@@ -40,8 +40,8 @@ from .textops import SPACE_WORDS, gram_hashes, release_memory, row_blocks, strin
 #: Cells of the frequency table (more of them where one would hold over CELL_LOAD shingles on average, up to the most);
 #: only the order of shingles depends on them.
 CELL_BITS, MOST_CELL_BITS, CELL_LOAD = 20, 26, 100_000
-#: Cells of the membership bitmap; false positives only cost time.
-BITMAP_BITS = 23
+#: Cells of the membership bitmap, sixteen for every wanted set between these bounds (1 and 32 MB); false positives only cost time.
+BITMAP_BITS, MOST_BITMAP_BITS = 23, 28
 #: Most sets and most shingles of one block.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Shingles of a hot cell that one salt stands for.
@@ -277,9 +277,9 @@ def _candidate_groups(postings: DataFrame, percent: int) -> tuple[DataFrame, Dat
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, grams binary) of the documents whose ``cid`` is wanted, and a few more."""
-
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("cid"), "cid", BITMAP_BITS))
+    """(cid, grams binary) of the documents whose ``cid`` is in the table of those wanted, and a few more."""
+    bits = min(MOST_BITMAP_BITS, max(BITMAP_BITS, (16 * wanted.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("cid"), "cid", bits))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -288,7 +288,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for _, g in _shingle_sets(batch, n):
                 if len(g):
                     cid = _digest(g, 1) ^ len(g)
-                    if cid not in seen and in_bitmap(marks.value, BITMAP_BITS, np.array([cid], np.int64).view(np.uint64))[0]:
+                    if cid not in seen and in_bitmap(marks.value, bits, np.array([cid], np.int64).view(np.uint64))[0]:
                         if len(seen) < _SEEN:
                             seen.add(cid)
                         cids.append(cid)

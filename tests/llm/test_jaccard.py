@@ -26,6 +26,19 @@ def test_blocks_and_salts_change_nothing(spark, monkeypatch, blocks):
     same(jaccard.ngram_jaccard_join(documents(spark, rows)).collect(), components(rows))
 
 
+@pytest.mark.parametrize("least, most", [(7, 7), (7, 28)])
+def test_the_bitmap_grows_with_what_is_wanted(spark, monkeypatch, least, most):
+    """A full bitmap lets everything through, a fitting one hardly any set; the rows are the same."""
+    asked = []
+    build = jaccard.bitmap
+    monkeypatch.setattr(jaccard, "bitmap", lambda df, column, bits: asked.append(bits) or build(df, column, bits))
+    monkeypatch.setattr(jaccard, "BITMAP_BITS", least)
+    monkeypatch.setattr(jaccard, "MOST_BITMAP_BITS", most)
+    rows = odd_documents(6)
+    same(jaccard.ngram_jaccard_join(documents(spark, rows)).collect(), components(rows))
+    assert asked == [7] if most == 7 else asked[0] > 7
+
+
 def test_empty_table(spark):
     assert jaccard.ngram_jaccard_join(documents(spark, [(1, "x")]).limit(0)).collect() == []
     assert jaccard.keep_one_per_component(documents(spark, [(1, "x")]).limit(0)).collect() == []
