@@ -185,6 +185,13 @@ def graph_summary(vertices: DataFrame, cond: DataFrame) -> DataFrame:
     return out
 
 
+def edit_summary(vertices: DataFrame, cond: DataFrame, kept: DataFrame, kept_cond: DataFrame) -> DataFrame:
+    """``graph_summary`` of what an edit has kept, plus (n_removed, n_lost_edges): vertices and edges that went."""
+    gone = vertices.select("vid").join(kept.select("vid"), "vid", "left_anti").agg(F.count("*").alias("n_removed"))
+    lost = cond.select("src", "dst").join(kept_cond, ["src", "dst"], "left_anti").agg(F.count("*").alias("n_lost_edges"))
+    return graph_summary(kept, kept_cond).crossJoin(gone).crossJoin(lost)  # one row each
+
+
 def strand_twins(unitig_rows: DataFrame) -> DataFrame:
     """(vid, twin): the unitig with the reverse-complemented sequence."""
     other = unitig_rows.select(F.col("vid").alias("twin"), F.col("seq").alias("rc"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidmill.session import bookmark, forget, materialize
+
 #: Penalty of a supported pair that no path of the set holds.
 PENALTY = {"weighted": 1e8, "flat": 1e10}
 #: Pairs of paths and support that the driver eliminates itself; more go through joins.
@@ -92,7 +94,7 @@ def elimination(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str =
     held = path_pairs(paths).join(pairs, ["v1", "v2"])
     ids = paths.select("path_id").distinct()
     if held.limit(DRIVER_ENTRIES + 1).count() > DRIVER_ENTRIES or ids.limit(DRIVER_ENTRIES + 1).count() > DRIVER_ENTRIES:
-        return _elimination_by_joins(paths, pairs, genome, penalty)
+        return elimination_by_joins(paths, pairs, genome, penalty)
     # the driver gets what paths hold; of all other support only its sums
     members: dict = {r["path_id"]: [] for r in ids.collect()}
     place: dict[tuple, int] = {}
@@ -134,15 +136,41 @@ def elimination(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str =
     return spark.createDataFrame(trace, "step int, size int, loglik double, removed string, missed double")
 
 
-def _elimination_by_joins(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str) -> DataFrame:
-    trace, left = [], paths
-    while True:
-        scored = leave_one_out(left, pairs, genome, penalty).where("loglik <> 0 and not isnan(loglik) and abs(loglik) < double('Infinity')")
-        best = scored.orderBy(F.desc("loglik"), "removed").first()
+def elimination_by_joins(paths: DataFrame, pairs: DataFrame, genome: int, penalty: str = "weighted") -> DataFrame:
+    """The trace of ``elimination`` for any number of paths and pairs; nothing but a row a round reaches the driver.
+
+    What the paths hold is expanded once.  A table of the held pairs keeps how
+    many of the remaining paths hold each; a removal lowers it for the removed
+    path's pairs, and the table is written anew, so plans do not grow.  Pairs
+    that no path holds enter by their sums only.
+    """
+    keys = ["v1", "v2"]
+    held = materialize(path_pairs(paths).join(pairs, keys))
+    left = materialize(paths.select("path_id").distinct())
+    whole = pairs.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("n")).first()
+    d = materialize(held.groupBy(*keys).agg(F.count("*").alias("d"), F.first("cnt").alias("cnt"), F.first("span").alias("span")))
+    met = d.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.count("*").alias("n")).first()
+    unheld = whole["total"] - met["cnt"]
+    beyond = -PENALTY[penalty] * (unheld if penalty == "weighted" else whole["n"] - met["n"])
+    trace, size, since = [], left.count(), bookmark()
+    while size:
+        f = lambda n: term(n, F.lit(size - 1), F.col("cnt"), F.col("span"), F.lit(whole["total"]), genome, penalty)  # noqa: B023, E731
+        terms = d.select(*keys, f(F.col("d")).alias("now"), (f(F.col("d") - 1) - f(F.col("d"))).alias("change"))
+        base = terms.agg(F.coalesce(F.sum("now"), F.lit(0.0)).alias("base"))
+        change = held.select("path_id", *keys).join(terms.select(*keys, "change"), keys).groupBy("path_id").agg(F.sum("change").alias("change"))
+        scored = left.join(change, "path_id", "left").crossJoin(F.broadcast(base))  # one row
+        scored = scored.select("path_id", (F.col("base") + beyond + F.coalesce("change", F.lit(0.0))).alias("loglik"))
+        best = scored.where("loglik <> 0 and not isnan(loglik) and abs(loglik) < double('Infinity')").orderBy(F.desc("loglik"), "path_id").first()
         if best is None:
             break
-        trace.append((len(trace) + 1, best["size"], best["loglik"], str(best["removed"]), best["missed"]))
-        left = left.where(F.col("path_id") != best["removed"])
+        gone = held.where(F.col("path_id") == best["path_id"]).select(*keys, F.lit(1).alias("less"))
+        left, size = left.where(F.col("path_id") != best["path_id"]), size - 1
+        d = d.join(gone, keys, "left").select(*keys, (F.col("d") - F.coalesce("less", F.lit(0))).alias("d"), "cnt", "span")
+        both = materialize(d), materialize(left)
+        forget(since, keep=2)
+        d, left = both
+        lost = unheld + (d.where("d = 0").agg(F.sum("cnt")).first()[0] or 0)
+        trace.append((len(trace) + 1, size, best["loglik"], str(best["path_id"]), float(lost / whole["total"]) if whole["total"] else 0.0))
     return paths.sparkSession.createDataFrame(trace, "step int, size int, loglik double, removed string, missed double")
 
 

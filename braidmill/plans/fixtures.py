@@ -8,6 +8,7 @@ three variants; every order is a read pair of two times 60 bases.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPARK = {"text": "string", "joined": "listagg({0}, '') within group (order by {1})", "each": "lateral view explode(sequence({0}, {1})) {2}_v as {2}"}
 DUCKDB = {"text": "varchar", "joined": "string_agg({0}, '' order by {1})", "each": "cross join lateral (select unnest(range({0}, {1} + 1))) {2}_v({2})"}
@@ -136,6 +137,24 @@ ITEM_PLACE = f"item_places as (select vid, cast(3 * line + part % 5 as int) as d
 ITEM_PATHS = {"spark": "item_paths as (select o as path_id, transform(array_sort(collect_list(struct(line, vid))), x -> x.vid) as nodes from items group by o)", "duckdb": "item_paths as (select o as path_id, list(vid order by line, vid) as nodes from items group by o)"}
 
 
+#: Parts in classes, and for each order priority the way through the most frequent class of every line.
+CLASS_ITEMS = "class_items as (select distinct o, line, part % 40 as part, cast(part % 40 * 8 + line as bigint) as vid from items)"
+CLASS_SUPPORT = f"class_support as (select a.vid as v1, cast(3 * a.line as int) as d1, b.vid as v2, cast(3 * b.line + b.part % 5 - 2 as int) as d2, count(*) as cnt, cast({LINE_K} + b.part % 3 as int) as len from class_items a join class_items b on a.o = b.o and a.line < b.line group by a.vid, a.line, b.vid, b.line, b.part)"
+CLASS_STEPS = """class_steps as (
+  select path_id, line, vid from (
+    select path_id, line, vid, row_number() over (partition by path_id, line order by n desc, vid) as place
+    from (select cast(substring(o_orderpriority, 1, 1) as int) - 1 as path_id, line, vid, count(*) as n from class_items join orders on o_orderkey = o group by 1, 2, 3) c) r
+  where place = 1)"""
+
+
+def class_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """paths(path_id, nodes) of the order priorities, and the support they are judged by: (v1, d1, v2, d2, cnt, len of v2)."""
+    read = lambda table, *ctes: _run(spark, sf_dir, f"with {', '.join(map(_bound, (ITEMS, CLASS_ITEMS, *ctes)))} select * from {table}", "lineitem", "orders")
+    steps = read("class_steps", CLASS_STEPS.replace("join orders", "join {orders}"))
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("line", "vid"))), lambda x: x["vid"])
+    return steps.groupBy("path_id").agg(nodes.alias("nodes")), read("class_support", CLASS_SUPPORT)
+
+
 def item_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vid, depth, seq)"""
     return _run(spark, sf_dir, f"with {_bound(ITEMS)}, {ITEM_PLACE.format(text='string')} select * from item_places", "lineitem")

@@ -133,7 +133,40 @@ def _sets(penalty: str) -> str:
       select set_id, h::int as size, round(coalesce(part, 0) - {lost}, 0) as loglik, round((total - coalesce(held_cnt, 0))::double / total, 9) as missed from size left join part using (set_id) cross join tot"""
 
 
+ELIMINATION = f"""with recursive {X.ITEMS}, {X.CLASS_ITEMS}, {X.CLASS_SUPPORT}, {X.CLASS_STEPS},
+  ori as materialized (select v1, v2, cnt, d2 - d1 + len as span from class_support where d2 >= d1),
+  tot as (select sum(cnt) as total from ori),
+  held as (select distinct a.path_id, a.vid as v1, b.vid as v2 from class_steps a join class_steps b on a.path_id = b.path_id and a.line <= b.line),
+  paths as (select distinct path_id from class_steps),
+  subsets as (select unnest(range(0, 32))::int as m),
+  members as (select m, path_id from subsets join paths on (m >> path_id) & 1 = 1),
+  d as (select m, v1, v2, count(*) as d from members join held using (path_id) group by all),
+  part as (select m, sum({_term('d', 'bit_count(m)::bigint')}) as part, sum(cnt) as held_cnt from d join ori using (v1, v2) cross join tot group by m),
+  scored as (select m, coalesce(part, 0) - 1e8::double * (total - coalesce(held_cnt, 0)) as loglik, (total - coalesce(held_cnt, 0))::double / total as missed from subsets left join part using (m) cross join tot),
+  choice as (
+    select a.m, a.path_id as p, b.m as child, b.loglik, b.missed, row_number() over (partition by a.m order by b.loglik desc, a.path_id) as rn
+    from members a join scored b on b.m = a.m - (1 << a.path_id)::int where b.loglik <> 0),
+  t(step, m) as (select 0, (select sum(1 << path_id) from paths)::int union all select step + 1, child from t join choice using (m) where rn = 1)
+  select (step + 1)::int as step, bit_count(child)::int as size, round(loglik, 0) as loglik, p::varchar as removed, round(missed, 9) as missed from t join choice using (m) where rn = 1"""
+
+WITHOUT = f"""with {PATHS},
+  ends as (select vid from item_vertices where vid not in (select src from item_edges) or vid not in (select dst from item_edges)),
+  kept as (select vid from item_vertices where cnt >= 3 or ({{tips}} and vid not in (select vid from ends))),
+  kept_edges as (select src, dst from item_edges where src in (select vid from kept) and dst in (select vid from kept))"""
+_KEPT = " select vid, null::bigint as dst from kept union all select src, dst from kept_edges"
+_NODE = "'NODE_' || {0}::varchar || '_length_' || length({1})::varchar || '_cov_1.0'"
+
 ORACLES = {
+    "item_elimination": ELIMINATION,
+    "item_tip_removal": WITHOUT.replace("{tips}", "true") + _KEPT,
+    "item_lowcov_removal": WITHOUT.replace("{tips}", "false") + _KEPT,
+    "item_edit_summary": WITHOUT.replace("{tips}", "true")
+    + """ select (select count(*) from kept) as n_vertices, (select count(*) from kept_edges) as n_edges, (select count(*) from kept where vid not in (select dst from kept_edges)) as n_sources,
+      (select count(*) from kept where vid not in (select src from kept_edges)) as n_sinks, (select count(*) from item_vertices) - (select count(*) from kept) as n_removed,
+      (select count(*) from item_edges) - (select count(*) from kept_edges) as n_lost_edges""",
+    "item_fastg_lines": f"""with {PATHS}, tos as (select src, string_agg({_NODE.format('p.vid', 'p.seq')}, ',' order by p.vid) as names from item_edges join item_places p on p.vid = dst group by src)
+      select p.vid, '>' || {_NODE.format('p.vid', 'p.seq')} || coalesce(':' || names, '') || ';' as header, case when p.vid in (select dst from item_edges) then p.seq[{X.LINE_K}:] else p.seq end as seq
+      from item_places p left join tos on src = p.vid""",
     "item_pair_multiplicity": f"with {PATHS},\n{HELD} select o_orderpriority as set_id, v1, v2, count(*) as d from orders join held on o_orderkey = path_id group by all",
     "item_set_likelihood": _sets("weighted"),
     "item_set_likelihood_flat": _sets("flat"),

@@ -718,6 +718,47 @@ def item_leave_one_out(spark, sf_dir):
     return out.select("removed", "size", F.round("loglik", 2).alias("loglik"), F.round("missed", 9).alias("missed"))
 
 
+@query
+def item_elimination(spark, sf_dir):
+    """The ways of the order priorities, eliminated one after the other by joins."""
+    paths, compat = X.class_paths(spark, sf_dir)
+    lengths = compat.select(F.col("v2").alias("vid"), "len").distinct()
+    out = likelihood.elimination_by_joins(materialize(paths), materialize(likelihood.oriented(compat, lengths)), ITEM_GENOME)
+    return out.select("step", "size", F.round("loglik", 0).alias("loglik"), "removed", F.round("missed", 9).alias("missed"))
+
+
+def _item_coverage(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices, edges, and the number of orders that hold a vertex as its coverage."""
+    g = X.item_graph(spark, sf_dir)
+    vertices = materialize(g["vertices"].join(X.item_places(spark, sf_dir).select("vid", "seq"), "vid"))
+    return vertices, materialize(g["edges"]), vertices.select("vid", F.col("cnt").alias("coverage"))
+
+
+@query
+def item_tip_removal(spark, sf_dir):
+    kept, edges = graph.prune(*_item_coverage(spark, sf_dir), 3.0)
+    return kept.select("vid", F.lit(None).cast("long").alias("dst")).unionByName(edges.select(F.col("src").alias("vid"), "dst"))
+
+
+@query
+def item_lowcov_removal(spark, sf_dir):
+    kept, edges = graph.prune(*_item_coverage(spark, sf_dir), 3.0, everywhere=True)
+    return kept.select("vid", F.lit(None).cast("long").alias("dst")).unionByName(edges.select(F.col("src").alias("vid"), "dst"))
+
+
+@query
+def item_edit_summary(spark, sf_dir):
+    """Sizes of the graph without its weak tips, and what went with them."""
+    vertices, edges, coverage = _item_coverage(spark, sf_dir)
+    return graph.edit_summary(vertices, edges, *graph.prune(vertices, edges, coverage, 3.0))
+
+
+@query
+def item_fastg_lines(spark, sf_dir):
+    vertices, edges, _ = _item_coverage(spark, sf_dir)
+    return graph.fastg_lines(vertices, edges, X.LINE_K)
+
+
 @query
 def item_path_stitch(spark, sf_dir):
     return cover.stitch_paths(X.item_paths(spark, sf_dir), X.item_places(spark, sf_dir), X.LINE_K)

@@ -93,6 +93,13 @@ def settled(df: DataFrame, since: int) -> DataFrame:
     return out
 
 
+def forget(since: int, keep: int) -> None:
+    """Remove the tables written since the bookmark, but for the last ``keep``."""
+    end = len(_written) - keep
+    _remove(_written[since:end])
+    del _written[since:end]
+
+
 def _remove(tables: list[tuple[str, object]]) -> None:
     from pyspark import SparkContext
 
