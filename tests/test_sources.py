@@ -119,3 +119,47 @@ def test_command_line(spark, tmp_path):
     found = {r.seq for r in spark.read.parquet(str(tmp_path / "out/final")).collect()}
     assert genome[:43] in found or any(genome[:43] in s for s in found)
     assert any(r.value.startswith(">") for r in spark.read.text(str(tmp_path / "out/final.fasta")).collect())
+
+
+def test_stages_of_the_command_line(spark, tmp_path):
+    """Counting to FASTG, and likelihood, elimination and the final set of given paths."""
+    from braidmill.__main__ import main
+    from braidmill.operators import likelihood
+
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "r.fa").write_text(">a\nACGTTGCAAGGC\n>b\nACGTTGCATGGC\n")
+    main(["count", "--reads", at("r.fa"), "-k", "6", "5", "--out", at("n")])
+    assert dict(rows(files.read_kmer_counts(spark, at("n/5"))))["ACGTT"] == 2
+    main(["count", "--reads", at("r.fa"), "-k", "5", "--least", "2", "--canonical", "--out", at("c")])
+    assert all(n >= 2 for _, n in rows(files.read_kmer_counts(spark, at("c/5"))))
+    main(["edges", "--kmers", at("n/5"), "--k1mers", at("n/6"), "-k", "5", "--out", at("e")])
+    assert ("ACGTT", "CGTTG") in rows(files.read_edges(spark, at("e")))
+    main(["condense", "--edges", at("e"), "--kmers", at("n/5"), "-k", "5", "--out", at("g")])
+    unitigs, edges = files.read_condensed_graph(spark, at("g"))
+    assert unitigs.count() > 1 and edges.count() > 0
+    main(["prune", "--condensed", at("g"), "--kmers", at("n/5"), "-k", "5", "--least", "1.5", "--all", "--out", at("p")])
+    assert 0 < files.read_condensed_graph(spark, at("p"))[0].count() < unitigs.count()
+    main(["fastg", "--condensed", at("g"), "-k", "5", "--out", at("f")])
+    assert spark.read.text(at("f")).where("value like '>NODE%'").count() == unitigs.count()
+    g = X.small_graph(spark)
+    sinks.write_condensed_graph(g["unitigs"], g["edges"], at("sg"))
+    lines = {}
+    for v1, d1, v2, d2, n in X.COMPAT_ROWS:
+        lines.setdefault(f"{v1}:{d1}", []).append(f"{v2}:{d2}:{n}")
+    (tmp_path / "s").write_text("".join(f"{head} {' '.join(m)}\n" for head, m in lines.items()))
+    (tmp_path / "paths").write_text("".join(" ".join(f"{i + 1}:{v} 0" for i, v in enumerate(nodes)) + f"\n>1.0>{p}__9\n" for p, nodes in X.PATH_ROWS))
+    (tmp_path / "sets").write_text("0,1\n2\n")
+    given = ["--condensed", at("sg"), "--compat", at("s"), "--paths", at("paths"), "--ids-only"]
+    main(["support", "--compat", at("s"), "--threshold", "20", "--out", at("s20")])
+    assert {r.cnt for r in files.read_support_lists(spark, at("s20")).collect()} == {r[4] for r in X.COMPAT_ROWS if r[4] > 20}
+    main(["sets", *given, "--sets", at("sets"), "--genome", "60", "--out", at("ll")])
+    pairs = likelihood.oriented(g["compat"], files.read_condensed_graph(spark, at("sg"))[0].select("vid", "len"))
+    sets = spark.createDataFrame([(0, 0), (0, 1), (1, 2)], "set_id long, path_id int")
+    want = {r.set_id: (r["size"], round(r.loglik, 3)) for r in likelihood.set_likelihood(sets, g["paths"], pairs, 60).collect()}
+    got = spark.read.schema("set_id long, size int, loglik double, missed double").csv(at("ll"), sep=" ").collect()
+    assert {r.set_id: (r["size"], round(r.loglik, 3)) for r in got} == want
+    main(["eliminate", *given, "--genome", "60", "--out", at("t")])
+    trace = files.read_trace(spark, at("t"))
+    assert [r.removed for r in likelihood.elimination(g["paths"], pairs, 60).orderBy("step").collect()] == [r.removed for r in trace.orderBy("size", ascending=False).collect()]
+    main(["final", "--condensed", at("sg"), "--paths", at("paths"), "--trace", at("t"), "-k", "4", "--ids-only", "--out", at("fa")])
+    assert 0 < files.read_fasta(spark, at("fa")).count() <= 4
