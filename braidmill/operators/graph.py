@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidmill.functions import sequences as S
-from braidmill.session import materialize
+from braidmill.session import Stepwise, materialize
 
 #: Edges of a contracted graph that the driver walks itself; larger ones are walked by joins.
 DRIVER_EDGES = 200_000
@@ -144,11 +144,12 @@ def reachable(vertices: DataFrame, cond: DataFrame) -> DataFrame:
                     todo.append(v)
         walked = vertices.sparkSession.createDataFrame([(v,) for v in sorted(seen)], "vid long")
         return walked.unionByName(begin).distinct()
-    seen = front = materialize(begin)
+    seen, front, level = Stepwise(vertices.sparkSession, "vid long", "level"), materialize(begin), 0
     while not front.isEmpty():
-        front = materialize(cond.join(front.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti"))
-        seen = materialize(seen.unionByName(front))
-    return seen
+        seen.add(front.withColumn("level", F.lit(level)))  # fronts only: no vertex is written twice
+        front = materialize(cond.join(front.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid")).distinct().join(seen.all().select("vid"), "vid", "left_anti"))
+        level += 1
+    return seen.all().select("vid")
 
 
 def kmer_vertices(unitig_rows: DataFrame, k: int) -> DataFrame:

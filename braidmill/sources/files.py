@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from braidmill.operators.kmers import above, with_complements
 
+#: Files that a list file may name.
+MOST_FILES = 2000
+
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """reads(id, seq): one row a record; sequences may span lines and are upper-cased."""
@@ -33,14 +36,22 @@ def _fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.where(F.col("id").startswith("@")).select(F.substring("id", F.lit(2), F.length("id")).alias("id"), "seq", "qual", "at")
 
 
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """The file names of a list; a file of more lines is no list and is not read on."""
+    names = [r[0].strip() for r in spark.read.text(path).limit(MOST_FILES + 1).collect()]
+    if len(names) > MOST_FILES:
+        raise ValueError(f"{path} is neither FASTA nor FASTQ, and a list names {MOST_FILES} files at most")
+    return [n for n in names if n]
+
+
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """reads(id, seq) of FASTA or FASTQ files, or of the files that a list file names."""
+    """reads(id, seq) of FASTA or FASTQ files, or of the files that a list file names, ``MOST_FILES`` at most."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     out = None
     for p in paths:
         first = spark.read.text(p).first()
         sign = first[0][:1] if first else ">"
-        part = read_fasta(spark, p) if sign == ">" else read_fastq(spark, p).select("id", "seq") if sign == "@" else read_sequences(spark, [r[0].strip() for r in spark.read.text(p).collect() if r[0].strip()])
+        part = read_fasta(spark, p) if sign == ">" else read_fastq(spark, p).select("id", "seq") if sign == "@" else read_sequences(spark, _listed(spark, p))
         out = part if out is None else out.unionByName(part)
     return out
 

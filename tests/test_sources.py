@@ -20,6 +20,14 @@ def test_fasta_and_lists(spark, tmp_path):
     assert files.sample_of_files(list("abc")) == ["a"]
 
 
+def test_a_long_file_is_no_list(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "x").write_text("ACGT\n" * (files.MOST_FILES + 1))
+    with pytest.raises(ValueError, match="neither FASTA nor FASTQ"):
+        files.read_sequences(spark, str(tmp_path / "x"))
+
+
 def test_fastq_and_pairs(spark, tmp_path):
     (tmp_path / "1.fq").write_text("@r1\nACGT\n+\n@@@@\n@r2\nTTTT\n+r2\n+III\n")
     (tmp_path / "2.fq").write_text("@r1\nCCCC\n+\nIIII\n@r2\nGGGG\n+\nIIII\n")
