@@ -92,7 +92,7 @@ def test_scores_by_plain_arithmetic(spark):
     for r in Q.quality_scores(docs, labels).collect():
         got.setdefault(r.doc_id, []).append(r.score)
     for i, text in rows:
-        cells = [h >> 64 - 13 for h in plain_tokens(text)]
+        cells = [h >> 65 - Q.WORD_CELLS.bit_length() for h in plain_tokens(text)]
         x = np.zeros(3 * Q.WIDTH + 2)
         if cells:
             own, index = np.array([m.vectors[c] for c in cells], float), np.array([Q._INDEX[c] for c in cells], float)
