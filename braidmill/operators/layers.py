@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidmill.session import Stepwise, materialize
+from braidmill.session import Stepwise, bookmark, forget, materialize
 
 #: Edges that the driver peels itself; graphs with more are peeled by joins.
 DRIVER_EDGES = 200_000
@@ -108,10 +108,12 @@ def sweep(layers: DataFrame, edges: Stepwise, states: str, messages: str, solve:
     found, sent = Stepwise(spark, states), Stepwise(spark, messages)
     placed = Stepwise(spark, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layers.schema.fields if f.name != "layer"))
     placed.add(layers)
-    last = layers.agg(F.max("layer")).first()[0]
+    last, since = layers.agg(F.max("layer")).first()[0], bookmark()
     numbers = range(0 if last is None else last + 1)
     for layer in reversed(numbers) if backward else numbers:
         found.add(solve(placed.step(layer), sent.step(layer), layer).withColumn("layer", F.lit(layer)))
+        sent.drop(layer)
+        forget(since, keep=0)  # what ``solve`` has written
         leaving = edges.step(layer).join(found.step(layer).withColumnRenamed("vid", "src"), "src")
         if layer != (0 if backward else last):
             sent.add(send(leaving).withColumnRenamed("to", "layer"))

@@ -79,6 +79,10 @@ class Stepwise:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(folder)
 
+    def drop(self, number: int) -> None:
+        """Remove the rows of one number, which nothing reads any more."""
+        _remove([(f"{self.path}/{self.at}={int(number)}", self.spark._jsc.hadoopConfiguration())])
+
 
 def bookmark() -> int:
     """How many tables there are; ``settled`` removes those written after it."""

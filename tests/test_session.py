@@ -19,6 +19,9 @@ def test_stepwise_tables(spark):
     step = table.step(3)
     assert step.columns == ["a", "b"] and sorted((r.a, r.b or "") for r in step.collect()) == [(1, "x"), (2, "y"), (3, "")]
     assert "layer=0" not in step._jdf.queryExecution().executedPlan().toString()
+    table.drop(3)
+    table.drop(8)
+    assert table.step(3).collect() == [] and [r.a for r in table.all().collect()] == [1]
     other = session.Stepwise(spark, "n int", "round")
     other.add(spark.createDataFrame([(5, 7)], "n int, round int"))
     assert other.step(7).first().n == 5
