@@ -9,7 +9,8 @@ import uuid
 from functools import cache
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Tables of this driver that are still there: path and the session's file system settings.
@@ -51,6 +52,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task gathers or sends on, about, where a table is dealt by its size.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df``, of about so many rows, by the columns in parts of ``TASK_ROWS``, so what a task holds does not grow with the table."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *by)
+
+
+def numbered(df: DataFrame, rows: int, name: str, *order: Column) -> DataFrame:
+    """``df``, of about so many rows, with each row's place from 1 in this order, which must be a total one; written once.
+
+    Tasks sort ranges of it.  A row's place is its place in its range behind
+    the rows of the ranges before, of which there is one small row each.
+    """
+    ranges = df.repartitionByRange(max(1, -(-rows // TASK_ROWS)), *order).sortWithinPartitions(*order)
+    placed = materialize(ranges.withColumn("bm_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("bm_id", 33), F.col("bm_id").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("bm_part")).agg(F.count("*").alias("n")).orderBy("bm_part").collect()
+    before, seen = [], 0
+    for r in sizes:
+        before.append((r["bm_part"], seen))
+        seen += r["n"]
+    starts = df.sparkSession.createDataFrame(before, "bm_part long, bm_before long")
+    out = placed.withColumns({"bm_part": part, "bm_inside": inside}).join(F.broadcast(starts), "bm_part")  # a row a range
+    return out.select(*df.columns, (F.col("bm_before") + F.col("bm_inside") + 1).alias(name))
+
+
 class Stepwise:
     """A table in the shared folder to which steps are added; its int column ``at`` is the folder a row lies in.
 
