@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidmill.functions import sequences as S
+from braidmill.session import materialize
 
 MAX_COUNT = 2147483646
 HISTOGRAM_TOP = 10000
 
 
+def times(rows: DataFrame) -> Column:
+    """How often rows occur, as an aggregate: their number, or the sum of ``times`` where they have been counted before."""
+    return F.sum("times") if "times" in rows.columns else F.count("*")
+
+
 def _segments(reads: DataFrame) -> DataFrame:
     """N-free stretches with their number; equal stretches meet before they are cut up."""
-    return reads.select(F.explode(S.segments(F.upper("seq"))).alias("seq")).groupBy("seq").agg(F.count("*").alias("times"))
+    counted = [c for c in reads.columns if c == "times"]
+    return reads.select(F.explode(S.segments(F.upper("seq"))).alias("seq"), *counted).groupBy("seq").agg(times(reads).alias("times"))
 
 
 def kmer_words(reads: DataFrame, k: int) -> DataFrame:
@@ -23,8 +30,13 @@ def kmer_words(reads: DataFrame, k: int) -> DataFrame:
     return reads.select(F.explode(S.segments(F.upper("seq"))).alias("seq")).select(F.explode(S.kmer_array(F.col("seq"), k)).alias("kmer"))
 
 
+def counted_words(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, times): the words of each distinct stretch of ``reads(seq)``; the stretches are counted and written once, for several passes."""
+    return materialize(_segments(reads)).select(F.explode(S.kmer_array(F.col("seq"), k)).alias("kmer"), "times")
+
+
 def count_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """kmers(k, kmer, cnt) of ``reads(seq)``, strand by strand.
+    """kmers(k, kmer, cnt) of ``reads(seq)``, strand by strand; reads that were counted before have ``times``.
 
     Equal reads are counted first, so deep coverage is cut up once; the counts
     of k-mers are partial sums before the shuffle.

@@ -8,13 +8,20 @@ from pyspark.sql.window import Window
 
 from braidmill.functions import sequences as S
 
+from .kmers import times
+
 #: Least distance between the two k-mers of a pair inside one mate.
 GAP = 5
 
 
+def counted_pairs(read_pairs: DataFrame) -> DataFrame:
+    """(r1, r2, times): the distinct read pairs as they were read, which all steps take instead of the pairs."""
+    return read_pairs.groupBy("r1", "r2").agg(times(read_pairs).alias("times"))
+
+
 def _distinct_pairs(read_pairs: DataFrame) -> DataFrame:
     """Equal read pairs meet before the quadratic step; both mates face the same way."""
-    return read_pairs.groupBy(F.upper("r1").alias("r1"), S.revcomp(F.upper("r2")).alias("r2")).agg(F.count("*").alias("times"))
+    return read_pairs.groupBy(F.upper("r1").alias("r1"), S.revcomp(F.upper("r2")).alias("r2")).agg(times(read_pairs).alias("times"))
 
 
 def _fine(kmer: str) -> F.Column:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from braidmill.session import materialize
 
+from .kmers import times
+
 #: Bits of a packed bucket, as the built-in bitmap functions have them; a counter takes a byte instead of a bit.
 BUCKET = 32_768
 #: Bytes of packed buckets that are broadcast as one row at most.
@@ -112,8 +114,8 @@ def with_membership(values: DataFrame, column: str, bloom: DataFrame, shape: Sha
 def saturating_counters(values: DataFrame, column: str, shape: Shape, bits: int = 4) -> DataFrame:
     """(bucket, levels): counters of all occurrences, a byte for each, that stop at 15, 7, 3 or 1 (4 to 1 bits).
 
-    A value's least counter is never below its count (capped), and above only
-    where all its cells are shared.  Tasks count in packed buckets, and these
+    A row with ``times`` counts as so many occurrences.  A value's least counter
+    is never below its count (capped), and above only where all its cells are shared.  Tasks count in packed buckets, and these
     are added up as they stream in, so no cell is a row.
     """
     if bits not in (1, 2, 3, 4):
@@ -124,8 +126,10 @@ def saturating_counters(values: DataFrame, column: str, shape: Shape, bits: int
         held: dict[int, np.ndarray] = {}
         for b in batches:
             cells = b["cells"].flatten().to_numpy()
+            each = np.repeat(np.minimum(b["times"].to_numpy(), top), shape.hashes)
             for bucket in np.unique(cells // BUCKET).tolist():
-                hits = np.bincount(cells[cells // BUCKET == bucket] % BUCKET, minlength=BUCKET)
+                own = cells // BUCKET == bucket
+                hits = np.bincount(cells[own] % BUCKET, weights=each[own], minlength=BUCKET)
                 held[bucket] = np.minimum(held.get(bucket, 0) + hits, top).astype(np.uint8)
         yield _buckets(held)
 
@@ -137,7 +141,8 @@ def saturating_counters(values: DataFrame, column: str, shape: Shape, bits: int
                 held[bucket] = np.minimum(held[bucket] + more, top).astype(np.uint8) if bucket in held else more  # two levels fit a byte
         yield _buckets(held)
 
-    rows = _with_cells(values.select(column).where(F.col(column).isNotNull()), column, shape).select(F.col("bm_cells").alias("cells"))
+    often = F.col("times").cast("long") if "times" in values.columns else F.lit(1).cast("long")
+    rows = _with_cells(values.select(column, often.alias("times")).where(F.col(column).isNotNull()), column, shape).select(F.col("bm_cells").alias("cells"), "times")
     return rows.mapInArrow(count, "bucket int, levels binary").repartition("bucket").mapInArrow(add, "bucket int, levels binary")
 
 
@@ -156,7 +161,7 @@ def occurring(values: DataFrame, column: str, counters: DataFrame, shape: Shape,
 
 
 def gated_counts(words: DataFrame, shape: Shape, least: int = 2) -> DataFrame:
-    """(kmer, cnt) of the words seen at least ``least`` times, by two passes over ``words(kmer)``.
+    """(kmer, cnt) of the words seen at least ``least`` times, by two passes over ``words(kmer)``, or ``words(kmer, times)`` where equal reads have met before.
 
     The first pass sets what is seen and seen again in saturating counters; the
     second counts only words that may have been seen often enough, so words of
@@ -169,7 +174,7 @@ def gated_counts(words: DataFrame, shape: Shape, least: int = 2) -> DataFrame:
     bits = next((b for b in (1, 2, 3, 4) if (1 << b) - 1 >= least), 4)
     counters = materialize(saturating_counters(words, "kmer", shape, bits))
     passed = occurring(words, "kmer", counters, shape, min(least, (1 << bits) - 1))
-    return passed.groupBy("kmer").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
+    return passed.groupBy("kmer").agg(times(words).alias("cnt")).where(F.col("cnt") >= least)
 
 
 def distinct_sketches(values: DataFrame, column: str, batch: str) -> DataFrame:

@@ -11,7 +11,7 @@ from braidmill.session import materialize
 
 def condense(read_pairs: DataFrame, k: int = 55, edge_threshold: int = 0, counts: DataFrame | None = None) -> dict[str, DataFrame]:
     """kmers, edges, unitigs and cond_edges of the workflow; ``own`` has the counts at k."""
-    reads = read_pairs.select(F.explode(F.array("r1", "r2")).alias("seq"))
+    reads = read_pairs.select(F.explode(F.array("r1", "r2")).alias("seq"), *[c for c in read_pairs.columns if c == "times"])
     both = materialize(kmers.count_kmers_multi(reads, [k + 1, k]) if counts is None else counts)
     own, longer = both.where(F.col("k") == k), both.where(F.col("k") == k + 1)
     edges = materialize(graph.edges_from_k1mers(longer, own, k, edge_threshold))
@@ -41,6 +41,7 @@ def candidates(
     ``supported_edges`` are the k-mer edges that the kept support leaves for
     another run.
     """
+    read_pairs = materialize(pairs.counted_pairs(read_pairs))  # all pairs are read once
     out = condense(read_pairs, k, edge_threshold, counts)
     own, unitigs, cond = out["own"], out["unitigs"], out["cond_edges"]
     closed = materialize(kmers.with_complements(own))  # a strand that was not read has the other's counts

@@ -76,8 +76,8 @@ def file_interleaved_pairs(spark, sf_dir):
 
 @query
 def file_paired_reads(spark, sf_dir):
-    """Two files in the order of the pairs."""
-    pairs = _pairs(spark, sf_dir).orderBy("pair_id").coalesce(1)
+    """Two folders of files that follow each other in the order of the pairs."""
+    pairs = _pairs(spark, sf_dir).orderBy("pair_id")
     one = _text(pairs, F.concat(F.lit("@"), "pair_id"), "r1", F.lit("+"), F.lit("I"))
     two = _text(pairs, F.concat(F.lit(">"), "pair_id"), "r2")
     return files.read_paired_files(spark, one, two)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidmill import session
-from braidmill.operators import likelihood
+from braidmill.operators import kmers, likelihood, pairs, sketches
 from braidmill.plans import fixtures as X
+from braidmill.plans import round_trips
 
 PATHS = [("a", [1, 2, 3, 2]), ("b", [2, 3]), ("b", [3, 2, 3]), ("c", []), ("d", [5])]
 
@@ -64,3 +65,32 @@ def test_items_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
         got = [tuple(r) for r in f(spark, sf_dir).collect()]
         assert len(got) == len(whole[name]) and set(got) == whole[name], name
     assert X.item_vertices(spark, sf_dir).rdd.getNumPartitions() == -(-n // 600)
+
+
+READS = [("ACGTNACGGT", "TTACGA"), ("ACGTNACGGT", "TTACGA"), ("GGTTAC", None), ("acgtac", "CCGTA")]
+
+
+def test_pairs_that_were_counted_before_give_the_same(spark):
+    whole = spark.createDataFrame(READS, "r1 string, r2 string")
+    counted = pairs.counted_pairs(whole)
+    assert counted.count() == 3 and "times" in counted.columns
+    one = lambda rows: rows.select(F.explode(F.array("r1", "r2")).alias("seq"), *[c for c in rows.columns if c == "times"])
+    for f in (lambda p: kmers.count_kmers_multi(one(p), [4, 3]), lambda p: pairs.pair_support(p, kmers.count_kmers(one(p), 3), 3, 0, 0, 1)):
+        rows = lambda df: sorted(tuple(r) for r in df.collect())
+        assert rows(f(counted)) == rows(f(whole)) != []
+
+
+@pytest.mark.parametrize("least", [1, 3, 20])
+def test_words_with_times_are_gated_alike(spark, least):
+    words = spark.createDataFrame([("AAC", 2), ("AAC", 1), ("CCG", 400), ("GGT", 1)], "kmer string, times long")
+    got = {r.kmer: r.cnt for r in sketches.gated_counts(words, sketches.Shape(sketches.BUCKET, 2), least).collect()}
+    assert got == {k: n for k, n in {"AAC": 3, "CCG": 400, "GGT": 1}.items() if n >= least}
+
+
+def test_paired_files_are_written_in_ranges(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    monkeypatch.setattr(round_trips, "_text", lambda rows, *lines: written.append(_plan(rows)))
+    monkeypatch.setattr(round_trips.files, "read_paired_files", lambda *a: None)
+    round_trips.file_paired_reads(spark, sf_dir)
+    assert len(written) == 2 and all("Coalesce 1" not in p and "rangepartitioning" in p for p in written)
