@@ -21,6 +21,8 @@ from .layers import DRIVER_EDGES, layered_edges, sweep
 CUTOFF = 0.25
 #: Ways up and down that are combined at a vertex that is left out.
 EACH = 10
+#: Partners of a vertex that are kept as a map in its row; more are joined pair by pair.
+MAP_PARTNERS = 256
 _PATH = "rank int, nodes array<long>, depths array<long>, score double"
 
 
@@ -32,31 +34,53 @@ def weighted_support(support: DataFrame, bubble: DataFrame, normalized: bool) ->
     return rows.select("v1", "v2", (F.col("cnt").cast("double") / F.col("partners")).alias("share"), F.coalesce("bubble", F.lit(False)).alias("bubble"))
 
 
-def _gain(near: Column, nodes: Column, backward: bool, normalized: bool) -> Column:
+def _gain(near: Column, nodes: Column, share: Column, bubble: Column, backward: bool, normalized: bool) -> Column:
     """What a node adds to a sub-path's score: near and far pairs, with and without support and bubble."""
-    share, bubble = F.col("share"), F.col("bubble")
     single = share if backward and not normalized else F.lit(1.0)
     held = F.when(near, F.when(bubble, F.lit(2.0)).otherwise(single)).otherwise(F.when(bubble, F.lit(1.0)).otherwise(F.lit(0.5)))
     return F.when(share.isNull(), F.when(near, -nodes.cast("double")).otherwise(0.01)).otherwise(held * share if normalized else held)
 
 
-def _scored(candidates: DataFrame, support: DataFrame, insert: int, backward: bool, normalized: bool) -> DataFrame:
-    """candidates plus value and, of the nodes, those supported; gains are added in the order of the path."""
+def _valued(rows: DataFrame, gains: Column, held: Column, backward: bool) -> DataFrame:
+    """What candidates are worth by the gains of their nodes, which are added in the order of the path."""
+    c = F.col("c").cast("double")
+    begin = F.col("score") * c * (c - 1) / 2
+    begin = F.when(c == 1, F.col("score")).otherwise(begin) if backward else begin
+    total = F.aggregate(gains, begin, lambda t, g: t + g)
+    value = 2 * total / (c * (c + 1))
+    value = F.when(c > 1, value).otherwise(total) if backward else F.least(F.lit(1.0), value)
+    return rows.select("vid", "depth", "nodes", "depths", value.alias("value"), F.filter(held, lambda n: n.isNotNull()).alias("held"))
+
+
+def _sized(candidates: DataFrame, backward: bool) -> DataFrame:
+    return candidates.withColumn("c", F.size("nodes") if backward else F.size("nodes") + 1)
+
+
+def _scored(candidates: DataFrame, partners: DataFrame, insert: int, backward: bool, normalized: bool) -> DataFrame:
+    """candidates plus value and, of the nodes, those supported; ``partners(own, partners)`` has a map for a vertex, so only candidates are moved."""
+    rows = _sized(candidates, backward).join(partners.withColumnRenamed("own", "vid"), "vid", "left")
+    found = F.transform(F.arrays_zip("nodes", "depths"), lambda at: F.struct(at["nodes"].alias("node"), at["depths"].alias("depth"), F.try_element_at("partners", at["nodes"]).alias("p")))
+    rows = rows.withColumn("found", found)
+
+    def gain(x: Column) -> Column:
+        away = x["depth"] - F.col("depth") if backward else F.col("depth") - x["depth"]
+        return _gain(away < insert, F.col("c"), x["p"]["share"], x["p"]["bubble"], backward, normalized)
+
+    return _valued(rows, F.transform("found", gain), F.transform("found", lambda x: F.when(x["p"]["share"].isNotNull(), x["node"])), backward)
+
+
+def _scored_by_joins(candidates: DataFrame, support: DataFrame, insert: int, backward: bool, normalized: bool) -> DataFrame:
+    """The same for vertices with too many partners for a map: every node meets its support (own, other, share, bubble) in a join."""
     key = ["vid", "via", "rank"]
-    c = F.size("nodes") if backward else F.size("nodes") + 1
-    nodes = candidates.select(*key, "depth", c.alias("c"), F.posexplode(F.arrays_zip("nodes", "depths")).alias("place", "at")).select(*key, "depth", "c", "place", F.col("at.nodes").alias("node"), F.col("at.depths").alias("node_depth"))
+    candidates = _sized(candidates, backward)
+    nodes = candidates.select(*key, "depth", "c", F.posexplode(F.arrays_zip("nodes", "depths")).alias("place", "at")).select(*key, "depth", "c", "place", F.col("at.nodes").alias("node"), F.col("at.depths").alias("node_depth"))
     away = F.col("node_depth") - F.col("depth") if backward else F.col("depth") - F.col("node_depth")
     gains = nodes.join(support.withColumnRenamed("own", "vid").withColumnRenamed("other", "node"), ["vid", "node"], "left")
-    gains = gains.select(*key, "place", _gain(away < insert, F.col("c"), backward, normalized).alias("gain"), F.when(F.col("share").isNotNull(), F.col("node")).alias("held"))
+    gain = _gain(away < insert, F.col("c"), F.col("share"), F.col("bubble"), backward, normalized)
+    gains = gains.select(*key, "place", gain.alias("gain"), F.when(F.col("share").isNotNull(), F.col("node")).alias("held"))
     summed = gains.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "gain", "held"))).alias("gains"))
-    rows = candidates.join(summed, key).withColumn("c", c.cast("double"))
-    begin = F.col("score") * F.col("c") * (F.col("c") - 1) / 2
-    begin = F.when(F.col("c") == 1, F.col("score")).otherwise(begin) if backward else begin
-    total = F.aggregate(F.transform("gains", lambda g: g["gain"]), begin, lambda t, g: t + g)
-    value = 2 * total / (F.col("c") * (F.col("c") + 1))
-    value = F.when(F.col("c") > 1, value).otherwise(total) if backward else F.least(F.lit(1.0), value)
-    held = F.filter(F.transform("gains", lambda g: g["held"]), lambda n: n.isNotNull())
-    return rows.select("vid", "depth", "nodes", "depths", value.alias("value"), held.alias("held"))
+    rows = candidates.join(summed, key)
+    return _valued(rows, F.transform("gains", lambda g: g["gain"]), F.transform("gains", lambda g: g["held"]), backward)
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
@@ -89,8 +113,24 @@ def sub_paths(layers: DataFrame, cond: DataFrame, support: DataFrame, beam: int,
     below the cutoff keeps nothing, nor do those that it alone leads to.
     """
     own, other = ("v1", "v2") if backward else ("v2", "v1")
-    table = Stepwise(layers.sparkSession, "own long, other long, share double, bubble boolean")
-    table.add(support.select(F.col(own).alias("own"), F.col(other).alias("other"), "share", "bubble").join(layers.select(F.col("vid").alias("own"), "layer"), "own"))
+    spark, at = layers.sparkSession, layers.select(F.col("vid").alias("own"), "layer")
+    rows = support.select(F.col(own).alias("own"), F.col(other).alias("other"), "share", "bubble")
+    many = materialize(rows.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > MAP_PARTNERS).select("own"))
+    any_many = not many.isEmpty()
+    few = rows.join(many, "own", "left_anti") if any_many else rows
+    maps = Stepwise(spark, "own long, partners map<bigint, struct<share: double, bubble: boolean>>")
+    entries = F.collect_list(F.struct("other", F.struct("share", "bubble")))  # MAP_PARTNERS at most
+    maps.add(few.groupBy("own").agg(F.map_from_entries(entries).alias("partners")).join(at, "own"))
+    if any_many:
+        table = Stepwise(spark, "own long, other long, share double, bubble boolean")
+        table.add(rows.join(many, "own", "left_semi").join(at, "own"))
+
+    def scored(candidates: DataFrame, layer: int) -> DataFrame:
+        if not any_many:
+            return _scored(candidates, maps.step(layer), insert, backward, normalized)
+        ids = many.withColumnRenamed("own", "vid")
+        by_map = _scored(candidates.join(ids, "vid", "left_anti"), maps.step(layer), insert, backward, normalized)
+        return by_map.unionByName(_scored_by_joins(candidates.join(ids, "vid", "left_semi"), table.step(layer), insert, backward, normalized))
 
     def alone(rows: DataFrame) -> DataFrame:
         return rows.select("vid", F.lit(0).alias("rank"), F.array("vid").alias("nodes"), F.array(F.col("depth").cast("long")).alias("depths"), F.lit(0.0).alias("score"))
@@ -99,7 +139,8 @@ def sub_paths(layers: DataFrame, cond: DataFrame, support: DataFrame, beam: int,
         if inbox.isEmpty():
             return alone(rows if backward or layer == 0 else rows.limit(0))
         candidates = inbox.withColumnRenamed("dst", "vid").join(rows, "vid")
-        ranked = materialize(_ranked(_scored(candidates, table.step(layer), insert, backward, normalized)))
+        ranked = _ranked(scored(candidates, layer)).where((F.col("rank") < beam) | (F.col("best") == 0))
+        ranked = materialize(ranked) if backward else ranked  # which reads it again
         value = F.when(F.col("best") == 0, F.col("value")).otherwise(F.col("value") / F.col("best"))
         kept = ranked.where(F.col("rank") < beam).where("best <> 0" if backward else "true").select("vid", "depth", "rank", "nodes", "depths", value.alias("score"))
         if backward:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidmill import session
-from braidmill.operators import kmers, likelihood, pairs, sketches
+from braidmill.operators import beam, kmers, likelihood, pairs, sketches
 from braidmill.plans import fixtures as X
 from braidmill.plans import round_trips
 
@@ -94,3 +94,19 @@ def test_paired_files_are_written_in_ranges(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(round_trips.files, "read_paired_files", lambda *a: None)
     round_trips.file_paired_reads(spark, sf_dir)
     assert len(written) == 2 and all("Coalesce 1" not in p and "rangepartitioning" in p for p in written)
+
+
+@pytest.mark.parametrize(("backward", "normalized"), [(True, False), (False, True)])
+def test_maps_and_joins_of_partners_score_alike(spark, monkeypatch, backward, normalized):
+    layers_ = spark.createDataFrame([(v, 2 * v, d) for v, d in ((1, 0), (2, 1), (3, 1), (4, 2), (5, 3))], "vid long, depth int, layer int")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src long, dst long")
+    support = spark.createDataFrame([(1, 2, 3), (1, 4, 5), (2, 4, 1), (3, 5, 2), (2, 5, 7)], "v1 long, v2 long, cnt long")
+    weighted = beam.weighted_support(support, support.where("cnt > 4").select("v1", "v2"), normalized)
+    joins, by_joins, seen = [], beam._scored_by_joins, []
+    monkeypatch.setattr(beam, "_scored_by_joins", lambda *a: joins.append(1) or by_joins(*a))
+    for most in (256, 1, 0):
+        monkeypatch.setattr(beam, "MAP_PARTNERS", most)
+        rows = beam.sub_paths(layers_, edges, weighted, 3, 5, normalized, backward)
+        seen.append(sorted((r.vid, r.rank, tuple(r.nodes), r.score) for r in rows.collect()))
+        assert bool(joins) == (most < 256)
+    assert seen[0] == seen[1] == seen[2] != []
