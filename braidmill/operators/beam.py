@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from braidmill.session import Stepwise, materialize
 
-from .layers import DRIVER_EDGES, layered_edges, sweep
+from .layers import DRIVER_EDGES, by_layer, layered_edges, sweep
 
 #: Share of the best score that a kept sub-path reaches.
 CUTOFF = 0.25
@@ -23,75 +23,101 @@ CUTOFF = 0.25
 EACH = 10
 #: Partners of a vertex that are kept as a map in its row; more are joined pair by pair.
 MAP_PARTNERS = 256
-_PATH = "rank int, nodes array<long>, depths array<long>, score double"
+_PATH = "law int, rank int, nodes array<long>, depths array<long>, score double"
 
 
-def weighted_support(support: DataFrame, bubble: DataFrame, normalized: bool) -> DataFrame:
-    """(v1, v2, share, bubble): a pair's count by the number of partners of v1, or by their summed counts."""
-    by = support.groupBy("v1").agg((F.sum("cnt") if normalized else F.count("*")).cast("double").alias("partners"))
+def weighed(support: DataFrame, laws: tuple[bool, ...]) -> DataFrame:
+    """``support(v1, v2, cnt, bubble)`` plus ``shares``: for each law a pair's count by the number of partners of v1, or (normalized) by their summed counts."""
+    each = Window.partitionBy("v1")
+    partners = [(F.sum("cnt") if normalized else F.count("*")).over(each).cast("double") for normalized in laws]
+    return support.withColumn("shares", F.array(*[F.col("cnt").cast("double") / n for n in partners]))
+
+
+def _marked(support: DataFrame, bubble: DataFrame) -> DataFrame:
     marked = bubble.select("v1", "v2").distinct().withColumn("bubble", F.lit(True))
-    rows = support.join(by, "v1").join(marked, ["v1", "v2"], "left")
-    return rows.select("v1", "v2", (F.col("cnt").cast("double") / F.col("partners")).alias("share"), F.coalesce("bubble", F.lit(False)).alias("bubble"))
+    return support.join(marked, ["v1", "v2"], "left").select("v1", "v2", "cnt", F.coalesce("bubble", F.lit(False)).alias("bubble"))
+
+
+def weighted_support(support: DataFrame, bubble: DataFrame, normalized: bool) -> DataFrame:
+    """(v1, v2, share, bubble): support weighed by one law."""
+    return weighed(_marked(support, bubble), (normalized,)).select("v1", "v2", F.col("shares")[0].alias("share"), "bubble")
 
 
-def _gain(near: Column, nodes: Column, share: Column, bubble: Column, backward: bool, normalized: bool) -> Column:
-    """What a node adds to a sub-path's score: near and far pairs, with and without support and bubble."""
-    single = share if backward and not normalized else F.lit(1.0)
-    held = F.when(near, F.when(bubble, F.lit(2.0)).otherwise(single)).otherwise(F.when(bubble, F.lit(1.0)).otherwise(F.lit(0.5)))
-    return F.when(share.isNull(), F.when(near, -nodes.cast("double")).otherwise(0.01)).otherwise(held * share if normalized else held)
+def _gains(laws: tuple[bool, ...], backward: bool) -> Column:
+    """What a supported node adds to a sub-path's score: for each law, as a near one and as a far one, by share and bubble."""
+    gains = []
+    for i, normalized in enumerate(laws):
+        share = F.col("shares")[i]
+        single = share if backward and not normalized else F.lit(1.0)
+        for held in (F.when(F.col("bubble"), F.lit(2.0)).otherwise(single), F.when(F.col("bubble"), F.lit(1.0)).otherwise(F.lit(0.5))):
+            gains.append(held * share if normalized else held)
+    return F.array(*gains)
 
 
-def _valued(rows: DataFrame, gains: Column, held: Column, backward: bool) -> DataFrame:
-    """What candidates are worth by the gains of their nodes, which are added in the order of the path."""
+def _gain(near: Column, nodes: Column, gains: Column) -> Column:
+    """What a node adds; ``gains`` is null without support."""
+    mine = 2 * F.col("law")
+    return F.when(near, F.coalesce(F.get(gains, mine), -nodes.cast("double"))).otherwise(F.coalesce(F.get(gains, mine + 1), F.lit(0.01)))
+
+
+def _valued(rows: DataFrame, total: Column, held: Column, backward: bool) -> DataFrame:
+    """What candidates are worth by the sum of their gains; nodes with support are named where this is nothing."""
     c = F.col("c").cast("double")
-    begin = F.col("score") * c * (c - 1) / 2
-    begin = F.when(c == 1, F.col("score")).otherwise(begin) if backward else begin
-    total = F.aggregate(gains, begin, lambda t, g: t + g)
     value = 2 * total / (c * (c + 1))
     value = F.when(c > 1, value).otherwise(total) if backward else F.least(F.lit(1.0), value)
-    return rows.select("vid", "depth", "nodes", "depths", value.alias("value"), F.filter(held, lambda n: n.isNotNull()).alias("held"))
+    return rows.withColumn("value", value).select("vid", "depth", "law", "nodes", "depths", "value", F.when(F.col("value") == 0, held).alias("held"))
 
 
 def _sized(candidates: DataFrame, backward: bool) -> DataFrame:
-    return candidates.withColumn("c", F.size("nodes") if backward else F.size("nodes") + 1)
+    """candidates plus ``c`` and what the gains of their nodes are added to, in the order of the path."""
+    c = F.col("c").cast("double")
+    begin = F.col("score") * c * (c - 1) / 2
+    begin = F.when(c == 1, F.col("score")).otherwise(begin) if backward else begin
+    return candidates.withColumn("c", F.size("nodes") if backward else F.size("nodes") + 1).withColumn("begin", begin)
 
 
-def _scored(candidates: DataFrame, partners: DataFrame, insert: int, backward: bool, normalized: bool) -> DataFrame:
-    """candidates plus value and, of the nodes, those supported; ``partners(own, partners)`` has a map for a vertex, so only candidates are moved."""
-    rows = _sized(candidates, backward).join(partners.withColumnRenamed("own", "vid"), "vid", "left")
-    found = F.transform(F.arrays_zip("nodes", "depths"), lambda at: F.struct(at["nodes"].alias("node"), at["depths"].alias("depth"), F.try_element_at("partners", at["nodes"]).alias("p")))
-    rows = rows.withColumn("found", found)
+def _scored(candidates: DataFrame, insert: int, backward: bool) -> DataFrame:
+    """candidates plus value and, of the nodes, those supported; the partners of the vertex are a map in the row."""
+    partner = lambda node: F.try_element_at("partners", node)
 
-    def gain(x: Column) -> Column:
-        away = x["depth"] - F.col("depth") if backward else F.col("depth") - x["depth"]
-        return _gain(away < insert, F.col("c"), x["p"]["share"], x["p"]["bubble"], backward, normalized)
+    def gain(node: Column, i: Column) -> Column:
+        away = F.get("depths", i) - F.col("depth") if backward else F.col("depth") - F.get("depths", i)
+        return _gain(away < insert, F.col("c"), partner(node))
 
-    return _valued(rows, F.transform("found", gain), F.transform("found", lambda x: F.when(x["p"]["share"].isNotNull(), x["node"])), backward)
+    total = F.aggregate(F.transform("nodes", gain), F.col("begin"), lambda t, g: t + g)
+    return _valued(_sized(candidates, backward), total, F.filter("nodes", lambda node: partner(node).isNotNull()), backward)
 
 
-def _scored_by_joins(candidates: DataFrame, support: DataFrame, insert: int, backward: bool, normalized: bool) -> DataFrame:
-    """The same for vertices with too many partners for a map: every node meets its support (own, other, share, bubble) in a join."""
-    key = ["vid", "via", "rank"]
-    candidates = _sized(candidates, backward)
+def _scored_by_joins(candidates: DataFrame, support: DataFrame, insert: int, backward: bool) -> DataFrame:
+    """The same for vertices with too many partners for a map: every node meets its support (own, other, gains) in a join."""
+    key = ["vid", "law", "via", "rank"]
+    candidates = _sized(candidates, backward).drop("partners")
     nodes = candidates.select(*key, "depth", "c", F.posexplode(F.arrays_zip("nodes", "depths")).alias("place", "at")).select(*key, "depth", "c", "place", F.col("at.nodes").alias("node"), F.col("at.depths").alias("node_depth"))
     away = F.col("node_depth") - F.col("depth") if backward else F.col("depth") - F.col("node_depth")
     gains = nodes.join(support.withColumnRenamed("own", "vid").withColumnRenamed("other", "node"), ["vid", "node"], "left")
-    gain = _gain(away < insert, F.col("c"), F.col("share"), F.col("bubble"), backward, normalized)
-    gains = gains.select(*key, "place", gain.alias("gain"), F.when(F.col("share").isNotNull(), F.col("node")).alias("held"))
+    gains = gains.select(*key, "place", _gain(away < insert, F.col("c"), F.col("gains")).alias("gain"), F.when(F.col("gains").isNotNull(), F.col("node")).alias("held"))
     summed = gains.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "gain", "held"))).alias("gains"))
-    rows = candidates.join(summed, key)
-    return _valued(rows, F.transform("gains", lambda g: g["gain"]), F.transform("gains", lambda g: g["held"]), backward)
+    total = F.aggregate("gains", F.col("begin"), lambda t, g: t + g["gain"])
+    held = F.filter(F.transform("gains", lambda g: g["held"]), lambda n: n.isNotNull())
+    return _valued(candidates.join(summed, key), total, held, backward)
 
 
-def _ranked(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("vid")
-    rows = scored.withColumn("best", F.max("value").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("value"), "nodes")) - 1)
-    return rows.where(F.col("value") >= CUTOFF * F.col("best"))
+def _ranked(scored: DataFrame, backward: bool) -> DataFrame:
+    """Candidates with their rank at the vertex and its best value; backward also the ``zeros``, those worth 0 that ``_fresh`` chooses from."""
+    order = Window.partitionBy("vid", "law").orderBy(F.desc("value"), "nodes")
+    more = {"rank": F.row_number().over(order) - 1, "best": F.first("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+    if backward:
+        zero = F.when((F.col("value") == 0) & _may_be_fresh(), F.struct("nodes", "depths", "held"))
+        scored, more["zeros"] = scored.withColumn("zero", zero).drop("held"), F.collect_list("zero").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return scored.withColumns(more)
 
 
-def _fresh_only(zeros: DataFrame, beam: int) -> DataFrame:
-    """Of candidates that are all worth 0, in the order of their nodes, those that are short or support a node that no kept one supports."""
-    rows = zeros.where((F.size("held") > 0) | (F.size("nodes") < 2))
+def _may_be_fresh() -> Column:
+    return (F.size("held") > 0) | (F.size("nodes") < 2)
+
+
+def _fresh(zeros: Column, beam: int) -> Column:
+    """Of candidates (nodes, depths, held) that are all worth 0, in the order of their nodes, those that are short or support a node that no kept one supports."""
     kept = "array<struct<nodes: array<bigint>, depths: array<bigint>>>"
     start = F.struct(F.array().cast("array<bigint>").alias("covered"), F.array().cast(kept).alias("kept"))
 
@@ -100,59 +126,83 @@ def _fresh_only(zeros: DataFrame, beam: int) -> DataFrame:
         takes = (F.size(a["kept"]) < beam) & ((F.size(F.array_except(x["held"], a["covered"])) > 0) | (F.size(x["nodes"]) < 2))
         return F.when(takes, more).otherwise(a)
 
-    folded = rows.groupBy("vid", "depth").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("nodes", "depths", "held"))), start, step, lambda a: a["kept"]).alias("kept"))
+    return F.aggregate(F.array_sort(zeros), start, step, lambda a: a["kept"])
+
+
+def _fresh_only(zeros: DataFrame, beam: int) -> DataFrame:
+    """What ``_fresh`` chooses from the rows of each vertex."""
+    folded = zeros.where(_may_be_fresh()).groupBy("vid", "depth").agg(_fresh(F.collect_list(F.struct("nodes", "depths", "held")), beam).alias("kept"))
     return folded.select("vid", "depth", F.posexplode("kept").alias("rank", "p")).select("vid", "depth", "rank", "p.nodes", "p.depths", F.lit(0.0).alias("score"))
 
 
+def _partners(layers: DataFrame, support: DataFrame) -> DataFrame:
+    """``layers`` plus ``partners``, a map of the vertex's support (own, other, gains), and ``many``, true where this would be too large and is left out."""
+    order = Window.partitionBy("own").orderBy("other")
+    rows = support.withColumns({"place": F.row_number().over(order), "n": F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    entry = F.when(F.col("n") <= MAP_PARTNERS, F.struct("other", "gains"))
+    rows = rows.select("own", "place", "n", entry.alias("entry")).withColumn("entries", F.collect_list("entry").over(Window.partitionBy("own")))  # MAP_PARTNERS at most
+    maps = rows.where("place = 1").select(F.col("own").alias("vid"), F.map_from_entries("entries").alias("partners"), (F.col("n") > MAP_PARTNERS).alias("many"))
+    return layers.join(maps, "vid", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+
+
 def sub_paths(layers: DataFrame, cond: DataFrame, support: DataFrame, beam: int, insert: int, normalized: bool, backward: bool) -> DataFrame:
-    """(vid, rank, nodes, depths, score, layer): the kept sub-paths of every vertex, to the sinks (backward) or from the sources.
+    """(vid, rank, nodes, depths, score, layer): the kept sub-paths by one law; ``support`` is that of ``weighted_support``."""
+    shares = support.select("v1", "v2", F.array("share").alias("shares"), "bubble")
+    return sub_paths_by_laws(layers, cond, shares, beam, insert, (normalized,), backward).drop("law")
 
-    ``layers`` has vid, depth and layer.  Ranks run from 0 by falling score,
-    ties by nodes.  Backward a vertex without a kept candidate keeps itself
-    alone; forward only sources do, and a vertex all of whose candidates are
-    below the cutoff keeps nothing, nor do those that it alone leads to.
+
+def sub_paths_by_laws(layers: DataFrame, cond: DataFrame, support: DataFrame, beam: int, insert: int, laws: tuple[bool, ...], backward: bool) -> DataFrame:
+    """(vid, law, rank, nodes, depths, score, layer): the kept sub-paths of every vertex, to the sinks (backward) or from the sources.
+
+    ``layers`` has vid, depth and layer, ``support`` has v1, v2, bubble and,
+    in ``shares``, a weight for each of the laws, which share all joins; ``law``
+    counts them from 0.  Ranks run from 0 by falling score, ties by nodes.
+    Backward a vertex without a kept candidate keeps itself alone; forward only
+    sources do, and a vertex all of whose candidates are below the cutoff keeps
+    nothing, nor do those that it alone leads to.
     """
     own, other = ("v1", "v2") if backward else ("v2", "v1")
-    spark, at = layers.sparkSession, layers.select(F.col("vid").alias("own"), "layer")
-    rows = support.select(F.col(own).alias("own"), F.col(other).alias("other"), "share", "bubble")
-    many = materialize(rows.groupBy("own").agg(F.count("*").alias("n")).where(F.col("n") > MAP_PARTNERS).select("own"))
-    any_many = not many.isEmpty()
-    few = rows.join(many, "own", "left_anti") if any_many else rows
-    maps = Stepwise(spark, "own long, partners map<bigint, struct<share: double, bubble: boolean>>")
-    entries = F.collect_list(F.struct("other", F.struct("share", "bubble")))  # MAP_PARTNERS at most
-    maps.add(few.groupBy("own").agg(F.map_from_entries(entries).alias("partners")).join(at, "own"))
-    if any_many:
-        table = Stepwise(spark, "own long, other long, share double, bubble boolean")
-        table.add(rows.join(many, "own", "left_semi").join(at, "own"))
+    support = support.select(F.col(own).alias("own"), F.col(other).alias("other"), _gains(laws, backward).alias("gains"))
+    placed = by_layer(_partners(layers.select("vid", "depth", "layer"), support))
+    many = placed.all().where("many").select(F.col("vid").alias("own"), "layer")
+    if any_many := not many.isEmpty():
+        table = Stepwise(layers.sparkSession, "own long, other long, gains array<double>")
+        table.add(support.join(many, "own"))
 
     def scored(candidates: DataFrame, layer: int) -> DataFrame:
         if not any_many:
-            return _scored(candidates, maps.step(layer), insert, backward, normalized)
-        ids = many.withColumnRenamed("own", "vid")
-        by_map = _scored(candidates.join(ids, "vid", "left_anti"), maps.step(layer), insert, backward, normalized)
-        return by_map.unionByName(_scored_by_joins(candidates.join(ids, "vid", "left_semi"), table.step(layer), insert, backward, normalized))
+            return _scored(candidates, insert, backward)
+        by_map = _scored(candidates.where("not many or nodes is null"), insert, backward)
+        return by_map.unionByName(_scored_by_joins(candidates.where("many and nodes is not null"), table.step(layer), insert, backward))
+
+    def path(law: Column, rank: Column, nodes: Column, depths: Column, score: Column) -> Column:
+        parts = {"law": law.cast("int"), "rank": rank.cast("int"), "nodes": nodes, "depths": depths, "score": score}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
 
-    def alone(rows: DataFrame) -> DataFrame:
-        return rows.select("vid", F.lit(0).alias("rank"), F.array("vid").alias("nodes"), F.array(F.col("depth").cast("long")).alias("depths"), F.lit(0.0).alias("score"))
+    vid, depth = F.array("vid"), F.array(F.col("depth").cast("long"))
+    alone = lambda law: path(law, F.lit(0), vid, depth, F.lit(0.0))
+    each_alone = F.array(*[alone(F.lit(i)) for i in range(len(laws))])
 
     def solve(rows: DataFrame, inbox: DataFrame, layer: int) -> DataFrame:
-        if inbox.isEmpty():
-            return alone(rows if backward or layer == 0 else rows.limit(0))
-        candidates = inbox.withColumnRenamed("dst", "vid").join(rows, "vid")
-        ranked = _ranked(scored(candidates, layer)).where((F.col("rank") < beam) | (F.col("best") == 0))
-        ranked = materialize(ranked) if backward else ranked  # which reads it again
-        value = F.when(F.col("best") == 0, F.col("value")).otherwise(F.col("value") / F.col("best"))
-        kept = ranked.where(F.col("rank") < beam).where("best <> 0" if backward else "true").select("vid", "depth", "rank", "nodes", "depths", value.alias("score"))
-        if backward:
-            kept = kept.unionByName(_fresh_only(ranked.where("best = 0"), beam))
-        joined = (lambda end, path: F.concat(F.array(end), path)) if backward else (lambda end, path: F.concat(path, F.array(end)))
-        out = kept.select("vid", "rank", joined(F.col("vid"), F.col("nodes")).alias("nodes"), joined(F.col("depth").cast("long"), F.col("depths")).alias("depths"), "score")
-        return out.unionByName(alone(rows.join(kept.select("vid").distinct(), "vid", "left_anti"))) if backward else out
+        inbox = inbox.withColumnRenamed("dst", "vid")
+        if not backward:
+            if layer == 0:
+                return rows.select("vid", F.inline(each_alone))
+            kept = _ranked(scored(inbox.join(rows, "vid"), layer), backward).where((F.col("rank") < beam) & (F.col("value") >= CUTOFF * F.col("best")))
+            score = F.when(F.col("best") == 0, F.col("value")).otherwise(F.col("value") / F.col("best"))
+            return kept.select("vid", "law", "rank", F.concat("nodes", vid).alias("nodes"), F.concat("depths", depth).alias("depths"), score.alias("score"))
+        ranked = _ranked(scored(rows.join(inbox, "vid", "left"), layer), backward)
+        ranked = ranked.where((F.col("rank") == 0) | ((F.col("best") > 0) & (F.col("rank") < beam) & (F.col("value") >= CUTOFF * F.col("best"))))
+        fresh = F.transform(_fresh(F.col("zeros"), beam), lambda x, i: path(F.col("law"), i, F.concat(vid, x["nodes"]), F.concat(depth, x["depths"]), F.lit(0.0)))
+        whole = path(F.col("law"), F.col("rank"), F.concat(vid, F.col("nodes")), F.concat(depth, F.col("depths")), F.col("value") / F.col("best"))
+        kept = F.when(F.col("nodes").isNull(), each_alone).when(F.col("best") > 0, F.array(whole))
+        kept = kept.when((F.col("best") == 0) & (F.size("zeros") > 0), fresh).otherwise(F.array(alone(F.col("law"))))
+        return ranked.select("vid", F.inline(kept))
 
     def send(rows: DataFrame) -> DataFrame:
-        return rows.select("dst", F.col("src").alias("via"), "rank", "nodes", "depths", "score", "to")
+        return rows.select("dst", F.col("src").alias("via"), "law", "rank", "nodes", "depths", "score", "to")
 
-    return sweep(layers, layered_edges(layers, cond, backward), f"vid long, {_PATH}", f"dst long, via long, {_PATH}", solve, send, backward)
+    return sweep(placed, layered_edges(layers, cond, backward), f"vid long, {_PATH}", f"dst long, via long, {_PATH}", solve, send, backward)
 
 
 def _ends_with(whole: Column, part: Column) -> Column:
@@ -216,19 +266,18 @@ def first_uncovered(order: DataFrame, covers: DataFrame) -> DataFrame:
     return order.select("vid").join(lost_ones.all().select("vid"), "vid", "left_anti")
 
 
-def layered_cover(layers: DataFrame, cond: DataFrame, support: DataFrame, bubble: DataFrame, beam: int = 15, insert: int = 400, normalized: bool = False, least_score: float = -10.0) -> DataFrame:
+def layered_cover(layers: DataFrame, cond: DataFrame, support: DataFrame, bubble: DataFrame | None, beam: int = 15, insert: int = 400, normalized: bool = False, least_score: float = -10.0) -> DataFrame:
     """(path_id, score, nodes): the chosen paths of a graph of any size.
 
     ``layers(vid, depth, layer)`` has the depth of each vertex's first k-mer and
     its topological layer; ``support(v1, v2, cnt)`` and ``bubble(v1, v2)`` hold a
-    pair once.  A path is called by its vertex, head and tail: the source and 0
+    pair once; without ``bubble`` support is weighed already.  A path is called by its vertex, head and tail: the source and 0
     for its own sub-paths, else the vertex that was left out.  No vertices give
     no rows; without support all gains are those of pairs without it.
     """
-    weighted = materialize(weighted_support(support, bubble, normalized))
-    back = sub_paths(layers, cond, weighted, beam, insert, normalized, True)
-    ahead = sub_paths(layers, cond, weighted, beam, insert, normalized, False)
-    sources = layers.select("vid").join(cond.select(F.col("dst").alias("vid")).distinct(), "vid", "left_anti")
+    support = materialize(weighed(_marked(support, bubble), (normalized,))) if bubble is not None else support
+    back, ahead = (sub_paths_by_laws(layers, cond, support, beam, insert, (normalized,), backward) for backward in (True, False))
+    sources = layers.where("layer = 0").select("vid")
     first = back.join(sources, "vid", "left_semi").select("vid", F.lit(0).alias("head"), F.col("rank").alias("tail"), "nodes", "score")
     used = first.select(F.explode("nodes").alias("vid")).distinct()
     left_out = materialize(layers.select("vid", "depth").join(used, "vid", "left_anti"))

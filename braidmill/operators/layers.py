@@ -2,8 +2,8 @@
 
 A vertex lies one layer behind the last of its predecessors.  What a layer has
 found is sent along its edges as messages to the layers that need it, and a
-layer reads its own messages only, so a sweep over all layers reads and writes
-every edge once, however many layers there are.  No vertex, component or layer
+layer reads its own messages only, so a sweep over all layers moves every edge
+once, however many layers there are.  No vertex, component or layer
 is gathered anywhere; rows are grouped by vertex.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidmill.session import Stepwise, bookmark, forget, materialize
+from braidmill.session import Stepwise, bookmark, forget, held, materialize
 
 #: Edges that the driver peels itself; graphs with more are peeled by joins.
 DRIVER_EDGES = 200_000
@@ -50,19 +50,25 @@ def _peeled_by_driver(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _peeled_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """A round takes the vertices whose predecessors have all gone; it writes these and those that still miss some."""
+    """A round takes the vertices that miss no predecessor; it writes how many the others still miss. Edges lie where their ``src`` does and are not moved."""
     spark = vertices.sparkSession
-    need = materialize(edges.groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("n_in")))
+    edges = held(edges, edges.count(), "src")
+    missing = vertices.select("vid", F.lit(0).cast("long").alias("n")).unionByName(edges.select(F.col("dst").alias("vid"), F.lit(1).cast("long").alias("n")))
     done = Stepwise(spark, "vid long")
-    state = materialize(vertices.select("vid").distinct().join(need, "vid", "left_anti").select("vid", F.lit(0).cast("long").alias("gone"), F.lit(True).alias("ready")))
     left, layer = vertices.select("vid").distinct().count(), 0
-    while n := state.where("ready").count():
-        front = state.where("ready").select("vid")
+    while True:
+        since = bookmark()
+        state = materialize(missing.groupBy("vid").agg(F.sum("n").alias("n")))
+        forget(since - 1 if layer else since, keep=1)  # the state before it
+        front = state.where("n = 0").select("vid")
+        n = front.count()
+        if not n:
+            break
         done.add(front.withColumn("layer", F.lit(layer)))
         left, layer = left - n, layer + 1
-        hits = edges.join(front.withColumnRenamed("vid", "src"), "src").groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("gone"))
-        touched = hits.unionByName(state.where("not ready").select("vid", "gone")).groupBy("vid").agg(F.sum("gone").alias("gone"))
-        state = materialize(touched.join(need, "vid").select("vid", "gone", (F.col("gone") == F.col("n_in")).alias("ready")))
+        hits = edges.join(front.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid"), F.lit(-1).cast("long").alias("n"))
+        missing = state.where("n > 0").unionByName(hits)
+    edges.unpersist()
     if left:
         raise _cycle(left)
     return done.all()
@@ -80,14 +86,21 @@ def topological_layers(vertices: DataFrame, cond: DataFrame) -> DataFrame:
     return materialize((_peeled_by_driver if few else _peeled_by_joins)(vertices, edges))
 
 
+def located(layers: DataFrame, cond: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst, src_layer, dst_layer); ``cond`` is returned if it is such a table."""
+    if {"src_layer", "dst_layer"} <= set(cond.columns):
+        return cond
+    side = lambda end: layers.select(F.col("vid").alias(end), F.col("layer").alias(f"{end}_layer"))
+    return cond.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_layer", "dst_layer")
+
+
 def layered_edges(layers: DataFrame, cond: DataFrame, backward: bool = False) -> Stepwise:
     """Edges (src, dst, to) in folders of the layer they leave; ``to`` is the layer they reach.
 
     Backward they leave from ``dst``, which is then called ``src``.
     """
-    ends = ("dst", "src") if backward else ("src", "dst")
-    rows = cond.select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst")).distinct()
-    rows = rows.join(layers.select(F.col("vid").alias("src"), "layer"), "src").join(layers.select(F.col("vid").alias("dst"), F.col("layer").alias("to")), "dst")
+    start, end = ("dst", "src") if backward else ("src", "dst")
+    rows = located(layers, cond).select(F.col(start).alias("src"), F.col(end).alias("dst"), F.col(f"{end}_layer").alias("to"), F.col(f"{start}_layer").alias("layer"))
     out = Stepwise(layers.sparkSession, "src long, dst long, to int")
     out.add(rows)
     return out
@@ -96,27 +109,43 @@ def layered_edges(layers: DataFrame, cond: DataFrame, backward: bool = False) ->
 Solve = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
-def sweep(layers: DataFrame, edges: Stepwise, states: str, messages: str, solve: Solve, send: Callable[[DataFrame], DataFrame], backward: bool = False) -> DataFrame:
+def by_layer(layers: DataFrame) -> Stepwise:
+    """The rows of ``layers`` in folders of their layer."""
+    out = Stepwise(layers.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layers.schema.fields if f.name != "layer"))
+    out.add(layers)
+    return out
+
+
+def sweep(placed: Stepwise, edges: Stepwise, states: str, messages: str, solve: Solve, send: Callable[[DataFrame], DataFrame], backward: bool = False) -> DataFrame:
     """What ``solve`` finds for every vertex, from the layers before it (or, backward, behind it).
 
     ``solve(vertices, inbox, layer)`` makes rows of schema ``states`` (with
-    ``vid``) from one layer's rows of ``layers`` and the messages to it;
+    ``vid``) from one layer's rows of ``placed`` and the messages to it;
     ``send(rows)`` makes messages of schema ``messages`` from these rows joined
-    with their edges (``dst`` is the vertex a message goes to).
+    with their edges (``dst`` is the vertex a message goes to).  Messages to the
+    next layer are made where it is solved; only those that go further are written.
     """
-    spark = layers.sparkSession
+    spark = placed.spark
     found, sent = Stepwise(spark, states), Stepwise(spark, messages)
-    placed = Stepwise(spark, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layers.schema.fields if f.name != "layer"))
-    placed.add(layers)
-    last, since = layers.agg(F.max("layer")).first()[0], bookmark()
-    numbers = range(0 if last is None else last + 1)
+    names = [name for name in sent.schema.names if name != sent.at]
+    last, since = placed.all().agg(F.max("layer")).first()[0], bookmark()
+    numbers, on = range(0 if last is None else last + 1), -1 if backward else 1
+    further = {r["layer"] for r in edges.all().where(F.col("to") != F.col("layer") + on).select("layer").distinct().collect()}  # a row a layer
+
+    def leaving(layer: int, near: bool) -> DataFrame:
+        rows = edges.step(layer).where(F.col("to") == layer + on if near else F.col("to") != layer + on)
+        return send(rows.join(found.step(layer).withColumnRenamed("vid", "src"), "src"))
+
     for layer in reversed(numbers) if backward else numbers:
-        found.add(solve(placed.step(layer), sent.step(layer), layer).withColumn("layer", F.lit(layer)))
+        inbox = sent.step(layer)
+        if layer - on in numbers:
+            near = leaving(layer - on, True).select(*names)
+            inbox = near.unionByName(inbox) if sent.has(layer) else near
+        found.add(solve(placed.step(layer), inbox, layer).withColumn("layer", F.lit(layer)))
         sent.drop(layer)
         forget(since, keep=0)  # what ``solve`` has written
-        leaving = edges.step(layer).join(found.step(layer).withColumnRenamed("vid", "src"), "src")
-        if layer != (0 if backward else last):
-            sent.add(send(leaving).withColumnRenamed("to", "layer"))
+        if layer in further:
+            sent.add(leaving(layer, False).withColumnRenamed("to", "layer"))
     return found.all()
 
 
@@ -128,7 +157,7 @@ def ways(layers: DataFrame, cond: DataFrame) -> DataFrame:
         return own.join(more, "vid", "left").select("vid", F.coalesce("n", F.lit(1)).cast("decimal(38,0)").alias("n"))
 
     send = lambda rows: rows.select("dst", "n", "to")
-    return sweep(layers, layered_edges(layers, cond), "vid long, n decimal(38,0)", "dst long, n decimal(38,0)", solve, send)
+    return sweep(by_layer(layers), layered_edges(layers, cond), "vid long, n decimal(38,0)", "dst long, n decimal(38,0)", solve, send)
 
 
 def path_totals(layers: DataFrame, cond: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,7 +167,7 @@ def path_totals(layers: DataFrame, cond: DataFrame, labels: DataFrame) -> DataFr
 
 
 def depth_first(layers: DataFrame, vertices: DataFrame, cond: DataFrame, k: int, start: DataFrame | None = None) -> DataFrame:
-    """(vid, depth, root): depths of each vertex's first k-mer on the tree of a depth-first walk.
+    """(vid, depth, root, layer): depths of each vertex's first k-mer on the tree of a depth-first walk.
 
     ``vertices`` has vid, len, cnt and kmer: sources and children are visited
     by count from the highest, ties by k-mer; sources of ``start(vid, ord)``
@@ -148,19 +177,20 @@ def depth_first(layers: DataFrame, vertices: DataFrame, cond: DataFrame, k: int,
     kept as its root and the numbers of the children chosen at such vertices.
     """
     order = Window.partitionBy("src").orderBy(F.desc("cnt"), "kmer")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = vertices.select(F.col("vid").alias("dst"), "cnt", "kmer")
-    ranked = cond.select("src", "dst").distinct().join(heads, "dst").withColumn("place", F.row_number().over(order) - 1).withColumn("children", F.count("*").over(Window.partitionBy("src")))
-    digits = len(f"{ranked.agg(F.max('children')).first()[0] or 1:x}")
+    rows = located(layers, cond)
+    most = rows.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    digits = len(f"{most or 1:x}")
+    ranked = rows.join(heads, "dst").withColumn("place", F.row_number().over(order) - 1).withColumn("children", F.count("*").over(whole))
     choice = F.when(F.col("children") == 1, F.lit("")).otherwise(F.lpad(F.lower(F.hex("place")), digits, "0"))
     tails = vertices.select(F.col("vid").alias("src"), (F.col("len") - k + 1).cast("long").alias("step"))
-    steps = ranked.select("src", "dst", choice.alias("choice")).join(tails, "src")
-    at = layers.select(F.col("vid").alias("src"), "layer"), layers.select(F.col("vid").alias("dst"), F.col("layer").alias("to"))
     edges = Stepwise(layers.sparkSession, "src long, dst long, choice string, step long, to int")
-    edges.add(steps.join(at[0], "src").join(at[1], "dst"))
+    edges.add(ranked.join(tails, "src").select("src", "dst", choice.alias("choice"), "step", F.col("dst_layer").alias("to"), F.col("src_layer").alias("layer")))
     begin = vertices.select("vid", "cnt", "kmer") if start is None else vertices.select("vid", "cnt", "kmer").join(start, "vid", "left")
     given = F.lit(None).cast("long") if start is None else F.col("ord").cast("long")
     begin = begin.select("vid", F.struct(given.isNull().alias("later"), given.alias("ord"), (-F.col("cnt")).cast("double").alias("cnt"), F.col("kmer").alias("kmer")).alias("first"))
-    begin = materialize(begin.join(cond.select(F.col("dst").alias("vid")).distinct(), "vid", "left_anti"))
+    begin = materialize(begin.join(layers.where("layer = 0").select("vid"), "vid", "left_semi"))
     root = "first struct<later: boolean, ord: bigint, cnt: double, kmer: string>, path string, depth long, root long"
     pick = ["first", "path", "depth", "root"]
 
@@ -173,4 +203,4 @@ def depth_first(layers: DataFrame, vertices: DataFrame, cond: DataFrame, k: int,
     def send(rows: DataFrame) -> DataFrame:
         return rows.select("dst", "first", F.concat("path", "choice").alias("path"), (F.col("depth") + F.col("step")).alias("depth"), "root", "to")
 
-    return sweep(layers, edges, f"vid long, {root}", f"dst long, {root}", solve, send).select("vid", F.col("depth").cast("int").alias("depth"), "root")
+    return sweep(by_layer(layers.select("vid", "layer")), edges, f"vid long, {root}", f"dst long, {root}", solve, send).select("vid", F.col("depth").cast("int").alias("depth"), "root", "layer")

@@ -9,6 +9,7 @@ import uuid
 from functools import cache
 
 from py4j.protocol import Py4JError
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,6 +62,15 @@ def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.repartition(max(1, -(-rows // TASK_ROWS)), *by)
 
 
+def held(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """``df``, of about so many rows, dealt and sorted by a column and kept on the disks of the executors, so that joins by it move the other side only.
+
+    Whoever asks for it calls ``unpersist`` in the end.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(parts, by).sortWithinPartitions(by).persist(StorageLevel.DISK_ONLY)
+
+
 def numbered(df: DataFrame, rows: int, name: str, *order: Column) -> DataFrame:
     """``df``, of about so many rows, with each row's place from 1 in this order, which must be a total one; written once.
 
@@ -89,9 +99,11 @@ class Stepwise:
     def __init__(self, spark: SparkSession, schema: str, at: str = "layer"):
         self.spark, self.at = spark, at
         self.path = new_path(spark)
-        empty = spark.createDataFrame([], f"{schema}, {at} int")
-        self.schema = empty.schema
-        self.add(empty)
+        self.schema = spark.createDataFrame([], f"{schema}, {at} int").schema
+        self._place(self.path).mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(self.path))
+
+    def _place(self, path: str):  # the file system, a JVM object
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def add(self, rows: DataFrame) -> None:
         rows.select(*self.schema.names).write.mode("append").partitionBy(self.at).parquet(self.path)
@@ -102,11 +114,14 @@ class Stepwise:
     def step(self, number: int) -> DataFrame:
         """The rows of one number, without the column of it; no other folder is looked at."""
         schema = StructType([f for f in self.schema.fields if f.name != self.at])
-        folder = f"{self.path}/{self.at}={int(number)}"
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+        if not self.has(number):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.at}={int(number)}")
+
+    def has(self, number: int) -> bool:
+        """Whether rows of this number were added."""
+        folder = f"{self.path}/{self.at}={int(number)}"
+        return self._place(folder).exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder))
 
     def drop(self, number: int) -> None:
         """Remove the rows of one number, which nothing reads any more."""

@@ -110,3 +110,47 @@ def test_maps_and_joins_of_partners_score_alike(spark, monkeypatch, backward, no
         seen.append(sorted((r.vid, r.rank, tuple(r.nodes), r.score) for r in rows.collect()))
         assert bool(joins) == (most < 256)
     assert seen[0] == seen[1] == seen[2] != []
+
+
+def _small_graph(spark):
+    placed = spark.createDataFrame([(v, 2 * v, d) for v, d in ((1, 0), (2, 1), (3, 1), (4, 2), (5, 3))], "vid long, depth int, layer int")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], "src long, dst long")
+    support = spark.createDataFrame([(1, 2, 3, True), (1, 4, 5, False), (2, 4, 1, False), (3, 5, 2, True), (2, 5, 7, False)], "v1 long, v2 long, cnt long, bubble boolean")
+    return placed, edges, support
+
+
+@pytest.mark.parametrize("backward", [True, False])
+def test_laws_share_a_sweep_and_only_far_messages_are_written(spark, monkeypatch, backward):
+    """Edges to the next layer are followed where it is solved; of the six edges one goes further."""
+    placed, edges, support = _small_graph(spark)
+    written, add = [], session.Stepwise.add
+    monkeypatch.setattr(session.Stepwise, "add", lambda self, rows: written.append([tuple(r) for r in rows.select("via", "dst").distinct().collect()] if "via" in self.schema.names else "") or add(self, rows))
+    laws = (False, True)
+    both = beam.sub_paths_by_laws(placed, edges, beam.weighed(support, laws), 3, 5, laws, backward)
+    got = sorted((r.law, r.vid, r["rank"], tuple(r.nodes), r.score) for r in both.collect())
+    assert [w for w in written if w] == [[(5, 1) if backward else (1, 5)]]
+    want = []
+    for law, normalized in enumerate(laws):
+        weighted = beam.weighted_support(support.drop("bubble"), support.where("bubble").select("v1", "v2"), normalized)
+        rows = beam.sub_paths(placed, edges, weighted, 3, 5, normalized, backward).collect()
+        want += [(law, r.vid, r["rank"], tuple(r.nodes), r.score) for r in rows]
+    assert got == sorted(want) and len({r[0] for r in got}) == 2
+
+
+def test_links_hold_support_and_edges_of_one_pass(spark, sf_dir):
+    links = X.item_links(spark, sf_dir)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(links.selectExpr("v1", "v2", "cnt", "cast(bubble as int)")) == rows(X.item_support(spark, sf_dir))
+    assert rows(links.where("next").select("v1", "v2")) == rows(X.item_edges(spark, sf_dir)) != []
+    weighed = _plan(beam.weighed(links, (False, True)))
+    assert weighed.count("Exchange") == _plan(links).count("Exchange")  # the rows of a vertex lie together already
+
+
+def test_held_edges_are_not_moved_by_joins(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "src long, dst long")
+    kept = session.held(edges, 3, "src")
+    rows = kept.join(spark.createDataFrame([(1,), (7,)], "src long").hint("merge"), "src")
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, 2), (1, 3)]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Sort [src") <= 2
+    kept.unpersist()
