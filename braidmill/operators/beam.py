@@ -9,6 +9,8 @@ all sources, then ways through what these leave out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -219,15 +221,20 @@ def ways_through(left_out: DataFrame, ahead: DataFrame, back: DataFrame, each: i
     No chosen path holds such a vertex, so a way can lie inside another way of
     the same vertex only, and there both meet at the vertex: its head ends the
     other's head, and its tail begins the other's tail.  A way that an earlier
-    one holds is left out, and so is a vertex alone.
+    one holds is left out, and so is a vertex alone.  As a head ends itself and
+    a tail begins itself, these are the ways whose head ends an earlier head or
+    whose tail begins an earlier tail, so heads and tails are judged before
+    they are combined.
     """
-    ends = lambda rows, name: rows.where(F.col("rank") < each).join(left_out, "vid", "left_semi").groupBy("vid").agg(F.collect_list(F.struct("rank", "nodes", "score")).alias(name))  # noqa: E731  ``each`` at most
-    rows = ends(ahead, "heads").join(ends(back, "tails"), "vid")
-    rows = rows.select("vid", "heads", "tails", F.explode("heads").alias("h")).select("vid", "heads", "tails", "h", F.explode("tails").alias("t"))
-    earlier = lambda h, t: (h["rank"] < F.col("h.rank")) | ((h["rank"] == F.col("h.rank")) & (t["rank"] < F.col("t.rank")))
-    inside = F.exists("heads", lambda h: _ends_with(h["nodes"], F.col("h.nodes")) & F.exists("tails", lambda t: _begins_with(t["nodes"], F.col("t.nodes")) & earlier(h, t)))
+
+    def ends(rows: DataFrame, name: str, within: Callable[[Column, Column], Column]) -> DataFrame:
+        rows = rows.where(F.col("rank") < each).join(left_out, "vid", "left_semi").groupBy("vid").agg(F.collect_list(F.struct("rank", "nodes", "score")).alias(name))  # ``each`` at most
+        return rows.withColumn(name, F.filter(name, lambda x: ~F.exists(name, lambda other: (other["rank"] < x["rank"]) & within(other["nodes"], x["nodes"]))))
+
+    rows = ends(ahead, "heads", _ends_with).join(ends(back, "tails", _begins_with), "vid")
+    rows = rows.select("vid", "tails", F.explode("heads").alias("h")).select("vid", "h", F.explode("tails").alias("t"))
     nodes = F.concat("h.nodes", F.slice("t.nodes", F.lit(2), F.size("t.nodes")))
-    return rows.where(~inside).select("vid", F.col("h.rank").alias("head"), F.col("t.rank").alias("tail"), nodes.alias("nodes"), (F.col("h.score") + F.col("t.score")).alias("score")).where(F.size("nodes") > 1)
+    return rows.select("vid", F.col("h.rank").alias("head"), F.col("t.rank").alias("tail"), nodes.alias("nodes"), (F.col("h.score") + F.col("t.score")).alias("score")).where(F.size("nodes") > 1)
 
 
 def first_uncovered(order: DataFrame, covers: DataFrame) -> DataFrame:

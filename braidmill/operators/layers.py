@@ -64,7 +64,7 @@ def _peeled_by_joins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         n = front.count()
         if not n:
             break
-        done.add(front.withColumn("layer", F.lit(layer)))
+        done.put(front, layer)
         left, layer = left - n, layer + 1
         hits = edges.join(front.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid"), F.lit(-1).cast("long").alias("n"))
         missing = state.where("n > 0").unionByName(hits)
@@ -141,7 +141,7 @@ def sweep(placed: Stepwise, edges: Stepwise, states: str, messages: str, solve:
         if layer - on in numbers:
             near = leaving(layer - on, True).select(*names)
             inbox = near.unionByName(inbox) if sent.has(layer) else near
-        found.add(solve(placed.step(layer), inbox, layer).withColumn("layer", F.lit(layer)))
+        found.put(solve(placed.step(layer), inbox, layer), layer)
         sent.drop(layer)
         forget(since, keep=0)  # what ``solve`` has written
         if layer in further:

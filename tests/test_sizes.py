@@ -1,5 +1,7 @@
 """What a task holds does not grow with the table; results do not change with the number of parts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,32 @@ def test_held_edges_are_not_moved_by_joins(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
     assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Sort [src") <= 2
     kept.unpersist()
+
+
+def test_ways_are_judged_by_heads_and_tails_before_they_are_combined(spark):
+    rng = random.Random(5)
+    ahead, back = set(), set()
+    for v in range(40):
+        ahead |= {(v, (*(rng.randrange(2) for _ in range(rng.randrange(4))), 100 + v)) for _ in range(4)}
+        back |= {(v, (100 + v, *(rng.randrange(2) for _ in range(rng.randrange(4))))) for _ in range(4)}
+    ranked = lambda paths: [(v, i, list(p), i / 8) for v in range(40) for i, (_, p) in enumerate(sorted((x for x in sorted(paths) if x[0] == v), key=lambda _: rng.random()))]
+    up, down = ranked(ahead), ranked(back)
+    want = set()
+    for v, i, h, _ in up:
+        for w, j, t, _ in down:
+            inside = any(a == v and b == v and (x, y) < (i, j) and p[-len(h) :] == h and q[: len(t)] == t for a, x, p, _ in up for b, y, q, _ in down) if v == w else True
+            if not inside and len(h) + len(t) > 2:
+                want.add((v, i, j, tuple(h + t[1:])))
+    frame = lambda rows: spark.createDataFrame(rows, "vid long, rank int, nodes array<long>, score double")
+    rows = beam.ways_through(spark.range(40).withColumnRenamed("id", "vid"), frame(up), frame(down))
+    assert {(r.vid, r["head"], r["tail"], tuple(r.nodes)) for r in rows.collect()} == want and len(want) > 100
+    above = _plan(rows).split("Generate")[0]
+    assert "exists" not in above  # no check of one way against all others of its vertex
+
+
+def test_rows_of_one_number_are_put_without_a_sort(spark):
+    table = session.Stepwise(spark, "a long")
+    table.put(spark.range(3).withColumnRenamed("id", "a"), 2)
+    table.put(spark.range(1).withColumnRenamed("id", "a"), 5)
+    assert table.has(2) and not table.has(3)
+    assert sorted(tuple(r) for r in table.all().collect()) == [(0, 2), (0, 5), (1, 2), (2, 2)] and table.step(2).count() == 3
